@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from annolith.llm import exact_dedup, mixing, warc
+from annolith.llm import exact_dedup, line_dedup, mixing, packing, secrets, warc
 from annolith.llm.common import scratch_path
 
 
@@ -14,6 +14,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.remove_boilerplate(_table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(_table(spark, sf_dir, "documents"))
 
@@ -24,12 +32,16 @@ def op8_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.summary(warc.read_archive(spark, path, payloads=False))
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(_table(spark, sf_dir, "documents"))
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).drop("source", "copies")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_exact_dedup, op8_warc_archive, op10_source_mixing)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op6_line_dedup, op7_exact_dedup, op8_warc_archive, op9_secret_scan, op10_source_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
