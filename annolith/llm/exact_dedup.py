@@ -144,7 +144,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broad
     )
     best = F.min(F.struct((-F.col("n_points")).alias("p"), F.col("doc_id").isNull().alias("u"), F.col("doc_id").alias("d"), F.col("token").alias("t")))
     keepers = described.join(side, "fp", "left_semi").groupBy("text_sha256").agg(best.alias("best"))
-    groups = keepers.join(classes, "text_sha256").select("text_sha256", "group_size", "best")
+    # Written first, so that the last join has two plain exchanges and Spark may split a hot group in it.
+    groups = materialize(keepers.join(classes, "text_sha256").select("text_sha256", "group_size", "best"), "groups")
     joined = described.join(groups, "text_sha256", "left")
     alone = F.col("group_size").isNull()
     return joined.select(
