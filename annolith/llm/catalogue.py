@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from annolith.llm import exact_dedup, line_dedup, mixing, packing, secrets, warc
+from annolith.llm import exact_dedup, line_dedup, mixing, packing, quality, secrets, toxicity, warc
 from annolith.llm.common import scratch_path
 
 
@@ -18,6 +18,14 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.remove_boilerplate(_table(spark, sf_dir, "documents"))
 
@@ -41,7 +49,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op6_line_dedup, op7_exact_dedup, op8_warc_archive, op9_secret_scan, op10_source_mixing)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op4_quality_classifier, op5_toxicity, op6_line_dedup, op7_exact_dedup, op8_warc_archive, op9_secret_scan, op10_source_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
