@@ -62,6 +62,11 @@ def _parse(spark: SparkSession, ddl: str):
     return StructType.fromDDL(ddl)
 
 
+def salts_for(rows: int) -> int:
+    """Salts that keep the share of one salt in a hot key, and the salts of one key, small at any size."""
+    return max(64, rows // 250_000)
+
+
 def salted_rank(df: DataFrame, keys: list[str], order: list[Column], salt: Column, name: str = "rank") -> DataFrame:
     """Rows of df with their 0-based rank among the rows of the same keys, by (salt, *order).
 

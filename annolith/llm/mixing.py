@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annolith.llm.common import BLANK, map_batches, materialize, salted_rank
+from annolith.llm.common import BLANK, map_batches, materialize, salted_rank, salts_for
 
 #: Weights of the sources in order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -97,7 +97,7 @@ def _sizes(cols: dict[str, list]) -> dict[str, list]:
 assert b"".join((b"a" + BLANK + b"b").split()) == b"ab"  # bytes.split() cuts at exactly the white space of the contract
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: str = "1.5", most: int = 2, seed: int = 17, salts: int = 512) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: str = "1.5", most: int = 2, seed: int = 17) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, taken, copies.
 
     The driver gets one row per source (the list of sources with their sizes, a registry that does not grow with the
@@ -122,6 +122,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         return pd.DataFrame({"skey": frame["skey"], "size": np.array(words, np.int64), "base": np.int64(base_copies), "extra": np.array(extra, np.int64)})
 
     quota = lengths.join(plan, "skey").groupBy("skey").applyInPandas(fit, "skey string, size long, base long, extra long")
+    salts = salts_for(sized.count())
     # Slices of the seeded hash order the documents of a length; a hot length is ranked slice by slice.
     key = F.xxhash64(F.lit(seed), F.col("doc_id"))
     ranked = salted_rank(sized.withColumn("_h", key), ["skey", "size"], [F.col("_h"), F.col("doc_id").asc_nulls_last()], F.floor((F.shiftrightunsigned("_h", 32) * salts) / F.lit(float(1 << 32))).cast("int"))

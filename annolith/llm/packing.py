@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annolith.llm.common import map_batches, materialize, salted_rank
+from annolith.llm.common import map_batches, materialize, salted_rank, salts_for
 
 CAPACITY = 2048
 TOKENIZER = "byte_bpe_50k.json"
@@ -257,7 +257,7 @@ def layout(packing: Packing) -> tuple[np.ndarray, ...]:
     return tuple(np.array(x, np.int64) for x in zip(*rows, strict=True)) if rows else tuple(np.zeros(0, np.int64) for _ in range(5))
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, tokenizer: str = TOKENIZER, salts: int = 1024) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, tokenizer: str = TOKENIZER) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -276,6 +276,6 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
             frame["offset"] = offset[row] + place_ % each[row] * length
             yield frame.drop(columns="rank")
 
-    ranked = salted_rank(pieces, ["length"], [F.col(c).asc_nulls_last() for c in ("doc_id", "piece", "ids_crc32")], F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
+    ranked = salted_rank(pieces, ["length"], [F.col(c).asc_nulls_last() for c in ("doc_id", "piece", "ids_crc32")], F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts_for(pieces.count()))))
     columns = "doc_id long, piece int, start long, length long, ids_crc32 long"
     return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInPandas(assign, f"{columns}, sequence_id long, offset long")
