@@ -141,7 +141,7 @@ def read_warc_files(spark: SparkSession, path: str) -> DataFrame:
 
         for frame in batches:
             for name, content in zip(frame["path"], frame["content"], strict=True):
-                rows = [(name, list(f.items()), b) for f, b in parse_records(bytes(content))]
+                rows = [(name, f, b) for f, b in parse_records(bytes(content))]
                 yield pd.DataFrame(rows, columns=["file", "fields", "block"])
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
