@@ -36,8 +36,8 @@ from annolith.llm.components import connected
 #: Similarity in hundredths for a link; estimates below FLOOR are not confirmed.
 LINK = 80
 FLOOR = 0.65
-#: Members of a bucket or group that meet in one task: two blocks at most.
-BUCKET_BLOCK, SET_BLOCK = 1024, 256
+#: Members of a bucket or group that meet in one task: two blocks at most. Blocks with sets are also bounded in bytes.
+BUCKET_BLOCK, SET_BLOCK, SET_BYTES = 1024, 1024, 16 << 20
 
 
 def _describe(width: int):
@@ -94,13 +94,15 @@ def _linked(one: pd.Series, two: pd.Series) -> pd.Series:
 # -- blocks of members -------------------------------------------------------------------------------------------
 
 
-def blocked(members: DataFrame, key: str, size: int) -> DataFrame:
+def blocked(members: DataFrame, key: str, size: int, weight: Column | None = None) -> DataFrame:
     """members (key, node, comp, ...) dealt to pairs of blocks (key, i, j), so that each two members of one key and
     different components meet in one pair of blocks. A key's largest component never meets itself.
     """
-    counts = members.groupBy(key, "comp").agg(F.count(F.lit(1)).alias("n"))
+    # A member counts as 1, or as more if it is large; a block holds `size` of that.
+    counts = members.groupBy(key, "comp").agg(F.sum(F.lit(1.0) if weight is None else F.greatest(F.lit(1.0), weight)).alias("n"))
     sizes = counts.groupBy(key).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("comps"), F.max(F.struct("n", "comp")).alias("top"))
-    sizes = materialize(sizes.filter("comps > 1").select(key, F.col("top.comp").alias("major"), F.ceil((F.col("total") - F.col("top.n")) / size).cast("int").alias("minors"), F.ceil(F.col("top.n") / size).cast("int").alias("majors")), "sizes")
+    minors, majors = (F.greatest(F.lit(1), F.ceil(x / size).cast("int")) for x in (F.col("total") - F.col("top.n"), F.col("top.n")))
+    sizes = materialize(sizes.filter("comps > 1").select(key, F.col("top.comp").alias("major"), minors.alias("minors"), majors.alias("majors")), "sizes")
     dealt = members.join(sizes, key).withColumn("own", F.col("comp") == F.col("major"))
     place: Column = F.xxhash64("node", F.lit(77))
     dealt = dealt.withColumn("block", F.when(F.col("own"), F.col("minors") + F.pmod(place, F.col("majors"))).otherwise(F.pmod(place, F.col("minors"))).cast("int"))
@@ -246,7 +248,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     dealt = blocked(rest, "band", BUCKET_BLOCK).join(about, "node")
     groups = connected(materialize(per_group(dealt, ["band", "i", "j"], _promising_forest), "promising")).withColumnRenamed("comp", "group")
     groups = _labelled(groups, labels)
-    dealt = blocked(groups, "group", SET_BLOCK).join(about, "node").join(sets, "node")
+    groups = groups.join(nodes.select("node", F.col("n").alias("own_n")), "node")
+    dealt = blocked(groups, "group", SET_BLOCK, F.col("own_n") * 8.0 * SET_BLOCK / SET_BYTES).drop("own_n").join(about, "node").join(sets, "node")
     more = materialize(per_group(dealt, ["group", "i", "j"], _confirmed_forest), "more")
     labels = connected(star.unionByName(more))
 
