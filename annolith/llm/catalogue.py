@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from annolith.llm import exact_dedup, line_dedup, mixing, near_dedup, neighbours, packing, quality, secrets, toxicity, warc
+from annolith.llm import exact_dedup, line_dedup, mixing, near_dedup, neighbours, oracles, packing, quality, secrets, toxicity, warc
 from annolith.llm.common import scratch_path
 
 
@@ -61,4 +61,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The others are a search, trained models, a genetic algorithm or spans by entropy: tested by brute force instead."""
+    return oracles.all_sql()
