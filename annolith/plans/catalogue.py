@@ -1,11 +1,328 @@
-"""Every query of the annotation engine by name, with the SQL that must give the same rows."""
+"""Every query of the annotation engine by name. plans/oracles.py has the SQL that must give the same rows."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from datetime import date
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from annolith.functions import dates, keys, similarity, text
+from annolith.operators import dedup, pairs, parsing, render, selection, snapshots, status
+from annolith.plans import oracles
+from annolith.settings import Settings
+from annolith.sources import adapters, analyses, clippings, history, sinks
 
-def oracle_sql() -> dict:
-    return {}
+#: The clock of rendered queries.
+SETTINGS = Settings(today=date(2024, 1, 15))
+ANALYSED, EXPORTED = "2024-01-10T09:00:00+00:00", "2024-01-12T00:40:00+00:00"
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _talks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adapters.of_conversations(_table(spark, sf_dir, "conversations"))
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adapters.of_events(_table(spark, sf_dir, "events"))
+
+
+def _turn() -> F.Column:
+    return F.col("start_pos") / 10
+
+
+def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A history of the conversations: those of two turns or more were analysed after their second turn, those of three
+    or more exported after their fourth."""
+    rows = _talks(spark, sf_dir)
+    turns = rows.groupBy("book_key").agg(F.count(F.lit(1)).alias("turns"))
+    known = rows.join(turns, "book_key")
+    then = snapshots.snapshots(known.filter((F.col("turns") >= 2) & (_turn() < 2)))
+    sent = snapshots.snapshots(known.filter((F.col("turns") >= 3) & (_turn() < 4)))
+    sent = sent.select("book_key", F.col("content_hash").alias("last_export_signature"), F.col("highlight_hashes").alias("last_export_highlight_hashes"), F.col("entry_hashes").alias("last_export_entry_hashes"), F.lit(EXPORTED).alias("last_export_at"), F.array(F.lit("markdown"), F.lit("txt")).alias("last_export_formats"))
+    return then.withColumn("last_analysis_at", F.lit(ANALYSED)).join(sent, "book_key", "left").drop("analysis_id", "first_seq")
+
+
+def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return status.books_table(snapshots.snapshots(_talks(spark, sf_dir)), _history(spark, sf_dir))
+
+
+def book_snapshot_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return snapshots.snapshots(_talks(spark, sf_dir)).select("book_key", "title", "author", "highlight_count", "note_count", "bookmark_count")
+
+
+def book_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of every source and language, and of every part's name and brand."""
+    docs = _table(spark, sf_dir, "documents").select(F.col("source").alias("title"), F.col("lang").alias("author")).distinct()
+    parts = _table(spark, sf_dir, "part").select(F.col("p_name").alias("title"), F.col("p_brand").alias("author")).distinct()
+    return docs.unionByName(parts).withColumn("book_key", keys.book_key(F.col("title"), F.col("author")))
+
+
+def entry_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return snapshots.with_hashes(_talks(spark, sf_dir)).select("book_key", "seq", "entry_hash", "highlight_hash")
+
+
+def snapshot_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return snapshots.snapshots(_talks(spark, sf_dir)).select("book_key", "content_hash", "highlight_hash", F.array_join("entry_hashes", ",").alias("entry_list"), F.size("highlight_hashes").alias("n_highlight_hashes"))
+
+
+def entry_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Served entries with their place in the book."""
+    from pyspark.sql import Window
+
+    place = F.row_number().over(Window.partitionBy("book_key").orderBy(*render.sort_key()))
+    rows = _events(spark, sf_dir).withColumn("place", place)
+    return rows.select("book_key", "place", "type", "page", "start_pos", "end_pos", "content", "date_formatted")
+
+
+def status_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _rows(spark, sf_dir)
+    return rows.select("book_key", status.priority(F.col("status")).alias("priority"), F.lower("title").alias("sort_title"), F.lower("author").alias("sort_author"))
+
+
+def status_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rows(spark, sf_dir).select("book_key", "status", "status_label", "new_highlights_count", "has_new_highlights", "has_changes_since_export", "default_selected", "was_processed_before", "was_exported_before", "last_analysis_display", "last_export_display")
+
+
+def books_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _rows(spark, sf_dir)
+    return rows.withColumn("last_export_formats", F.array_join("last_export_formats", ",")).drop("analysis_id", "first_seq")
+
+
+def detected_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = status.detect(snapshots.snapshots(_talks(spark, sf_dir)), _history(spark, sf_dir))
+    return rows.select("book_key", "detected_status", "detected_new")
+
+
+def new_entries_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hashed = snapshots.with_hashes(_talks(spark, sf_dir))
+    return status.fresh_entries(hashed, _history(spark, sf_dir)).select("book_key", "seq", "entry_hash")
+
+
+def known_keys_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations asked for by number, ten beyond those that there are, in the order asked."""
+    ids = _table(spark, sf_dir, "conversations").select("conv_id").distinct()
+    asked = ids.select(F.col("conv_id").alias("asked")).unionByName(ids.select((F.col("conv_id") + 10).alias("asked")))
+    title = F.concat(F.lit("Conversation "), F.col("asked").cast("string"))
+    asked = asked.withColumn("book_key", keys.book_key(title, F.lit("corpus")))
+    return selection.known_keys(asked, snapshots.snapshots(_talks(spark, sf_dir)))
+
+
+def range_overlap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pairs.overlapping(_events(spark, sf_dir).withColumn("type", F.lit("highlight")))
+    a, b = similarity.Side("new"), similarity.Side("old")
+    return found.select("old_seq", "new_seq", similarity.overlap_units(a, b).alias("units"), F.round(similarity.overlap_ratio(a, b), 6).alias("share"), F.round(similarity.material_overlap(a, b, 0.6, 15), 6).alias("material"), similarity.same_range(a, b).alias("same_range"))
+
+
+def same_session_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.in_session(_events(spark, sf_dir), 15).select("old_seq", "new_seq")
+
+
+def _text_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _talks(spark, sf_dir).withColumn("text", text.comparison_text(F.col("content")))
+    return pairs.within_books(rows, {"text": F.col("text")})
+
+
+def token_overlap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = F.col("new_text"), F.col("old_text")
+    return _text_pairs(spark, sf_dir).select("old_seq", "new_seq", F.round(similarity.token_overlap(a, b), 6).alias("new_in_old"), F.round(similarity.token_overlap_both(a, b), 6).alias("both_ways"))
+
+
+def containment_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = F.col("new_text"), F.col("old_text")
+    return _text_pairs(spark, sf_dir).select("old_seq", "new_seq", similarity.contains(a, b).alias("contains"), similarity.contains_nearby(a, b).alias("nearby"))
+
+
+def character_ratio_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _text_pairs(spark, sf_dir).select("old_seq", "new_seq", F.round(similarity.character_ratio("new_content", "old_content"), 6).alias("ratio"))
+
+
+def exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of a source and language that read alike."""
+    rows = adapters.of_documents(_table(spark, sf_dir, "documents")).withColumn("text", text.comparison_text(F.col("content")))
+    groups = rows.groupBy("book_key", F.sha1("text").alias("text_hash")).agg(F.min("seq").alias("first_seq"), F.count(F.lit(1)).alias("copies"))
+    return groups.filter("copies > 1")
+
+
+def normal_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Comparison and key forms of every conversation turn."""
+    rows = _talks(spark, sf_dir)
+    return rows.select("seq", text.comparison_text(F.col("content")).alias("comparison"), text.key_text(F.col("content")).alias("key"))
+
+
+def slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = _table(spark, sf_dir, "part").select(F.concat_ws(": ", "p_brand", "p_name").alias("name")).distinct()
+    return parts.withColumn("slug", text.slug_text(F.col("name")))
+
+
+def author_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = adapters.of_documents(_table(spark, sf_dir, "documents"))
+    return snapshots.authors(docs)
+
+
+def filter_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _rows(spark, sf_dir)
+    kept = selection.filter_rows(rows, selection.default_selection(rows), search=" Conversation 1", author="corpus", status="selecionados")
+    return kept.select("book_key", "title", "status")
+
+
+def batch_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The recommended selection, with the books that have news cleared."""
+    rows = _rows(spark, sf_dir)
+    chosen = selection.default_selection(rows)
+    return selection.batch(rows, chosen, rows.filter("status = 'com_novidades'"), "clear_visible")
+
+
+def selection_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _rows(spark, sf_dir)
+    return selection.summary(rows, selection.default_selection(rows), len(SETTINGS.enabled()), only_new=True)
+
+
+def mark_rows_exported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _rows(spark, sf_dir)
+    marked = selection.mark_rows(rows, rows.filter("default_selected"), ["markdown"], "2024-01-15 10:00")
+    return marked.select("book_key", "status", "status_label", "new_highlights_count", "last_export_display", F.array_join("last_export_formats", ",").alias("formats"))
+
+
+def entry_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return selection.search_entries(_talks(spark, sf_dir), "note", "tion").select("book_key", "seq")
+
+
+def history_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last 200 events of each user."""
+    rows = _table(spark, sf_dir, "events")
+    return history.tail(rows, [F.col("ts").desc(), F.col("event_id").desc()], ["user_id"]).select("user_id", "event_id")
+
+
+def latest_analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five uploads most recently saved, where a customer's orders are saves of one upload."""
+    saves = _table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("analysis_id"), F.col("o_orderkey").alias("saved_no"), F.col("o_orderstatus").alias("filename"))
+    return analyses.retained(saves)
+
+
+def format_location(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _talks(spark, sf_dir).unionByName(_events(spark, sf_dir))
+    return rows.select("seq", "type", render.location(" | ").alias("location"))
+
+
+def display_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "events").select("event_id", dates.to_iso(F.col("ts")).alias("iso"))
+    return rows.withColumn("shown", dates.display(F.col("iso")))
+
+
+def date_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event's date as a label, read back from a metadata line."""
+    rows = _table(spark, sf_dir, "events").select("event_id", dates.date_label(F.col("ts")).alias("label"))
+    line = text.matching_text(F.concat(F.lit("- Seu destaque | Adicionado: sexta-feira, "), "label", F.lit(" 10:00:00")))
+    day, month, year = parsing.date_parts(F.col("line"))
+    return rows.withColumn("line", line).select("event_id", "label", F.make_date(year, month, day).cast("string").alias("day"))
+
+
+def parse_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations written as clippings files, then cut and parsed."""
+    files = adapters.clippings_text(_talks(spark, sf_dir))
+    parsed = parsing.entries(parsing.parse(clippings.segments(files)))
+    return parsed.select("book_key", "seq", "type", "title", "author", "page", "start_pos", "end_pos", "content")
+
+
+def render_txt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render.plain_text(_talks(spark, sf_dir), SETTINGS, True).select("book_key", "content")
+
+
+def render_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render.markdown(_talks(spark, sf_dir), SETTINGS).select("book_key", "content")
+
+
+def render_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render.web_page(_talks(spark, sf_dir), SETTINGS).select("book_key", "content")
+
+
+def vault_note(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render.vault_note(_talks(spark, sf_dir), SETTINGS).select("book_key", "content")
+
+
+def clip_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render.clip_page(_talks(spark, sf_dir), SETTINGS).select("book_key", "content")
+
+
+def note_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = render.note_blocks(_talks(spark, sf_dir), SETTINGS).select("book_key", F.posexplode("blocks").alias("place", "b"))
+    return rows.select("book_key", "place", "b.kind", "b.type", "b.title", "b.text", "b.location")
+
+
+def export_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Markdown of what is new since the last export."""
+    hashed = snapshots.with_hashes(_talks(spark, sf_dir))
+    fresh = status.fresh_entries(hashed, _history(spark, sf_dir))
+    settings = SETTINGS.merged({"formats": {"html": {"enabled": False}}})
+    made = render.unique_files(render.files(fresh, settings))
+    return made.select("format", "path", "book_key", F.length("content").alias("n_chars"))
+
+
+def encoded_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.encoded(render.files(_talks(spark, sf_dir), SETTINGS))
+
+
+def mark_exported_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    state = _history(spark, sf_dir)
+    events = history.export_events(snapshots.snapshots(_talks(spark, sf_dir)), state, ["txt", " markdown ", "txt"], "2024-01-15T13:00:00+00:00")
+    return events.select("book_key", "export_id", "exported_at", F.array_join("formats", ",").alias("formats"), "content_hash", "processed_at", "reexport_without_changes")
+
+
+def processing_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    books = snapshots.snapshots(_talks(spark, sf_dir))
+    events = history.processing_events(books, _history(spark, sf_dir), "2024-01-15T12:00:00+00:00", False, 1, 7)
+    return events.select("book_key", "process_id", "detected_status", "new_highlights_count", "content_hash", "highlight_count")
+
+
+def history_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The history as the JSON document of older versions, read back."""
+    state = _history(spark, sf_dir)
+    old = F.struct("title", F.lit(None).cast("string").alias("author"), F.col("entry_hashes").alias("entry_signatures"), F.col("highlight_hashes").alias("highlight_signature_hashes"), F.col("highlight_count").cast("string").alias("highlight_count"), F.col("last_analysis_at").alias("last_processed_at"), F.col("last_export_at").alias("last_exported_at"), F.struct(F.col("last_export_signature").alias("content_signature_hash")).alias("last_export"))
+    documents = state.select(F.to_json(F.struct(F.create_map("book_key", old).alias("books"))).alias("value"))
+    rows = history.sanitise(documents)
+    return rows.select("book_key", "title", "author", F.array_join("entry_hashes", ",").alias("entries"), "content_hash", "highlight_hash", "highlight_count", "note_count", "last_analysis_at", "last_export_at", "last_export_signature")
+
+
+def _decided(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return rows, dedup.decide(rows, SETTINGS)
+
+
+def dedup_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, decisions = _decided(adapters.of_documents(_table(spark, sf_dir, "documents")))
+    return dedup.survivors(rows, decisions).select("book_key", "type", "seq", "slot_seq")
+
+
+def dedup_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _decided(_events(spark, sf_dir))[1].drop("analysis_id")
+
+
+def dedup_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.metrics(_decided(_events(spark, sf_dir))[1])
+
+
+def dedup_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.report(*_decided(_events(spark, sf_dir)))
+
+
+ALL: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
+    book_snapshot_counts, book_keys, entry_signatures, snapshot_hashes, entry_sort, status_sort, status_classify, books_table, detected_status,
+    new_entries_anti, known_keys_semi, range_overlap_pairs, same_session_pairs, token_overlap_pairs, containment_pairs, character_ratio_pairs,
+    exact_duplicates, normal_forms, slugs, author_options, filter_rows, batch_selection, selection_summary, mark_rows_exported, entry_search,
+    history_tail, latest_analyses, format_location, display_time, date_labels, parse_roundtrip, render_txt, render_markdown, render_html,
+    vault_note, clip_page, note_blocks, export_files, encoded_files, mark_exported_events, processing_events, history_import,
+    dedup_survivors, dedup_events, dedup_metrics, dedup_report,
+)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {q.__name__: q for q in ALL}
+
+
+def oracle_sql() -> dict[str, str]:
+    """The dedup fold and character ratios are not SQL; pages with our own templates have tests instead."""
+    return oracles.all_sql()
