@@ -33,7 +33,9 @@ BLOCK, BLOCKINGS = 1000, 4
 #: Rounds end when fewer entries than this share change, or after so many rounds.
 CHANGED, ROUNDS = 0.03, 12
 
+#: A node's list; entries for many nodes of a group in one row (nodes, ids and sims run in parallel).
 LIST = "g long, node long, ids binary, sims binary"
+MANY = "g long, nodes binary, ids binary, sims binary"
 
 
 def _ints(blob: bytes) -> np.ndarray:
@@ -41,9 +43,15 @@ def _ints(blob: bytes) -> np.ndarray:
 
 
 def _flat(frame: pd.DataFrame, kind: type = np.float32) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(node, neighbour, similarity) of packed lists."""
+    """(node, neighbour, similarity) of lists, of one node (node) or many (nodes)."""
     if not len(frame):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, kind)
+    if "nodes" in frame:
+        many = frame["nodes"].notna().to_numpy()
+        if many.any():
+            rest = _flat(frame[~many].drop(columns="nodes"), kind)
+            packed = frame[many]
+            return tuple(np.concatenate([a, np.frombuffer(b"".join(packed[c]), t)]) for a, c, t in zip(rest, ("nodes", "ids", "sims"), (np.int64, np.int64, kind), strict=True))
     counts = np.array([len(b) // 8 for b in frame["ids"]], np.int64)
     return np.repeat(frame["node"].to_numpy(np.int64), counts), _ints(b"".join(frame["ids"])), np.frombuffer(b"".join(frame["sims"]), kind)
 
@@ -66,12 +74,21 @@ def best(node: np.ndarray, other: np.ndarray, sim: np.ndarray, most: int) -> tup
 def _packed(node: np.ndarray, other: np.ndarray, sim: np.ndarray, groups: int) -> pd.DataFrame:
     """Sorted triples as one row per node."""
     which, starts = np.unique(node, return_index=True)
-    ends = [*starts[1:], len(node)]
+    ends = [*starts[1:], len(node)][: len(starts)]
     return pd.DataFrame({"g": which % groups, "node": which, "ids": [other[a:b].tobytes() for a, b in zip(starts, ends, strict=True)], "sims": [sim[a:b].tobytes() for a, b in zip(starts, ends, strict=True)]})
 
 
+def _by_group(node: np.ndarray, other: np.ndarray, sim: np.ndarray, groups: int) -> pd.DataFrame:
+    """Triples as one row per group of nodes."""
+    owner = node % groups
+    order = np.argsort(owner, kind="stable")
+    g, starts = np.unique(owner[order], return_index=True)
+    parts = [[p.tobytes() for p in np.split(c[order], starts[1:])] if len(g) else [] for c in (node, other, sim)]
+    return pd.DataFrame({"g": g, "nodes": parts[0], "ids": parts[1], "sims": parts[2]})
+
+
 def _matrix(blobs: pd.Series | list, kind: type = np.float32) -> np.ndarray:
-    return np.frombuffer(b"".join(blobs), kind).reshape(len(blobs), -1)
+    return np.frombuffer(b"".join(blobs), kind).reshape(len(blobs), -1) if len(blobs) else np.zeros((0, 1), kind)
 
 
 # -- nodes -------------------------------------------------------------------------------------------------------
@@ -129,10 +146,10 @@ def _start(nodes: DataFrame, count: int, groups: int, degree: int, seed: int) ->
                 near = np.argpartition(-sim, k - 1, axis=1)[:, :k]
                 found.append((np.repeat(node[at : at + 512], k), node[near].ravel(), np.take_along_axis(sim, near, 1).ravel()))
         if not found:
-            return _packed(node[:0], node[:0], np.zeros(0, np.float32), groups)
-        return _packed(*best(*(np.concatenate(f) for f in zip(*found, strict=True)), degree), groups)
+            return _by_group(node[:0], node[:0], np.zeros(0, np.float32), groups)
+        return _by_group(*(np.concatenate(f) for f in zip(*found, strict=True)), groups)
 
-    return coded.groupBy("t", "code", "part").applyInPandas(within, LIST)
+    return coded.groupBy("t", "code", "part").applyInPandas(within, MANY)
 
 
 def _merge(lists: DataFrame, nodes: DataFrame, groups: int, degree: int) -> DataFrame:
@@ -159,7 +176,7 @@ def _reversed(frames: Iterator[pd.DataFrame], groups: int, degree: int) -> Itera
     """Lists turned around, a batch's best only: a node that is everyone's neighbour sends little."""
     for frame in frames:
         node, other, sim = _flat(frame)
-        yield _packed(*best(other, node, sim, degree), groups)
+        yield _by_group(*best(other, node, sim, degree), groups)
 
 
 def _meetings(frame: pd.DataFrame, groups: int, degree: int) -> pd.DataFrame:
@@ -181,7 +198,7 @@ def _asked(frames: Iterator[pd.DataFrame], groups: int) -> Iterator[pd.DataFrame
             owner = members % groups
             order = np.argsort(owner, kind="stable")
             h, starts = np.unique(owner[order], return_index=True)
-            yield pd.DataFrame({"h": h, "g": g, "ids": [p.tobytes() for p in np.split(members[order], starts[1:])]})
+            yield pd.DataFrame({"h": h, "g": g, "ids": [p.tobytes() for p in np.split(members[order], starts[1:])][: len(h)]})
 
 
 def _answers(asked: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
@@ -216,8 +233,7 @@ def _local_join(meet: pd.DataFrame, answers: pd.DataFrame, groups: int, degree:
             kept = best(*(np.concatenate(c) for c in zip((kept), *held, strict=True)), degree)
             held, size = [], 0
     node, other, sim = best(*(np.concatenate(c) for c in zip(kept, *held, strict=True)), degree)
-    node, other = members[node], members[other]
-    return _packed(node, other, sim, groups)
+    return _by_group(members[node], members[other], sim, groups)
 
 
 def build_graph(nodes: DataFrame, count: int, degree: int = DEGREE, seed: int = 23) -> tuple[DataFrame, int]:
@@ -225,17 +241,19 @@ def build_graph(nodes: DataFrame, count: int, degree: int = DEGREE, seed: int =
     groups = max(1, math.ceil(count / GROUP))
     nodes = materialize(nodes.withColumn("g", F.pmod("node", F.lit(groups))).mapInPandas(_narrow, "g long, node long, v binary, x binary"), "nodes")
     lists = _start(nodes.select("node", "v"), count, groups, degree, seed).withColumn("old", F.lit(False))
+    no_node, no_nodes = F.lit(None).cast("long").alias("node"), F.lit(None).cast("binary").alias("nodes")
+    lists = lists.select("g", no_node, "nodes", "ids", "sims", "old")
     graph = materialize(_merge(lists, nodes, groups, degree), "graph")
     full = degree * 4
     for _ in range(ROUNDS):
-        turned = graph.select(*LIST.replace(" long", "").replace(" binary", "").split(", ")).mapInPandas(partial(_reversed, groups=groups, degree=degree), LIST)
-        both = graph.select("g", "node", "ids", "sims", F.lit(False).alias("turned")).unionByName(turned.withColumn("turned", F.lit(True)))
+        turned = graph.select(*LIST.replace(" long", "").replace(" binary", "").split(", ")).mapInPandas(partial(_reversed, groups=groups, degree=degree), MANY)
+        both = graph.select("g", "node", no_nodes, "ids", "sims", F.lit(False).alias("turned")).unionByName(turned.select("g", no_node, "nodes", "ids", "sims", F.lit(True).alias("turned")))
         meet = materialize(both.groupBy("g").applyInPandas(partial(_meetings, groups=groups, degree=degree), "g long, members binary, places binary, starts binary"), "meetings")
         asked = meet.select("g", "members").mapInPandas(partial(_asked, groups=groups), "h long, g long, ids binary")
         own = graph.select(F.col("g").alias("h"), "node", "x", "sims", F.lit(full).alias("full"))
         answers = asked.groupBy("h").cogroup(own.groupBy("h")).applyInPandas(_answers_or_none, "g long, ids binary, xs binary, least binary")
-        news = meet.groupBy("g").cogroup(answers.groupBy("g")).applyInPandas(_joiner(groups, degree), LIST)
-        lists = graph.select("g", "node", "ids", "sims", F.lit(True).alias("old")).unionByName(news.withColumn("old", F.lit(False)))
+        news = meet.groupBy("g").cogroup(answers.groupBy("g")).applyInPandas(_joiner(groups, degree), MANY)
+        lists = graph.select("g", "node", no_nodes, "ids", "sims", F.lit(True).alias("old")).unionByName(news.select("g", no_node, "nodes", "ids", "sims", F.lit(False).alias("old")))
         graph = materialize(_merge(lists, nodes, groups, degree), "graph")
         changed = graph.agg(F.sum("fresh")).first()[0] or 0
         if changed < CHANGED * count * degree:
@@ -257,7 +275,7 @@ def _joiner(groups: int, degree: int) -> Callable[[pd.DataFrame, pd.DataFrame],
     def run(meet: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         if not len(answers):
             none = np.zeros(0, np.int64)
-            return _packed(none, none, np.zeros(0, np.float32), groups)
+            return _by_group(none, none, np.zeros(0, np.float32), groups)
         return _local_join(meet, answers, groups, degree)
 
     return run
@@ -273,26 +291,35 @@ def _scores(x: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 def _frontier(frames: Iterator[pd.DataFrame], groups: int) -> Iterator[pd.DataFrame]:
-    """Each query's best nodes that it has not expanded, by group: (h, node, q, ids)."""
+    """Each query's best nodes that it has not expanded, by group: (h, node, ids)."""
     for frame in frames:
         out: list[tuple] = []
-        for node, q, ids, done in zip(frame["node"], frame["q"], frame["ids"], frame["done"], strict=True):
+        for node, ids, done in zip(frame["node"], frame["ids"], frame["done"], strict=True):
             todo = _ints(ids)[np.frombuffer(done, bool) == 0][:EXPAND]
-            for h in np.unique(todo % groups).tolist():
-                out.append((h, node, q, todo[todo % groups == h].tobytes()))
-        yield pd.DataFrame(out, columns=["h", "node", "q", "ids"])
+            out += [(h, node, todo[todo % groups == h].tobytes()) for h in np.unique(todo % groups).tolist()]
+        yield pd.DataFrame(out, columns=["h", "node", "ids"])
+
+
+def _expand(asked: pd.DataFrame, graph: pd.DataFrame) -> pd.DataFrame:
+    """(node, ids): the neighbours of a group's nodes, for each query that expands some."""
+    lists = dict(zip(graph["node"].tolist(), graph["ids"], strict=True)) if len(asked) else {}
+    near = [np.unique(_ints(b"".join(lists[v] for v in _ints(ids).tolist()))).tobytes() for ids in asked["ids"]]
+    return pd.DataFrame({"node": asked["node"], "ids": near})
+
 
+def _wanted(groups: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """(h, node, q, ids): neighbours that a query does not hold yet, one row for each group that has some."""
 
-def _expand(groups: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
-    def run(asked: pd.DataFrame, graph: pd.DataFrame) -> pd.DataFrame:
-        lists = dict(zip(graph["node"].tolist(), graph["ids"], strict=True)) if len(asked) else {}
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
-        for node, q, ids in zip(asked["node"], asked["q"], asked["ids"], strict=True):
-            near = np.unique(_ints(b"".join(lists[v] for v in _ints(ids).tolist())))
+        for query, rows in frame.groupby("node", sort=False):
+            mine = rows["q"].notna().to_numpy()
+            near = np.setdiff1d(_ints(b"".join(rows["ids"][~mine])), _ints(b"".join(rows["ids"][mine])))
+            q = rows["q"][mine].iloc[0]
             owner = near % groups
             order = np.argsort(owner, kind="stable")
             h, starts = np.unique(owner[order], return_index=True)
-            out += [(k, node, q, p.tobytes()) for k, p in zip(h.tolist(), np.split(near[order], starts[1:]), strict=True)]
+            out += [(k, query, q, p.tobytes()) for k, p in zip(h.tolist(), np.split(near[order], starts[1:]), strict=True)] if len(near) else []
         return pd.DataFrame(out, columns=["h", "node", "q", "ids"])
 
     return run
@@ -328,7 +355,6 @@ def _pool(frame: pd.DataFrame) -> pd.DataFrame:
         ids, sims, done = ids[order], sims[order], done[order]
         _, first = np.unique(ids, return_index=True)
         keep = np.sort(first)[:BEAM]
-        # What the step before has expanded is marked here: the first EXPAND that were open then.
         out.append((query, q, ids[keep].tobytes(), sims[keep].tobytes(), done[keep].tobytes(), int((~done[keep]).sum())))
     return pd.DataFrame(out, columns=["node", "q", "ids", "sims", "done", "open"])
 
@@ -346,7 +372,8 @@ def _mark(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def search(graph: DataFrame, groups: int, queries: DataFrame, count: int) -> DataFrame:
     """(node, found, score): the best nodes found for each query node; queries has node and v."""
-    parts = max(1, math.ceil(count / 512))
+    part = F.pmod(F.xxhash64("node"), F.lit(max(1, math.ceil(count / 512)))).alias("p")
+    none = F.lit(None).cast("binary")
 
     def own(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -358,13 +385,15 @@ def search(graph: DataFrame, groups: int, queries: DataFrame, count: int) -> Dat
     vectors = graph.select(F.col("g").alias("h"), "node", "v")
     lists = graph.select(F.col("g").alias("h"), "node", "ids")
     while pool.agg(F.max("open")).first()[0]:
-        asked = pool.filter("open > 0").select("node", "q", "ids", "done").mapInPandas(partial(_frontier, groups=groups), "h long, node long, q binary, ids binary")
-        near = asked.groupBy("h").cogroup(lists.groupBy("h")).applyInPandas(_expand(groups), "h long, node long, q binary, ids binary")
-        scored = near.groupBy("h").cogroup(vectors.groupBy("h")).applyInPandas(_score, "node long, ids binary, sims binary")
-        none = F.lit(None).cast("binary")
+        going = pool.filter("open > 0").select("node", "q", "ids", "done")
+        asked = going.select("node", "ids", "done").mapInPandas(partial(_frontier, groups=groups), "h long, node long, ids binary")
+        near = asked.groupBy("h").cogroup(lists.groupBy("h")).applyInPandas(_expand, "node long, ids binary")
+        met = near.select("node", none.alias("q"), "ids").unionByName(going.select("node", "q", "ids"))
+        wanted = met.groupBy(part).applyInPandas(_wanted(groups), "h long, node long, q binary, ids binary")
+        scored = wanted.groupBy("h").cogroup(vectors.groupBy("h")).applyInPandas(_score, "node long, ids binary, sims binary")
         marked = pool.mapInPandas(_mark, POOL).select("node", "q", "ids", "sims", "done")
         every = marked.unionByName(scored.select("node", none.alias("q"), "ids", "sims", none.alias("done")))
-        pool = materialize(every.groupBy(F.pmod(F.xxhash64("node"), F.lit(parts)).alias("p")).applyInPandas(_pool, POOL), "pool")
+        pool = materialize(every.groupBy(part).applyInPandas(_pool, POOL), "pool")
 
     def listed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
