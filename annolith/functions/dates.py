@@ -30,7 +30,8 @@ def parse_iso(text: Column) -> Column:
     shape = clean.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?(Z|[+-]\d{2}:\d{2})?)?$")
     bare = clean.rlike(r"^\d{4}-\d{2}-\d{2}$")
     zoned = clean.rlike(r"(Z|[+-]\d{2}:\d{2})$")
-    whole = F.when(bare, F.concat(clean, F.lit("T00:00Z"))).when(zoned, clean).otherwise(F.concat(clean, F.lit("Z")))
+    whole = F.when(bare, F.concat(clean, F.lit("T00:00:00Z"))).when(zoned, clean).otherwise(F.concat(clean, F.lit("Z")))
+    whole = F.regexp_replace(whole, r"([T ]\d{2}:\d{2})(Z|[+-]\d{2}:\d{2})$", "$1:00$2")
     return F.when(shape, F.try_to_timestamp(whole))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
 from dataclasses import dataclass
 from datetime import UTC, datetime
@@ -81,7 +82,7 @@ class Service:
     """Analyses and exports over a folder of history and stored uploads."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark = spark
+        self.spark, self.folder = spark, folder
         self.history = History(spark, f"{folder}/history")
         self.analyses = Analyses(spark, f"{folder}/analyses")
 
@@ -137,7 +138,10 @@ class Service:
         if selection.known_keys(wanted, analysis.snapshots).isEmpty():
             raise NothingToExport("none of the chosen books is in this analysis")
         entries = self._chosen(analysis, keys, settings.export_only_new)
-        files = render.files(entries, settings).persist()
+        # Written before the export is marked: what was new must not be computed again from the history after it.
+        path = f"{self.folder}/exports/{uuid.uuid4().hex}"
+        render.files(entries, settings).write.parquet(path)
+        files = self.spark.read.parquet(path)
         if files.isEmpty():
             raise NothingToExport("nothing new since the last export" if settings.export_only_new else "no export format is enabled")
         sent = analysis.snapshots.join(entries.select("book_key").distinct(), "book_key", "left_semi") if settings.strict_marking else None
