@@ -54,25 +54,32 @@ def fit_in_one_task(rows: DataFrame, fit: Callable[[pd.DataFrame], dict[str, np.
     return found
 
 
-def platt(margins: np.ndarray, y: np.ndarray, prior: tuple[int, int]) -> tuple[float, float]:
-    """(a, c) of sigmoid(a * margin + c), fitted by Newton steps with the classes weighted as in all labelled rows."""
+def calibrate(margins: np.ndarray, y: np.ndarray, prior: tuple[int, int]) -> tuple[float, float]:
+    """(a, c) of sigmoid(a * margin + c), with the classes weighted as in all labelled rows.
+
+    Score 0.5 lies where the most rows are told apart (in the middle, if several places are as good): a few rows with
+    a wrong label do not move it, as they would move a logistic fit. The slope is then a logistic fit's.
+    """
     n1 = max(1, int(y.sum()))
     n0 = max(1, len(y) - n1)
     total = max(1, sum(prior))
     weight = np.where(y == 1, prior[1] / total / n1, prior[0] / total / n0)
+    order = np.argsort(margins, kind="stable")
+    m, signed = margins[order], np.where(y[order] == 1, -1.0, 1.0) * weight[order]
+    gain = np.concatenate([[0.0], np.cumsum(signed)])  # of calling the first k rows class 0
+    edges = np.concatenate([[m[0] - 1], (m[1:] + m[:-1]) / 2, [m[-1] + 1]])
+    usable = np.concatenate([[True], m[1:] > m[:-1], [True]])
+    best = np.flatnonzero(usable & (gain >= gain[usable].max() - 1e-12))
+    at = float(edges[best[len(best) // 2]])
     goal = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    a, c = 1.0, 0.0
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a * margins + c, -30, 30)))
-        g, h = weight * (p - goal), weight * p * (1 - p) + 1e-9
-        grad = np.array([(g * margins).sum() + 1e-4 * (a - 1), g.sum()])
-        hess = np.array([[(h * margins**2).sum() + 1e-4, (h * margins).sum()], [(h * margins).sum(), h.sum()]])
-        step = np.linalg.solve(hess, grad)
-        step *= min(1.0, 2.0 / (np.abs(step).max() + 1e-12))
-        a, c = a - step[0], c - step[1]
-        if np.abs(step).max() < 1e-8:
+    x, slope = margins - at, 1.0 / (np.abs(margins - at).mean() + 1e-9)
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-np.clip(slope * x, -30, 30)))
+        step = (weight * (p - goal) * x).sum() / ((weight * p * (1 - p) * x**2).sum() + 1e-9)
+        slope = min(max(slope - step, slope / 3, 1e-6), slope * 3)
+        if abs(step) < 1e-9:
             break
-    return float(a), float(c)
+    return slope, -slope * at
 
 
 def scored(docs: DataFrame, modulus: int, held: int, score: Callable[[list[str]], np.ndarray]) -> DataFrame:

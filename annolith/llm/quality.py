@@ -135,7 +135,7 @@ def fit_rows(rows: list[np.ndarray], y: np.ndarray, prior: tuple[int, int]) -> d
         wk = dual_coordinate_descent([rows[i] for i in inside], [_scaled(rows[i], r) for i in inside], np.where(y[inside] == 1, 1.0, -1.0), 0.5 / share[y[inside]], epochs=6)
         for i in np.flatnonzero(fold == k):
             margins[i] = wk[rows[i]] @ _scaled(rows[i], r) + wk[-1]
-    a, c = labelled.platt(margins, y, prior)
+    a, c = labelled.calibrate(margins, y, prior)
     return {"ratio": ratio.astype(np.float32), "weights": w.astype(np.float32), "line": np.array([a, c])}
 
 
