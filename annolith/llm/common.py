@@ -62,6 +62,14 @@ def _parse(spark: SparkSession, ddl: str):
     return StructType.fromDDL(ddl)
 
 
+def without(docs: DataFrame, dropped: DataFrame, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """The rows of docs whose doc_id is not in dropped (doc_id). Up to broadcast_rows ids (8 bytes each) are broadcast, so
+    that texts are not shuffled; with more, Spark joins both sides."""
+    side = dropped.select(F.col("doc_id").alias("_gone"))
+    side = F.broadcast(side) if dropped.count() <= broadcast_rows else side
+    return docs.join(side, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+
+
 def salts_for(rows: int) -> int:
     """Salts that keep the share of one salt in a hot key, and the salts of one key, small at any size."""
     return max(64, rows // 250_000)

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from annolith.llm.common import BLANK, map_batches, materialize
+from annolith.llm.common import BLANK, map_batches, materialize, without
 
 #: Quotient bits of a filter; the other bits of a fingerprint are its remainder.
 QUOTIENT_BITS = 16
@@ -159,7 +159,10 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broad
 
 def keep_rows(docs: DataFrame) -> DataFrame:
     """The rows of docs (with all columns) that stay. For repeated rows of one id, one copy stays."""
-    kept = dedup(docs).filter("kept").select(F.col("doc_id").alias("_keep"))
+    told = materialize(dedup(docs).select("doc_id", "kept"), "told")
+    if told.count() == told.select("doc_id").distinct().count():
+        return without(docs, told.filter("not kept"))
+    kept = told.filter("kept").select(F.col("doc_id").alias("_keep"))
     twins = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(1))
     stay = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
     return stay.withColumn("_twin", F.row_number().over(twins)).filter("_twin = 1").select(*docs.columns)

@@ -131,8 +131,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return out.select("doc_id", "source", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))
 
 
-def mixed_rows(docs: DataFrame) -> DataFrame:
-    """The mixture itself: every row of docs as often as it is taken (once or twice by default), none of size 0."""
-    taken = mix(docs).filter("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("_copies"))
-    out = docs.join(taken, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies")))
+def mixed_rows(docs: DataFrame, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """The mixture itself: every row of docs as often as it is taken (once or twice by default), none of size 0.
+
+    Up to broadcast_rows ids with their copies (16 bytes each) are broadcast, so that texts are not shuffled.
+    """
+    taken = materialize(mix(docs).filter("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("_copies")), "taken")
+    side = taken.withColumnRenamed("doc_id", "_id")
+    side = F.broadcast(side) if taken.count() <= broadcast_rows else side
+    out = docs.join(side, F.col("doc_id").eqNullSafe(F.col("_id"))).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies")))
     return out.select(*docs.columns)

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType
 
 from annolith.llm import shingles
-from annolith.llm.common import map_batches, materialize, small_batches
+from annolith.llm.common import map_batches, materialize, small_batches, without
 from annolith.llm.components import connected
 
 #: Similarity in hundredths for a link; estimates below FLOOR are not confirmed.
@@ -264,5 +264,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_rows(docs: DataFrame) -> DataFrame:
     """The rows of docs (with all columns) that stay: of each component the row with its smallest id."""
-    kept = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_keep"))
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi").select(*docs.columns)
+    told = materialize(near_duplicates(docs).select("doc_id", "kept"), "told")
+    return without(docs, told.filter("not kept").select("doc_id").distinct())

@@ -31,7 +31,7 @@ PER_CLASS = 6000
 class _Shapes(dict):
     """Word (bytes) to the hash of its shape; kept while it has fewer than `most` words."""
 
-    most = 400_000
+    most = 150_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.most:

@@ -25,7 +25,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """Hash of each word (bytes), kept while there are fewer than `most`."""
 
-    most = 400_000
+    most = 200_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.most:

@@ -157,7 +157,7 @@ def train_texts(texts: list[str], y: np.ndarray, epochs: int = 6, batch: int = 3
 class Scorer:
     """Margins of whole texts. Each word's contribution is computed once and kept while there are fewer than `most`."""
 
-    most = 300_000
+    most = 200_000
 
     def __init__(self, model: dict[str, np.ndarray]):
         direction = model["soft"][:, 1] - model["soft"][:, 0]

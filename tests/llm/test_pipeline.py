@@ -95,10 +95,14 @@ def test_scores_are_calibrated():
     rng = np.random.default_rng(1)
     y = (rng.random(4000) < 0.5).astype(int)
     margins = (y - 0.5) * 2 + rng.normal(0, 1, 4000)
-    a, c = labelled.platt(margins, y, (9000, 1000))
-    p = 1 / (1 + np.exp(-(a * margins + c)))
-    w = np.where(y == 1, 0.1, 0.9)
-    assert abs((w * p).sum() / w.sum() - 0.1) < 0.03
+    a, c = labelled.calibrate(margins, y, (9000, 1000))
+    right = lambda t: (0.9 * (margins[y == 0] < t).mean() + 0.1 * (margins[y == 1] >= t).mean())
+    assert a > 0 and right(-c / a) >= max(right(t) for t in np.linspace(-3, 4, 200)) - 0.005
+    # A few wrong labels far away leave the threshold where it is.
+    apart = np.concatenate([np.full(500, -1.0), np.full(500, 1.0), np.full(20, -30.0)])
+    a, c = labelled.calibrate(apart, np.array([0] * 500 + [1] * 520), (500, 500))
+    assert -1 < -c / a < 1
+    assert all(np.isfinite(labelled.calibrate(np.zeros(4), np.array([0, 0, 1, 1]), (2, 2))))
 
 
 def test_every_operator_is_registered():
