@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from annolith.functions.dates import date_label, label_of, or_earliest
 from annolith.functions.text import escape_html, slug_text
-from annolith.settings import UNKNOWN_AUTHOR, UNKNOWN_PERIOD, Format, Settings
+from annolith.settings import UNKNOWN_AUTHOR, UNKNOWN_PERIOD, Settings
 
 # Words that rendered books carry.
 NOTE, BOOKMARK, MARKER = "NOTA ", "MARCADOR ", "Marcador"
@@ -247,5 +247,6 @@ def unique_files(made: DataFrame) -> DataFrame:
     return made.groupBy("analysis_id", "format", "path").agg(last).select("analysis_id", "format", "path", "_last.*")
 
 
-def enabled_formats(settings: Settings) -> list[Format]:
-    return settings.enabled()
+def files_generated(made: DataFrame) -> DataFrame:
+    """Files made by format. Books that share a path count each."""
+    return made.groupBy("format").agg(F.count(F.lit(1)).alias("files"))

@@ -306,7 +306,7 @@ def dedup_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dedup_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.report(*_decided(_events(spark, sf_dir)))
+    return dedup.report(*_decided(adapters.of_documents(_table(spark, sf_dir, "documents"))))
 
 
 ALL: tuple[Callable[[SparkSession, str], DataFrame], ...] = (

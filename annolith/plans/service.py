@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable
+from collections import OrderedDict
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from datetime import UTC, datetime
 
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from annolith.operators import dedup, parsing, render, selection, snapshots, status
-from annolith.settings import Settings
+from annolith.settings import ANALYSES_KEPT, Settings
 from annolith.sources import clippings, sinks
 from annolith.sources.analyses import Analyses
 from annolith.sources.history import History
@@ -38,6 +39,21 @@ def iso(moment: datetime | None = None) -> str:
     return (moment if moment.tzinfo else moment.replace(tzinfo=UTC)).astimezone(UTC).isoformat()
 
 
+class Opened:
+    """Analyses held in memory: the least recently used one is released beyond `most`."""
+
+    def __init__(self, most: int = ANALYSES_KEPT):
+        self.most, self.held = most, OrderedDict()
+
+    def get(self, analysis_id: str, make: Callable[[], Analysis]) -> Analysis:
+        if analysis_id not in self.held:
+            self.held[analysis_id] = make()
+        self.held.move_to_end(analysis_id)
+        while len(self.held) > self.most:
+            self.held.popitem(last=False)[1].release()
+        return self.held[analysis_id]
+
+
 @dataclass
 class Analysis:
     """An analysis as lazy tables."""
@@ -55,6 +71,14 @@ class Analysis:
     def report(self) -> DataFrame:
         return dedup.report(parsing.entries(self.parsed), self.decisions)
 
+    def release(self) -> None:
+        for table in (self.parsed, self.decisions, self.entries):
+            table.unpersist()
+
+    def export_totals(self, keys: list[str]) -> tuple[int, int]:
+        """(books asked for, entries of those that there are)."""
+        return len(keys), self.entries.filter(F.col("book_key").isin(list(set(keys)))).count()
+
     def book(self, book_key: str) -> DataFrame:
         found = self.entries.filter(F.col("book_key") == book_key)
         if found.isEmpty():
@@ -85,6 +109,7 @@ class Service:
         self.spark, self.folder = spark, folder
         self.history = History(spark, f"{folder}/history")
         self.analyses = Analyses(spark, f"{folder}/analyses")
+        self.opened = Opened()
 
     def analyse(self, path: str, settings: Settings, at: datetime | None = None, forced: bool = False) -> tuple[Analysis, list[dict]]:
         """Analyse one file, record it, keep its bytes: the analysis and the rows of its books table."""
@@ -100,9 +125,10 @@ class Service:
     def reopen(self, analysis_id: str | None, settings: Settings) -> Analysis:
         """A stored analysis (by default the latest) computed again; nothing is recorded."""
         upload = self.analyses.latest() if analysis_id is None else self.analyses.get(analysis_id)
-        if upload.isEmpty():
+        first = upload.select("analysis_id").first()
+        if first is None:
             raise UnknownAnalysis(analysis_id or "latest")
-        return analyse_uploads(upload, settings)
+        return self.opened.get(f"{first[0]} {settings}", lambda: analyse_uploads(upload, settings))
 
     def response(self, analysis: Analysis) -> dict:
         """What a client gets of an analysis."""

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field, fields, replace
-from datetime import date, datetime
+from datetime import UTC, date, datetime, timedelta, timezone
 from typing import Any
+from zoneinfo import ZoneInfo, ZoneInfoNotFoundError
 
 # Words and labels that results must carry.
 UNKNOWN_AUTHOR = "Autor desconhecido"
@@ -18,6 +19,15 @@ HISTORY_KEPT = 200
 ANALYSES_KEPT = 5
 
 
+def today_local(now: datetime | None = None) -> date:
+    """Today in the application's time zone; three hours behind UTC where the system knows no time zones."""
+    now = now or datetime.now(UTC)
+    try:
+        return now.astimezone(ZoneInfo(APP_TIMEZONE)).date()
+    except ZoneInfoNotFoundError:
+        return now.astimezone(timezone(timedelta(hours=-3))).date()
+
+
 @dataclass(frozen=True)
 class Format:
     """One export format: whether it is made, its metadata header, its folder and file extension."""
@@ -51,7 +61,7 @@ class Settings:
     include_bookmarks: bool = True
     export_only_new: bool = False
     formats: tuple[Format, ...] = field(default_factory=_formats)
-    today: date = field(default_factory=date.today)
+    today: date = field(default_factory=today_local)
     #: Mark exactly the books and entries that were exported; False marks what was asked for, with the store's latest hashes.
     strict_marking: bool = False
 

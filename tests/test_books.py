@@ -251,6 +251,36 @@ def test_stream_folds_as_the_batch_does(spark, tmp_path):
     assert sorted(map(str, spark.read.parquet(str(tmp_path / "out")).select(columns).collect())) == sorted(map(str, batch.select(columns).collect()))
 
 
+def test_released_analyses():
+    gone = []
+
+    class Held:
+        def __init__(self, name):
+            self.name = name
+
+        def release(self):
+            gone.append(self.name)
+
+    opened = service.Opened(2)
+    for name in ("a", "b", "a", "c"):
+        opened.get(name, lambda name=name: Held(name))
+    assert gone == ["b"] and list(opened.held) == ["a", "c"]
+
+
+def test_today_is_local():
+    from annolith.settings import today_local
+
+    assert today_local(dt.datetime(2024, 3, 5, 2, 0, tzinfo=dt.UTC)) == dt.date(2024, 3, 4)
+
+
+def test_every_query_has_a_stable_schema(spark):
+    from annolith.plans import catalogue
+
+    for name, query in catalogue.queries().items():
+        assert query(spark, "/root/testdata/sf0.001").columns, name
+    assert set(catalogue.oracle_sql()) < set(catalogue.queries())
+
+
 def test_the_rest_imports_without_the_corpus_part():
     import subprocess
     import sys
