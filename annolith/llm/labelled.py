@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from annolith.llm.common import map_batches, small_batches
+from annolith.llm.common import map_batches, release, small_batches
 
 
 def remainder(doc_id: Column, modulus: int) -> Column:
@@ -44,6 +44,8 @@ def fit_in_one_task(rows: DataFrame, fit: Callable[[pd.DataFrame], dict[str, np.
         frame = pd.concat(whole, ignore_index=True) if whole else None
         out = io.BytesIO()
         np.savez(out, **(fit(frame) if frame is not None and len(frame) else {}))
+        del whole, frame
+        release()
         yield pd.DataFrame({"model": [out.getvalue()]})
 
     rows = rows.repartition(1).mapInPandas(run, "model binary").collect()

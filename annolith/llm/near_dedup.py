@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType
 
 from annolith.llm import shingles
-from annolith.llm.common import map_batches, materialize, small_batches, without
+from annolith.llm.common import map_batches, materialize, release, small_batches, without
 from annolith.llm.components import connected
 
 #: Similarity in hundredths for a link; estimates below FLOOR are not confirmed.
@@ -143,6 +143,8 @@ def per_group(dealt: DataFrame, keys: list[str], work: Callable[[pd.DataFrame],
             held.append(frame.iloc[first:])
         if held:
             yield finish(pd.concat(held, ignore_index=True))
+        held.clear()
+        release()
 
     return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, "a long, b long")
 

@@ -40,16 +40,21 @@ Packing = list[tuple[Pattern, int]]
 
 
 @lru_cache(maxsize=2)
-def _encoders(name: str):
+def _slow(name: str):
     import public_tokenizers
-    import tiktoken
     from tokenizers import Tokenizer
 
-    slow = Tokenizer.from_file(public_tokenizers.path(name))
-    twin = public_tokenizers.path(name.removesuffix(".json") + ".tiktoken")
-    with open(twin, "rb") as f:
+    return Tokenizer.from_file(public_tokenizers.path(name))
+
+
+@lru_cache(maxsize=2)
+def _fast(name: str):
+    import public_tokenizers
+    import tiktoken
+
+    with open(public_tokenizers.path(name.removesuffix(".json") + ".tiktoken"), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return slow, tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 #: Bytes of UTF-8 below U+0280, where both libraries cut words alike.
@@ -58,10 +63,9 @@ _LATIN = bytes(range(0xCA))
 
 def encode(text: str, name: str = TOKENIZER) -> np.ndarray:
     """Ids of the named tokenizer. Latin text goes through the same vocabulary in the faster library; all other text, and special tokens, through the tokenizer itself."""
-    slow, fast = _encoders(name)
     if text.encode("utf-8", "surrogatepass").translate(None, _LATIN) or "<|" in text:
-        return np.array(slow.encode(text, add_special_tokens=False).ids, np.uint32)
-    return fast.encode_to_numpy(text, disallowed_special=()).astype(np.uint32)
+        return np.array(_slow(name).encode(text, add_special_tokens=False).ids, np.uint32)
+    return _fast(name).encode_to_numpy(text, disallowed_special=()).astype(np.uint32)
 
 
 def cut(n_ids: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:

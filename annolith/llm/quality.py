@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from annolith.llm import labelled
+from annolith.llm.common import release
 
 BITS = 18
 RATES = 7
@@ -117,8 +118,8 @@ def dual_coordinate_descent(rows: list[np.ndarray], values: list[np.ndarray], si
 
 
 def _scaled(row: np.ndarray, ratio: np.ndarray) -> np.ndarray:
-    v = ratio[row]
-    return v / (np.linalg.norm(v) + 1e-9)
+    v = ratio[row].astype(np.float32)
+    return v / np.float32(np.linalg.norm(v) + 1e-9)
 
 
 def fit_rows(rows: list[np.ndarray], y: np.ndarray, prior: tuple[int, int]) -> dict[str, np.ndarray]:
@@ -150,6 +151,7 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality", per_class
     def featurise(frames):
         for frame in frames:
             yield pd.DataFrame({"y": frame["y"], "features": [features(t).tobytes() for t in frame["text"]]})
+        release()
 
     def fit(frame: pd.DataFrame) -> dict[str, np.ndarray]:
         y = frame["y"].to_numpy(np.int64)
