@@ -14,6 +14,7 @@ not named (labels, lang, source, doc_id among them) never enter a score. Long te
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left
 
 import numpy as np
 import pandas as pd
@@ -38,16 +39,23 @@ class _Shapes(dict):
         if len(self) >= self.most:
             self.clear()
         text = word.decode("utf-8", "replace")
-        core = text.strip("".join(c for c in set(text) if not c.isalnum()))
-        tail = text[len(text.rstrip("".join(c for c in set(text) if not c.isalnum()))) :][:3]
-        case = "n" if not any(c.isalpha() for c in core) else "u" if core.isupper() and len(core) > 1 else "l" if core.islower() else "c" if core[:1].isupper() and core[1:].islower() else "m"
-        digit = any(c.isdigit() for c in core)
-        size = sum(len(core) > n for n in (0, 1, 3, 6, 11, 19))
-        shape = f"{case}{'d' if digit else ''}{size}{tail}"
+        core = text.rstrip(_CLOSERS)
+        if core.isalpha():  # most words: letters, then perhaps closing marks
+            tail, digit = text[len(core) :][:3], False
+        else:
+            marks = "".join(c for c in set(text) if not c.isalnum())
+            core = text.strip(marks)
+            tail = text[len(text.rstrip(marks)) :][:3]
+            digit = any(c.isdigit() for c in core)
+        case = "l" if core.islower() else "u" if core.isupper() and len(core) > 1 else "c" if core[:1].isupper() and core[1:].islower() else "m" if any(c.isalpha() for c in core) else "n"
+        shape = f"{case}{'d' if digit else ''}{bisect_left(_SIZES, len(core))}{tail}"
         self[word] = value = zlib.crc32(shape.encode())
         return value
 
 
+#: Marks that often close a word.
+_CLOSERS = ".,;:!?*$&%#|)\"'"
+_SIZES = (0, 1, 3, 6, 11, 19)
 _SHAPES = _Shapes()
 _FLAGS = np.zeros(1 << BITS, bool)
 
