@@ -42,8 +42,14 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
+#: Caches of a worker; they are worth their memory within a partition only.
+CACHES: list[dict] = []
+
+
 def release() -> None:
-    """Give freed memory back to the system: workers are reused, and what one step took would count against the next."""
+    """Give memory back to the system: workers are reused, and what one step took would count against the next."""
+    for cache in CACHES:
+        cache.clear()
     gc.collect()
     pa.default_memory_pool().release_unused()
     try:

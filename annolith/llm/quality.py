@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_left
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from annolith.llm import labelled
-from annolith.llm.common import release
+from annolith.llm.common import CACHES, release
 
 BITS = 18
 RATES = 7
@@ -33,7 +34,7 @@ PER_CLASS = 6000
 class _Shapes(dict):
     """Word (bytes) to the hash of its shape; kept while it has fewer than `most` words."""
 
-    most = 150_000
+    most = 100_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.most:
@@ -57,6 +58,7 @@ class _Shapes(dict):
 _CLOSERS = ".,;:!?*$&%#|)\"'"
 _SIZES = (0, 1, 3, 6, 11, 19)
 _SHAPES = _Shapes()
+CACHES.append(_SHAPES)
 _FLAGS = np.zeros(1 << BITS, bool)
 
 
@@ -191,7 +193,9 @@ def keep_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
 
     @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(score_texts(model.value, [t or "" for t in texts]))
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series(score_texts(model.value, [t or "" for t in texts]))
+        release()
 
     return docs.filter(score(F.col("text")) >= 0.5)

@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from annolith.llm.common import CACHES
+
 #: Hash functions in a signature, bands, rows of a band, bits kept of each minimum.
 #: A pair at similarity 0.8 shares no band with probability (1 - 0.8 ** 4) ** 32 < 5e-8.
 PERMUTATIONS, BANDS, ROWS, KEPT_BITS = 256, 32, 4, 4
@@ -25,7 +27,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """Hash of each word (bytes), kept while there are fewer than `most`."""
 
-    most = 200_000
+    most = 100_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.most:
@@ -35,6 +37,7 @@ class WordHashes(dict):
 
 
 _WORDS = WordHashes()
+CACHES.append(_WORDS)
 
 
 def shingle_set(text: str | None, width: int = 4) -> np.ndarray:
