@@ -76,12 +76,6 @@ def high_windows(run: str, least: float, window: int = WINDOW) -> Iterator[tuple
         yield start, end
 
 
-def _looks_random(span: str) -> bool:
-    """Letters and digits change often in a secret; words with a number at the end do not."""
-    digits = [c.isdigit() for c in span]
-    return 0.1 * len(span) <= sum(digits) and any(c.isalpha() for c in span) and sum(a != b for a, b in zip(digits, digits[1:], strict=False)) >= 4
-
-
 def wide_runs(data: bytes, least: int) -> list[tuple[int, int]]:
     """Byte ranges of maximal runs of the widest class of at least that length."""
     stops = np.flatnonzero(~_WIDE[np.frombuffer(data, np.uint8)])
@@ -104,8 +98,6 @@ def scan(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int,
     plain = text.isascii()
     for first, last in wide_runs(data, WINDOW):
         run = data[first:last].decode("ascii")
-        if not any(c in run for c in "0123456789") and not HEX_LONG.search(run):
-            continue
         at = first if plain else len(data[:first].decode("utf-8", "surrogatepass"))
         base += [(at + m.start(), 2, at + m.end()) for m in HEX.finditer(run) if m.end() - m.start() >= MIN_HEX]
         for k, least, pattern in _CLASS_RUNS:
@@ -115,15 +107,14 @@ def scan(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int,
     return base, sorted(_unsuppressed(text, base, more))
 
 
-HEX_LONG = re.compile(r"[0-9a-f]{24}")
 _CLASS_RUNS = [(3 + i, least, re.compile(f"[{chars}]{{{WINDOW},}}")) for i, (_, chars, least) in enumerate(CLASSES)]
 
 
 def _unsuppressed(text: str, base: list, more: list) -> list[tuple[int, int, int]]:
     kept, covered = [], [(a, b) for a, _, b in base]
     for start, kind, end in sorted(more, key=lambda s: (s[1], s[0])):  # narrow classes first: they explain a span best
-        span, around = text[start:end], text[max(0, start - 24) : end + 24]
-        if any(a < end and start < b for a, b in covered) or not _looks_random(span) or ALLOW.search(around):
+        around = text[max(0, start - 24) : end + 24]
+        if any(a < end and start < b for a, b in covered) or ALLOW.search(around):
             continue
         covered.append((start, end))
         kept.append((start, kind, end))

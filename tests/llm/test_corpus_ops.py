@@ -218,6 +218,13 @@ def test_entropy_windows_and_allow_list():
         assert got == inside
 
 
+@pytest.mark.parametrize("chars", ["abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "0123456789ABCDEF"])
+def test_random_keys_are_found_whatever_their_digits(chars):
+    rng = random.Random(5)
+    keys = ["".join(rng.choices(chars, k=32)) for _ in range(200)]
+    assert sum(bool(secrets.scan(f"say {k} end")[1]) for k in keys) >= 198
+
+
 def test_mask(spark):
     got = secrets.find_secrets(docs(spark, [(1, "é token = abcdef12 x", "s"), (2, None, "s")]), masked=True).collect()
     assert {r.doc_id: r.masked for r in got} == {1: "é [SECRET] x", 2: None}
