@@ -37,15 +37,18 @@ CLASSES = (
     ("entropy_base64", "A-Za-z0-9+/_-", 3.9),
 )
 KINDS = ("assign", "access", "hex", *(c[0] for c in CLASSES))
-#: Allow-list: identifiers that look random and are public, and placeholders.
-ALLOW = re.compile(
-    r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"  # UUID
-    r"|sha(1|256|384|512)-"  # integrity attribute
-    r"|example|sample|placeholder|dummy|changeme|your[_-]"
-    r"|0123456789|abcdefghij|qwertyuiop"
-    r"|(.)\2{5}",
+#: Allow-list, cut out of a run before its windows: public identifiers, and placeholder words with what is attached to them.
+PUBLIC = re.compile(
+    r"(?<![0-9a-z])[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}(?![0-9a-z])"  # UUID
+    r"|(?<![0-9a-z])sha(1|256|384|512)-[0-9a-z+/]+",  # integrity attribute
     re.IGNORECASE,
 )
+WORDS = re.compile(r"example|sample|placeholder|dummy|changeme|your[_-]", re.IGNORECASE)
+#: The key's own name, right before its value; it is looked for in so many characters.
+NAME = re.compile(r"""([A-Za-z0-9_-]+)["']?[ \t]*[:=]=?[ \t]*["']?$""")
+NAME_REACH = 160
+#: Allow-list within a span: sequences and repeats.
+REGULAR = re.compile(r"0123456789|abcdefghij|qwertyuiop|(.)\1{5}", re.IGNORECASE)
 _WIDE = np.zeros(256, bool)
 _WIDE[[ord(c) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"]] = True
 _XLOGX = [0.0, *(n * math.log2(n) for n in range(1, WINDOW + 1))]
@@ -84,6 +87,19 @@ def wide_runs(data: bytes, least: int) -> list[tuple[int, int]]:
     return [(int(edges[k]) + 1, int(edges[k + 1])) for k in long]
 
 
+def not_allowed(run: str) -> list[tuple[int, int]]:
+    """Ranges of a run that the allow-list leaves. A placeholder word takes what is attached to it, up to the next slash."""
+    cut = [m.span() for m in PUBLIC.finditer(run)]
+    if WORDS.search(run):
+        cut += [m.span() for m in re.finditer("[^/]+", run) if WORDS.search(m[0])]
+    out, at = [], 0
+    for start, end in sorted(cut):
+        if start - at >= WINDOW:
+            out.append((at, start))
+        at = max(at, end)
+    return [*out, (at, len(run))] if len(run) - at >= WINDOW else out
+
+
 def scan(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """(base spans, further spans) of a text, each (start, kind's place in KINDS, end), sorted."""
     text = text or ""
@@ -100,9 +116,13 @@ def scan(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int,
         run = data[first:last].decode("ascii")
         at = first if plain else len(data[:first].decode("utf-8", "surrogatepass"))
         base += [(at + m.start(), 2, at + m.end()) for m in HEX.finditer(run) if m.end() - m.start() >= MIN_HEX]
-        for k, least, pattern in _CLASS_RUNS:
-            for m in pattern.finditer(run):
-                more += [(at + m.start() + a, k, at + m.start() + b) for a, b in high_windows(m[0], least)]
+        name = NAME.search(text[max(0, at - NAME_REACH) : at])
+        if name and WORDS.search(name[1]):
+            continue
+        for piece, end in not_allowed(run):
+            for k, least, pattern in _CLASS_RUNS:
+                for m in pattern.finditer(run, piece, end):
+                    more += [(at + m.start() + a, k, at + m.start() + b) for a, b in high_windows(m[0], least)]
     base.sort()
     return base, sorted(_unsuppressed(text, base, more))
 
@@ -113,8 +133,7 @@ _CLASS_RUNS = [(3 + i, least, re.compile(f"[{chars}]{{{WINDOW},}}")) for i, (_,
 def _unsuppressed(text: str, base: list, more: list) -> list[tuple[int, int, int]]:
     kept, covered = [], [(a, b) for a, _, b in base]
     for start, kind, end in sorted(more, key=lambda s: (s[1], s[0])):  # narrow classes first: they explain a span best
-        around = text[max(0, start - 24) : end + 24]
-        if any(a < end and start < b for a, b in covered) or ALLOW.search(around):
+        if any(a < end and start < b for a, b in covered) or REGULAR.search(text, start, end):
             continue
         covered.append((start, end))
         kept.append((start, kind, end))

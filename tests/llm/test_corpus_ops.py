@@ -225,6 +225,15 @@ def test_random_keys_are_found_whatever_their_digits(chars):
     assert sum(bool(secrets.scan(f"say {k} end")[1]) for k in keys) >= 198
 
 
+def test_allow_list_looks_at_the_value_and_its_name_only():
+    key = "q7Zt2Lx9Vb4Nc8Kd1Rf6Wg3Hj5"
+    near = ["        key: {}", "======\n{}", "{} ------", "see api.example.com, {}", "a sample: x {}", "https://h/example/{}", "123e4567-e89b-12d3-a456-426614174000 {}", "example.com:{}"]
+    for text in near:
+        assert [(text.format(key)[a:b]) for a, _, b in secrets.scan(text.format(key))[1]][-1:] == [key], text
+    for text in ["your_key = '{}'", '"sampleKey": "{}"', "{}_EXAMPLE", "dummy-{}", "sha256-{}", "id-123e4567-e89b-12d3-a456-426614174000-x"]:
+        assert not secrets.scan(text.format(key))[1], text
+
+
 def test_mask(spark):
     got = secrets.find_secrets(docs(spark, [(1, "é token = abcdef12 x", "s"), (2, None, "s")]), masked=True).collect()
     assert {r.doc_id: r.masked for r in got} == {1: "é [SECRET] x", 2: None}
