@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -131,11 +132,20 @@ _CLASS_RUNS = [(3 + i, least, re.compile(f"[{chars}]{{{WINDOW},}}")) for i, (_,
 
 
 def _unsuppressed(text: str, base: list, more: list) -> list[tuple[int, int, int]]:
-    kept, covered = [], [(a, b) for a, _, b in base]
-    for start, kind, end in sorted(more, key=lambda s: (s[1], s[0])):  # narrow classes first: they explain a span best
-        if any(a < end and start < b for a, b in covered) or REGULAR.search(text, start, end):
+    """Spans that no regular part suppresses and that neither the base spans together nor another one contain whole."""
+    starts, ends = [], []  # of the union of the base spans
+    for start, _, end in base:
+        if ends and start <= ends[-1]:
+            ends[-1] = max(ends[-1], end)
+        else:
+            starts.append(start)
+            ends.append(end)
+    kept, last = [], -1
+    for start, kind, end in sorted(more, key=lambda s: (s[0], -s[2], s[1])):  # of equal spans the narrow class explains it best
+        at = bisect_right(starts, start) - 1
+        if end <= last or (at >= 0 and end <= ends[at]) or REGULAR.search(text, start, end):
             continue
-        covered.append((start, end))
+        last = end
         kept.append((start, kind, end))
     return kept
 
