@@ -82,12 +82,41 @@ def _parse(spark: SparkSession, ddl: str):
     return StructType.fromDDL(ddl)
 
 
-def without(docs: DataFrame, dropped: DataFrame, broadcast_rows: int = 1_000_000) -> DataFrame:
-    """The rows of docs whose doc_id is not in dropped (doc_id). Up to broadcast_rows ids (8 bytes each) are broadcast, so
-    that texts are not shuffled; with more, Spark joins both sides."""
-    side = dropped.select(F.col("doc_id").alias("_gone"))
-    side = F.broadcast(side) if dropped.count() <= broadcast_rows else side
-    return docs.join(side, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+def row_key(docs: DataFrame) -> Column:
+    """A hash of all columns of a row: rows of one id that differ in anything have different keys, equal rows have one.
+
+    Rows are told apart by doc_id and key together, so only rows of one id could clash (chance 2 ** -64 a pair).
+    """
+    return F.xxhash64(*(x for name in docs.columns for x in (F.col(f"`{name}`"), F.col(f"`{name}`").isNull())))
+
+
+def repeat_rows(docs: DataFrame, told: DataFrame, broadcast_rows: int = 1_000_000, largest: bool = False) -> DataFrame:
+    """Every row of docs as often as told (doc_id, row: its row_key, copies; one for each row of docs) says, also not at all.
+
+    Null and repeated ids may be any share of the rows. Equal rows share the sum of their copies, or with
+    largest each have the largest of them. Up to broadcast_rows
+    decisions (other than: once) are broadcast, so that texts are not shuffled; with more, Spark joins both sides.
+    """
+    sums = told.groupBy("doc_id", "row").agg(F.count(F.lit(1)).alias("n"), (F.count(F.lit(1)) * F.max("copies") if largest else F.sum("copies")).cast("long").alias("all"))
+    sums = sums.withColumn("uneven", F.col("all") % F.col("n") != 0)
+    sums = sums.filter("uneven or all <> n").select(F.col("doc_id").alias("_id"), F.col("row").alias("_key"), "uneven", F.col("all").alias("_all"), F.when(F.col("uneven"), 0).otherwise(F.expr("all div n")).cast("long").alias("_times"))
+    side = materialize(sums, "copies")
+    size, uneven, most = side.agg(F.count(F.lit(1)), F.count(F.when(F.col("uneven"), 1)), F.max("_times")).first()
+    keyed = docs.withColumn("_row", row_key(docs))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_key"))
+    small = lambda df, n: F.broadcast(df) if n <= broadcast_rows else df
+    out = keyed.join(small(side.select("_id", "_key", "_times"), size), same, "left").withColumn("_times", F.coalesce("_times", F.lit(1).cast("long"))).filter("_times > 0")
+    if (most or 0) > 1:
+        out = out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_times")))
+    out = out.select(*docs.columns)
+    if not uneven:
+        return out
+    # Equal rows with other copies than a multiple of their number: one of them stands for all. Partial sums come first,
+    # so that a row repeated any number of times is sent once for each partition.
+    one = keyed.join(small(side.filter("uneven").select("_id", "_key", "_all"), uneven), same).select(*docs.columns, "_all").dropDuplicates()
+    one = one.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(_all - 1) div 1000"))))
+    one = one.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(1000).cast("long"), F.expr("_all - 1000 * _block")))))
+    return out.unionByName(one.select(*docs.columns))
 
 
 def salts_for(rows: int) -> int:

@@ -17,10 +17,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from annolith.llm.common import BLANK, map_batches, materialize, without
+from annolith.llm.common import BLANK, map_batches, materialize, repeat_rows, row_key
 
 #: Quotient bits of a filter; the other bits of a fingerprint are its remainder.
 QUOTIENT_BITS = 16
@@ -77,7 +77,7 @@ def _normalised(text: str | None) -> bytes:
 def _describe(cols: dict[str, list]) -> dict[str, list]:
     digests = [hashlib.sha256(_normalised(t)) for t in cols["text"]]
     return {
-        "doc_id": cols["doc_id"],
+        **cols,
         "n_points": [len(t or "") for t in cols["text"]],
         "text_sha256": [d.hexdigest() for d in digests],
         "fp": [int.from_bytes(d.digest()[:8], "big", signed=True) for d in digests],
@@ -116,13 +116,16 @@ def repeated_fingerprints(described: DataFrame, rows: int, per_range: int = 250_
     return blocks.groupBy("range").applyInPandas(merge, "fp long")
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 1_000_000) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 1_000_000, row: Column | None = None) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
     broadcast_rows: up to so many repeated fingerprints (8 bytes each) are broadcast to the second scan; more are joined.
+    row: what tells rows of one id apart; it comes back as a further column.
     """
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    described = map_batches(base, _describe, "doc_id long, n_points long, text_sha256 string, fp long")
+    columns = [F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")]
+    base, names = docs.select(*columns), [] if row is None else ["row"]
+    own = base if row is None else docs.select(*columns, row.alias("row"))
+    described = map_batches(own, _describe, f"doc_id long, n_points long, text_sha256 string, fp long{', row long' if names else ''}")
     described = materialize(described.withColumn("token", F.monotonically_increasing_id()), "described")
     repeated = materialize(repeated_fingerprints(described, described.count()), "repeated")
     small = repeated.count() <= broadcast_rows
@@ -154,15 +157,11 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broad
         F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
         (alone | (F.col("best.t") == F.col("token"))).alias("kept"),
         "text_sha256",
+        *names,
     )
 
 
 def keep_rows(docs: DataFrame) -> DataFrame:
-    """The rows of docs (with all columns) that stay. For repeated rows of one id, one copy stays."""
-    told = materialize(dedup(docs).select("doc_id", "kept"), "told")
-    if told.count() == told.select("doc_id").distinct().count():
-        return without(docs, told.filter("not kept"))
-    kept = told.filter("kept").select(F.col("doc_id").alias("_keep"))
-    twins = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(1))
-    stay = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
-    return stay.withColumn("_twin", F.row_number().over(twins)).filter("_twin = 1").select(*docs.columns)
+    """The rows of docs (with all columns) that stay: of each group of equal texts one row, whatever its id."""
+    told = dedup(docs, row=row_key(docs)).select("doc_id", "row", F.col("kept").cast("long").alias("copies"))
+    return repeat_rows(docs, materialize(told, "told"))

@@ -15,10 +15,10 @@ from fractions import Fraction
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from annolith.llm.common import BLANK, map_batches, materialize, salted_rank, salts_for
+from annolith.llm.common import BLANK, map_batches, materialize, repeat_rows, row_key, salted_rank, salts_for
 
 #: Weights of the sources in order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -88,8 +88,7 @@ def fit_budget(lengths: list[int], counts: list[int], budget: int) -> list[int]:
 
 def _sizes(cols: dict[str, list]) -> dict[str, list]:
     return {
-        "doc_id": cols["doc_id"],
-        "source": cols["source"],
+        **cols,
         "size": [len((t or "").encode("utf-8", "surrogatepass").split()) for t in cols["text"]],
     }
 
@@ -97,15 +96,16 @@ def _sizes(cols: dict[str, list]) -> dict[str, list]:
 assert b"".join((b"a" + BLANK + b"b").split()) == b"ab"  # bytes.split() cuts at exactly the white space of the contract
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: str = "1.5", most: int = 2, seed: int = 17) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: str = "1.5", most: int = 2, seed: int = 17, row: Column | None = None) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, taken, copies.
 
     The driver gets one row per source (the list of sources with their sizes, a registry that does not grow with the
-    documents of a source), nothing else.
+    documents of a source), nothing else. row: what tells rows of one id apart; it comes back as a further column.
     """
     spark = docs.sparkSession
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text"))
-    sized = materialize(map_batches(base, _sizes, "doc_id long, source string, size long"), "sizes")
+    names = [] if row is None else ["row"]
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text"), *(row.alias(n) for n in names))
+    sized = materialize(map_batches(base, _sizes, f"doc_id long, source string, size long{', row long' if names else ''}"), "sizes")
     sized = sized.withColumn("skey", F.coalesce(F.concat(F.lit("="), "source"), F.lit("null")))
     lengths = sized.groupBy("skey", "size").agg(F.count(F.lit(1)).alias("n"))
     found = sorted((r["skey"] == "null", r["skey"], int(r["words"])) for r in lengths.groupBy("skey").agg(F.sum(F.col("size") * F.col("n")).alias("words")).collect())
@@ -125,19 +125,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     salts = salts_for(sized.count())
     # Slices of the seeded hash order the documents of a length; a hot length is ranked slice by slice.
     key = F.xxhash64(F.lit(seed), F.col("doc_id"))
-    ranked = salted_rank(sized.withColumn("_h", key), ["skey", "size"], [F.col("_h"), F.col("doc_id").asc_nulls_last()], F.floor((F.shiftrightunsigned("_h", 32) * salts) / F.lit(float(1 << 32))).cast("int"))
+    ranked = salted_rank(sized.withColumn("_h", key), ["skey", "size"], [F.col("_h"), F.col("doc_id").asc_nulls_last(), *names], F.floor((F.shiftrightunsigned("_h", 32) * salts) / F.lit(float(1 << 32))).cast("int"))
     out = ranked.join(quota, ["skey", "size"]).join(plan, "skey")
     copies = F.when(F.col("size") == 0, F.lit(0).cast("long")).otherwise(F.col("base") + (F.col("rank") < F.col("extra")).cast("long"))
-    return out.select("doc_id", "source", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))
+    return out.select("doc_id", "source", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), *names)
 
 
 def mixed_rows(docs: DataFrame, broadcast_rows: int = 1_000_000) -> DataFrame:
     """The mixture itself: every row of docs as often as it is taken (once or twice by default), none of size 0.
 
-    Up to broadcast_rows ids with their copies (16 bytes each) are broadcast, so that texts are not shuffled.
+    Rows equal in all columns each have the largest copy count among them; the pipeline has dropped such rows before.
     """
-    taken = materialize(mix(docs).filter("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("_copies")), "taken")
-    side = taken.withColumnRenamed("doc_id", "_id")
-    side = F.broadcast(side) if taken.count() <= broadcast_rows else side
-    out = docs.join(side, F.col("doc_id").eqNullSafe(F.col("_id"))).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies")))
-    return out.select(*docs.columns)
+    told = mix(docs, row=row_key(docs)).select("doc_id", "row", "copies")
+    return repeat_rows(docs, materialize(told, "told"), broadcast_rows, largest=True)

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType
 
 from annolith.llm import shingles
-from annolith.llm.common import map_batches, materialize, release, small_batches, without
+from annolith.llm.common import map_batches, materialize, release, repeat_rows, row_key, small_batches
 from annolith.llm.components import connected
 
 #: Similarity in hundredths for a link; estimates below FLOOR are not confirmed.
@@ -43,12 +43,14 @@ BUCKET_BLOCK, SET_BLOCK, SET_BYTES = 1024, 1024, 16 << 20
 def _describe(width: int):
     def make(cols: dict[str, list]) -> dict[str, list]:
         out: dict[str, list] = {k: [] for k in ("doc_id", "n_shingles", "f1", "f2", "bands", "sig")}
+        if "row" in cols:
+            out["row"] = cols["row"]
         for doc_id, text in zip(cols["doc_id"], cols["text"], strict=True):
             own = shingles.shingle_set(text, width)
             f = np.frombuffer(xxhash.xxh3_128_digest(own.tobytes()), np.int64)
             least = shingles.minima(own) if len(own) else None
             row = (doc_id, len(own), int(f[0]), int(f[1]), shingles.band_keys(least) if len(own) else [], shingles.packed(least).tobytes() if len(own) else b"")
-            for column, value in zip(out.values(), row, strict=True):
+            for column, value in zip(list(out.values())[: len(row)], row, strict=True):
                 column.append(value)
         return out
 
@@ -212,18 +214,24 @@ def _labelled(df: DataFrame, labels: DataFrame) -> DataFrame:
     return df.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, broadcast_rows: int = 500_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, broadcast_rows: int = 500_000, row: Column | None = None) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept. width: words of a shingle.
 
     broadcast_rows: up to so many candidate ids (four numbers each) are broadcast to the second scan; more are joined.
+    row: what tells rows of one id apart. With it there is a further column row, and kept is true for one row of each
+    component only, also where ids are null or repeated; without it, for all rows with the component's id.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = map_batches(base, _describe(width), "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>, sig binary")
+    columns, names = [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")], []
+    if row is not None:
+        columns, names = [*columns, row.alias("row")], ["row"]
+    base = docs.select(*columns)
+    rows = map_batches(base, _describe(width), f"doc_id long, n_shingles long, f1 long, f2 long, bands array<long>, sig binary{', row long' if names else ''}")
     rows = materialize(rows.withColumn("token", F.monotonically_increasing_id()), "signatures")
     # Equal sets are one node: the first of their rows.
-    classes = rows.filter("n_shingles > 0").groupBy("f1", "f2").agg(F.min("token").alias("node"), F.min("doc_id").alias("first_id"))
+    first = [F.min(F.struct(F.col("doc_id").isNull().alias("u"), "doc_id", "token")).alias("first_row")] if names else []
+    classes = rows.filter("n_shingles > 0").groupBy("f1", "f2").agg(F.min("token").alias("node"), F.min("doc_id").alias("first_id"), *first)
     classes = materialize(classes, "classes")
-    nodes = materialize(rows.join(classes.select("node"), F.col("token") == F.col("node"), "left_semi").select(F.col("token").alias("node"), "doc_id", "f1", "f2", F.col("n_shingles").alias("n"), "bands", "sig"), "nodes")
+    nodes = materialize(rows.join(classes.select("node"), F.col("token") == F.col("node"), "left_semi").select(F.col("token").alias("node"), "doc_id", "f1", "f2", F.col("n_shingles").alias("n"), "bands", "sig", *names), "nodes")
     banded = nodes.select("node", F.explode("bands").alias("band"))
     shared = materialize(banded.groupBy("band").agg(F.min("node").alias("center"), F.count(F.lit(1)).alias("size")).filter("size > 1").drop("size"), "shared")
     members = materialize(banded.join(shared, "band"), "members")
@@ -234,11 +242,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     center = about.select(F.col("node").alias("center"), F.col("sig").alias("center_sig"))
     rays = rays.join(about, "node").join(center, "center").withColumn("e", _estimate("sig", "center_sig")).filter(F.col("e") >= FLOOR)
     rays = materialize(rays.groupBy("node").agg(F.max(F.struct("e", "center")).alias("best")).select("node", F.col("best.center").alias("center")), "rays")
-    candidates = members.select("node").distinct().join(nodes.select("node", "doc_id", "f1", "f2"), "node")
+    candidates = members.select("node").distinct().join(nodes.select("node", "doc_id", "f1", "f2", *names), "node")
     candidates = materialize(candidates, "candidates")
     few = candidates.count() <= broadcast_rows
-    wanted = candidates.withColumnRenamed("doc_id", "want")
-    texts = base.join(F.broadcast(wanted) if few else wanted, F.col("doc_id").eqNullSafe(F.col("want"))).select("node", "text", "f1", "f2")
+    wanted = candidates.withColumnsRenamed({"doc_id": "want", "row": "want_row"})
+    same = F.col("doc_id").eqNullSafe(F.col("want"))
+    if names:
+        same &= F.col("row") == F.col("want_row")
+    texts = base.join(F.broadcast(wanted) if few else wanted, same).select("node", "text", "f1", "f2")
     sets = materialize(map_batches(texts, _with_sets(width), "node long, set binary"), "sets")
     center_set = sets.select(F.col("node").alias("center"), F.col("set").alias("center_set"))
     star = rays.join(sets, "node").join(center_set, "center").filter(_linked("set", "center_set")).select(F.col("node").alias("a"), F.col("center").alias("b"))
@@ -256,15 +267,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = connected(star.unionByName(more))
 
     placed = _labelled(classes, labels)
-    smallest = placed.groupBy("comp").agg(F.min("first_id").alias("component_id"))
-    found = materialize(placed.join(smallest, "comp").select("f1", "f2", "component_id"), "found")
+    smallest = placed.groupBy("comp").agg(F.min("first_id").alias("component_id"), *([F.min("first_row").alias("best")] if names else []))
+    found = materialize(placed.join(smallest, "comp").select("f1", "f2", "component_id", *(["best"] if names else [])), "found")
     alone = F.col("n_shingles") == 0
-    out = rows.select("doc_id", "n_shingles", "f1", "f2").join(found, ["f1", "f2"], "left")
+    out = rows.select("doc_id", "n_shingles", "f1", "f2", "token", *names).join(found, ["f1", "f2"], "left")
     component = F.when(alone, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    kept = alone | (F.col("token") == F.col("best.token")) if names else F.col("doc_id").eqNullSafe(component)
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"), *names)
 
 
 def keep_rows(docs: DataFrame) -> DataFrame:
-    """The rows of docs (with all columns) that stay: of each component the row with its smallest id."""
-    told = materialize(near_duplicates(docs).select("doc_id", "kept"), "told")
-    return without(docs, told.filter("not kept").select("doc_id").distinct())
+    """The rows of docs (with all columns) that stay: of each component one row, with its smallest id (null last)."""
+    told = near_duplicates(docs, row=row_key(docs)).select("doc_id", "row", F.col("kept").cast("long").alias("copies"))
+    return repeat_rows(docs, materialize(told, "told"))

@@ -89,6 +89,35 @@ def test_stages_take_an_empty_table(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
+def test_stages_tell_rows_of_null_and_repeated_ids_apart(spark):
+    from annolith.llm import exact_dedup, mixing, near_dedup
+
+    table = lambda rows: spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    rng = random.Random(3)
+    words = lambda n: ["".join(rng.choices("abcdefgh", k=5)) for _ in range(n)]
+    kept = lambda stage, rows: sorted(map(str, (tuple(r) for r in stage(table(rows)).collect())))
+    texts = [" ".join(words(40)) for _ in range(6)]
+    near = " ".join([*texts[0].split()[:-1], "changed"])
+    row = lambda i, t, s="a": (i, t, "en", s, 0)
+
+    # Exact: of id 7 one text is a copy that goes, of null two texts stay and one goes.
+    rows = [row(1, texts[0] + " "), row(7, texts[0]), row(7, texts[1]), row(None, texts[2]), row(None, texts[3]), row(None, texts[1], "b"), row(None, texts[3])]
+    assert kept(exact_dedup.keep_rows, rows) == sorted(str(rows[i]) for i in (0, 2, 3, 4))
+    # Near: a copy that goes takes no other row of its id along; of copies with one id or none, one stays.
+    rows = [row(1, texts[0]), row(None, near), row(None, texts[1]), row(None, texts[2]), row(None, ""), row(None, "")]
+    assert kept(near_dedup.keep_rows, rows) == sorted(str(rows[i]) for i in (0, 2, 3, 4, 5))
+    for i in (None, 5):
+        assert near_dedup.keep_rows(table([row(i, texts[0]), row(i, near), row(i, texts[3])])).count() == 2
+    # Mixing: the words taken are those that the decisions say, also for one text many times under no id.
+    rows = [row(None if k % 2 else 7, " ".join(words(1 + k % 9)), "ab"[k % 3 == 0]) for k in range(80)] + [(None, "x y z", "en", "a", k) for k in range(41)]
+    told = mixing.mix(table(rows)).groupBy("source").sum("taken").collect()
+    got: dict = {}
+    for r in mixing.mixed_rows(table(rows)).collect():
+        got[r.source] = got.get(r.source, 0) + len(r.text.split())
+    assert got == {r[0]: r[1] for r in told}
+    assert mixing.mixed_rows(table(rows), broadcast_rows=0).count() == mixing.mixed_rows(table(rows)).count()
+
+
 def test_scores_are_calibrated():
     import numpy as np
 
