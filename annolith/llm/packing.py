@@ -18,6 +18,7 @@ import base64
 import json
 import random
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -97,6 +98,30 @@ def _largest(available: int, room: int) -> int:
     return (available & ((1 << (room + 1)) - 1)).bit_length() - 1 if room > 0 else 0
 
 
+def scatter(stock: dict[int, int], capacity: int, rng: random.Random) -> Packing:
+    """Bins for all of stock, filled with pieces drawn at random: what evolution starts from."""
+    left = {n: c for n, c in stock.items() if c}
+    lengths, packing = sorted(left), []
+    while lengths:
+        parts: dict[int, int] = {}
+        room = capacity
+        while (fits := bisect_right(lengths, room)) and rng.random() < 0.9:
+            n = lengths[rng.randrange(fits)]
+            if parts.get(n, 0) == left[n]:
+                break
+            parts[n] = parts.get(n, 0) + 1
+            room -= n
+        if not parts:
+            parts = {rng.choice(lengths): 1}
+        times = min(left[n] // c for n, c in parts.items())
+        for n, c in parts.items():
+            left[n] -= c * times
+            if not left[n]:
+                lengths.remove(n)
+        packing.append((tuple(sorted(parts.items(), reverse=True)), times))
+    return tidy(packing)
+
+
 def best_fit(stock: dict[int, int], capacity: int, rng: random.Random | None = None) -> Packing:
     """Bins for all of stock: each opens with the longest piece and takes what fits best. With rng some choices differ."""
     stock = {n: c for n, c in stock.items() if c}
@@ -169,12 +194,23 @@ def place(packing: Packing, displaced: dict[int, int], capacity: int, rng: rando
     return tidy([x for group in by_room.values() for x in group] + best_fit(displaced, capacity, rng))
 
 
+def well_filled(packing: Packing) -> int:
+    """Median filling of the bins: from there on bins are handed on whole."""
+    half = bins(packing) / 2
+    for pattern, times in sorted(packing, key=lambda x: -used(x[0])):
+        half -= times
+        if half <= 0:
+            return used(pattern)
+    return 0
+
+
 def crossover(base: Packing, donor: Packing, stock: dict[int, int], capacity: int, rng: random.Random) -> Packing:
-    """A child: some well-filled bins of donor, what fits of base beside them, and the displaced pieces best-fitted."""
-    good = [(p, t) for p, t in donor if used(p) >= 0.98 * capacity] or donor
+    """A child: some well-filled bins of donor, then those of base that use no document twice; all others displaced."""
+    least = well_filled(donor)
+    good = [(p, t) for p, t in donor if used(p) >= least]
     left, child = dict(stock), []
     injected = rng.sample(good, max(1, len(good) // 2))
-    for pattern, times in [*injected, *sorted(base, key=lambda x: -used(x[0]))]:
+    for pattern, times in [*injected, *(x for x in base if used(x[0]) >= least)]:
         keep = min([times, *(left[n] // c for n, c in pattern)])  # a bin that holds a used document goes
         if keep:
             child.append((pattern, keep))
@@ -184,9 +220,9 @@ def crossover(base: Packing, donor: Packing, stock: dict[int, int], capacity: in
 
 
 def mutate(packing: Packing, capacity: int, rng: random.Random) -> Packing:
-    """Open the emptiest bins and a few others anew."""
+    """Open the emptiest bins and a share of the others anew."""
     ranked = sorted(packing, key=lambda x: used(x[0]))
-    out = set(range(max(1, len(ranked) // 10))) | {rng.randrange(len(ranked)) for _ in range(max(1, len(ranked) // 20))}
+    out = set(range(max(1, len(ranked) // 10))) | set(rng.sample(range(len(ranked)), int(len(ranked) * rng.choice((0.05, 0.2, 0.5)))))
     free: dict[int, int] = {}
     for i in out:
         for n, c in ranked[i][0]:
@@ -198,9 +234,9 @@ def evolve(stock: dict[int, int], capacity: int, seed: int, population: int, gen
     """One island's epoch: its best two packings, the best first."""
     rng = random.Random(seed)
     bound = lower_bound(stock, capacity)
-    people = [*settlers, best_fit(stock, capacity)]
+    people = list(settlers)
     while len(people) < population:
-        people.append(best_fit(stock, capacity, rng))
+        people.append(scatter(stock, capacity, rng))
     key = lambda p: fitness(p, capacity)
     people.sort(key=key)
     for generation in range(generations):
