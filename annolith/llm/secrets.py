@@ -112,10 +112,12 @@ def scan(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int,
     if b"AKIA" in data:
         base += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= MIN_ACCESS]
     more: list[tuple[int, int, int]] = []
-    plain = text.isascii()
-    for first, last in wide_runs(data, WINDOW):
+    runs = wide_runs(data, WINDOW)
+    # Code points before each byte, where bytes and code points differ: all but continuation bytes begin one.
+    before = np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80) - 1 if runs and not text.isascii() else None
+    for first, last in runs:
         run = data[first:last].decode("ascii")
-        at = first if plain else len(data[:first].decode("utf-8", "surrogatepass"))
+        at = first if before is None else int(before[first])
         base += [(at + m.start(), 2, at + m.end()) for m in HEX.finditer(run) if m.end() - m.start() >= MIN_HEX]
         name = NAME.search(text[max(0, at - NAME_REACH) : at])
         if name and WORDS.search(name[1]):
