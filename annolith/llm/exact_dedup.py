@@ -22,52 +22,102 @@ from pyspark.sql import functions as F
 
 from annolith.llm.common import BLANK, map_batches, materialize, repeat_rows, row_key
 
-#: Quotient bits of a filter; the other bits of a fingerprint are its remainder.
-QUOTIENT_BITS = 16
+#: Share of the slots of a filter that are in use at most.
+LOAD = 0.75
 
 
 class CountingQuotientFilter:
-    """Counts of 64-bit fingerprints: for each quotient a run of sorted remainders, each with its count."""
+    """Counts of 64-bit fingerprints in the slots of a quotient filter.
 
-    def __init__(self, quotients: np.ndarray, remainders: np.ndarray, counts: np.ndarray):
-        self.occupied, lengths = np.unique(quotients, return_counts=True)
-        self.run_ends = np.cumsum(lengths)
+    The upper `bits` of a fingerprint are its quotient, the slot where it belongs; the rest is its remainder, which is
+    what a slot stores, with a count. Remainders of one quotient are a sorted run; runs follow each other in the order
+    of their quotients and are shifted right where a slot is taken. Three bits a slot say how to read that: `occupied`
+    (some fingerprint has this quotient), `continuation` (not the first of its run), `shifted` (not where it belongs).
+    """
+
+    def __init__(self, bits: int, occupied: np.ndarray, continuation: np.ndarray, shifted: np.ndarray, remainders: np.ndarray, counts: np.ndarray):
+        self.bits, self.occupied, self.continuation, self.shifted = bits, occupied, continuation, shifted
         self.remainders, self.counts = remainders, counts
 
     @classmethod
-    def build(cls, fingerprints: np.ndarray) -> CountingQuotientFilter:
-        values, counts = np.unique(fingerprints.astype(np.uint64), return_counts=True)
-        return cls._of(values, counts.astype(np.int64))
+    def of_sorted(cls, values: np.ndarray, counts: np.ndarray) -> CountingQuotientFilter:
+        """Slots for sorted distinct fingerprints."""
+        bits = max(1, int(np.ceil(np.log2(max(1, len(values)) / LOAD))))
+        quotients = (values >> np.uint64(64 - bits)).astype(np.int64)
+        order = np.arange(len(values))
+        # Each stands where it belongs or right behind the one before it.
+        slots = np.maximum.accumulate(quotients - order) + order if len(values) else order
+        size = max(1 << bits, int(slots[-1]) + 1 if len(slots) else 0)
+        occupied, continuation, shifted = (np.zeros(size, bool) for _ in range(3))
+        occupied[quotients] = True
+        continuation[slots[1:]] = quotients[1:] == quotients[:-1]
+        shifted[slots] = slots != quotients
+        remainders, stored = np.zeros(size, np.uint64), np.zeros(size, np.int64)
+        remainders[slots] = values & np.uint64((1 << (64 - bits)) - 1)
+        stored[slots] = counts
+        return cls(bits, occupied, continuation, shifted, remainders, stored)
 
     @classmethod
-    def _of(cls, values: np.ndarray, counts: np.ndarray) -> CountingQuotientFilter:
-        shift = np.uint64(64 - QUOTIENT_BITS)
-        mask = np.uint64((1 << (64 - QUOTIENT_BITS)) - 1)
-        return cls((values >> shift).astype(np.int64), values & mask, counts)
-
-    def fingerprints(self) -> np.ndarray:
-        lengths = np.diff(self.run_ends, prepend=0)
-        return (np.repeat(self.occupied, lengths).astype(np.uint64) << np.uint64(64 - QUOTIENT_BITS)) | self.remainders
-
-    def merged(self, others: list[CountingQuotientFilter]) -> CountingQuotientFilter:
-        """The filter of all rows that went into any of them."""
-        every = [self, *others]
-        values, place = np.unique(np.concatenate([f.fingerprints() for f in every]), return_inverse=True)
-        counts = np.zeros(len(values), np.int64)
-        np.add.at(counts, place, np.concatenate([f.counts for f in every]))
-        return self._of(values, counts)
+    def build(cls, fingerprints: np.ndarray) -> CountingQuotientFilter:
+        values, counts = np.unique(fingerprints.astype(np.uint64), return_counts=True)
+        return cls.of_sorted(values, counts.astype(np.int64))
+
+    def _used(self) -> np.ndarray:
+        """Slots in use: those with a shifted or continued remainder, or where a fingerprint stands that belongs there."""
+        return np.flatnonzero(self.counts)
+
+    def sorted(self) -> tuple[np.ndarray, np.ndarray]:
+        """(fingerprints, counts), by walking the slots: the k-th run is that of the k-th occupied quotient."""
+        slots = self._used()
+        run = np.cumsum(~self.continuation[slots]) - 1
+        quotients = np.flatnonzero(self.occupied)[run].astype(np.uint64)
+        return (quotients << np.uint64(64 - self.bits)) | self.remainders[slots], self.counts[slots]
+
+    def count_of(self, fingerprints: np.ndarray) -> np.ndarray:
+        """Count of each fingerprint, 0 where it is not in the filter: its run is found by rank, and searched."""
+        quotients = (fingerprints >> np.uint64(64 - self.bits)).astype(np.int64)
+        slots = self._used()
+        first = np.append(np.flatnonzero(~self.continuation[slots]), len(slots))
+        rank = np.cumsum(self.occupied)[quotients] - 1
+        out = np.zeros(len(fingerprints), np.int64)
+        mask = np.uint64((1 << (64 - self.bits)) - 1)
+        for i in np.flatnonzero(self.occupied[quotients]):
+            run = slots[first[rank[i]] : first[rank[i] + 1]]
+            at = np.searchsorted(self.remainders[run], fingerprints[i] & mask)
+            if at < len(run) and self.remainders[run[at]] == fingerprints[i] & mask:
+                out[i] = self.counts[run[at]]
+        return out
+
+    def merged(self, other: CountingQuotientFilter) -> CountingQuotientFilter:
+        """The filter of all rows that went into either. Both are walked in order and zipped: nothing is sorted again."""
+        (a, m), (b, n) = self.sorted(), other.sorted()
+        values, counts = np.empty(len(a) + len(b), np.uint64), np.empty(len(a) + len(b), np.int64)
+        mine, theirs = np.arange(len(a)) + np.searchsorted(b, a, "left"), np.arange(len(b)) + np.searchsorted(a, b, "right")
+        values[mine], values[theirs], counts[mine], counts[theirs] = a, b, m, n
+        again = np.flatnonzero(values[1:] == values[:-1]) + 1  # at most the second of two
+        counts[again - 1] += counts[again]
+        keep = np.ones(len(values), bool)
+        keep[again] = False
+        return self.of_sorted(values[keep], counts[keep])
+
+    @staticmethod
+    def merged_all(filters: list[CountingQuotientFilter]) -> CountingQuotientFilter:
+        """Two by two, so that each fingerprint takes part in a logarithmic number of merges."""
+        while len(filters) > 1:
+            filters = [f[0].merged(f[1]) if len(f) > 1 else f[0] for f in (filters[i : i + 2] for i in range(0, len(filters), 2))]
+        return filters[0]
 
     def ranges(self, bits: int) -> Iterator[tuple[int, bytes, bytes]]:
         """(range, packed fingerprints, packed counts) of each range of quotients that has any."""
-        values = self.fingerprints()
+        values, counts = self.sorted()
         which = (values >> np.uint64(64 - bits)).astype(np.int64)
         starts = np.flatnonzero(np.diff(which, prepend=-1))
         for start, end in zip(starts, [*starts[1:], len(values)], strict=True):
-            yield int(which[start]), values[start:end].tobytes(), self.counts[start:end].tobytes()
+            yield int(which[start]), values[start:end].tobytes(), counts[start:end].tobytes()
 
     @classmethod
     def unpacked(cls, values: bytes, counts: bytes) -> CountingQuotientFilter:
-        return cls._of(np.frombuffer(values, np.uint64), np.frombuffer(counts, np.int64))
+        return cls.of_sorted(np.frombuffer(values, np.uint64), np.frombuffer(counts, np.int64))
 
 
 def _normalised(text: str | None) -> bytes:
@@ -97,20 +147,17 @@ def _with_bytes(cols: dict[str, list]) -> dict[str, list]:
 
 def repeated_fingerprints(described: DataFrame, rows: int, per_range: int = 250_000) -> DataFrame:
     """Fingerprints (column fp) that more than one row of `described` has, by merged quotient filters."""
-    bits = min(QUOTIENT_BITS, max(5, int(np.ceil(np.log2(max(1, rows / per_range))))))
+    bits = min(24, max(5, int(np.ceil(np.log2(max(1, rows / per_range))))))
 
     def build(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        whole: CountingQuotientFilter | None = None
-        for frame in frames:
-            part = CountingQuotientFilter.build(frame["fp"].to_numpy(np.int64).view(np.uint64))
-            whole = part if whole is None else whole.merged([part])
-        if whole is not None:
-            yield pd.DataFrame(list(whole.ranges(bits)), columns=["range", "fps", "counts"])
+        parts = [CountingQuotientFilter.build(frame["fp"].to_numpy(np.int64).view(np.uint64)) for frame in frames if len(frame)]
+        if parts:
+            yield pd.DataFrame(list(CountingQuotientFilter.merged_all(parts).ranges(bits)), columns=["range", "fps", "counts"])
 
     def merge(frame: pd.DataFrame) -> pd.DataFrame:
-        first, *rest = [CountingQuotientFilter.unpacked(v, c) for v, c in zip(frame["fps"], frame["counts"], strict=True)]
-        whole = first.merged(rest)
-        return pd.DataFrame({"fp": whole.fingerprints()[whole.counts > 1].view(np.int64)})
+        whole = CountingQuotientFilter.merged_all([CountingQuotientFilter.unpacked(v, c) for v, c in zip(frame["fps"], frame["counts"], strict=True)])
+        values, counts = whole.sorted()
+        return pd.DataFrame({"fp": values[counts > 1].view(np.int64)})
 
     blocks = described.select("fp").mapInPandas(build, "range long, fps binary, counts binary")
     return blocks.groupBy("range").applyInPandas(merge, "fp long")
