@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -11,17 +12,28 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: The white space that every contract here names, and nothing else.
 BLANK = b" \t\n\x0b\x0c\r"
 
 
+#: Folders of sessions without spark.checkpoint.dir, by application.
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; only where unset (tests), one of our own."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that the cluster names in spark.checkpoint.dir. Where unset, one of our own, in local mode only: the
+    executors of a cluster could not read it."""
+    context = spark.sparkContext
+    found = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = tempfile.mkdtemp(prefix="annolith-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        if context.applicationId not in _OWN:
+            _OWN[context.applicationId] = tempfile.mkdtemp(prefix="annolith-")
+        found = _OWN[context.applicationId]
     return found.rstrip("/")
 
 
@@ -29,17 +41,29 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: later steps neither recompute it nor depend on one executor."""
-    path = scratch_path(df.sparkSession, name)
+def _written(df: DataFrame, path: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound what one Arrow batch holds, since single texts can be very long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write df to the shared folder and read it back: later steps neither recompute it nor depend on one executor."""
+    return _written(df, scratch_path(df.sparkSession, name))
+
+
+class Scratch:
+    """Tables of one computation in the shared folder, removed together once what they lead to is written."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path, self.tables = spark, scratch_path(spark, name), 0
+
+    def table(self, df: DataFrame) -> DataFrame:
+        self.tables += 1
+        return _written(df, f"{self.path}/{self.tables}")
+
+    def remove(self) -> None:
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 #: Caches of a worker; they are worth their memory within a partition only.
@@ -58,30 +82,35 @@ def release() -> None:
         pass
 
 
+#: Rows and bytes that are Python objects at once; single texts can be very long.
+SLICE_ROWS, SLICE_BYTES = 1000, 8 << 20
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    step = max(1, min(SLICE_ROWS, batch.num_rows * SLICE_BYTES // max(1, batch.nbytes)))
+    for at in range(0, batch.num_rows, step):
+        yield batch.slice(at, step)
+
+
 def map_batches(df: DataFrame, make: Callable[[dict[str, list]], dict[str, list]], schema: str) -> DataFrame:
-    """mapInArrow over columns as Python lists; make gets {column: values} and returns the columns of schema."""
-    small_batches(df.sparkSession)
-    from pyspark.sql.pandas.types import to_arrow_schema
+    """mapInArrow over columns as Python lists; make gets {column: values} and returns the columns of schema.
 
-    spark_schema = schema if not isinstance(schema, str) else _parse(df.sparkSession, schema)
+    Spark bounds an Arrow batch in bytes by itself; here it is cut further, so no session setting is touched.
+    """
+    spark_schema = StructType.fromDDL(schema)
     arrow = to_arrow_schema(spark_schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = make({n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)})
-            yield pa.RecordBatch.from_arrays([pa.array(got[f.name], f.type) for f in arrow], schema=arrow)
-            del got
+            for part in _slices(batch):
+                got = make({n: part.column(i).to_pylist() for i, n in enumerate(part.schema.names)})
+                yield pa.RecordBatch.from_arrays([pa.array(got[f.name], f.type) for f in arrow], schema=arrow)
+                del got
         release()
 
     return df.mapInArrow(run, spark_schema)
 
 
-def _parse(spark: SparkSession, ddl: str):
-    from pyspark.sql.types import StructType
-
-    return StructType.fromDDL(ddl)
-
-
 def row_key(docs: DataFrame) -> Column:
     """A hash of all columns of a row: rows of one id that differ in anything have different keys, equal rows have one.
 
@@ -90,33 +119,33 @@ def row_key(docs: DataFrame) -> Column:
     return F.xxhash64(*(x for name in docs.columns for x in (F.col(f"`{name}`"), F.col(f"`{name}`").isNull())))
 
 
-def repeat_rows(docs: DataFrame, told: DataFrame, broadcast_rows: int = 1_000_000, largest: bool = False) -> DataFrame:
+def repeat_rows(docs: DataFrame, told: DataFrame, broadcast_rows: int = 250_000) -> DataFrame:
     """Every row of docs as often as told (doc_id, row: its row_key, copies; one for each row of docs) says, also not at all.
 
-    Null and repeated ids may be any share of the rows. Equal rows share the sum of their copies, or with
-    largest each have the largest of them. Up to broadcast_rows
-    decisions (other than: once) are broadcast, so that texts are not shuffled; with more, Spark joins both sides.
+    Null and repeated ids may be any share of the rows, and columns may have any names: a row travels as one struct.
+    Rows equal in all columns cannot be told apart; together they are there as often as all of them should be. Up to
+    broadcast_rows decisions (24 bytes each; only those other than: once) are broadcast, so that texts are not
+    shuffled; with more, Spark joins both sides.
     """
-    sums = told.groupBy("doc_id", "row").agg(F.count(F.lit(1)).alias("n"), (F.count(F.lit(1)) * F.max("copies") if largest else F.sum("copies")).cast("long").alias("all"))
-    sums = sums.withColumn("uneven", F.col("all") % F.col("n") != 0)
-    sums = sums.filter("uneven or all <> n").select(F.col("doc_id").alias("_id"), F.col("row").alias("_key"), "uneven", F.col("all").alias("_all"), F.when(F.col("uneven"), 0).otherwise(F.expr("all div n")).cast("long").alias("_times"))
+    sums = told.groupBy("doc_id", "row").agg(F.count(F.lit(1)).alias("n"), F.sum("copies").cast("long").alias("whole"))
+    sums = sums.filter("whole <> n").select(F.col("doc_id").alias("id"), F.col("row").alias("key"), F.expr("whole div n").alias("times"), F.expr("whole % n").alias("over"))
     side = materialize(sums, "copies")
-    size, uneven, most = side.agg(F.count(F.lit(1)), F.count(F.when(F.col("uneven"), 1)), F.max("_times")).first()
-    keyed = docs.withColumn("_row", row_key(docs))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_key"))
+    size, uneven, most = side.agg(F.count(F.lit(1)), F.count_if(F.col("over") > 0), F.max("times")).first()
+    rows = docs.select(F.struct(*(F.col(f"`{name}`") for name in docs.columns)).alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), row_key(docs).alias("row"))
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("row") == F.col("key"))
     small = lambda df, n: F.broadcast(df) if n <= broadcast_rows else df
-    out = keyed.join(small(side.select("_id", "_key", "_times"), size), same, "left").withColumn("_times", F.coalesce("_times", F.lit(1).cast("long"))).filter("_times > 0")
+    once = F.lit(1).cast("long")
+    out = rows.join(small(side.drop("over"), size), same, "left").select("doc", F.coalesce("times", once).alias("times")).filter("times > 0")
     if (most or 0) > 1:
-        out = out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_times")))
-    out = out.select(*docs.columns)
-    if not uneven:
-        return out
-    # Equal rows with other copies than a multiple of their number: one of them stands for all. Partial sums come first,
-    # so that a row repeated any number of times is sent once for each partition.
-    one = keyed.join(small(side.filter("uneven").select("_id", "_key", "_all"), uneven), same).select(*docs.columns, "_all").dropDuplicates()
-    one = one.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(_all - 1) div 1000"))))
-    one = one.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(1000).cast("long"), F.expr("_all - 1000 * _block")))))
-    return out.unionByName(one.select(*docs.columns))
+        out = out.select("doc", F.explode(F.sequence(once, F.col("times"))).alias("copy"))
+    out = out.select("doc")
+    if uneven:
+        # What is over, fewer than there are such rows, is made from one of them, in blocks that any task may take.
+        one = rows.join(small(side.filter("over > 0").select("id", "key", "over"), uneven), same)
+        one = one.groupBy("id", "key").agg(F.first("doc").alias("doc"), F.first("over").alias("over"))
+        one = one.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(over - 1) div 1000")))).repartition("id", "key", "block")
+        out = out.unionByName(one.select("doc", F.explode(F.sequence(once, F.least(F.lit(1000).cast("long"), F.expr("over - 1000 * block")))).alias("copy")).select("doc"))
+    return out.select("doc.*")
 
 
 def salts_for(rows: int) -> int:

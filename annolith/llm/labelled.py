@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from annolith.llm.common import map_batches, release, small_batches
+from annolith.llm.common import map_batches, release
 
 
 def remainder(doc_id: Column, modulus: int) -> Column:
@@ -37,7 +37,6 @@ def sample(docs: DataFrame, labels: DataFrame, target: str, learn: Column, per_c
 
 def fit_in_one_task(rows: DataFrame, fit: Callable[[pd.DataFrame], dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
     """fit(all rows), run in one executor task over a sample of bounded size; only the model comes to the driver."""
-    small_batches(rows.sparkSession)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         whole = list(frames)

@@ -131,10 +131,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return out.select("doc_id", "source", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), *names)
 
 
-def mixed_rows(docs: DataFrame, broadcast_rows: int = 1_000_000) -> DataFrame:
-    """The mixture itself: every row of docs as often as it is taken (once or twice by default), none of size 0.
-
-    Rows equal in all columns each have the largest copy count among them; the pipeline has dropped such rows before.
-    """
+def mixed_rows(docs: DataFrame, broadcast_rows: int = 250_000) -> DataFrame:
+    """The mixture itself: every row of docs as often as it is taken (once or twice by default), none of size 0."""
     told = mix(docs, row=row_key(docs)).select("doc_id", "row", "copies")
-    return repeat_rows(docs, materialize(told, "told"), broadcast_rows, largest=True)
+    return repeat_rows(docs, materialize(told, "told"), broadcast_rows)

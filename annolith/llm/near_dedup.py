@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType
 
 from annolith.llm import shingles
-from annolith.llm.common import map_batches, materialize, release, repeat_rows, row_key, small_batches
+from annolith.llm.common import map_batches, materialize, release, repeat_rows, row_key
 from annolith.llm.components import connected
 
 #: Similarity in hundredths for a link; estimates below FLOOR are not confirmed.
@@ -115,7 +115,6 @@ def blocked(members: DataFrame, key: str, size: int, weight: Column | None = Non
 
 def per_group(dealt: DataFrame, keys: list[str], work: Callable[[pd.DataFrame], list[tuple[int, int]]]) -> DataFrame:
     """Edges (a, b) of work(group) for each group of rows with equal keys. Groups are runs of sorted rows, many a batch."""
-    small_batches(dealt.sparkSession)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
