@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import random
 import re
+import time
 import zlib
 from fractions import Fraction
 
@@ -76,11 +77,26 @@ def test_genetic_operators_keep_every_piece():
     assert content(best[0]) == stock and packing.bins(best[0]) <= packing.bins(a)
 
 
-def test_evolution_beats_best_fit_where_it_can():
-    # Best fit puts 6 + 4 together; optimal is 6+4, 5+5, 3+3+4 ... on a capacity where greed wastes room.
-    stock = {60: 3, 50: 4, 40: 4, 30: 5, 26: 6, 22: 6}
-    found = packing.evolve(stock, 100, 3, 8, 200, [])[0]
-    assert packing.bins(found) <= packing.bins(packing.best_fit(stock, 100))
+def test_evolution_beats_best_fit():
+    # Bins of three pieces that fill them exactly: greed takes apart what belongs together.
+    rng, stock = random.Random(3), {}
+    for _ in range(200):
+        a = rng.randint(780, 1000)
+        b = rng.randint(500, 1548 - a)
+        for n in (a, b, 2048 - a - b):
+            stock[n] = stock.get(n, 0) + 1
+    first = packing.bins(packing.evolve(stock, 2048, 3, 6, 1, [])[0])
+    last = packing.bins(packing.evolve(stock, 2048, 3, 6, 40, [])[0])
+    assert packing.lower_bound(stock, 2048) == 200 <= last < packing.bins(packing.best_fit(stock, 2048)) and last < first
+
+
+def test_evolution_reaches_the_bound_from_scattered_bins():
+    rng = random.Random(8)
+    stock = {n: rng.randrange(1, 6) for n in rng.sample(range(3, 1200), 500)}
+    bound = packing.lower_bound(stock, 2048)
+    assert packing.bins(packing.scatter(stock, 2048, rng)) > 1.05 * bound
+    seeds = [packing.scatter(stock, 2048, rng) for _ in range(6)]
+    assert packing.bins(packing.evolve(stock, 2048, 3, 6, 60, seeds)[0]) == bound
 
 
 # -- mixing
@@ -243,6 +259,22 @@ def test_a_part_already_found_does_not_hide_the_rest():
     assert not secrets.scan("token = q7Zt2Lx9Vb4Nc8Kd1Rf6Wg3H+j5Ts0")[1]
 
 
+def test_time_is_linear_in_runs_whatever_the_alphabet():
+    def seconds(text):
+        took = []
+        for _ in range(3):
+            began = time.perf_counter()
+            found = secrets.scan(text)
+            took.append(time.perf_counter() - began)
+        return min(took), found
+
+    unit = "q7Zt2Lx9Vb4Nc8Kd1Rf6Wg3Hj5 " + "word " * 6
+    plain, (_, ascii_spans) = seconds(("e " + unit) * 6_000)
+    other, (_, spans) = seconds(("é " + unit) * 6_000)
+    assert spans == ascii_spans and len(spans) == 6_000
+    assert other < 1.5 * plain + 0.2
+
+
 def test_mask(spark):
     got = secrets.find_secrets(docs(spark, [(1, "é token = abcdef12 x", "s"), (2, None, "s")]), masked=True).collect()
     assert {r.doc_id: r.masked for r in got} == {1: "é [SECRET] x", 2: None}

@@ -51,11 +51,26 @@ def test_quotient_filters_merge_without_loss():
     rng = np.random.default_rng(1)
     values = rng.integers(0, 1 << 63, 500, dtype=np.uint64) * np.uint64(2)
     parts = [rng.choice(values, 400) for _ in range(4)]
-    whole = exact_dedup.CountingQuotientFilter.build(parts[0]).merged([exact_dedup.CountingQuotientFilter.build(p) for p in parts[1:]])
+    cqf = exact_dedup.CountingQuotientFilter
+    whole = cqf.merged_all([cqf.build(p) for p in parts])
     want, counts = np.unique(np.concatenate(parts), return_counts=True)
-    assert (whole.fingerprints() == want).all() and (whole.counts == counts).all()
-    back = [exact_dedup.CountingQuotientFilter.unpacked(v, c) for _, v, c in whole.ranges(5)]
-    assert (back[0].merged(back[1:]).counts == counts).all()
+    found = whole.sorted()
+    assert (found[0] == want).all() and (found[1] == counts).all()
+    back = cqf.merged_all([cqf.unpacked(v, c) for _, v, c in whole.ranges(5)]).sorted()
+    assert (back[0] == want).all() and (back[1] == counts).all()
+    asked = np.concatenate([want, want + np.uint64(1)])
+    assert (whole.count_of(asked) == np.concatenate([counts, np.zeros(len(want), int)])).all()
+
+
+def test_quotient_filter_slots_are_read_by_their_bits():
+    # Quotients 1, 1, 2, 5 of 8 slots: the run of 2 is shifted by that of 1, 5 stands where it belongs.
+    values = np.array([(1 << 61) + 4, (1 << 61) + 9, (2 << 61) + 7, (5 << 61) + 1], np.uint64)
+    f = exact_dedup.CountingQuotientFilter.of_sorted(values, np.array([1, 2, 3, 4]))
+    assert f.bits == 3 and np.flatnonzero(f.occupied).tolist() == [1, 2, 5]
+    assert np.flatnonzero(f.continuation).tolist() == [2] and np.flatnonzero(f.shifted).tolist() == [2, 3]
+    assert f.remainders[[1, 2, 3, 5]].tolist() == [4, 9, 7, 1] and f.counts[[1, 2, 3, 5]].tolist() == [1, 2, 3, 4]
+    empty = exact_dedup.CountingQuotientFilter.build(np.zeros(0, np.uint64))
+    assert [x.tolist() for x in empty.merged(f).sorted()] == [values.tolist(), [1, 2, 3, 4]]
 
 
 def near_brute(rows, width):
@@ -124,6 +139,37 @@ def test_estimates_are_near_the_similarity():
         assert abs(shingles.estimate(one, two)[0] - true) < 0.12
 
 
+def test_components_take_logarithmic_rounds(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(components.Scratch, "table", lambda self, df, own=components.Scratch.table: made.append(1) or own(self, df))
+    rng = random.Random(2)
+    order = list(range(1000))
+    rng.shuffle(order)
+    for nodes in (list(range(2000)), order):
+        made.clear()
+        got = components.connected(spark.createDataFrame(list(zip(nodes, nodes[1:])), "a long, b long")).collect()
+        assert {r.node for r in got} == set(nodes) and {r.comp for r in got} == {0}
+        assert len(made) <= 45  # tables written; a step at a time took three for each node of a chain
+
+
+def test_components_of_random_graphs_equal_union_find(spark):
+    rng = random.Random(9)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(230)]
+    up = list(range(400))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((root(a), root(b)))
+        up[b] = a
+    got = {r.node: r.comp for r in components.connected(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: root(x) for x in {n for e in edges if e[0] != e[1] for n in e}}
+    assert components.connected(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(20, 40)] + [(100, i) for i in range(101, 130)] + [(5, 5)]
     got = {r.node: r.comp for r in components.connected(spark.createDataFrame(edges, "a long, b long")).collect()}
