@@ -45,7 +45,7 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     warc.write_archive(_table(spark, sf_dir, "pages"), path)
-    return warc.summary(warc.read_archive(spark, path, payloads=False))
+    return warc.summary(warc.record_bytes(warc.read_archive(spark, path)))
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,10 @@
 """Content-addressed WARC archive.
 
-An archive is a folder with two tables: `blobs` holds every payload once, under its SHA-256, and `headers` holds
-each record's exact header block. Reading joins them again. Every blob is verified when it is read (its digest is
-computed anew), so a damaged archive raises an error instead of giving wrong records.
+An archive is a folder with two tables: `blobs` holds every payload once, compressed, under its SHA-256, and `headers`
+holds each record's exact header block. Reading joins them again: every record comes back as its original bytes, with
+the full payload beside it also where it is a revisit. Every blob is verified when it is read (its digest is computed
+anew), so a damaged archive raises an error instead of giving wrong records. A payload that very many records share
+is one row of `blobs`; in the join its records are one key, which Spark's skew handling splits on their side.
 
 Null payload counts as empty; null page_id sorts last among records of one payload. Repeated rows (same id and
 payload) give as many records, all of one type. Empty tables give an empty archive. Columns that are not named are
@@ -14,8 +16,10 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import re
 from collections.abc import Iterable, Iterator
 
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,25 +35,38 @@ def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
+def pack(payload: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(payload)
+
+
+def unpack(blob: bytes) -> bytes:
+    """The payload of a blob; an error unless the blob is exactly one whole frame."""
+    reader = zstandard.ZstdDecompressor().decompressobj()
+    try:
+        payload = reader.decompress(blob)
+    except zstandard.ZstdError as e:
+        raise ValueError("archive damaged: a blob cannot be read") from e
+    if not reader.eof or reader.unused_data:
+        raise ValueError("archive damaged: a blob is not one whole frame")
+    return payload
+
+
 def _digests(cols: dict[str, list]) -> dict[str, list]:
     return {
-        **{c: cols[c] for c in ("page_id", "url", "payload")},
+        **{c: cols[c] for c in ("page_id", "url")},
+        "payload": [pack(p) for p in cols["payload"]],
+        "n_bytes": [len(p) for p in cols["payload"]],
         "sha256": [hashlib.sha256(p).hexdigest() for p in cols["payload"]],
         "sha1": [base32_sha1(p) for p in cols["payload"]],
     }
 
 
 def _verify(cols: dict[str, list]) -> dict[str, list]:
-    for want, payload in zip(cols["sha256"], cols["payload"], strict=True):
+    payloads = [unpack(b) for b in cols["payload"]]
+    for want, payload in zip(cols["sha256"], payloads, strict=True):
         if hashlib.sha256(payload).hexdigest() != want:
             raise ValueError(f"archive damaged: the blob of {want} has other bytes")
-    return {"sha256": cols["sha256"], "payload": cols["payload"], "sha1_read": [base32_sha1(p) for p in cols["payload"]], "bytes_read": [len(p) for p in cols["payload"]]}
-
-
-def _verify_only(cols: dict[str, list]) -> dict[str, list]:
-    got = _verify(cols)
-    del got["payload"]
-    return got
+    return {"sha256": cols["sha256"], "blob": cols["payload"]}
 
 
 def record_uri(page_id: Column) -> Column:
@@ -80,10 +97,10 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
     spark = pages.sparkSession
     url = F.col(url_col).cast("string") if url_col in pages.columns else F.lit(None).cast("string")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), url.alias("url"), F.coalesce(F.encode(F.col(payload_col), "UTF-8"), F.lit(b"")).alias("payload"))
-    rows = map_batches(rows, _digests, "page_id long, url string, payload binary, sha256 string, sha1 string")
+    rows = map_batches(rows, _digests, "page_id long, url string, payload binary, n_bytes long, sha256 string, sha1 string")
     # One row for each payload and partition is shuffled, not one for each record.
     order = F.struct(F.col("page_id").isNull(), F.col("page_id"))
-    blobs = rows.groupBy("sha256").agg(F.min_by("payload", order).alias("payload"), F.min("page_id").alias("first_id"), F.length(F.first("payload")).cast("long").alias("n_bytes"))
+    blobs = rows.groupBy("sha256").agg(F.min_by("payload", order).alias("payload"), F.min("page_id").alias("first_id"), F.max("n_bytes").alias("n_bytes"))
     blobs.write.option("compression", "zstd").parquet(f"{path}/blobs")
     firsts = spark.read.parquet(f"{path}/blobs").select("sha256", "first_id", "n_bytes")
     records = rows.select("page_id", "url", "sha256", "sha1").join(firsts, "sha256", "left")
@@ -92,17 +109,17 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
     headers.write.option("compression", "zstd").parquet(f"{path}/headers")
 
 
-def read_archive(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """Every record: page_id, header, sha256, sha1_read, bytes_read (of the full payload, verified) and payload.
+def _unpacked(cols: dict[str, list]) -> dict[str, list]:
+    return {**cols, "payload": [unpack(b) for b in cols.pop("blob")]}
+
 
-    payloads=False leaves the payload out after it was read and verified, so that it is not shuffled.
-    """
+def read_archive(spark: SparkSession, path: str) -> DataFrame:
+    """Every record: page_id, header, sha256 and the full payload (verified). Compressed blobs meet the headers."""
     headers = spark.read.parquet(f"{path}/headers")
     blobs = spark.read.parquet(f"{path}/blobs").select("sha256", "payload")
-    kept = ", payload binary" if payloads else ""
-    verified = map_batches(blobs, _verify if payloads else _verify_only, f"sha256 string{kept}, sha1_read string, bytes_read long")
-    joined = headers.join(verified, "sha256", "left")
-    return joined.withColumn("_whole", F.when(F.col("bytes_read").isNull(), F.raise_error(F.lit("archive damaged: a blob is missing")).cast("boolean")).otherwise(F.lit(True))).filter("_whole").drop("_whole")
+    joined = headers.join(map_batches(blobs, _verify, "sha256 string, blob binary"), "sha256", "left")
+    blob = F.when(F.col("blob").isNull(), F.raise_error(F.lit("archive damaged: a blob is missing")).cast("binary")).otherwise(F.col("blob"))
+    return map_batches(joined.select("page_id", "header", "sha256", blob.alias("blob")), _unpacked, "page_id long, header string, sha256 string, payload binary")
 
 
 def header_field(name: str, header: Column | None = None) -> Column:
@@ -112,9 +129,9 @@ def header_field(name: str, header: Column | None = None) -> Column:
 
 
 def record_bytes(records: DataFrame) -> DataFrame:
-    """Original records (column record): header block, payload (none in a revisit), two line ends."""
+    """Original records (column record): header block, payload (none in a revisit), two line ends; and the full payload."""
     body = F.when(header_field("WARC-Type") == "revisit", F.lit(b"")).otherwise(F.col("payload"))
-    return records.select("page_id", F.concat(F.encode("header", "UTF-8"), body, F.lit(b"\r\n\r\n")).alias("record"))
+    return records.select("page_id", F.concat(F.encode("header", "UTF-8"), body, F.lit(b"\r\n\r\n")).alias("record"), "payload")
 
 
 def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -148,13 +165,23 @@ def read_warc_files(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInPandas(run, "file string, fields map<string,string>, block binary")
 
 
+def _told(cols: dict[str, list]) -> dict[str, list]:
+    out: dict[str, list] = {k: [] for k in ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")}
+    for page_id, record, payload in zip(cols["page_id"], cols["record"], cols["payload"], strict=True):
+        ((fields, block),) = parse_records(record)
+        kind, full = fields["warc-type"], payload
+        if kind == "response":
+            full = block
+        digest = base32_sha1(full)
+        if fields["warc-payload-digest"] != f"sha1:{digest}":
+            raise ValueError("archive damaged: a record's payload has another digest than its header says")
+        refers = re.fullmatch("<urn:page:(-?[0-9]+)>", fields.get("warc-refers-to", ""))
+        for column, value in zip(out.values(), (page_id, len(full), digest, kind, int(refers[1]) if refers else None), strict=True):
+            column.append(value)
+    return out
+
+
 def summary(records: DataFrame) -> DataFrame:
-    """What each archived record says of itself, with size and digest as computed from the bytes that were read."""
-    refers = F.regexp_extract(F.coalesce(header_field("WARC-Refers-To"), F.lit("")), "^<urn:page:(-?[0-9]+)>$", 1)
-    return records.select(
-        "page_id",
-        F.col("bytes_read").alias("payload_bytes"),
-        F.col("sha1_read").alias("payload_digest"),
-        header_field("WARC-Type").alias("record_type"),
-        F.when(refers != "", refers.cast("long")).alias("refers_to"),
-    )
+    """What each reconstructed record (record_bytes) says of itself when it is parsed again: size and digest of its
+    payload, taken from its own block or, for a revisit, from the payload that it refers to."""
+    return map_batches(records.select("page_id", "record", "payload"), _told, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
