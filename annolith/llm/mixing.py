@@ -1,9 +1,8 @@
 """Mixing sources to target weights by fitting a word budget for each source.
 
 Sizes are word counts. A source's budget beyond whole copies is a subset-sum problem over its counts of documents
-by exact length: an even share of each length first, then whole documents from the longest down, then a bounded
-knapsack (dynamic programming over the remaining budget). Which documents of a length are taken is decided by a
-seeded hash, so reruns agree.
+by exact length: an even share of each length first, then a bounded knapsack (dynamic programming over the remaining
+budget). Which documents of a length are taken is decided by a seeded hash, so reruns agree.
 
 Null text has size 0; null source is a source of its own, after all others. Documents of size 0 take 0 words.
 Repeated rows count each for itself. An empty table gives an empty result. Other columns are ignored.
@@ -22,8 +21,8 @@ from annolith.llm.common import BLANK, map_batches, materialize, repeat_rows, ro
 
 #: Weights of the sources in order, repeating.
 WEIGHTS = (5, 2, 1)
-#: Above so many words of remaining budget whole documents are taken from the longest down; below, the knapsack decides.
-KNAPSACK_WORDS = 1 << 16
+#: Most words that the knapsack's table has (five bytes each), and most words times choices that it goes through.
+WORDS, WORK = 1 << 24, 2_000_000_000
 
 
 def water_fill(sizes: list[int], weights: list[int], share: Fraction, most: int) -> list[Fraction]:
@@ -42,44 +41,60 @@ def water_fill(sizes: list[int], weights: list[int], share: Fraction, most: int)
     return targets
 
 
-def knapsack(lengths: list[int], counts: list[int], budget: int) -> list[int]:
-    """How many of each length to take for the largest sum that does not exceed budget, exactly (bounded counts)."""
-    reach, steps = 1, []  # bit s of reach: sum s can be made
-    whole = (1 << (budget + 1)) - 1
+def _steps(lengths: list[int], counts: list[int], budget: int) -> list[tuple[int, int]]:
+    """(length's place, documents) of each choice: counts in powers of two, so that every number can be made."""
+    out = []
     for k, (length, count) in enumerate(zip(lengths, counts, strict=True)):
         left, times = min(count, budget // length if length else 0), 1
         while left:
-            n = min(times, left)
-            steps.append((k, n, reach))
-            reach |= (reach << (n * length)) & whole
-            left, times = left - n, times * 2
-            if reach >> budget & 1:
-                break
-        if reach >> budget & 1:
+            out.append((k, min(times, left)))
+            left, times = left - min(times, left), times * 2
+    return out
+
+
+def knapsack(lengths: list[int], counts: list[int], budget: int) -> list[int]:
+    """How many of each length to take for the largest sum that does not exceed budget, exactly (bounded counts)."""
+    steps = _steps(lengths, counts, budget)
+    reach = np.zeros(budget + 1, bool)  # sums that can be made
+    first = np.zeros(budget + 1, np.int32)  # the choice that made each sum first: all it stands on came before
+    reach[0] = True
+    for i, (k, n) in enumerate(steps):
+        size = n * lengths[k]
+        if size > budget:
+            continue
+        made = reach[:-size] & ~reach[size:]
+        first[size:][made] = i
+        reach[size:] |= made
+        if reach[budget]:
             break
-    at, taken = reach.bit_length() - 1, [0] * len(lengths)
-    for k, n, before in reversed(steps):
-        if not before >> at & 1:
-            taken[k] += n
-            at -= n * lengths[k]
+    at, taken = int(np.flatnonzero(reach)[-1]), [0] * len(lengths)
+    while at:
+        k, n = steps[first[at]]
+        taken[k] += n
+        at -= n * lengths[k]
     return taken
 
 
 def fit_budget(lengths: list[int], counts: list[int], budget: int) -> list[int]:
-    """Documents to take of each length so that their words come as near to budget as it finds, never above."""
+    """Documents to take of each length so that their words come as near to budget as it finds, never above.
+
+    An even share of each length, then the knapsack for what is left of the budget. Where that would be more than
+    WORK steps (only with thousands of lengths), whole documents from the longest down come between.
+    """
     total = sum(n * c for n, c in zip(lengths, counts, strict=True))
     if budget >= total:
         return list(counts)
     taken = [c * budget // total for c in counts]
     left = budget - sum(n * t for n, t in zip(lengths, taken, strict=True))
     order = sorted(range(len(lengths)), key=lambda i: -lengths[i])
+    most = min(WORDS, WORK // max(1, len(_steps(lengths, [c - t for c, t in zip(counts, taken, strict=True)], left))))
     for i in order:
-        if left <= KNAPSACK_WORDS:
+        if left <= most:
             break
         more = min(counts[i] - taken[i], left // lengths[i] if lengths[i] else 0)
         taken[i] += more
         left -= more * lengths[i]
-    left = min(left, KNAPSACK_WORDS)
+    left = min(left, most)
     usable = [i for i in order if 0 < lengths[i] <= left and counts[i] > taken[i]]
     for i, more in zip(usable, knapsack([lengths[i] for i in usable], [counts[i] - taken[i] for i in usable], left), strict=True):
         taken[i] += more
