@@ -135,7 +135,12 @@ def test_mixing_meets_every_target(spark):
     assert sorted(map(str, got)) == sorted(map(str, again))
     assert mixing.mix(docs(spark, [])).count() == 0
     assert mixing.mix(docs(spark, ODD[:3])).agg({"taken": "sum"}).first()[0] == 0
-    assert mixing.mixed_rows(docs(spark, rows)).count() == sum(r.copies for r in got if r.doc_id != 2) + 2 * max(r.copies for r in got if r.doc_id == 2)
+    for most in (250_000, 0):
+        mixed = mixing.mixed_rows(docs(spark, rows), broadcast_rows=most).groupBy("doc_id").count().collect()
+        want: dict = {}
+        for r in got:
+            want[r.doc_id] = want.get(r.doc_id, 0) + r.copies
+        assert {r.doc_id: r["count"] for r in mixed} == {i: n for i, n in want.items() if n}
 
 
 def test_knapsack_equals_brute_force():
@@ -151,6 +156,33 @@ def test_knapsack_equals_brute_force():
         assert sum(n * t for n, t in zip(lengths, got)) == max(best) and all(t <= c for t, c in zip(got, counts))
 
 
+def test_budget_of_few_long_documents_is_met():
+    assert mixing.fit_budget([50_000, 60_000, 100_000], [1, 1, 1], 110_000) == [1, 1, 0]
+    rng = random.Random(4)
+    for _ in range(40):
+        lengths = rng.sample(range(60_000, 400_000), 5)
+        counts = [rng.randrange(1, 3) for _ in lengths]
+        budget = rng.randrange(1, sum(n * c for n, c in zip(lengths, counts)))
+        made = {0}
+        for n, c in zip(lengths, counts):
+            made = {m + k * n for m in made for k in range(c + 1) if m + k * n <= budget}
+        even = [c * budget // sum(n * c for n, c in zip(lengths, counts)) for c in counts]
+        got = sum(n * t for n, t in zip(lengths, mixing.fit_budget(lengths, counts, budget)))
+        # The even share is fixed first; the rest is as good as it can be.
+        rest = {m for m in made if m >= sum(n * e for n, e in zip(lengths, even))}
+        assert got in rest and budget - got <= min(lengths)
+
+
+def test_budget_is_met_with_thousands_of_lengths(monkeypatch):
+    monkeypatch.setattr(mixing, "WORK", 10_000_000)
+    rng = random.Random(6)
+    lengths = list(range(1, 3000))
+    counts = [rng.randrange(1, 5) for _ in lengths]
+    budget = sum(n * c for n, c in zip(lengths, counts)) * 5 // 8
+    got = mixing.fit_budget(lengths, counts, budget)
+    assert sum(n * t for n, t in zip(lengths, got)) == budget and all(t <= c for t, c in zip(got, counts))
+
+
 # -- archive
 
 
@@ -164,7 +196,7 @@ PAGES = [(3, "http://a/", "<p>é</p>"), (1, "http://b/", "<p>é</p>"), (2, None,
 def test_archive_round_trip(spark, tmp_path):
     path = str(tmp_path / "archive")
     warc.write_archive(pages(spark, PAGES), path)
-    got = {r.page_id: r for r in warc.summary(warc.read_archive(spark, path, payloads=False)).collect()}
+    got = {r.page_id: r for r in warc.summary(warc.record_bytes(warc.read_archive(spark, path))).collect()}
     for i, _, h in PAGES:
         body = (h or "").encode()
         first = min(j for j, _, x in PAGES if (x or "") == (h or ""))
@@ -186,13 +218,20 @@ def test_damaged_archive_is_refused(spark, tmp_path):
     spark.createDataFrame(blobs).write.mode("overwrite").parquet(f"{path}/blobs")
     with pytest.raises(Exception, match="damaged"):
         warc.read_archive(spark, path).collect()
+    blobs["payload"] = [warc.pack(b"other") for _ in blobs["payload"]]
+    spark.createDataFrame(blobs).write.mode("overwrite").parquet(f"{path}/blobs")
+    with pytest.raises(Exception, match="damaged"):
+        warc.read_archive(spark, path).collect()
+    spark.createDataFrame(blobs).limit(0).write.mode("overwrite").parquet(f"{path}/blobs")
+    with pytest.raises(Exception, match="damaged"):
+        warc.read_archive(spark, path).collect()
 
 
 def test_archive_of_nothing_and_of_repeated_rows(spark, tmp_path):
     warc.write_archive(pages(spark, []), str(tmp_path / "none"))
     assert warc.read_archive(spark, str(tmp_path / "none")).count() == 0
     warc.write_archive(pages(spark, [(1, "u", "x"), (1, "u", "x"), (None, "u", "x")]), str(tmp_path / "twice"))
-    got = warc.summary(warc.read_archive(spark, str(tmp_path / "twice"))).collect()
+    got = warc.summary(warc.record_bytes(warc.read_archive(spark, str(tmp_path / "twice")))).collect()
     assert sorted((str(r.page_id), r.record_type) for r in got) == [("1", "response"), ("1", "response"), ("None", "revisit")]
 
 
