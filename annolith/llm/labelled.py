@@ -31,27 +31,35 @@ def sample(docs: DataFrame, labels: DataFrame, target: str, learn: Column, per_c
     labelled = labels.filter(learn).select("doc_id", F.col(target).cast("int").alias("y")).filter("y in (0, 1)")
     order = [F.xxhash64(F.lit(seed), F.col("doc_id")), F.col("doc_id")]
     chosen = reduce(DataFrame.unionByName, [labelled.filter(F.col("y") == y).orderBy(*order).limit(per_class) for y in (0, 1)])
-    # At most 2 * per_class rows of two numbers: a proven bound for the broadcast.
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "y")
+    # At most 2 * per_class rows of two numbers: a proven bound for the broadcast. An id that several rows have (or that
+    # is labelled twice) counts once, with the text of the smallest hash, so that the bound holds for texts as well.
+    found = docs.select(F.col("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    return found.groupBy("doc_id").agg(F.min_by(F.struct("text", "y"), F.struct(F.xxhash64("text"), "y")).alias("r")).select("doc_id", "r.text", "r.y")
 
 
-def fit_in_one_task(rows: DataFrame, fit: Callable[[pd.DataFrame], dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
-    """fit(all rows), run in one executor task over a sample of bounded size; only the model comes to the driver."""
+def fit_in_tasks(rows: DataFrame, fit: Callable[[pd.DataFrame, int], dict[str, np.ndarray]], parts: int = 1) -> dict[int, dict[str, np.ndarray]]:
+    """fit(all rows, part) for each part, each in a task of its own over a sample of bounded size; only what it returns
+    comes to the driver. Every task sees the rows in the same order."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         whole = list(frames)
         frame = pd.concat(whole, ignore_index=True) if whole else None
-        out = io.BytesIO()
-        np.savez(out, **(fit(frame) if frame is not None and len(frame) else {}))
-        del whole, frame
+        del whole
+        if frame is not None and len(frame):
+            frame = frame.sort_values("doc_id", ignore_index=True)
+            for part, own in frame.groupby("part"):
+                out = io.BytesIO()
+                np.savez(out, **fit(own.reset_index(drop=True), int(part)))
+                yield pd.DataFrame({"part": [part], "model": [out.getvalue()]})
+        del frame
         release()
-        yield pd.DataFrame({"model": [out.getvalue()]})
 
-    rows = rows.repartition(1).mapInPandas(run, "model binary").collect()
-    found: dict[str, np.ndarray] = {}
-    for row in rows:
+    dealt = rows.withColumn("part", F.explode(F.array(*map(F.lit, range(parts)))))
+    dealt = dealt.repartitionByRange(parts, "part") if parts > 1 else dealt.repartition(1)
+    found: dict[int, dict[str, np.ndarray]] = {}
+    for row in dealt.mapInPandas(run, "part int, model binary").collect():
         with np.load(io.BytesIO(bytes(row["model"]))) as stored:
-            found = found or {k: stored[k] for k in stored.files}
+            found[row["part"]] = {k: stored[k] for k in stored.files}
     return found
 
 

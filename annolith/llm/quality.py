@@ -160,15 +160,15 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality", per_class
 
     def featurise(frames):
         for frame in frames:
-            yield pd.DataFrame({"y": frame["y"], "features": [features(t).tobytes() for t in frame["text"]]})
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "y": frame["y"], "features": [features(t).tobytes() for t in frame["text"]]})
         release()
 
-    def fit(frame: pd.DataFrame) -> dict[str, np.ndarray]:
+    def fit(frame: pd.DataFrame, part: int) -> dict[str, np.ndarray]:
         y = frame["y"].to_numpy(np.int64)
         return fit_rows([np.frombuffer(b, np.int32) for b in frame["features"]], y, prior) if len(set(y.tolist())) == 2 else {}
 
-    chosen = labelled.sample(docs, labels, target, learn, per_class, seed).mapInPandas(featurise, "y int, features binary")
-    return labelled.fit_in_one_task(chosen, fit) or {"prior": share}
+    chosen = labelled.sample(docs, labels, target, learn, per_class, seed).mapInPandas(featurise, "doc_id long, y int, features binary")
+    return labelled.fit_in_tasks(chosen, fit).get(0) or {"prior": share}
 
 
 def score_texts(model: dict[str, np.ndarray], texts: list[str]) -> np.ndarray:

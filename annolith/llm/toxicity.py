@@ -1,11 +1,14 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
-A word is the bag of its hashed character n-grams (3 to 6 bytes of the lower-cased word between < and >, and the word
-itself), so unseen misspellings share vectors with the words they resemble. Embeddings are averaged over windows of
-consecutive words and go through a linear softmax; a text is as toxic as its most toxic window, in training too.
-Windows cover the whole text, so a long text hides nothing.
+A word is what stands between white space, without marks at its ends; digits and marks inside stay, and digits and
+marks that stand for letters are read as those. It is the bag of its hashed character n-grams (3 to 6 bytes of the
+lower-cased word between < and >, and the word itself), so unseen misspellings share vectors with the words they
+resemble. Embeddings are averaged over a word, words over windows of consecutive words, and these go through a linear
+softmax; a text is as toxic as its most toxic window, in training too. Windows cover the whole text.
 
 The fit uses at most `per_class` labelled rows of each class (a documented bound; those with the smallest seeded hash).
+The model is fitted on all of them; its scores are calibrated on the margins of FOLDS further models, each for the rows
+that it has not seen. Those models are fitted in parallel tasks.
 Null text counts as empty; a text without words has the score of an empty window. Without labelled rows of both
 classes every score is the smoothed share of class 1. Repeated rows score alike; an empty table gives an empty result;
 columns that are not named never enter a score.
@@ -22,19 +25,43 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from annolith.llm import labelled
+from annolith.llm.common import CACHES
 
 BITS, DIM, WINDOW = 17, 8, 6
 ORDERS = (3, 4, 5, 6)
 MODULUS, HELD = 5, 0
 PER_CLASS = 6000
-#: Up to so many sampled rows the scores are calibrated by cross-fitting.
-SPLIT_ROWS = 4000
-WORD = re.compile(r"[^\W\d_]+")
+FOLDS = 4
+#: From the first letter or digit to the last one before white space.
+WORD = re.compile(r"[^\W_](?:\S*[^\W_])?")
+#: Digits and marks that stand for letters inside a word.
+LOOKS_LIKE = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"})
+
+
+def spelled(word: str) -> str:
+    """The word as its n-grams see it; empty where it holds no letter (a number is no word)."""
+    if word.isalpha():
+        return word
+    return word.translate(LOOKS_LIKE) if any(c.isalpha() for c in word) else ""
+
+
+class _Spellings(dict):
+    most = 200_000
+
+    def __missing__(self, word: str) -> str:
+        if len(self) >= self.most:
+            self.clear()
+        self[word] = value = spelled(word)
+        return value
+
+
+_SPELLINGS = _Spellings()
+CACHES.append(_SPELLINGS)
 
 
 def words_of(text: str) -> list[str]:
     """Lower-cased words; a word said many times in a row counts once, else it would fill a window alone."""
-    return [word for word, _ in groupby(WORD.findall(text.lower()))]
+    return [word for word, _ in groupby(map(_SPELLINGS.__getitem__, WORD.findall(text.lower()))) if word]
 
 
 def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -69,93 +96,92 @@ def _windows(n_words: int) -> np.ndarray:
     return np.arange(0, max(1, n_words - WINDOW // 2), WINDOW // 2)
 
 
-def _window_sums(values: np.ndarray) -> np.ndarray:
-    """Sums of values (words first) over each window."""
+def _window_means(values: np.ndarray) -> np.ndarray:
+    """Means of values (words first) over each window."""
     total = np.concatenate([np.zeros((1, *values.shape[1:]), values.dtype), np.cumsum(values, axis=0)])
     starts = _windows(len(values))
-    return total[np.minimum(starts + WINDOW, len(values))] - total[starts]
-
-
-def fit_texts(texts: list[str], y: np.ndarray, prior: tuple[int, int], seed: int = 13) -> dict[str, np.ndarray]:
-    """The model, calibrated on rows that the model in question has not seen: four folds, or a fifth of many rows."""
-    fold = np.random.default_rng(seed).integers(0, 5 if len(texts) > SPLIT_ROWS else 4, len(texts))
-    margins, judged = np.zeros(len(texts)), np.zeros(len(texts), bool)
-    model = None
-    for k in range(1 if len(texts) > SPLIT_ROWS else 4):
-        inside, outside = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
-        if len(outside) and len(set(y[inside].tolist())) == 2:
-            model = train_texts([texts[i] for i in inside], y[inside], seed=seed)
-            margins[outside] = Scorer(model).margins([texts[i] for i in outside])
-            judged[outside] = True
-    if len(texts) <= SPLIT_ROWS or model is None:
-        model = train_texts(texts, y, seed=seed)
-    if len(set(y[judged].tolist())) < 2:
-        margins, judged = Scorer(model).margins(texts), np.ones(len(texts), bool)
-    return model | {"line": np.array(labelled.calibrate(margins[judged], y[judged], prior))}
-
-
-def train_texts(texts: list[str], y: np.ndarray, epochs: int = 6, batch: int = 32, rate: float = 0.5, seed: int = 13) -> dict[str, np.ndarray]:
-    """Embeddings and softmax, trained together by sparse Adagrad on each text's most toxic window."""
+    ends = np.minimum(starts + WINDOW, len(values))
+    return (total[ends] - total[starts]) / (ends - starts)
+
+
+class _Bags:
+    """The n-grams of a list of words, and means of what n-grams have over the words' bags."""
+
+    def __init__(self, words: list[str]):
+        self.buckets, self.starts = subwords(words)
+        self.counts = np.diff(np.append(self.starts, len(self.buckets)))
+
+    def places(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(buckets of the words, where each word's begin)."""
+        n = self.counts[which]
+        first = np.concatenate(([0], np.cumsum(n)[:-1]))
+        return self.buckets[np.repeat(self.starts[which] - first, n) + np.arange(n.sum())], first
+
+    def means(self, table: np.ndarray, which: np.ndarray) -> np.ndarray:
+        found, first = self.places(which)
+        n = self.counts[which]
+        return np.add.reduceat(table[found], first, axis=0) / (n if table.ndim == 1 else n[:, None])
+
+
+def train_texts(texts: list[str], y: np.ndarray, epochs: int = 6, steps: int = 300, batch: int = 32, rate: float = 0.5, seed: int = 13, refresh: int = 16) -> dict[str, np.ndarray]:
+    """Embeddings and softmax, trained together by sparse Adagrad on each text's most toxic window, for that many epochs,
+    or more if there would be fewer steps (batches).
+
+    Which window that is, is looked up for `refresh` batches at a time; gradients are always those of the model as it is.
+    """
     rng = np.random.default_rng(seed)
     place: dict[str, int] = {}
     docs = [np.array([place.setdefault(w, len(place)) for w in words_of(t)], np.int64) for t in texts]
-    buckets, starts = subwords(list(place))
-    counts = np.diff(np.append(starts, len(buckets)))
+    bags = _Bags(list(place))
     table = rng.normal(0, 1 / DIM, (1 << BITS, DIM))
     soft, bias = rng.normal(0, 1 / DIM, (DIM, 2)), np.zeros(2)
     seen_table, seen_soft, seen_bias = np.full(1 << BITS, 1e-6), np.full((DIM, 2), 1e-6), np.full(2, 1e-6)
     balance = len(y) / (2 * np.maximum(1, np.bincount(y, minlength=2)))
-
-    def vectors(which: np.ndarray) -> np.ndarray:
-        """Sums of the n-gram vectors of words."""
-        n = counts[which]
-        first = np.repeat(starts[which] - np.concatenate(([0], np.cumsum(n)[:-1])), n)
-        return np.add.reduceat(table[buckets[first + np.arange(n.sum())]], np.concatenate(([0], np.cumsum(n)[:-1])), axis=0)
-
-    for _ in range(epochs):
-        order = rng.permutation(len(docs))
-        for at in range(0, len(order), batch):
-            some = [i for i in order[at : at + batch] if len(docs[i])]
-            if not some:
-                continue
-            used, inverse = np.unique(np.concatenate([docs[i] for i in some]), return_inverse=True)
-            vec, put = vectors(used), 0
-            g_soft, g_bias = np.zeros_like(soft), np.zeros_like(bias)
-            grad_words, grads = [], []
-            for i in some:
-                mine = inverse[put : put + len(docs[i])]
-                put += len(docs[i])
-                mean = _window_sums(vec[mine]) / _window_sums(counts[used[mine]])[:, None]
+    known, score = np.zeros(len(place), bool), np.zeros(len(place))
+    usable = np.array([i for i, d in enumerate(docs) if len(d)], np.int64)
+
+    def most_toxic(some: np.ndarray) -> list[np.ndarray]:
+        """The words of each text's most toxic window."""
+        for i in some:
+            known[docs[i]] = True
+        words = np.flatnonzero(known)
+        known[words] = False
+        score[words] = bags.means(table @ (soft[:, 1] - soft[:, 0]), words)
+        first = [int(_windows(len(docs[i]))[np.argmax(_window_means(score[docs[i]]))]) for i in some]
+        return [docs[i][at : at + WINDOW] for i, at in zip(some, first, strict=True)]
+
+    for _ in range(max(epochs, steps * batch // max(1, len(usable)))):
+        order = rng.permutation(usable)
+        for block in (order[at : at + batch * refresh] for at in range(0, len(order), batch * refresh)):
+            chosen = most_toxic(block)
+            for at in range(0, len(block), batch):
+                windows, label = chosen[at : at + batch], y[block[at : at + batch]]
+                sizes = np.array([len(w) for w in windows])
+                words = np.concatenate(windows)
+                starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+                mean = np.add.reduceat(bags.means(table, words), starts, axis=0) / sizes[:, None]
                 logit = mean @ soft + bias
-                k = int(np.argmax(logit[:, 1] - logit[:, 0]))
-                p = np.exp(logit[k] - logit[k].max())
-                p /= p.sum()
-                p[y[i]] -= 1
-                p *= balance[y[i]]
-                g_soft += np.outer(mean[k], p)
-                g_bias += p
-                first = _windows(len(mine))[k]
-                window = used[mine[first : first + WINDOW]]
-                grad_words.append(window)
-                grads.append(np.broadcast_to(soft @ p / counts[window].sum(), (len(window), DIM)))
-            words, grad = np.concatenate(grad_words), np.concatenate(grads)
-            n = counts[words]
-            first = np.repeat(starts[words] - np.concatenate(([0], np.cumsum(n)[:-1])), n)
-            rows, back = np.unique(buckets[first + np.arange(n.sum())], return_inverse=True)
-            each = np.repeat(grad, n, axis=0)
-            total = np.stack([np.bincount(back, each[:, d], len(rows)) for d in range(DIM)], axis=1)
-            seen_table[rows] += (total**2).mean(axis=1)
-            table[rows] -= rate * total / np.sqrt(seen_table[rows])[:, None]
-            g_soft, g_bias = g_soft / len(some), g_bias / len(some)
-            seen_soft += g_soft**2
-            seen_bias += g_bias**2
-            soft -= 0.1 * g_soft / np.sqrt(seen_soft)
-            bias -= 0.1 * g_bias / np.sqrt(seen_bias)
+                p = np.exp(logit - logit.max(axis=1, keepdims=True))
+                p /= p.sum(axis=1, keepdims=True)
+                p[np.arange(len(label)), label] -= 1
+                p *= balance[label][:, None]
+                g_soft, g_bias = mean.T @ p / len(label), p.mean(axis=0)
+                each = np.repeat(p @ soft.T / sizes[:, None], sizes, axis=0) / bags.counts[words][:, None]
+                found, _ = bags.places(words)
+                rows, back = np.unique(found, return_inverse=True)
+                each = np.repeat(each, bags.counts[words], axis=0)
+                total = np.stack([np.bincount(back, each[:, d], len(rows)) for d in range(DIM)], axis=1)
+                seen_table[rows] += (total**2).mean(axis=1)
+                table[rows] -= rate * total / np.sqrt(seen_table[rows])[:, None]
+                seen_soft += g_soft**2
+                seen_bias += g_bias**2
+                soft -= 0.1 * g_soft / np.sqrt(seen_soft)
+                bias -= 0.1 * g_bias / np.sqrt(seen_bias)
     return {"table": table.astype(np.float32), "soft": soft, "bias": bias}
 
 
 class Scorer:
-    """Margins of whole texts. Each word's contribution is computed once and kept while there are fewer than `most`."""
+    """Margins of whole texts. Each word's margin is computed once and kept while there are fewer than `most`."""
 
     most = 200_000
 
@@ -163,7 +189,7 @@ class Scorer:
         direction = model["soft"][:, 1] - model["soft"][:, 0]
         self.flat = model["table"].astype(np.float64) @ direction  # of each bucket, as the softmax sees it
         self.bias = float(model["bias"][1] - model["bias"][0])
-        self.known: dict[str, complex] = {}  # real: sum over the word's n-grams, imaginary: how many
+        self.known: dict[str, float] = {}
 
     def margins(self, texts: list[str]) -> np.ndarray:
         split = [words_of(t) for t in texts]
@@ -172,18 +198,41 @@ class Scorer:
         new = list({w for words in split for w in words if w not in self.known})
         for at in range(0, len(new), 50_000):
             some = new[at : at + 50_000]
-            buckets, starts = subwords(some)
-            sums = np.add.reduceat(self.flat[buckets], starts)
-            counts = np.diff(np.append(starts, len(buckets)))
-            self.known.update(zip(some, (sums + 1j * counts).tolist(), strict=True))
+            self.known.update(zip(some, _Bags(some).means(self.flat, np.arange(len(some))).tolist(), strict=True))
         out = np.full(len(texts), self.bias)
         for i, words in enumerate(split):
             if words:
-                totals = _window_sums(np.fromiter(map(self.known.__getitem__, words), np.complex128, len(words)))
-                out[i] += (totals.real / totals.imag).max()
+                out[i] += _window_means(np.fromiter(map(self.known.__getitem__, words), float, len(words))).max()
         return out
 
 
+def fold_of(rows: int, seed: int = 13) -> np.ndarray:
+    return np.random.default_rng(seed).integers(0, FOLDS, rows)
+
+
+def fit_part(texts: list[str], y: np.ndarray, part: int) -> dict[str, np.ndarray]:
+    """Part FOLDS is the model of all rows; a lower one gives the margins of its fold's rows by a model of all others."""
+    if part == FOLDS:
+        return train_texts(texts, y)
+    fold = fold_of(len(texts))
+    inside, outside = np.flatnonzero(fold != part), np.flatnonzero(fold == part)
+    if not len(outside) or len(set(y[inside].tolist())) < 2:
+        return {}
+    model = train_texts([texts[i] for i in inside], y[inside])
+    return {"margins": Scorer(model).margins([texts[i] for i in outside]), "y": y[outside]}
+
+
+def calibrated(parts: dict[int, dict[str, np.ndarray]], prior: tuple[int, int]) -> dict[str, np.ndarray]:
+    """The model of all rows with its line, by the margins of rows that the models in question have not seen.
+
+    Where those hold one class only (a handful of rows), the line is one through the margins of the centre: 0.
+    """
+    model, folds = parts[FOLDS], [p for k, p in sorted(parts.items()) if k < FOLDS and len(p)]
+    margins, y = (np.concatenate([p[c] for p in folds]) if folds else np.zeros(0) for c in ("margins", "y"))
+    both = len(set(y.tolist())) == 2
+    return model | {"line": np.array(labelled.calibrate(margins, y.astype(np.int64), prior) if both else (1.0, 0.0))}
+
+
 def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", per_class: int = PER_CLASS, seed: int = 19) -> dict[str, np.ndarray]:
     learn = labelled.remainder(F.col("doc_id"), MODULUS) != HELD
     prior = labelled.class_counts(labels, target, learn)
@@ -191,11 +240,13 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", per_class:
     if not min(prior):
         return {"prior": share}
 
-    def fit(frame: pd.DataFrame) -> dict[str, np.ndarray]:
+    def fit(frame: pd.DataFrame, part: int) -> dict[str, np.ndarray]:
         y = frame["y"].to_numpy(np.int64)
-        return fit_texts(frame["text"].tolist(), y, prior) if len(set(y.tolist())) == 2 else {}
+        return fit_part(frame["text"].tolist(), y, part) if len(set(y.tolist())) == 2 else {}
 
-    return labelled.fit_in_one_task(labelled.sample(docs, labels, target, learn, per_class, seed), fit) or {"prior": share}
+    rows = labelled.sample(docs, labels, target, learn, per_class, seed)
+    parts = labelled.fit_in_tasks(rows, fit, FOLDS + 1)
+    return calibrated(parts, prior) if parts.get(FOLDS) else {"prior": share}
 
 
 def classify(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
