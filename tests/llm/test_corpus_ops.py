@@ -10,9 +10,10 @@ from fractions import Fraction
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("annolith.llm")
-from annolith.llm import mixing, packing, quality, secrets, toxicity, warc  # noqa: E402
+from annolith.llm import labelled, mixing, packing, quality, secrets, toxicity, warc  # noqa: E402
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, piece int, rank long, score double"
 
@@ -367,6 +368,75 @@ def test_toxicity_catches_unseen_misspellings(spark):
     assert all(0 <= r.score <= 1 for r in got.values())
 
 
+def test_disguised_spellings_are_one_word_and_share_ngrams():
+    assert toxicity.words_of("you 1d10t, st*pid (M0R0N) h4te: 2024 -- x2!") == ["you", "idiot", "st*pid", "moron", "hate", "x2"]
+    rng = random.Random(11)
+    insults = ["idiot", "stupid", "moron"]
+    texts = [" ".join(prose(rng, 20).split() + ([rng.choice(insults)] if i % 2 else [])) for i in range(200)]
+    model = toxicity.train_texts(texts, np.array([i % 2 for i in range(200)]), epochs=20)
+    clean = toxicity.Scorer(model).margins([prose(rng, 20) for _ in range(20)])
+    told = toxicity.Scorer(model).margins([prose(rng, 8) + f" {w} " + prose(rng, 8) for w in ("1d10t", "st*pid", "m0r0n", "1diot!!", "stupidd", "m0ron")])
+    assert told.min() > np.median(clean) and np.mean(told > clean.max()) >= 0.8
+
+
+def test_bags_equal_plain_ngrams():
+    rng = np.random.default_rng(4)
+    table = rng.normal(size=(1 << toxicity.BITS, 3))
+    words, m = ["ab", "stupid", "é*x", "a" * 70], 1 << 64
+    bags = toxicity._Bags(words)
+    got = bags.means(table, np.array([3, 0, 2, 1]))
+    for row, word in zip(got, ["a" * 70, "ab", "é*x", "stupid"]):
+        raw, found = b"<" + word.encode() + b">", []
+        for n in (3, 4, 5, 6):
+            for at in range(len(raw) - n + 1):
+                h = raw[at] + 1
+                for c in raw[at + 1 : at + n]:
+                    h = (h * 0x100000001B3 + c + 1) % m
+                found.append((h * 0x9E3779B97F4A7C15 % m) >> (64 - toxicity.BITS))
+        whole = sum((c + 7) * pow(0x100000001B3, k % 64, m) for k, c in enumerate(raw)) % m
+        found.append(((whole * 0x9E3779B97F4A7C15 + 0xABCDEF) % m) >> (64 - toxicity.BITS))
+        assert np.allclose(row, table[found].mean(axis=0))
+    values = rng.normal(size=17)
+    plain = [values[a : a + toxicity.WINDOW].mean() for a in toxicity._windows(17)]
+    assert np.allclose(toxicity._window_means(values), plain)
+
+
+def test_log_count_ratios_equal_plain_counts():
+    rng = np.random.default_rng(3)
+    rows = [np.unique(rng.integers(0, 50, rng.integers(1, 20))).astype(np.int32) for _ in range(60)]
+    y = rng.integers(0, 2, 60)
+    got = quality.log_count_ratio(rows, y)
+    count = lambda f, c: 1.0 + sum(f in r for r, label in zip(rows, y) if label == c)
+    total = {c: sum(count(f, c) for f in range(50)) + (1 << quality.BITS) - 50 for c in (0, 1)}
+    for f in range(60):
+        p, q = count(f, 1) / total[1], count(f, 0) / total[0]
+        assert got[f] == pytest.approx(np.log(p / q) if count(f, 0) + count(f, 1) >= 5 else 0)
+
+
+def test_dual_coordinate_descent_finds_the_least_hinge_loss():
+    rng = np.random.default_rng(7)
+    rows = [np.sort(rng.choice(12, 5, replace=False)).astype(np.int32) for _ in range(50)]
+    values = [rng.normal(size=5) for _ in rows]
+    sign, cost = rng.choice([-1.0, 1.0], 50), rng.uniform(0.2, 1.0, 50)
+    w = quality.dual_coordinate_descent(rows, values, sign, cost, epochs=3000)
+    bias = 1 << quality.BITS
+
+    def loss(w):
+        return 0.5 * w @ w + sum(c * max(0.0, 1 - s * (w[r] @ v + w[bias])) for r, v, s, c in zip(rows, values, sign, cost))
+
+    for _ in range(300):
+        step = np.zeros_like(w)
+        step[[*range(12), bias]] = rng.normal(size=13) * rng.choice([0.001, 0.01, 0.1])
+        assert loss(w + step) >= loss(w) - 1e-3
+
+
+def test_sample_of_repeated_ids_is_bounded(spark):
+    rows = [(7, f"text {i}", "s") for i in range(40)] + [(8, "x", "s"), (None, "y", "s")]
+    table = spark.createDataFrame([(7, 1, 0), (7, 1, 0), (8, 0, 0), (None, 0, 0)], "doc_id long, quality int, toxic int")
+    got = labelled.sample(docs(spark, rows), table, "quality", F.lit(True), 10, 1).collect()
+    assert sorted((r.doc_id, r.y) for r in got) == [(7, 1), (8, 0)]
+
+
 def test_dual_coordinate_descent_separates():
     rng = np.random.default_rng(0)
     rows = [np.array(sorted({int(x) for x in rng.integers(10, 90, 6)} | {5 if y else 6}), np.int32) for y in range(2) for _ in range(40)]
