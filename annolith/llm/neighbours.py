@@ -7,6 +7,10 @@ size; a group asks each other group for the vectors that its lists name, once ho
 Rounds end when few entries change. Queries are rows; each starts at its own node and expands the best nodes it knows
 until the best `beam` are all expanded.
 
+While the graph is built, vectors travel as halves with a scale of their own; scores are those of the original ones.
+Hubs, the nodes that very many lists name (under inner products the longest vectors are in nearly all), go to every
+search task together with their lists: at most HUBS of them, so that no group of nodes gets every query's requests.
+
 Lists of `degree` neighbours and as many reverse ones are the method's own bound; the index holds every row. Vectors
 that are null, zero, of another length than most, or that hold null or non-finite components take no part. Repeated
 rows and equal vectors are each a candidate; ties go to smaller vec_id (null last). With fewer rows than asked for,
@@ -21,6 +25,7 @@ from functools import partial
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +35,8 @@ from annolith.llm.common import materialize
 GROUP, DEGREE, BEAM, EXPAND = 4096, 48, 160, 24
 #: Nodes of a starting block, and how many blockings.
 BLOCK, BLOCKINGS = 1000, 4
+#: Most hubs, and how many lists name one at least, in lists' lengths; entries that are turned around together.
+HUBS, NAMED, TURNED = 1024, 8, 2_000_000
 #: Rounds end when fewer entries than this share change, or after so many rounds.
 CHANGED, ROUNDS = 0.03, 12
 
@@ -91,6 +98,19 @@ def _matrix(blobs: pd.Series | list, kind: type = np.float32) -> np.ndarray:
     return np.frombuffer(b"".join(blobs), kind).reshape(len(blobs), -1) if len(blobs) else np.zeros((0, 1), kind)
 
 
+def _halves(x: np.ndarray) -> list[bytes]:
+    """Each row as its largest absolute value (single precision) and its share of that (half precision)."""
+    scale = np.abs(x).max(axis=1, keepdims=True)
+    share = (x / scale).astype(np.float16)
+    return [a.tobytes() + b.tobytes() for a, b in zip(scale.astype(np.float32), share, strict=True)]
+
+
+def _singles(blob: bytes, rows: int) -> np.ndarray:
+    """Rows of _halves, one behind the other, in single precision."""
+    raw = np.frombuffer(blob, np.uint8).reshape(rows, -1) if rows else np.zeros((0, 6), np.uint8)
+    return np.ascontiguousarray(raw[:, 4:]).view(np.float16).astype(np.float32) * np.ascontiguousarray(raw[:, :4]).view(np.float32)
+
+
 # -- nodes -------------------------------------------------------------------------------------------------------
 
 
@@ -128,14 +148,14 @@ def _start(nodes: DataFrame, count: int, groups: int, degree: int, seed: int) ->
                 x = _matrix(frame["v"], np.float64)
                 for t in range(BLOCKINGS):
                     planes = np.random.default_rng(seed + t).normal(size=(x.shape[1], bits))
-                    yield pd.DataFrame({"t": t, "code": (x @ planes > 0) @ (1 << np.arange(bits)), "node": frame["node"], "x": [b.tobytes() for b in x.astype(np.float32)]})
+                    yield pd.DataFrame({"t": t, "code": (x @ planes > 0) @ (1 << np.arange(bits)), "node": frame["node"], "x": _halves(x)})
 
     coded = nodes.mapInPandas(codes, "t int, code long, node long, x binary")
     sizes = materialize(coded.groupBy("t", "code").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts")), "blocks")
     coded = coded.join(sizes, ["t", "code"]).withColumn("part", F.pmod(F.xxhash64("node", "t"), "parts"))
 
     def within(frame: pd.DataFrame) -> pd.DataFrame:
-        node, x = frame["node"].to_numpy(np.int64), _matrix(frame["x"])
+        node, x = frame["node"].to_numpy(np.int64), _singles(b"".join(frame["x"]), len(frame))
         found = []
         for at in range(0, len(node), 512):
             sim = x[at : at + 512] @ x.T
@@ -173,10 +193,16 @@ def _merge(lists: DataFrame, nodes: DataFrame, groups: int, degree: int) -> Data
 
 
 def _reversed(frames: Iterator[pd.DataFrame], groups: int, degree: int) -> Iterator[pd.DataFrame]:
-    """Lists turned around, a batch's best only: a node that is everyone's neighbour sends little."""
+    """Lists turned around, the best of TURNED entries only: a node that is everyone's neighbour sends little."""
+    held: list[tuple] = []
     for frame in frames:
         node, other, sim = _flat(frame)
-        yield _by_group(*best(other, node, sim, degree), groups)
+        held.append((other, node, sim))
+        if sum(len(h[0]) for h in held) > TURNED:
+            yield _by_group(*best(*(np.concatenate(c) for c in zip(*held, strict=True)), degree), groups)
+            held = []
+    if held:
+        yield _by_group(*best(*(np.concatenate(c) for c in zip(*held, strict=True)), degree), groups)
 
 
 def _meetings(frame: pd.DataFrame, groups: int, degree: int) -> pd.DataFrame:
@@ -205,7 +231,7 @@ def _answers(asked: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
     """The vectors asked for, and the similarity that a new neighbour of each must beat."""
     node = own["node"].to_numpy(np.int64)
     order = np.argsort(node)
-    x = _matrix(own["x"])
+    x = np.frombuffer(b"".join(own["x"]), np.uint8).reshape(len(own), -1)
     least = np.array([np.frombuffer(s, np.float32)[-1] if len(s) == full else -np.inf for s, full in zip(own["sims"], own["full"], strict=True)], np.float32)
     rows = [order[np.searchsorted(node[order], _ints(b))] for b in asked["ids"]]
     return pd.DataFrame({"g": asked["g"], "ids": asked["ids"], "xs": [x[r].tobytes() for r in rows], "least": [least[r].tobytes() for r in rows]})
@@ -215,7 +241,7 @@ def _local_join(meet: pd.DataFrame, answers: pd.DataFrame, groups: int, degree:
     """Candidates for every member of the group's lists, from the other members of the same lists."""
     ids = _ints(b"".join(answers["ids"]))
     order = np.argsort(ids)
-    x = np.frombuffer(b"".join(answers["xs"]), np.float32).reshape(len(ids), -1)[order]
+    x = _singles(b"".join(answers["xs"]), len(ids))[order]
     least = np.frombuffer(b"".join(answers["least"]), np.float32)[order]
     members = ids[order]  # sorted as in the row's list
     places, starts = np.frombuffer(meet["places"].iloc[0], np.int32), np.frombuffer(meet["starts"].iloc[0], np.int32)
@@ -263,7 +289,7 @@ def build_graph(nodes: DataFrame, count: int, degree: int = DEGREE, seed: int =
 
 def _narrow(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
-        frame["x"] = [np.frombuffer(b, np.float64).astype(np.float32).tobytes() for b in frame["v"]]
+        frame["x"] = _halves(_matrix(frame["v"], np.float64))
         yield frame[["g", "node", "v", "x"]]
 
 
@@ -290,14 +316,64 @@ def _scores(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (x * q).sum(axis=1)  # row by row: equal vectors score equally
 
 
-def _frontier(frames: Iterator[pd.DataFrame], groups: int) -> Iterator[pd.DataFrame]:
-    """Each query's best nodes that it has not expanded, by group: (h, node, ids)."""
-    for frame in frames:
-        out: list[tuple] = []
-        for node, ids, done in zip(frame["node"], frame["ids"], frame["done"], strict=True):
-            todo = _ints(ids)[np.frombuffer(done, bool) == 0][:EXPAND]
-            out += [(h, node, todo[todo % groups == h].tobytes()) for h in np.unique(todo % groups).tolist()]
-        yield pd.DataFrame(out, columns=["h", "node", "ids"])
+class Hubs:
+    """Nodes that many lists name, sorted: their ids, vectors (rows) and lists."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, lists: list[bytes]):
+        self.ids, self.x, self.lists = ids, x, lists
+
+    def holds(self, ids: np.ndarray) -> np.ndarray:
+        return self.ids[np.minimum(np.searchsorted(self.ids, ids), len(self.ids) - 1)] == ids if len(self.ids) else np.zeros(len(ids), bool)
+
+
+def find_hubs(graph: DataFrame, degree: int) -> Hubs:
+    """At most HUBS nodes, those that the most lists name: a bounded number of rows comes to the driver."""
+
+    def named(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            ids, counts = np.unique(_ints(b"".join(frame["ids"])), return_counts=True)
+            yield pd.DataFrame({"node": ids, "n": counts})
+
+    counts = graph.select("ids").mapInPandas(named, "node long, n long").groupBy("node").agg(F.sum("n").alias("n"))
+    top = counts.filter(F.col("n") >= NAMED * degree).orderBy(F.desc("n"), "node").limit(HUBS)
+    rows = sorted(graph.join(F.broadcast(top), "node").select("node", "v", "ids").collect())
+    return Hubs(np.array([r["node"] for r in rows], np.int64), _matrix([bytes(r["v"]) for r in rows], np.float64), [bytes(r["ids"]) for r in rows])
+
+
+def _todo(frame: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
+    """(query, its best nodes that it has not expanded)."""
+    for node, ids, done in zip(frame["node"], frame["ids"], frame["done"], strict=True):
+        yield node, _ints(ids)[np.frombuffer(done, bool) == 0][:EXPAND]
+
+
+def _frontier(hubs: Broadcast, groups: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """What each query asks of each group: (h, node, ids). Hubs are not asked for."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out: list[tuple] = []
+            for node, todo in _todo(frame):
+                todo = todo[~hubs.value.holds(todo)]
+                out += [(h, node, todo[todo % groups == h].tobytes()) for h in np.unique(todo % groups).tolist()]
+            yield pd.DataFrame(out, columns=["h", "node", "ids"])
+
+    return run
+
+
+def _hub_lists(hubs: Broadcast) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """(node, ids): the neighbours of the hubs that a query expands, without asking their groups."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = dict(zip(hubs.value.ids.tolist(), hubs.value.lists, strict=True))
+        for frame in frames:
+            out = []
+            for node, todo in _todo(frame):
+                lists = [known[i] for i in todo.tolist() if i in known]
+                if lists:
+                    out.append((node, np.unique(_ints(b"".join(lists))).tobytes()))
+            yield pd.DataFrame(out, columns=["node", "ids"])
+
+    return run
 
 
 def _expand(asked: pd.DataFrame, graph: pd.DataFrame) -> pd.DataFrame:
@@ -307,14 +383,16 @@ def _expand(asked: pd.DataFrame, graph: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"node": asked["node"], "ids": near})
 
 
-def _wanted(groups: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """(h, node, q, ids): neighbours that a query does not hold yet, one row for each group that has some."""
+def _wanted(hubs: Broadcast, groups: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """(h, node, q, ids): neighbours that a query does not hold yet, one row for each group that has some. Every query
+    has seen the hubs at its start."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
         for query, rows in frame.groupby("node", sort=False):
             mine = rows["q"].notna().to_numpy()
             near = np.setdiff1d(_ints(b"".join(rows["ids"][~mine])), _ints(b"".join(rows["ids"][mine])))
+            near = near[~hubs.value.holds(near)]
             q = rows["q"][mine].iloc[0]
             owner = near % groups
             order = np.argsort(owner, kind="stable")
@@ -370,26 +448,34 @@ def _mark(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield frame
 
 
-def search(graph: DataFrame, groups: int, queries: DataFrame, count: int) -> DataFrame:
+def search(graph: DataFrame, groups: int, queries: DataFrame, count: int, degree: int = DEGREE) -> DataFrame:
     """(node, found, score): the best nodes found for each query node; queries has node and v."""
+    hubs = queries.sparkSession.sparkContext.broadcast(find_hubs(graph, degree))
     part = F.pmod(F.xxhash64("node"), F.lit(max(1, math.ceil(count / 512)))).alias("p")
     none = F.lit(None).cast("binary")
 
     def own(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            x = [np.frombuffer(b, np.float64) for b in frame["v"]]
-            one = [np.array([n], np.int64).tobytes() for n in frame["node"]]
-            yield pd.DataFrame({"node": frame["node"], "q": frame["v"], "ids": one, "sims": [_scores(v[None], v).tobytes() for v in x], "done": [b"\0"] * len(x), "open": 1})
+            out: list[tuple] = []
+            for node, q in zip(frame["node"].tolist(), frame["v"], strict=True):
+                v = np.frombuffer(q, np.float64)
+                other = hubs.value.ids != node
+                ids = np.append(node, hubs.value.ids[other])
+                sims = np.append(_scores(v[None], v), _scores(hubs.value.x[other], v) if other.any() else [])
+                order = np.lexsort((ids, -sims))[:BEAM]
+                out.append((node, q, ids[order].tobytes(), sims[order].tobytes(), b"\0" * len(order), len(order)))
+            yield pd.DataFrame(out, columns=["node", "q", "ids", "sims", "done", "open"])
 
     pool = materialize(queries.select("node", "v").mapInPandas(own, POOL), "pool")
     vectors = graph.select(F.col("g").alias("h"), "node", "v")
     lists = graph.select(F.col("g").alias("h"), "node", "ids")
     while pool.agg(F.max("open")).first()[0]:
         going = pool.filter("open > 0").select("node", "q", "ids", "done")
-        asked = going.select("node", "ids", "done").mapInPandas(partial(_frontier, groups=groups), "h long, node long, ids binary")
+        asked = going.select("node", "ids", "done").mapInPandas(_frontier(hubs, groups), "h long, node long, ids binary")
         near = asked.groupBy("h").cogroup(lists.groupBy("h")).applyInPandas(_expand, "node long, ids binary")
+        near = near.unionByName(going.select("node", "ids", "done").mapInPandas(_hub_lists(hubs), "node long, ids binary"))
         met = near.select("node", none.alias("q"), "ids").unionByName(going.select("node", "q", "ids"))
-        wanted = met.groupBy(part).applyInPandas(_wanted(groups), "h long, node long, q binary, ids binary")
+        wanted = met.groupBy(part).applyInPandas(_wanted(hubs, groups), "h long, node long, q binary, ids binary")
         scored = wanted.groupBy("h").cogroup(vectors.groupBy("h")).applyInPandas(_score, "node long, ids binary, sims binary")
         marked = pool.mapInPandas(_mark, POOL).select("node", "q", "ids", "sims", "done")
         every = marked.unionByName(scored.select("node", none.alias("q"), "ids", "sims", none.alias("done")))
@@ -429,30 +515,3 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec
     out = asks.join(best_rows, "node").filter("asker <> token")
     out = out.withColumn("rank", F.row_number().over(Window.partitionBy("asker").orderBy(*by))).filter(F.col("rank") <= k)
     return out.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
-
-
-def recall(vectors: DataFrame, found: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", block: int = 512) -> float:
-    """Share of the true k nearest in found, by brute force: blocks of the stated queries against all rows."""
-    rows = _rows(vectors, id_col, vector_col)
-    asked = rows.filter(F.col("vec_id") % every == 0).withColumn("b", F.floor(F.row_number().over(Window.orderBy("vec_id")) / block))
-    blocks = asked.groupBy("b").agg(F.collect_list(F.struct("vec_id", "v")).alias("qs")).collect()
-    hits = total = 0
-    for b in blocks:
-        ids, q = [r["vec_id"] for r in b["qs"]], _matrix([bytes(r["v"]) for r in b["qs"]], np.float64)
-
-        def scan(frames: Iterator[pd.DataFrame], ids: list = ids, q: np.ndarray = q) -> Iterator[pd.DataFrame]:
-            for frame in frames:
-                if len(frame):
-                    sim = _matrix(frame["v"], np.float64) @ q.T
-                    own = frame["vec_id"].to_numpy()
-                    for j, i in enumerate(ids):
-                        s = np.where(own == i, -np.inf, sim[:, j])
-                        top = np.argsort(-s, kind="stable")[:k]
-                        top = top[np.isfinite(s[top])]
-                        yield pd.DataFrame({"query_id": i, "vec_id": own[top], "score": s[top]})
-
-        top = rows.mapInPandas(scan, "query_id long, vec_id long, score double")
-        top = top.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).filter(F.col("r") <= k)
-        total += top.count()
-        hits += top.join(found.select("query_id", "vec_id"), ["query_id", "vec_id"]).count()
-    return hits / total if total else 1.0
