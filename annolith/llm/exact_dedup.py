@@ -163,7 +163,7 @@ def repeated_fingerprints(described: DataFrame, rows: int, per_range: int = 250_
     return blocks.groupBy("range").applyInPandas(merge, "fp long")
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 1_000_000, row: Column | None = None) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 250_000, row: Column | None = None) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
     broadcast_rows: up to so many repeated fingerprints (8 bytes each) are broadcast to the second scan; more are joined.
@@ -208,7 +208,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broad
     )
 
 
-def keep_rows(docs: DataFrame) -> DataFrame:
+def keep_rows(docs: DataFrame, broadcast_rows: int = 250_000) -> DataFrame:
     """The rows of docs (with all columns) that stay: of each group of equal texts one row, whatever its id."""
-    told = dedup(docs, row=row_key(docs)).select("doc_id", "row", F.col("kept").cast("long").alias("copies"))
-    return repeat_rows(docs, materialize(told, "told"))
+    told = dedup(docs, broadcast_rows=broadcast_rows, row=row_key(docs)).select("doc_id", "row", F.col("kept").cast("long").alias("copies"))
+    return repeat_rows(docs, materialize(told, "told"), broadcast_rows)

@@ -6,8 +6,9 @@
 2. Star round: each node meets the smallest node of each of its buckets; the one with the best estimate is confirmed
    on full sets. That joins nearly all of a group of copies at a cost linear in its size.
 3. Rest round, for buckets whose members are still in different components: all pairs between components are estimated
-   block by block inside tasks. Only a spanning forest of the promising pairs leaves a task. Groups of promising nodes
-   meet again with their full sets, block by block; only confirmed links (again a forest) leave.
+   block by block inside tasks; members of a large bucket are first dealt to smaller ones by further bands, so that
+   no work grows with the square of a common bucket. Only a spanning forest of the promising pairs leaves a task.
+   Groups of promising nodes meet again with their full sets, block by block; only confirmed links (a forest) leave.
 4. Components of all links; each takes its smallest doc_id.
 
 No cap is set on buckets, groups or partners, and no pairs of a group are listed. A pair of similarity 0.8 is missed
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType
 
 from annolith.llm import shingles
-from annolith.llm.common import map_batches, materialize, release, repeat_rows, row_key
+from annolith.llm.common import Scratch, map_batches, materialize, release, repeat_rows, row_key
 from annolith.llm.components import connected
 
 #: Similarity in hundredths for a link; estimates below FLOOR are not confirmed.
@@ -38,13 +39,13 @@ LINK = 80
 FLOOR = 0.65
 #: Members of a bucket or group that meet in one task: two blocks at most. Blocks with sets are also bounded in bytes.
 BUCKET_BLOCK, SET_BLOCK, SET_BYTES = 1024, 1024, 16 << 20
+#: A bucket with more members than this besides its largest component is dealt to smaller ones.
+LARGE = 8192
 
 
 def _describe(width: int):
     def make(cols: dict[str, list]) -> dict[str, list]:
-        out: dict[str, list] = {k: [] for k in ("doc_id", "n_shingles", "f1", "f2", "bands", "sig")}
-        if "row" in cols:
-            out["row"] = cols["row"]
+        out: dict[str, list] = {k: [] for k in ("doc_id", "n_shingles", "f1", "f2", "bands", "sig")} | {k: cols[k] for k in ("text_hash", "row") if k in cols}
         for doc_id, text in zip(cols["doc_id"], cols["text"], strict=True):
             own = shingles.shingle_set(text, width)
             f = np.frombuffer(xxhash.xxh3_128_digest(own.tobytes()), np.int64)
@@ -96,16 +97,20 @@ def _linked(one: pd.Series, two: pd.Series) -> pd.Series:
 # -- blocks of members -------------------------------------------------------------------------------------------
 
 
-def blocked(members: DataFrame, key: str, size: int, weight: Column | None = None) -> DataFrame:
+def spread(members: DataFrame, key: str, scratch: Scratch, weight: Column | None = None) -> DataFrame:
+    """(key, top, major, rest) of each key whose members (key, node, comp) are in several components: weight and name of
+    the largest one, and weight of all others. A member weighs 1, or more if it is large."""
+    counts = members.groupBy(key, "comp").agg(F.sum(F.lit(1.0) if weight is None else F.greatest(F.lit(1.0), weight)).alias("n"))
+    sizes = counts.groupBy(key).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("comps"), F.max(F.struct("n", "comp")).alias("largest"))
+    return scratch.table(sizes.filter("comps > 1").select(key, F.col("largest.n").alias("top"), F.col("largest.comp").alias("major"), (F.col("total") - F.col("largest.n")).alias("rest")))
+
+
+def blocked(members: DataFrame, sizes: DataFrame, key: str, size: int) -> DataFrame:
     """members (key, node, comp, ...) dealt to pairs of blocks (key, i, j), so that each two members of one key and
     different components meet in one pair of blocks. A key's largest component never meets itself.
     """
-    # A member counts as 1, or as more if it is large; a block holds `size` of that.
-    counts = members.groupBy(key, "comp").agg(F.sum(F.lit(1.0) if weight is None else F.greatest(F.lit(1.0), weight)).alias("n"))
-    sizes = counts.groupBy(key).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("comps"), F.max(F.struct("n", "comp")).alias("top"))
-    minors, majors = (F.greatest(F.lit(1), F.ceil(x / size).cast("int")) for x in (F.col("total") - F.col("top.n"), F.col("top.n")))
-    sizes = materialize(sizes.filter("comps > 1").select(key, F.col("top.comp").alias("major"), minors.alias("minors"), majors.alias("majors")), "sizes")
-    dealt = members.join(sizes, key).withColumn("own", F.col("comp") == F.col("major"))
+    minors, majors = (F.greatest(F.lit(1), F.ceil(F.col(c) / size).cast("int")) for c in ("rest", "top"))
+    dealt = members.join(sizes.select(key, "major", minors.alias("minors"), majors.alias("majors")), key).withColumn("own", F.col("comp") == F.col("major"))
     place: Column = F.xxhash64("node", F.lit(77))
     dealt = dealt.withColumn("block", F.when(F.col("own"), F.col("minors") + F.pmod(place, F.col("majors"))).otherwise(F.pmod(place, F.col("minors"))).cast("int"))
     others = F.when(F.col("own"), F.sequence(F.lit(0), F.col("minors") - 1)).otherwise(F.sequence(F.lit(0), F.col("minors") + F.col("majors") - 1))
@@ -113,6 +118,15 @@ def blocked(members: DataFrame, key: str, size: int, weight: Column | None = Non
     return dealt.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("own", "major", "minors", "majors", "other")
 
 
+def deepened(members: DataFrame, about: DataFrame) -> DataFrame:
+    """(band, node, comp) of smaller buckets for members of large ones: each again by bands of the minima that the first
+    bands leave out. A pair at similarity 0.8 that met in the large bucket meets again but for a chance below 5e-8."""
+    width = shingles.ROWS * shingles.KEPT_BITS // 8
+    left_out = shingles.BANDS * width + 1
+    keys = F.transform(F.sequence(F.lit(0), F.lit(shingles.BANDS - 1)), lambda k: F.xxhash64("band", k, F.substr("sig", F.lit(left_out) + k * width, F.lit(width))))
+    return members.join(about.select("node", "sig"), "node").select("node", "comp", F.explode(keys).alias("band"))
+
+
 def per_group(dealt: DataFrame, keys: list[str], work: Callable[[pd.DataFrame], list[tuple[int, int]]]) -> DataFrame:
     """Edges (a, b) of work(group) for each group of rows with equal keys. Groups are runs of sorted rows, many a batch."""
 
@@ -213,61 +227,72 @@ def _labelled(df: DataFrame, labels: DataFrame) -> DataFrame:
     return df.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, broadcast_rows: int = 500_000, row: Column | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, broadcast_rows: int = 250_000, row: Column | None = None) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept. width: words of a shingle.
 
-    broadcast_rows: up to so many candidate ids (four numbers each) are broadcast to the second scan; more are joined.
+    broadcast_rows: up to so many candidates (five numbers each) are broadcast to the second scan; more are joined.
     row: what tells rows of one id apart. With it there is a further column row, and kept is true for one row of each
     component only, also where ids are null or repeated; without it, for all rows with the component's id.
     """
-    columns, names = [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")], []
+    text = F.col(text_col).cast("string")
+    columns, names = [F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash")], []
     if row is not None:
         columns, names = [*columns, row.alias("row")], ["row"]
     base = docs.select(*columns)
-    rows = map_batches(base, _describe(width), f"doc_id long, n_shingles long, f1 long, f2 long, bands array<long>, sig binary{', row long' if names else ''}")
+    rows = map_batches(base, _describe(width), f"doc_id long, n_shingles long, f1 long, f2 long, bands array<long>, sig binary, text_hash long{', row long' if names else ''}")
+    scratch = Scratch(docs.sparkSession, "near")
     rows = materialize(rows.withColumn("token", F.monotonically_increasing_id()), "signatures")
     # Equal sets are one node: the first of their rows.
     first = [F.min(F.struct(F.col("doc_id").isNull().alias("u"), "doc_id", "token")).alias("first_row")] if names else []
     classes = rows.filter("n_shingles > 0").groupBy("f1", "f2").agg(F.min("token").alias("node"), F.min("doc_id").alias("first_id"), *first)
-    classes = materialize(classes, "classes")
-    nodes = materialize(rows.join(classes.select("node"), F.col("token") == F.col("node"), "left_semi").select(F.col("token").alias("node"), "doc_id", "f1", "f2", F.col("n_shingles").alias("n"), "bands", "sig", *names), "nodes")
+    classes = scratch.table(classes)
+    nodes = scratch.table(rows.join(classes.select("node"), F.col("token") == F.col("node"), "left_semi").select(F.col("token").alias("node"), "doc_id", "f1", "f2", F.col("n_shingles").alias("n"), "bands", "sig", "text_hash"))
     banded = nodes.select("node", F.explode("bands").alias("band"))
-    shared = materialize(banded.groupBy("band").agg(F.min("node").alias("center"), F.count(F.lit(1)).alias("size")).filter("size > 1").drop("size"), "shared")
-    members = materialize(banded.join(shared, "band"), "members")
+    shared = scratch.table(banded.groupBy("band").agg(F.min("node").alias("center"), F.count(F.lit(1)).alias("size")).filter("size > 1").drop("size"))
+    members = scratch.table(banded.join(shared, "band"))
     about = nodes.select("node", "n", "sig")
 
     # Star round.
     rays = members.filter("node <> center").select("node", "center").distinct()
     center = about.select(F.col("node").alias("center"), F.col("sig").alias("center_sig"))
     rays = rays.join(about, "node").join(center, "center").withColumn("e", _estimate("sig", "center_sig")).filter(F.col("e") >= FLOOR)
-    rays = materialize(rays.groupBy("node").agg(F.max(F.struct("e", "center")).alias("best")).select("node", F.col("best.center").alias("center")), "rays")
-    candidates = members.select("node").distinct().join(nodes.select("node", "doc_id", "f1", "f2", *names), "node")
-    candidates = materialize(candidates, "candidates")
-    few = candidates.count() <= broadcast_rows
-    wanted = candidates.withColumnsRenamed({"doc_id": "want", "row": "want_row"})
-    same = F.col("doc_id").eqNullSafe(F.col("want"))
-    if names:
-        same &= F.col("row") == F.col("want_row")
-    texts = base.join(F.broadcast(wanted) if few else wanted, same).select("node", "text", "f1", "f2")
-    sets = materialize(map_batches(texts, _with_sets(width), "node long, set binary"), "sets")
+    rays = scratch.table(rays.groupBy("node").agg(F.max(F.struct("e", "center")).alias("best")).select("node", F.col("best.center").alias("center")))
+    candidates = members.select("node").distinct().join(nodes.select("node", F.col("doc_id").alias("want"), F.col("text_hash").alias("want_hash"), "f1", "f2"), "node")
+    candidates = scratch.table(candidates)
+    n_candidates = candidates.count()
+    # By id and text: null and repeated ids may be any share of the rows.
+    same = F.col("doc_id").eqNullSafe(F.col("want")) & (F.col("text_hash") == F.col("want_hash"))
+    texts = base.join(F.broadcast(candidates) if n_candidates <= broadcast_rows else candidates, same).select("node", "text", "f1", "f2")
+    sets = scratch.table(map_batches(texts, _with_sets(width), "node long, set binary"))
+    if sets.count() > n_candidates:  # rows of one id and text
+        sets = scratch.table(sets.groupBy("node").agg(F.first("set").alias("set")))
     center_set = sets.select(F.col("node").alias("center"), F.col("set").alias("center_set"))
     star = rays.join(sets, "node").join(center_set, "center").filter(_linked("set", "center_set")).select(F.col("node").alias("a"), F.col("center").alias("b"))
-    star = materialize(star, "star")
+    star = scratch.table(star)
     labels = connected(star)
 
     # Rest round.
     rest = _labelled(members.select("band", "node"), labels)
-    dealt = blocked(rest, "band", BUCKET_BLOCK).join(about, "node")
-    groups = connected(materialize(per_group(dealt, ["band", "i", "j"], _promising_forest), "promising")).withColumnRenamed("comp", "group")
+    rest = scratch.table(rest)
+    sizes = spread(rest, "band", scratch)
+    dealt = blocked(rest, sizes.filter(F.col("rest") <= LARGE), "band", BUCKET_BLOCK)
+    large = sizes.filter(F.col("rest") > LARGE).select("band")
+    if not large.isEmpty():
+        deep = scratch.table(deepened(rest.join(large, "band"), about))
+        dealt = dealt.unionByName(blocked(deep, spread(deep, "band", scratch), "band", BUCKET_BLOCK))
+    dealt = dealt.join(about, "node")
+    groups = connected(scratch.table(per_group(dealt, ["band", "i", "j"], _promising_forest))).withColumnRenamed("comp", "group")
     groups = _labelled(groups, labels)
     groups = groups.join(nodes.select("node", F.col("n").alias("own_n")), "node")
-    dealt = blocked(groups, "group", SET_BLOCK, F.col("own_n") * 8.0 * SET_BLOCK / SET_BYTES).drop("own_n").join(about, "node").join(sets, "node")
-    more = materialize(per_group(dealt, ["group", "i", "j"], _confirmed_forest), "more")
+    sizes = spread(groups, "group", scratch, F.col("own_n") * 8.0 * SET_BLOCK / SET_BYTES)
+    dealt = blocked(groups, sizes, "group", SET_BLOCK).drop("own_n").join(about, "node").join(sets, "node")
+    more = scratch.table(per_group(dealt, ["group", "i", "j"], _confirmed_forest))
     labels = connected(star.unionByName(more))
 
     placed = _labelled(classes, labels)
     smallest = placed.groupBy("comp").agg(F.min("first_id").alias("component_id"), *([F.min("first_row").alias("best")] if names else []))
     found = materialize(placed.join(smallest, "comp").select("f1", "f2", "component_id", *(["best"] if names else [])), "found")
+    scratch.remove()
     alone = F.col("n_shingles") == 0
     out = rows.select("doc_id", "n_shingles", "f1", "f2", "token", *names).join(found, ["f1", "f2"], "left")
     component = F.when(alone, F.col("doc_id")).otherwise(F.col("component_id"))
@@ -275,7 +300,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"), *names)
 
 
-def keep_rows(docs: DataFrame) -> DataFrame:
+def keep_rows(docs: DataFrame, width: int = 5, broadcast_rows: int = 250_000) -> DataFrame:
     """The rows of docs (with all columns) that stay: of each component one row, with its smallest id (null last)."""
-    told = near_duplicates(docs, row=row_key(docs)).select("doc_id", "row", F.col("kept").cast("long").alias("copies"))
-    return repeat_rows(docs, materialize(told, "told"))
+    told = near_duplicates(docs, width=width, broadcast_rows=broadcast_rows, row=row_key(docs)).select("doc_id", "row", F.col("kept").cast("long").alias("copies"))
+    return repeat_rows(docs, materialize(told, "told"), broadcast_rows)
