@@ -116,6 +116,21 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got if r.doc_id is not None)
 
 
+def test_near_duplicates_of_a_common_bucket_are_found_in_smaller_ones(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "LARGE", 2)
+    monkeypatch.setattr(near_dedup, "BUCKET_BLOCK", 4)
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefgh", k=4))
+    passage = [word() for _ in range(60)]  # that every text shares
+    rows = [(i, " ".join(passage + [word() for _ in range(30)]), "s") for i in range(40)]
+    for i in range(40, 70):
+        text = rows[i % 20][1].split()
+        text[-1 - i % 9] = word()
+        rows.append((i, " ".join(text), "s"))
+    got = near_dedup.near_duplicates(docs(spark, rows), width=4).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == near_brute(rows, 4)
+
+
 def test_near_duplicates_join_when_candidates_are_too_many_to_broadcast(spark):
     rows = variants(30)
     got = near_dedup.near_duplicates(docs(spark, rows), width=4, broadcast_rows=0).collect()

@@ -118,6 +118,65 @@ def test_stages_tell_rows_of_null_and_repeated_ids_apart(spark):
     assert mixing.mixed_rows(table(rows), broadcast_rows=0).count() == mixing.mixed_rows(table(rows)).count()
 
 
+def test_stages_keep_columns_of_any_name_and_join_where_decisions_are_too_many(spark):
+    from annolith.llm import exact_dedup, mixing, near_dedup
+
+    rng = random.Random(21)
+    words = lambda n: " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(n))
+    extra = ["_id", "_key", "_times", "_gone", "_keep", "_copy", "copies", "row", "doc", "token", "id", "key", "over", "block", "a.b"]
+    base = [words(30) for _ in range(8)] + [words(9_000), "", None]
+    rows = []
+    for k in range(70):
+        text = base[k % len(base)]
+        if text and k % 3 == 0:
+            text = text.replace(" ", "  ", 1 + k % 4)
+        elif text and k % 5 == 0:
+            text = text.rsplit(" ", 1)[0] + " other"
+        rows.append((None if k % 7 == 0 else k // 2, text, "en", ["a", "b", None][k % 3], k, *(f"{c}{k}" for c in extra)))
+    rows += rows[:9] * 3  # repeated rows
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in extra)
+    table = spark.createDataFrame(rows, schema).repartition(4)
+    norm = lambda t: re.sub(r"[\x20\x09-\x0D]", "", t or "")
+
+    got = [tuple(r) for r in exact_dedup.keep_rows(table, broadcast_rows=0).collect()]
+    assert set(got) <= set(rows) and len(got) == len({norm(r[1]) for r in rows}) == len({norm(r[1]) for r in got})
+    best: dict = {}
+    for r in rows:
+        best[norm(r[1])] = min(best.get(norm(r[1]), (1,)), (-len(r[1] or ""), r[0] is None, r[0] or 0))
+    assert all(best[norm(r[1])] == (-len(r[1] or ""), r[0] is None, r[0] or 0) for r in got)
+
+    sets = [set(shingles.shingle_set(r[1], 5).tolist()) for r in rows]
+    up = list(range(len(rows)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for x in range(len(rows)):
+        for y in range(x):
+            both = len(sets[x] & sets[y])
+            if both and 100 * both >= 80 * len(sets[x] | sets[y]):
+                a, b = sorted((root(x), root(y)))
+                up[b] = a
+    kept = [tuple(r) for r in near_dedup.keep_rows(table, broadcast_rows=0).collect()]
+    assert set(kept) <= set(rows) and len(kept) == len({root(x) for x in range(len(rows))})
+    where: dict = {}
+    for x, r in enumerate(rows):
+        where.setdefault(r, root(x))
+    assert sorted(where[r] for r in kept if r[1]) == sorted({root(x) for x, r in enumerate(rows) if r[1]})
+
+    told: dict = {}
+    for r in mixing.mix(table).collect():
+        told[r.doc_id, r.source, r["size"]] = told.get((r.doc_id, r.source, r["size"]), 0) + r.copies
+    mixed: dict = {}
+    for r in mixing.mixed_rows(table, broadcast_rows=0).collect():
+        assert tuple(r) in set(rows)
+        key = (r.doc_id, r.source, len((r.text or "").split()))
+        mixed[key] = mixed.get(key, 0) + 1
+    assert mixed == {k: n for k, n in told.items() if n}
+
+
 def test_scores_are_calibrated():
     import numpy as np
 
