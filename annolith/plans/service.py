@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections import OrderedDict
 from collections.abc import Callable, Iterable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,12 +47,17 @@ class Opened:
         self.most, self.held = most, OrderedDict()
 
     def get(self, analysis_id: str, make: Callable[[], Analysis]) -> Analysis:
-        if analysis_id not in self.held:
-            self.held[analysis_id] = make()
-        self.held.move_to_end(analysis_id)
+        return self.put(analysis_id, self.held[analysis_id] if analysis_id in self.held else make())
+
+    def put(self, analysis_id: str, made: Analysis) -> Analysis:
+        """Hold an analysis as the one used last; another one of the same id is released."""
+        before = self.held.pop(analysis_id, made)
+        if before is not made:
+            before.release()
+        self.held[analysis_id] = made
         while len(self.held) > self.most:
             self.held.popitem(last=False)[1].release()
-        return self.held[analysis_id]
+        return made
 
 
 @dataclass
@@ -63,6 +69,8 @@ class Analysis:
     decisions: DataFrame
     entries: DataFrame
     snapshots: DataFrame
+    analysis_id: str = ""
+    uploaded_name: str = ""
 
     def stats(self) -> DataFrame:
         """Counters by analysis, with the errors of parsing."""
@@ -116,25 +124,37 @@ class Service:
         uploads = clippings.read_uploads(self.spark, path)
         if not clippings.quarantined(uploads).isEmpty():
             raise NotReadable(path)
-        made = analyse_uploads(uploads, settings)
+        first = uploads.select("analysis_id", F.element_at(F.split("path", "/"), -1).alias("name")).first()
+        made = replace(analyse_uploads(uploads, settings), analysis_id=first["analysis_id"], uploaded_name=first["name"])
         rows = [r.asDict() for r in status.books_table(made.snapshots, self.history.books(), iso(at), forced).collect()]
         self.history.record_analysis(made.snapshots, iso(at), forced)
-        self.analyses.save(uploads, iso(at))
+        self.opened.put(made.analysis_id, made)
+        self.analyses.save(uploads, iso(at), json.dumps(settings.as_request(), sort_keys=True))
         return made, rows
 
-    def reopen(self, analysis_id: str | None, settings: Settings) -> Analysis:
-        """A stored analysis (by default the latest) computed again; nothing is recorded."""
+    def reopen(self, analysis_id: str | None = None, settings: Settings | None = None) -> Analysis:
+        """An analysis that is held, or a stored one (by default the latest) computed again, with the settings that it was
+        stored with unless others are given; nothing is recorded."""
+        if analysis_id in self.opened.held and settings in (None, self.opened.held[analysis_id].settings):
+            return self.opened.put(analysis_id, self.opened.held[analysis_id])
         upload = self.analyses.latest() if analysis_id is None else self.analyses.get(analysis_id)
-        first = upload.select("analysis_id").first()
+        first = upload.select("analysis_id", "path", "config").first()
         if first is None:
             raise UnknownAnalysis(analysis_id or "latest")
-        return self.opened.get(f"{first[0]} {settings}", lambda: analyse_uploads(upload, settings))
+        held = self.opened.held.get(first["analysis_id"])
+        if held is not None and settings in (None, held.settings):
+            return self.opened.put(first["analysis_id"], held)
+        wanted = settings or Settings.of_stored(first["config"])
+        made = replace(analyse_uploads(upload, wanted), analysis_id=first["analysis_id"], uploaded_name=first["path"])
+        return self.opened.put(made.analysis_id, made)
 
     def response(self, analysis: Analysis) -> dict:
         """What a client gets of an analysis."""
         rows = status.books_table(analysis.snapshots, self.history.books())
         listed = [r.asDict() for r in rows.collect()]
         return {
+            "analysisId": analysis.analysis_id,
+            "uploadedName": analysis.uploaded_name,
             "rows": listed,
             "stats": [r.asDict() for r in analysis.stats().collect()],
             "selectionMap": {r["book_key"]: r["default_selected"] for r in listed},

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field, fields, replace
 from datetime import UTC, date, datetime, timedelta, timezone
 from typing import Any
@@ -88,6 +89,29 @@ class Settings:
         clock = {"today": today.date() if isinstance(today, datetime) else today} if today else {}
         return cls(remove_duplicates=flag("removeDuplicates", True), include_bookmarks=flag("includeBookmarks", True), export_only_new=flag("exportOnlyNew", False), formats=formats, **found, **clock)
 
+    def as_request(self) -> dict[str, Any]:
+        """The flat form that of_request reads; the clock and strict marking are not part of it."""
+        on = {f.name: f.enabled for f in self.formats}
+        return {
+            "removeDuplicates": self.remove_duplicates,
+            "includeBookmarks": self.include_bookmarks,
+            "includeMetadata": any(f.include_metadata for f in self.formats if f.name != "txt"),
+            "exportOnlyNew": self.export_only_new,
+            **{f"export{n.capitalize()}": on.get(n, False) for n in ("markdown", "html", "txt", "obsidian")},
+            "similarityThreshold": self.similarity_threshold,
+            "dedupPositionOverlapRatio": self.position_overlap_ratio,
+            "dedupTokenOverlapThreshold": self.token_overlap_threshold,
+            "dedupSessionWindowMinutes": self.session_window_minutes,
+        }
+
+    @classmethod
+    def of_stored(cls, text: str | None) -> Settings:
+        """From what was stored with an analysis; defaults where that cannot be read."""
+        try:
+            return cls.of_request(json.loads(text or "{}"))
+        except (ValueError, TypeError, AttributeError):
+            return cls()
+
     def merged(self, override: dict[str, Any]) -> Settings:
         """With a nested override applied: plain fields by name, formats by name and field; the rest stays."""
         plain = {f.name for f in fields(self)} - {"formats"}

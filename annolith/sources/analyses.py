@@ -1,4 +1,4 @@
-"""Stored analyses: an append-only index with the raw bytes; the last few saved count."""
+"""Stored analyses: numbered index entries and the raw bytes beside them; the last few saved count, others are removed."""
 
 from __future__ import annotations
 
@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from annolith.settings import ANALYSES_KEPT
+from annolith.sources.log import BatchLog
 
-INDEX = "analysis_id string, filename string, uploaded_at string, size bigint, config string, saved_no bigint, content binary"
+INDEX = "analysis_id string, filename string, uploaded_at string, size bigint, config string, saved_no bigint"
+CONTENT = "analysis_id string, content binary"
 
 
 def retained(index: DataFrame, most: int = ANALYSES_KEPT) -> DataFrame:
@@ -20,31 +22,41 @@ def retained(index: DataFrame, most: int = ANALYSES_KEPT) -> DataFrame:
 class Analyses:
     def __init__(self, spark: SparkSession, path: str, most: int = ANALYSES_KEPT):
         self.spark, self.path, self.most = spark, path.rstrip("/"), most
-
-    def _index(self) -> DataFrame:
-        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
-        if not where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
-            return self.spark.createDataFrame([], INDEX)
-        return self.spark.read.schema(INDEX).parquet(self.path)
+        self._index, self._content = BatchLog(spark, f"{self.path}/index", INDEX), BatchLog(spark, f"{self.path}/content", CONTENT)
 
     def save(self, uploads: DataFrame, uploaded_at: str, config: str = "{}") -> None:
-        """Append uploads (analysis_id, path, size, content) as the newest."""
-        number = (self._index().agg(F.max("saved_no")).first()[0] or 0) + 1
-        rows = uploads.select("analysis_id", F.element_at(F.split("path", "/"), -1).alias("filename"), F.lit(uploaded_at).alias("uploaded_at"), F.col("size").cast("bigint").alias("size"), F.lit(config).alias("config"), F.lit(number).cast("bigint").alias("saved_no"), "content")
-        rows.write.mode("append").parquet(self.path)
+        """Add uploads (analysis_id, path, size, content) as the newest. The bytes come first, so that an index entry always
+        has them; then whatever no longer counts is removed."""
+        with self._index.lock:
+            number = self._index.claim()
+            self._content.append(uploads.select("analysis_id", "content"), number)
+            rows = uploads.select("analysis_id", F.element_at(F.split("path", "/"), -1).alias("filename"), F.lit(uploaded_at).alias("uploaded_at"), F.col("size").cast("bigint").alias("size"), F.lit(config).alias("config"), F.lit(number).cast("bigint").alias("saved_no"))
+            self._index.append(rows, number)
+            counted = {r["saved_no"] for r in retained(self._index.read(), self.most).select("saved_no").collect()}
+            self._index.keep(counted)
+            self._content.keep(counted)
 
     def list(self) -> DataFrame:
-        return retained(self._index(), self.most).drop("content", "saved_no")
+        return retained(self._index.read(), self.most).drop("saved_no")
+
+    def _uploads(self) -> DataFrame:
+        """The retained uploads whose bytes are there, as sources.clippings reads them, with saved_no and config."""
+        batches = {number: f"{self._content.path}/{name}" for number, name in self._content.batches().items()}
+        listed = retained(self._index.read(), self.most)
+        found = None
+        for number, path in sorted(batches.items()):  # as many as are retained
+            bytes_ = self.spark.read.schema(CONTENT).parquet(path).withColumn("saved_no", F.lit(number).cast("bigint"))
+            found = bytes_ if found is None else found.unionByName(bytes_)
+        if found is None:
+            found = self.spark.createDataFrame([], CONTENT + ", saved_no bigint")
+        rows = listed.join(found, ["analysis_id", "saved_no"])
+        text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string"))
+        return rows.select("analysis_id", F.col("filename").alias("path"), "size", "content", text.alias("text"), "config", "saved_no")
 
     def get(self, analysis_id: str) -> DataFrame:
-        """The upload of an analysis (as sources.clippings reads it), or no rows."""
-        return self._as_upload(retained(self._index(), self.most).filter(F.col("analysis_id") == analysis_id))
+        """The upload of an analysis, or no rows."""
+        return self._uploads().filter(F.col("analysis_id") == analysis_id).drop("saved_no")
 
     def latest(self) -> DataFrame:
         """The newest upload whose bytes are there."""
-        return self._as_upload(retained(self._index().filter(F.col("content").isNotNull()), 1))
-
-    @staticmethod
-    def _as_upload(rows: DataFrame) -> DataFrame:
-        text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string"))
-        return rows.select("analysis_id", F.col("filename").alias("path"), "size", "content", text.alias("text"), "config")
+        return self._uploads().orderBy(F.desc("saved_no")).limit(1).drop("saved_no")

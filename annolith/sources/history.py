@@ -1,7 +1,7 @@
 """The processing and export history: two append-only event tables; a book's current state is derived from them.
 
-One writer is assumed. A batch of events gets the next number; appending is the only change, so readers never see
-half a state and no lock is needed.
+A batch of events gets the next number and is appended whole (sources.log), by any number of writers. Readers get the
+last HISTORY_KEPT events of each book; older ones are removed when batches are merged.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql.types import StructType
 from annolith.functions.keys import clean_hashes, clean_strings, hash_text, set_hash
 from annolith.operators.status import detect
 from annolith.settings import HISTORY_KEPT, UNKNOWN_AUTHOR
+from annolith.sources.log import BatchLog
 
 STATE = "book_key string, title string, author string, entry_hashes array<string>, highlight_hashes array<string>, content_hash string, highlight_hash string, highlight_count bigint, note_count bigint, bookmark_count bigint"
 PROCESSING = f"{STATE}, event_no bigint, process_id string, processed_at string, forced boolean, detected_status string, new_highlights_count bigint"
@@ -68,70 +69,91 @@ def export_events(keys: DataFrame, state: DataFrame, formats: list[str] | Column
     return rows.withColumns(added).select(*_names(EXPORT))
 
 
+#: Numbers that one batch may give to events of a book, and batches that are merged into one.
+SPAN, MERGED = 1000, 64
+
+
 class History:
     """The event tables at a path."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, most: int = HISTORY_KEPT):
+        self.spark, self.path, self.most = spark, path.rstrip("/"), most
+        self._processing = BatchLog(spark, f"{self.path}/processing_events", PROCESSING)
+        self._exports = BatchLog(spark, f"{self.path}/export_events", EXPORT)
 
-    def _read(self, name: str, schema: str) -> DataFrame:
-        path = f"{self.path}/{name}"
-        jvm = self.spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        if not where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(path)
+    def _kept(self, events: DataFrame) -> DataFrame:
+        # A batch that is being merged is there twice for a moment.
+        last = Window.partitionBy("book_key").orderBy(F.desc("event_no"))
+        return events.withColumn("_r", F.dense_rank().over(last)).filter(F.col("_r") <= self.most).drop("_r").dropDuplicates(["book_key", "event_no"])
 
     def processing(self) -> DataFrame:
-        return self._read("processing_events", PROCESSING)
+        return self._kept(self._processing.read())
 
     def exports(self) -> DataFrame:
-        return self._read("export_events", EXPORT)
+        return self._kept(self._exports.read())
 
     def books(self) -> DataFrame:
-        return current(self.processing(), self.exports())
+        return current(self._processing.read(), self._exports.read())
 
-    @staticmethod
-    def _next(events: DataFrame) -> int:
-        return (events.agg(F.max("event_no")).first()[0] or 0) + 1
+    def _add(self, log: BatchLog, events: DataFrame, number: int) -> None:
+        log.append(events, number)
+        if len(batches := log.batches()) > MERGED:
+            log.compact(self._kept(log.read()).coalesce(8), max(batches))
 
     def record_analysis(self, snapshots: DataFrame, processed_at: str, forced: bool = False) -> None:
         """Append what an analysis found; snapshots: one analysis, with count of its books taken here."""
-        events = processing_events(snapshots, self.books(), processed_at, forced, self._next(self.processing()), snapshots.count())
-        events.write.mode("append").parquet(f"{self.path}/processing_events")
+        with self._processing.lock:
+            number = self._processing.claim()
+            self._add(self._processing, processing_events(snapshots, self.books(), processed_at, forced, number * SPAN, snapshots.count()), number)
 
     def mark_exported(self, keys: DataFrame, formats: list[str], exported_at: str, exported: DataFrame | None = None) -> None:
         """Append an export of keys. By default the store's latest hashes are recorded, also for books that the export
         left out; with exported (snapshots of exactly what was exported) those and their hashes are."""
-        state = self.books()
-        if exported is not None:
-            mine = ["entry_hashes", "highlight_hashes", "content_hash", "highlight_hash"]
-            state = state.drop(*mine).join(exported.select("book_key", *mine), "book_key")
-        events = export_events(keys, state, formats, exported_at, self._next(self.exports()))
-        events.write.mode("append").parquet(f"{self.path}/export_events")
+        with self._exports.lock:
+            state = self.books()
+            if exported is not None:
+                mine = ["entry_hashes", "highlight_hashes", "content_hash", "highlight_hash"]
+                state = state.drop(*mine).join(exported.select("book_key", *mine), "book_key")
+            number = self._exports.claim()
+            self._add(self._exports, export_events(keys, state, formats, exported_at, number * SPAN), number)
 
     def import_document(self, path: str) -> None:
-        """Take over a history that was one JSON document."""
-        books = sanitise(self.spark.read.text(path, wholetext=True))
-        number = F.lit(self._next(self.processing())).cast("bigint")
-        done = books.withColumns({"event_no": number, "process_id": F.lit(None).cast("string"), "processed_at": F.col("last_analysis_at"), "forced": F.lit(False), "detected_status": F.lit(None).cast("string"), "new_highlights_count": F.lit(None).cast("bigint")})
-        done.select(*_names(PROCESSING)).write.mode("append").parquet(f"{self.path}/processing_events")
-        sent = books.filter("last_export_at is not null")
-        sent = sent.select("book_key", number.alias("event_no"), F.lit(None).cast("string").alias("export_id"), F.col("last_export_at").alias("exported_at"), F.col("last_export_formats").alias("formats"), F.col("last_export_signature").alias("content_hash"), F.lit(None).cast("string").alias("highlight_hash"), F.col("last_export_highlight_hashes").alias("highlight_hashes"), F.col("last_export_entry_hashes").alias("entry_hashes"), F.col("last_analysis_at").alias("processed_at"), F.lit(False).alias("reexport_without_changes"))
-        sent.write.mode("append").parquet(f"{self.path}/export_events")
+        """Take over a history that was one JSON document, with its events."""
+        documents = self.spark.read.text(path, wholetext=True)
+        done, sent = imported_events(documents, self.most)
+        for log, events in ((self._processing, done), (self._exports, sent)):
+            with log.lock:
+                number = log.claim()
+                self._add(log, events.withColumn("event_no", F.lit(number * SPAN) + F.col("event_no")), number)
 
 
 # -- the JSON document of older versions --------------------------------------------------------------------------
 
-_EVENT = "struct<content_signature_hash:string,highlight_signature_hash:string,highlight_signature_hashes:array<string>,entry_signature_hashes:array<string>,exported_at:string>"
+_EVENT = (
+    "struct<process_id:string,processed_at:string,forced:boolean,detected_status:string,new_highlights_count:bigint,export_id:string,exported_at:string,formats:array<string>,"
+    "content_signature_hash:string,highlight_signature_hash:string,highlight_signature_hashes:array<string>,entry_signature_hashes:array<string>,"
+    "highlight_count:bigint,note_count:bigint,bookmark_count:bigint,reexport_without_changes:boolean>"
+)
+# Events and books are taken as text first: one of another shape is then empty and spoils nothing beside it.
 _BOOK = (
     "struct<title:string,author:string,entry_signature_hashes:array<string>,entry_signatures:array<string>,highlight_signature_hashes:array<string>,highlight_signatures:array<string>,"
     "content_signature_hash:string,highlight_signature_hash:string,highlight_count:string,note_count:string,bookmark_count:string,last_analysis_at:string,last_processed_at:string,"
     "last_export_at:string,last_exported_at:string,last_export_formats:array<string>,last_export_signature:string,last_export_highlight_signature_hashes:array<string>,"
-    f"last_export_entry_signature_hashes:array<string>,last_export:{_EVENT},export_history:array<{_EVENT}>>"
+    "last_export_entry_signature_hashes:array<string>,last_export:string,last_detected_processing:string,processing_history:string,export_history:string>"
 )
 
 
+def _event(text: Column) -> Column:
+    return F.when(text.startswith("{"), F.from_json(text, _EVENT))
+
+
+def _events(text: Column, most: int) -> Column:
+    """The last events of a list, those that are objects; of anything but a list none."""
+    objects = F.filter(F.coalesce(F.from_json(text, "array<string>"), F.array().cast("array<string>")), lambda e: e.startswith("{"))
+    kept = F.slice(objects, F.greatest(F.size(objects) - most + 1, F.lit(1)), F.lit(most))
+    return F.transform(kept, _event)
+
+
 def _first(*values: Column) -> Column:
     """The first that is there and not empty, as text."""
     return F.coalesce(*[F.nullif(v, F.lit("")) for v in values])
@@ -141,14 +163,23 @@ def _first_list(*values: Column) -> Column:
     return F.coalesce(*[F.when(F.size(v) > 0, v) for v in values])
 
 
+def _documents(documents: DataFrame, most: int = HISTORY_KEPT) -> DataFrame:
+    """(book_key, b, done, sent, detected, x) of JSON documents (column value): books, their events, the last of each kind.
+    Text that is not a JSON object gives no rows; a book that is none has defaults only."""
+    parsed = documents.filter(F.col("value").startswith("{")).select(F.from_json("value", "struct<books:map<string,string>>").alias("d"))
+    rows = parsed.select(F.explode("d.books").alias("book_key", "raw")).select("book_key", F.from_json("raw", _BOOK).alias("b"))
+    rows = rows.withColumns({"done": _events(F.col("b.processing_history"), most), "sent": _events(F.col("b.export_history"), most)})
+    last = lambda name, events: F.coalesce(_event(F.col(f"b.{name}")), F.try_element_at(F.col(events), F.lit(-1)))
+    return rows.withColumns({"detected": last("last_detected_processing", "done"), "x": last("last_export", "sent")})
+
+
 def sanitise(documents: DataFrame) -> DataFrame:
-    """CURRENT rows of JSON documents (column value): names of older versions are read, what is missing gets defaults.
-    Text that is not a JSON object gives no rows."""
-    parsed = documents.select(F.from_json("value", f"struct<books:map<string,{_BOOK}>>").alias("d"))
-    rows = parsed.select(F.explode("d.books").alias("book_key", "b"))
+    """CURRENT rows of JSON documents: names of older versions are read, what is missing gets defaults."""
+    return _sanitised(_documents(documents))
+
+
+def _sanitised(rows: DataFrame, *more: str) -> DataFrame:
     b = lambda name: F.col(f"b.{name}")
-    last = F.coalesce(b("last_export"), F.element_at(F.when(F.size(b("export_history")) > 0, b("export_history")), -1))
-    rows = rows.withColumn("x", last)
     entry = clean_hashes(_first_list(b("entry_signature_hashes"), b("entry_signatures")))
     high = clean_hashes(_first_list(b("highlight_signature_hashes"), b("highlight_signatures")))
     number = lambda name: F.coalesce(b(name).try_cast("bigint"), F.lit(0).cast("bigint"))
@@ -167,4 +198,48 @@ def sanitise(documents: DataFrame) -> DataFrame:
         _first(b("last_export_signature"), F.col("x.content_signature_hash")).alias("last_export_signature"),
         clean_hashes(_first_list(b("last_export_highlight_signature_hashes"), F.col("x.highlight_signature_hashes"))).alias("last_export_highlight_hashes"),
         clean_hashes(_first_list(b("last_export_entry_signature_hashes"), F.col("x.entry_signature_hashes"))).alias("last_export_entry_hashes"),
+        *more,
+    )
+
+
+def imported_events(documents: DataFrame, most: int = HISTORY_KEPT) -> tuple[DataFrame, DataFrame]:
+    """(PROCESSING, EXPORT) rows of JSON documents; event_no is the place in the book's list. The last event of each kind
+    carries the book's state, also where its list is missing; earlier ones have what was kept of them."""
+    books = _sanitised(_documents(documents, most), "done", "sent", "detected", "x")
+    none = lambda kind: F.lit(None).cast(kind)
+    seen = books.filter("last_analysis_at is not null or size(done) > 0 or size(entry_hashes) > 0")
+    # The last of the list is the one that was detected last; without a list that one stands alone.
+    lists = F.when(F.size("done") > 0, F.col("done")).otherwise(F.array("detected"))
+    done = seen.withColumn("n", F.size(lists)).select("*", F.posexplode(lists).alias("at", "e")).withColumn("last", F.col("at") == F.col("n") - 1)
+    state = ("entry_hashes", "highlight_hashes")
+    done = done.select(
+        "book_key", "title", "author",
+        *[F.when(F.col("last"), F.col(c)).alias(c) for c in state],
+        F.when(F.col("last"), F.col("content_hash")).otherwise(F.col("e.content_signature_hash")).alias("content_hash"),
+        F.when(F.col("last"), F.col("highlight_hash")).otherwise(F.col("e.highlight_signature_hash")).alias("highlight_hash"),
+        *[F.when(F.col("last"), F.col(c)).otherwise(F.col(f"e.{c}")).alias(c) for c in ("highlight_count", "note_count", "bookmark_count")],
+        F.col("at").cast("bigint").alias("event_no"),
+        F.col("e.process_id").alias("process_id"),
+        F.when(F.col("last"), F.coalesce("last_analysis_at", "e.processed_at")).otherwise(F.col("e.processed_at")).alias("processed_at"),
+        F.coalesce("e.forced", F.lit(False)).alias("forced"),
+        F.col("e.detected_status").alias("detected_status"),
+        F.col("e.new_highlights_count").alias("new_highlights_count"),
+    )
+    lists = F.when(F.size("sent") > 0, F.col("sent")).otherwise(F.array("x"))
+    sent = books.filter("last_export_at is not null or size(sent) > 0").withColumn("n", F.size(lists))
+    sent = sent.select("*", F.posexplode(lists).alias("at", "e")).withColumn("last", F.col("at") == F.col("n") - 1)
+    own = lambda ours, theirs: F.when(F.col("last"), F.col(ours)).otherwise(theirs)
+    sent = sent.select(
+        "book_key",
+        F.col("at").cast("bigint").alias("event_no"),
+        F.col("e.export_id").alias("export_id"),
+        F.coalesce(F.when(F.col("last"), F.col("last_export_at")), F.col("e.exported_at")).alias("exported_at"),
+        F.when(F.col("last") & (F.size("last_export_formats") > 0), F.col("last_export_formats")).otherwise(clean_strings(F.col("e.formats"))).alias("formats"),
+        own("last_export_signature", F.col("e.content_signature_hash")).alias("content_hash"),
+        F.coalesce("e.highlight_signature_hash", none("string")).alias("highlight_hash"),
+        own("last_export_highlight_hashes", clean_hashes(F.col("e.highlight_signature_hashes"))).alias("highlight_hashes"),
+        own("last_export_entry_hashes", clean_hashes(F.col("e.entry_signature_hashes"))).alias("entry_hashes"),
+        F.coalesce("e.processed_at", F.when(F.col("last"), F.col("last_analysis_at"))).alias("processed_at"),
+        F.coalesce("e.reexport_without_changes", F.lit(False)).alias("reexport_without_changes"),
     )
+    return done.select(*_names(PROCESSING)), sent.select(*_names(EXPORT))

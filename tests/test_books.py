@@ -173,6 +173,90 @@ def test_legacy_document(spark):
     assert two.content_hash == hashlib.sha1(b"").hexdigest() and two.last_export_at is None and two.entry_hashes == []
 
 
+def test_events_of_a_legacy_document(spark, tmp_path):
+    events = [{"process_id": f"p{i}", "processed_at": f"2023-01-{1 + i % 28:02d}T00:00:00+00:00", "detected_status": "novo", "highlight_count": i} for i in range(210)]
+    document = {
+        "books": {
+            "k1": {"title": "T", "entry_signature_hashes": ["a" * 40], "last_analysis_at": "2024-01-01T00:00:00Z", "highlight_count": 5, "processing_history": [*events, "no event", 7], "export_history": [{"export_id": "x1", "exported_at": "2023-02-01T00:00:00Z", "formats": ["txt"]}, {"export_id": "x2", "content_signature_hash": "c2"}], "last_export_at": "2023-03-01T00:00:00Z"},
+            "k2": {"last_detected_processing": {"process_id": "alone"}, "last_analysis_at": "2024-01-02T00:00:00Z", "processing_history": {"not": "a list"}, "export_history": "none"},
+            "k3": "no book",
+        }
+    }
+    path = tmp_path / "history.json"
+    path.write_text(json.dumps(document))
+    store = history.History(spark, str(tmp_path / "store"))
+    store.import_document(str(path))
+    done = {(r.book_key, r.process_id): r for r in store.processing().collect()}
+    assert sorted(k for k in done if k[0] == "k1") == sorted(("k1", f"p{i}") for i in range(10, 210))
+    last = done["k1", "p209"]
+    assert (last.processed_at, last.highlight_count, last.entry_hashes) == ("2024-01-01T00:00:00Z", 5, ["a" * 40]) and done["k1", "p50"].highlight_count == 50
+    assert done["k2", "alone"].processed_at == "2024-01-02T00:00:00Z" and not [k for k in done if k[0] == "k3"]
+    assert {r.export_id: (r.exported_at, r.content_hash) for r in store.exports().collect()} == {"x1": ("2023-02-01T00:00:00Z", None), "x2": ("2023-03-01T00:00:00Z", "c2")}
+    books = {r.book_key: r for r in store.books().collect()}
+    assert books["k1"].last_analysis_at == "2024-01-01T00:00:00Z" and books["k1"].last_export_signature == "c2" and books["k2"].last_export_at is None
+    sane = {r.book_key: r for r in history.sanitise(spark.createDataFrame([(json.dumps(document),)], "value string")).collect()}
+    assert set(sane) == {"k1", "k2", "k3"} and (sane["k3"].title, sane["k3"].author) == ("", "Autor desconhecido")
+
+
+SNAPSHOT = "analysis_id string, book_key string, title string, author string, entry_hashes array<string>, highlight_hashes array<string>, content_hash string, highlight_hash string, highlight_count long, note_count long, bookmark_count long, first_seq long"
+
+
+def test_twenty_writers_lose_no_event(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    def save(i):
+        book = spark.createDataFrame([("a", f"book-{i}", "T", "A", [f"{i:040x}"], [], "c", "h", 1, 0, 0, 0), ("a", "shared", "T", "A", [f"{i:040x}"], [], f"c{i}", "h", i, 0, 0, 0)], SNAPSHOT).coalesce(1)
+        history.History(spark, str(tmp_path / "store")).record_analysis(book, f"2024-01-01T12:{i:02d}:00+00:00")
+
+    with ThreadPoolExecutor(20) as pool:
+        list(pool.map(save, range(20)))
+    store = history.History(spark, str(tmp_path / "store"))
+    events = store.processing().collect()
+    assert len(events) == 40 and len({e.event_no for e in events}) == 20
+    assert {r.book_key for r in store.books().collect()} == {"shared", *(f"book-{i}" for i in range(20))}
+    # Each writer saw what the one before it had written: the shared book was new once only.
+    assert sorted(e.detected_status for e in events if e.book_key == "shared") == ["atualizado"] * 19 + ["novo"]
+    assert not list((tmp_path / "store/processing_events/_aside").iterdir())
+
+
+def test_history_is_trimmed_and_merged(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(history, "MERGED", 4)
+    store = history.History(spark, str(tmp_path / "store"), most=3)
+    for i in range(7):
+        book = spark.createDataFrame([("a", "k", "T", "A", [f"{i:040x}"], [], f"c{i}", "h", i, 0, 0, 0)], SNAPSHOT).coalesce(1)
+        store.record_analysis(book, f"2024-01-0{i + 1}T12:00:00+00:00")
+    assert sorted(e.highlight_count for e in store.processing().collect()) == [4, 5, 6]
+    assert len(store._processing.batches()) <= 4 and store._processing.read().count() < 7
+    assert store.books().first().content_hash == "c6"
+
+
+def test_stored_analyses_are_capped_and_keep_their_settings(spark, tmp_path):
+    desk = service.Service(spark, str(tmp_path / "store"))
+    desk.opened.most = 2
+    mine = Settings.of_request({"includeBookmarks": False, "exportTxt": True, "similarityThreshold": 0.9})
+    ids = []
+    for i in range(6):
+        path = tmp_path / f"up{i}.txt"
+        path.write_text(CLIPPINGS + f"Livro {i} (A)\n- Sua nota | posição 5\n\nnota {i}\n==========\n")
+        ids.append(desk.analyse(str(path), mine, dt.datetime(2024, 2, 1 + i, tzinfo=dt.UTC))[0].analysis_id)
+    assert list(desk.opened.held) == ids[-2:]
+    assert [r.filename for r in desk.analyses.list().collect()] == [f"up{i}.txt" for i in (5, 4, 3, 2, 1)]
+    assert len(desk.analyses._content.batches()) == 5 == len(desk.analyses._index.batches())
+    with pytest.raises(service.UnknownAnalysis):
+        desk.reopen(ids[0])
+    held = desk.reopen()
+    assert held is desk.opened.held[ids[5]] and held.settings == mine
+    other = service.Service(spark, str(tmp_path / "store"))  # after a restart
+    found = other.reopen(ids[3])
+    assert found.settings.as_request() == mine.as_request() and not found.settings.include_bookmarks
+    answer = other.response(found)
+    assert (answer["analysisId"], answer["uploadedName"]) == (ids[3], "up3.txt")
+    events = other.history.processing().count()
+    other.reopen(ids[2])
+    assert other.history.processing().count() == events  # reopening records nothing
+    assert Settings.of_stored("no json").similarity_threshold == 0.8 and Settings.of_stored('["x"]') == Settings()
+
+
 CLIPPINGS = "Livro (Silva, Ana)\n- Seu destaque na página 1 | posição 10-12 | Adicionado: 1 de janeiro de 2024\n\nprimeiro\n==========\nOutro (B)\n- Sua nota | posição 5\n\nnota\n==========\n"
 MORE = CLIPPINGS + "Livro (Silva, Ana)\n- Seu destaque na página 9 | posição 90-92 | Adicionado: 2 de janeiro de 2024\n\nsegundo\n==========\n"
 
