@@ -64,7 +64,7 @@ def title_and_author(line: Column) -> tuple[Column, Column]:
 def parse(segments: DataFrame) -> DataFrame:
     """Entries with a column is_error; segments of one line are no entries and leave no trace.
 
-    An error is a date that no calendar has; a missing date or an unknown month is none: its label is the whole line.
+    An error is a date that no calendar has (the year 0 among them); a missing date or an unknown month is none: its label is the whole line.
     """
     lines = segments.withColumn("lines", F.split(strip(F.col("raw")), "\n")).filter(F.size("lines") >= 2)
     lines = lines.select("analysis_id", "seq", strip(F.get("lines", F.lit(0))).alias("line"), strip(F.get("lines", F.lit(1))).alias("metadata_line"), strip(F.array_join(F.slice("lines", F.lit(3), F.greatest(F.size("lines") - 2, F.lit(0))), "\n")).alias("content"))
@@ -72,7 +72,7 @@ def parse(segments: DataFrame) -> DataFrame:
     title, author = title_and_author(F.col("title_line"))
     start, end = location(F.col("metadata_folded"))
     day, month, year = date_parts(F.col("metadata_folded"))
-    rows = lines.withColumns({"title": title, "author": author, "start_pos": start, "end_pos": end, "page": page(F.col("metadata_folded")), "month": month, "date_obj": F.try_make_timestamp_ntz(year, month, day, F.lit(0), F.lit(0), F.lit(0))})
+    rows = lines.withColumns({"title": title, "author": author, "start_pos": start, "end_pos": end, "page": page(F.col("metadata_folded")), "month": month, "date_obj": F.when(year >= 1, F.try_make_timestamp_ntz(year, month, day, F.lit(0), F.lit(0), F.lit(0)))})
     rows = rows.withColumn("is_error", F.col("month").isNotNull() & F.col("date_obj").isNull())
     return rows.select(
         "analysis_id",

@@ -68,6 +68,14 @@ def summary(rows: DataFrame, selection: DataFrame, formats: int, only_new: bool
     return chosen.agg(F.count(F.lit(1)).alias("selected_books"), F.coalesce(F.sum(counted), F.lit(0)).alias("selected_highlights")).withColumn("active_formats", F.lit(formats))
 
 
+def export_totals(entries: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(books, entries): books asked for (wanted: book_key, each as often as asked), and entries of those that there are."""
+    books = wanted.groupBy("book_key").agg(F.count(F.lit(1)).alias("asked"))
+    sizes = entries.join(books.select("book_key"), "book_key", "left_semi").groupBy("book_key").agg(F.count(F.lit(1)).alias("entries"))
+    totals = books.join(sizes, "book_key", "left").agg(F.coalesce(F.sum("asked"), F.lit(0)).alias("books"), F.coalesce(F.sum("entries"), F.lit(0)).alias("entries"))
+    return totals
+
+
 def visible_counts(rows: DataFrame, visible: DataFrame, selection: DataFrame) -> DataFrame:
     """(books, visible, visible_selected, header): header is all, some or none of the visible rows."""
     shown = _selected(visible, selection).agg(F.count(F.lit(1)).alias("visible"), F.count_if("_on").alias("visible_selected"))

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+import io
+import json
+import tempfile
+import zipfile
 from collections.abc import Callable
-from datetime import date
+from datetime import UTC, date, datetime
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +17,8 @@ from pyspark.sql import functions as F
 from annolith.functions import dates, keys, similarity, text
 from annolith.operators import dedup, pairs, parsing, render, selection, snapshots, status
 from annolith.plans import oracles
-from annolith.settings import Settings
+from annolith.session import scratch_folder
+from annolith.settings import STATUS_ORDER, Settings, today_local
 from annolith.sources import adapters, analyses, clippings, history, sinks
 
 #: The clock of rendered queries.
@@ -288,6 +295,120 @@ def history_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("book_key", "title", "author", F.array_join("entry_hashes", ",").alias("entries"), "content_hash", "highlight_hash", "highlight_count", "note_count", "last_analysis_at", "last_export_at", "last_export_signature")
 
 
+def parse_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as clippings with page numbers, in one file for each book, read back as uploads are."""
+    rows = _talks(spark, sf_dir).withColumn("page", (_turn() + 1).cast("bigint"))
+    parsed = parsing.entries(parsing.parse(clippings.segments(adapters.clippings_text(rows))))
+    return parsed.select("book_key", "seq", "page", "start_pos", "end_pos")
+
+
+def parse_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A clipping on the 31st of each event's month for each event of a user: errors where the month has no such day."""
+    line = F.concat(F.lit("- Sua nota | posição "), F.col("event_id").cast("string"), F.lit(" | Adicionado: 31 de "), dates.month_name(F.month("ts")), F.lit(" de "), F.year("ts").cast("string"))
+    rows = _table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("analysis_id"), F.col("event_id").alias("seq"), F.concat(F.lit("T (A)\n"), line, F.lit("\n\nx")).alias("raw"))
+    parsed = parsing.parse(rows)
+    kept = parsing.entries(parsed).groupBy("analysis_id").agg(F.count(F.lit(1)).alias("entries"))
+    return parsing.errors(parsed).join(kept, "analysis_id", "full_outer").select("analysis_id", F.coalesce("errors", F.lit(0)).cast("bigint").alias("errors"), F.coalesce("entries", F.lit(0)).cast("bigint").alias("entries"))
+
+
+def repaired_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose UTF-8 was read as Latin-1, repaired."""
+    rows = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    misread = F.decode(F.encode("text", "UTF-8"), "ISO-8859-1")
+    return rows.select("doc_id", F.sha1(text.repaired_text(misread)).alias("repaired"), F.sha1(text.repaired_text(F.col("text"))).alias("left_alone"))
+
+
+def position_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event of a user against the one before it; some without type, some without a place."""
+    from pyspark.sql import Window
+
+    rows = _table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("seq"), F.when(F.col("event_type") != "click", F.col("event_type")).alias("type"), F.when(F.col("event_id") % 3 != 0, F.col("event_id") % 4).alias("start"), F.when(F.col("event_id") % 5 != 0, F.col("event_id") % 4 + 2).alias("end"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("content"), F.col("ts").cast("timestamp_ntz").alias("date"))
+    before = Window.partitionBy("user_id").orderBy("seq")
+    fields = ("seq", "type", "start", "end", "text", "content", "date")
+    both = rows.select(*[F.col(c).alias(f"new_{c}") for c in fields], *[F.lag(c).over(before).alias(f"old_{c}") for c in fields]).filter("old_seq is not null")
+    a, b = similarity.Side("new"), similarity.Side("old")
+    return both.select("new_seq", similarity.same_type(a, b).alias("same_type"), similarity.same_start(a, b).alias("same_start"), similarity.same_range(a, b).alias("same_range"), similarity.missing_position(a, b).alias("unplaced"), similarity.overlap_units(a, b).alias("units"), F.round(similarity.overlap_ratio(a, b), 6).alias("share"))
+
+
+#: Requests as clients send them.
+REQUESTS = ({}, {"exportHtml": True, "exportMarkdown": False}, {"exportTxt": True, "exportObsidian": True, "removeDuplicates": False, "includeMetadata": False}, {"similarityThreshold": 0.5, "dedupSessionWindowMinutes": 0, "exportOnlyNew": True, "unknown": 1})
+
+
+def settings_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What requests become: enabled formats, flags, thresholds; also after a nested override and a round trip."""
+    rows = []
+    for i, payload in enumerate(REQUESTS):
+        made = Settings.of_request(payload, SETTINGS.today)
+        override = made.merged({"include_bookmarks": False, "formats": {"txt": {"enabled": True}}})
+        stored = Settings.of_stored(json.dumps(made.as_request())).with_changes(today=SETTINGS.today)
+        rows.append((i, ",".join(made.format_labels()), made.remove_duplicates, made.export_only_new, made.formats[0].include_metadata, made.similarity_threshold, float(made.session_window_minutes), ",".join(override.format_labels()), override.include_bookmarks, stored == made))
+    return spark.createDataFrame(rows, "request int, formats string, remove_duplicates boolean, only_new boolean, metadata boolean, similarity double, session double, with_txt string, bookmarks boolean, same_when_stored boolean")
+
+
+def local_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The application's day at instants around its midnight."""
+    instants = [datetime(2024, 3, 5, hour, 59, tzinfo=UTC) for hour in (0, 2, 3, 12, 23)] + [datetime(2024, 1, 1, 2, 0, tzinfo=UTC)]
+    return spark.createDataFrame([(t.isoformat(), today_local(t).isoformat()) for t in instants], "instant string, day string")
+
+
+def export_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Books and entries of an export of what is selected, and of ten books that there are not."""
+    chosen = selection.default_selection(_rows(spark, sf_dir)).filter("selected").select("book_key")
+    missing = spark.range(10).select(F.concat(F.lit("none"), F.col("id").cast("string")).alias("book_key"))
+    return selection.export_totals(_talks(spark, sf_dir), chosen.unionByName(missing))
+
+
+def visible_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The metrics strip for each status, as if its books alone were visible."""
+    rows = _rows(spark, sf_dir)
+    chosen = selection.default_selection(rows)
+    found = None
+    for name in STATUS_ORDER:
+        one = selection.visible_counts(rows, rows.filter(F.col("status") == name), chosen).withColumn("status", F.lit(name))
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
+def zip_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the ZIP archive of all books holds, read back from its bytes, with its order."""
+    data = sinks.zip_archive(render.files(_talks(spark, sf_dir), SETTINGS))
+    with zipfile.ZipFile(io.BytesIO(data)) as archive:
+        rows = [(place, info.filename, info.compress_type == zipfile.ZIP_DEFLATED, hashlib.sha1(archive.read(info)).hexdigest()) for place, info in enumerate(archive.infolist())]
+    return spark.createDataFrame(rows, "place int, path string, deflated boolean, sha1 string")
+
+
+def folder_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files written into a folder, read back from it."""
+    with tempfile.TemporaryDirectory() as folder:  # the driver's own, as the sink's
+        failed = sinks.write_folder(render.files(_talks(spark, sf_dir), SETTINGS), folder)
+        rows = [(str(p.relative_to(folder)), hashlib.sha1(p.read_bytes()).hexdigest(), failed) for p in sorted(Path(folder).glob("*/*"))]
+    return spark.createDataFrame(rows, "path string, sha1 string, failed int")
+
+
+def history_books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A history written as events, analysis and export and analysis again, and read back as the books' current state."""
+    store = history.History(spark, scratch_folder(spark, "history"))
+    rows = _talks(spark, sf_dir)
+    books = snapshots.snapshots(rows.filter(_turn() < 2))
+    store.record_analysis(books, ANALYSED)
+    keys_ = rows.filter(_turn() == 2).select("book_key")
+    store.mark_exported(keys_, ["txt", "markdown"], EXPORTED)
+    store.record_analysis(snapshots.snapshots(rows), "2024-01-15T12:00:00+00:00", forced=True)
+    events = store.processing().groupBy("book_key").agg(F.count(F.lit(1)).alias("events"), F.max_by("detected_status", "event_no").alias("detected_status"), F.max_by("forced", "event_no").alias("forced"))
+    state = store.books().select("book_key", "title", "content_hash", "highlight_count", "last_analysis_at", "last_export_at", "last_export_signature", F.array_join("last_export_formats", ",").alias("formats"))
+    return state.join(events, "book_key")
+
+
+def stored_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as uploads, stored, and their index rejoined with their bytes."""
+    store = analyses.Analyses(spark, scratch_folder(spark, "analyses"), most=1 << 30)
+    files = adapters.clippings_text(_talks(spark, sf_dir))
+    content = F.encode("text", "UTF-8")
+    uploads = files.select("analysis_id", F.concat(F.lit("folder/"), "analysis_id", F.lit(".txt")).alias("path"), F.length(content).cast("bigint").alias("size"), content.alias("content"))
+    store.save(uploads, ANALYSED, json.dumps(SETTINGS.as_request()))
+    return store.uploads().select("analysis_id", "path", "size", F.sha1("text").alias("text_sha1"), F.get_json_object("config", "$.exportMarkdown").alias("markdown"))
+
+
 def _decided(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows, dedup.decide(rows, SETTINGS)
 
@@ -301,8 +422,27 @@ def dedup_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _decided(_events(spark, sf_dir))[1].drop("analysis_id")
 
 
+def _crowded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as long ranges of one type, so that a user's ranges form long islands; every fourth has no date."""
+    rows = _events(spark, sf_dir).withColumns({"type": F.lit("highlight"), "end_pos": F.col("start_pos") + 300})
+    return rows.withColumn("date_obj", F.when(F.col("seq") % 4 != 0, F.col("date_obj")))
+
+
+def dedup_crowded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _decided(_crowded(spark, sf_dir))[1].drop("analysis_id")
+
+
+def dedup_crowded_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, decisions = _decided(_crowded(spark, sf_dir))
+    return dedup.survivors(rows, decisions).select("book_key", "type", "seq", "slot_seq")
+
+
+def dedup_crowded_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.report(*_decided(_crowded(spark, sf_dir))).drop("analysis_id")
+
+
 def dedup_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.metrics(_decided(_events(spark, sf_dir))[1])
+    return dedup.metrics(_decided(_crowded(spark, sf_dir))[1])
 
 
 def dedup_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -315,7 +455,9 @@ ALL: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     exact_duplicates, normal_forms, slugs, author_options, filter_rows, batch_selection, selection_summary, mark_rows_exported, entry_search,
     history_tail, latest_analyses, format_location, display_time, date_labels, parse_roundtrip, render_txt, render_markdown, render_html,
     vault_note, clip_page, note_blocks, export_files, encoded_files, mark_exported_events, processing_events, history_import,
-    dedup_survivors, dedup_events, dedup_metrics, dedup_report,
+    dedup_survivors, dedup_events, dedup_crowded, dedup_crowded_survivors, dedup_crowded_report, dedup_metrics, dedup_report,
+    parse_pages, parse_errors, repaired_texts, position_predicates, settings_forms, local_days, export_totals, visible_counts, zip_listing, folder_files,
+    history_books, stored_uploads,
 )
 
 
@@ -324,5 +466,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    """The dedup fold and character ratios are not SQL; pages with our own templates have tests instead."""
+    """Only character ratios, and folds of texts without positions that ask for them, are not SQL."""
     return oracles.all_sql()

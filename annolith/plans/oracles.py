@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from annolith.operators.render import CLIP_STYLE, STYLE
 
 def key_form(x: str) -> str:
     return rf"lower(trim(regexp_replace({x}, '\s+', ' ', 'g')))"
@@ -79,28 +80,141 @@ def _fields(line: str, end: str) -> str:
     return " || ".join([one("Autor", "'corpus'"), one("Total de destaques", "highlights"), one("Total de notas", "notes"), positions, one("Período", "'Período desconhecido'"), one("Gerado em", "'15 de janeiro de 2024'"), end])
 
 
-def _rendered(entry: str, before: str) -> str:
+#: Entries that the last export of their book did not hold.
+FRESH = "NOT EXISTS (SELECT 1 FROM hashed s WHERE s.turns >= 3 AND s.turn < 4 AND s.book_key = h.book_key AND s.eh = h.eh)"
+
+
+def _rendered(entry: str, before: str, after: str = "''", between: str = "''", where: str = "true") -> str:
     return f"""WITH {TALKS}, parts AS (
-  SELECT *, 'Posição: ' || start_pos || '-' || end_pos AS place, coalesce(content, '') AS c FROM talks
+  SELECT *, 'Posição: ' || start_pos || '-' || end_pos AS place, coalesce(content, '') AS c FROM hashed h WHERE {where}
 ), shown AS (SELECT *, CASE WHEN type = 'bookmark' OR c <> '' THEN {entry} END AS part FROM parts
 ), g AS (
-  SELECT book_key, any_value(title) || ' - corpus' AS full_title, count(*) FILTER (WHERE type = 'highlight') AS highlights,
+  SELECT book_key, any_value(title) AS title, any_value(title) || ' - corpus' AS full_title, count(*) FILTER (WHERE type = 'highlight') AS highlights,
     count(*) FILTER (WHERE type = 'note') AS notes, count(*) FILTER (WHERE type = 'bookmark') AS marks,
     string_agg(start_pos::VARCHAR, ', ' ORDER BY start_pos, seq) FILTER (WHERE type = 'bookmark') AS positions,
-    coalesce(string_agg(part, '' ORDER BY start_pos, seq), '') AS body
+    coalesce(string_agg(part, {between} ORDER BY start_pos, seq), '') AS body, count(part) AS n_parts
   FROM shown GROUP BY book_key
-) SELECT book_key, {before} || body AS content FROM g"""
+), rendered AS (SELECT *, {before} || body || {after} AS content FROM g) SELECT book_key, content FROM rendered"""
 
 
 NL = "chr(10)"
+
+
+def text(x: str) -> str:
+    """A Python text as an SQL literal."""
+    return " || chr(10) || ".join("'" + line.replace("'", "''") + "'" for line in x.split("\n"))
+
+
+def escaped(x: str) -> str:
+    for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("''", "&#x27;")):
+        x = f"replace({x}, '{raw}', '{safe}')"
+    return x
+
+
+def _page(title: str, style: str, head: str) -> str:
+    return f"""{text('<!DOCTYPE html>')} || {NL} || '<html lang="pt-BR">' || {NL} || '<head>' || {NL} || '<meta charset="UTF-8">' || {NL}
+      || '<meta name="viewport" content="width=device-width, initial-scale=1.0">' || {NL} || '<title>' || {escaped(title)} || '</title>' || {NL} || {head}
+      || {text("<style>" + style + "</style>")} || {NL} || '</head>' || {NL} || '<body>' || {NL} || '<h1>' || {escaped(title)} || '</h1>' || {NL}"""
+
+
+END = f"'</body>' || {NL} || '</html>'"
+PREFIX = "CASE type WHEN 'note' THEN 'NOTA ' WHEN 'bookmark' THEN 'MARCADOR ' ELSE '' END"
+HTML = _rendered(
+    f"""'<div class="entry ' || CASE type WHEN 'note' THEN 'note' ELSE 'highlight' END || '">' || {NL} || '<div class="entry-meta">' || {PREFIX} || {escaped("place")} || '</div>' || {NL}
+      || '<div class="entry-content">' || {escaped("c")} || '</div>' || {NL} || '</div>' || {NL}""",
+    _page("full_title", STYLE, "''") + f" || '<div class=\"metadata\">' || {NL} || " + _fields(f"('<p><strong>{{n}}:</strong> ' || {{v}} || '</p>' || {NL})", f"'</div>' || {NL}"),
+    END,
+)
+_NAMES = ("type", "title", "author", "contributors", "pages", "language", "isbn", "created", "source", "format", "genres", "series", "volume", "started", "finished", "status", "rating", "documented")
+_KNOWN = {"type": "' \"livro\"'", "title": "' \"' || title || '\"'", "author": "' \"corpus\"'", "created": "' 2024-01-15'", "format": f"{NL} || '  - \"ebook\"'", "documented": "' true'"}
+FRONT = f"'---' || {NL} || " + f" || {NL} || ".join(f"'{n}:'" + (f" || {_KNOWN[n]}" if n in _KNOWN else "") for n in _NAMES) + f" || {NL} || '---' || {NL}"
+QUOTE = f"array_to_string(list_transform(string_split(c, {NL}), lambda l: CASE WHEN l = '' THEN '>' ELSE '> ' || l END), {NL})"
+
+
+def _info(line: str, by: str) -> str:
+    """The fields of the metadata callout, joined; {n} and {v} as in _fields."""
+    one = lambda n, v: line.format(n=n, v=v)
+    positions = f"CASE WHEN marks > 0 THEN {by} || {one('Posições marcadas', 'positions')} ELSE '' END"
+    return f"{one('Total de destaques', 'highlights')} || {by} || {one('Total de notas', 'notes')} || {positions} || {by} || {one('Período', chr(39) + 'Período desconhecido' + chr(39))} || {by} || {one('Gerado em', chr(39) + '15 de janeiro de 2024' + chr(39))}"
+
+
+VAULT = _rendered(
+    f"CASE type WHEN 'bookmark' THEN '**Marcador** — ' || place WHEN 'note' THEN '> [!note] Nota — ' || place || {NL} || {QUOTE} ELSE '> [!quote] ' || place || {NL} || {QUOTE} END",
+    f"{FRONT} || {NL} || '# Citações e Destaques' || {NL} || {NL} || '> [!info]- Metadados do recorte' || {NL} || " + _info("'> **{n}**: ' || {v}", f"'  ' || {NL}") + f" || CASE WHEN n_parts > 0 THEN {NL} || {NL} ELSE '' END",
+    NL,
+    f"{NL} || {NL}",
+)
+PARAGRAPHS = f"""array_to_string(list_transform(list_filter(string_split_regex(c, '\\n[ \\t]*\\n'), lambda q: regexp_replace(q, '\\s', '', 'g') <> ''),
+      lambda q: '<p>' || replace({escaped("q")}, {NL}, '<br>') || '</p>'), '')"""
+
+
+def _callout(kind: str, fold: str, title: str, body: str) -> str:
+    return f"""'<div class="callout" data-callout="{kind}"{fold}><div class="callout-title"><div class="callout-title-inner">' || {escaped(title)} || '</div></div><div class="callout-content">' || {body} || '</div></div>'"""
+
+
+_BEFORE_CLIPS = (
+    """'<script type="application/ld+json">{"@context":"https://schema.org","@type":"Book","name":"' || title || '","author":[{"@type":"Person","name":"corpus"}],"bookFormat":"EBook"}</script>' || """
+    + NL
+)
+CLIP = _rendered(
+    f"CASE type WHEN 'bookmark' THEN '<p><strong>Marcador</strong> — ' || {escaped('place')} || '</p>' WHEN 'note' THEN {_callout('note', '', chr(39) + 'Nota — ' + chr(39) + ' || place', PARAGRAPHS)} ELSE {_callout('quote', '', 'place', PARAGRAPHS)} END",
+    _page("title", CLIP_STYLE, _BEFORE_CLIPS)
+    + f""" || '<p>corpus</p>' || {NL} || '<div data-testid="highlights">' || {NL} || """
+    + _callout("info", ' data-callout-fold="-"', "'Metadados do recorte'", "'<p>' || " + _info("'<strong>{n}</strong>: ' || {v}", "'<br>'") + " || '</p>'")
+    + f" || CASE WHEN n_parts > 0 THEN {NL} ELSE '' END",
+    f"{NL} || '</div>' || {NL} || {END}",
+    NL,
+)
 TXT = _rendered(
     f"CASE type WHEN 'note' THEN 'NOTA ' WHEN 'bookmark' THEN 'MARCADOR ' ELSE '' END || place || {NL} || CASE WHEN c = '' THEN '' ELSE c || {NL} || {NL} END",
     f"full_title || {NL} || repeat('=', length(full_title)) || {NL} || {NL} || " + _fields(f"('{{n}}: ' || {{v}} || {NL})", f"{NL} || repeat('-', 50) || {NL} || {NL}"),
 )
-MARKDOWN = _rendered(
+_MARKDOWN = (
     f"CASE type WHEN 'note' THEN '- **NOTA** ' || place || {NL} || '**' || c || '**' WHEN 'bookmark' THEN '- **MARCADOR** ' || place ELSE '- ' || place || {NL} || c END || {NL} || {NL}",
     f"'# ' || full_title || {NL} || {NL} || " + _fields(f"('**{{n}}**: ' || {{v}} || '  ' || {NL})", f"{NL} || '---' || {NL} || {NL}"),
 )
+MARKDOWN, MARKDOWN_FRESH = _rendered(*_MARKDOWN), _rendered(*_MARKDOWN, where=FRESH)
+PATH = "lower(replace(b.title, ' ', '-')) || '-corpus'"
+BOTH = f"""both_ AS (SELECT 'markdown' AS format, 'md' AS ext, 'text/markdown; charset=utf-8' AS mime_type, book_key, content FROM ({MARKDOWN})
+  UNION ALL SELECT 'html', 'html', 'text/html; charset=utf-8', book_key, content FROM ({HTML}))"""
+
+
+def fold(length: int, kind: str, moment: str) -> str:
+    """The fold of events, entry by entry within an island of ranges that touch. Ranges all have that length and are never
+    equal, so position_overlap is the one rule that can hold; texts have two words: related if one holds the other."""
+    units, share = "(x.e - e.start_pos + 1)", f"((x.e - e.start_pos + 1)::DOUBLE / {length})"
+    mine = "{'opened': e.seq, 's': e.start_pos, 'e': e.end_pos, 'ts': e.ts, 't': e.t}"
+    return f"""{EVENTS}, placed AS (
+  SELECT * REPLACE ({kind} AS type, {moment} AS ts, start_pos + {length} - 1 AS end_pos), {comparison_form("content")} AS t FROM events2
+), opened AS (SELECT *, coalesce(start_pos > lag(end_pos) OVER w, true)::INT AS opens FROM placed WINDOW w AS (PARTITION BY book_key, type ORDER BY seq)
+), numbered AS (SELECT *, sum(opens) OVER (PARTITION BY book_key, type ORDER BY seq) AS island FROM opened
+), e AS (SELECT *, row_number() OVER (PARTITION BY book_key, type, island ORDER BY seq) AS k FROM numbered
+), fold AS (
+  SELECT book_key, type, island, k, seq, [{mine}] AS slots, 'append' AS action, NULL::VARCHAR AS reason, NULL::INT AS priority, NULL::DOUBLE AS score, seq AS matched_slot FROM e WHERE k = 1
+  UNION ALL
+  SELECT book_key, type, island, k, seq,
+    CASE WHEN best = 0 THEN list_append(slots, mine) WHEN better THEN list_transform(slots, lambda x, i: CASE WHEN i = pos THEN {{'opened': x.opened, 's': mine.s, 'e': mine.e, 'ts': mine.ts, 't': mine.t}} ELSE x END) ELSE slots END,
+    CASE WHEN best = 0 THEN 'append' WHEN better THEN 'replace' ELSE 'drop' END,
+    CASE WHEN best > 0 THEN 'position_overlap' || CASE WHEN better THEN '_replaced_by_preferred_record' ELSE '_kept_existing_preferred_record' END END,
+    CASE WHEN best > 0 THEN 80 END, CASE WHEN best > 0 THEN best END, CASE WHEN best > 0 THEN held.opened ELSE seq END
+  FROM (
+    SELECT *, (held.ts IS NULL AND mine.ts IS NOT NULL) OR held.ts < mine.ts OR (held.ts IS NOT DISTINCT FROM mine.ts AND (length(held.t) < length(mine.t) OR (length(held.t) = length(mine.t) AND held.e < mine.e))) AS better
+    FROM (
+      SELECT *, slots[pos] AS held FROM (
+        SELECT *, list_max(shares) AS best, list_position(shares, list_max(shares)) AS pos FROM (
+          SELECT e.book_key, e.type, e.island, e.k, e.seq, f.slots, {mine} AS mine,
+            list_transform(f.slots, lambda x: CASE WHEN {units} > 0 AND ({share} >= 0.6 OR {units} >= 3 OR abs(epoch_us(e.ts) - epoch_us(x.ts)) <= 900000000)
+                AND e.t <> '' AND x.t <> '' AND (contains(e.t, x.t) OR contains(x.t, e.t)) THEN {share} ELSE 0.0::DOUBLE END) AS shares
+          FROM fold f JOIN e ON e.book_key = f.book_key AND e.type = f.type AND e.island = f.island AND e.k = f.k + 1))))
+)"""
+
+
+FOLD = fold(4, "type", "ts")
+CROWDED = fold(301, "'highlight'", "CASE WHEN seq % 4 <> 0 THEN ts END")
+HELD = "SELECT book_key, type, matched_slot AS slot_seq, max(seq) AS seq FROM fold WHERE action <> 'drop' GROUP BY book_key, type, matched_slot"
+FILES = f"""files AS (SELECT format || '/' || {PATH} || '.' || ext AS path, sha1(content) AS sha1 FROM both_ JOIN books b ON b.book_key = both_.book_key)"""
+CLIPPINGS = """string_agg(title || ' (corpus)' || chr(10) || '- Seu ' || CASE type WHEN 'highlight' THEN 'destaque' WHEN 'note' THEN 'nota' WHEN 'bookmark' THEN 'marcador' ELSE 'recorte' END
+              || ' posição ' || start_pos || '-' || end_pos || ' | ' || chr(10) || chr(10) || content || chr(10) || '==========' || chr(10), '' ORDER BY seq)"""
 
 
 def all_sql() -> dict[str, str]:
@@ -165,11 +279,54 @@ def all_sql() -> dict[str, str]:
             start_pos, end_pos, regexp_replace(content, '^\s+|\s+$', '', 'g') AS content FROM talks""",
         "render_txt": TXT,
         "render_markdown": MARKDOWN,
+        "render_html": HTML,
+        "vault_note": VAULT,
+        "clip_page": CLIP,
+        "export_files": f"""WITH {BOOKS} SELECT 'markdown' AS format, 'markdown/' || {PATH} || '.md' AS path, m.book_key, length(content)::INT AS n_chars
+            FROM ({MARKDOWN_FRESH}) m JOIN books b ON b.book_key = m.book_key""",
+        "encoded_files": f"""WITH {BOOKS}, {BOTH} SELECT {PATH} || '.' || ext AS filename, format, mime_type, base64(encode(content)) AS content_base64
+            FROM both_ JOIN books b ON b.book_key = both_.book_key""",
         "note_blocks": f"""WITH {TALKS}, shown AS (SELECT *, 'Posição: ' || start_pos || '-' || end_pos AS place FROM talks WHERE type = 'bookmark' OR coalesce(content, '') <> '')
             SELECT book_key, 0 AS place, 'callout' AS kind, 'info' AS type, 'Metadados do recorte' AS title, NULL AS text, NULL AS location FROM talks GROUP BY book_key
             UNION ALL SELECT book_key, row_number() OVER (PARTITION BY book_key ORDER BY start_pos, seq)::INT, CASE type WHEN 'bookmark' THEN 'marker' ELSE 'callout' END,
               CASE type WHEN 'bookmark' THEN NULL WHEN 'note' THEN 'note' ELSE 'quote' END, CASE type WHEN 'bookmark' THEN NULL WHEN 'note' THEN 'Nota — ' || place ELSE place END,
               CASE type WHEN 'bookmark' THEN NULL ELSE content END, CASE type WHEN 'bookmark' THEN place END FROM shown""",
+        "dedup_events": f"WITH RECURSIVE {FOLD} SELECT book_key, type, seq, action, reason, priority, score, matched_slot FROM fold",
+        "dedup_crowded": f"WITH RECURSIVE {CROWDED} SELECT book_key, type, seq, action, reason, priority, score, matched_slot FROM fold",
+        "dedup_crowded_survivors": f"WITH RECURSIVE {CROWDED} SELECT book_key, type, seq, slot_seq FROM ({HELD})",
+        "dedup_crowded_report": f"""WITH RECURSIVE {CROWDED} SELECT f.seq, 'User ' || e.user_id AS title, f.reason, e.start_pos, e.end_pos, left(e.content, 120) AS content_preview
+            FROM fold f JOIN placed e ON e.seq = f.seq WHERE f.action <> 'append'""",
+        "dedup_metrics": f"""WITH RECURSIVE {CROWDED} SELECT 'test' AS analysis_id, count(*) FILTER (WHERE action = 'append') AS total_entries, count(*) FILTER (WHERE action <> 'append') AS duplicates_removed,
+            count(DISTINCT book_key) AS books_processed, 0::BIGINT AS exact_duplicates_removed, 0::BIGINT AS same_start_containment_conflicts, 0::BIGINT AS same_start_expansion_conflicts,
+            0::BIGINT AS same_range_containment_conflicts, count(*) FILTER (WHERE reason LIKE 'position_overlap%') AS position_overlap_conflicts, 0::BIGINT AS similarity_fallback_removed,
+            count(*) FILTER (WHERE action = 'replace') AS records_replaced FROM fold""",
+        "parse_pages": f"WITH {TALKS} SELECT book_key, row_number() OVER (PARTITION BY book_key ORDER BY seq) - 1 AS seq, turn + 1 AS page, start_pos, end_pos FROM talks",
+        "parse_errors": """SELECT user_id::VARCHAR AS analysis_id, count(*) FILTER (WHERE day(last_day(ts::DATE)) < 31) AS errors, count(*) FILTER (WHERE day(last_day(ts::DATE)) = 31) AS entries
+            FROM events GROUP BY user_id""",
+        "repaired_texts": "SELECT doc_id, sha1(coalesce(text, '')) AS repaired, sha1(coalesce(text, '')) AS left_alone FROM documents",
+        "position_predicates": """WITH r AS (SELECT user_id, event_id AS seq, CASE WHEN event_type = 'click' THEN 'highlight' ELSE event_type END AS type, CASE WHEN event_id % 3 <> 0 THEN event_id % 4 END AS s,
+              CASE WHEN event_id % 5 <> 0 THEN event_id % 4 + 2 END AS e FROM events
+            ), p AS (SELECT *, lag(seq) OVER w AS old_seq, lag(type) OVER w AS old_type, lag(s) OVER w AS old_s, lag(e) OVER w AS old_e FROM r WINDOW w AS (PARTITION BY user_id ORDER BY seq)
+            ), q AS (SELECT *, s IS NULL OR e IS NULL OR old_s IS NULL OR old_e IS NULL AS unplaced FROM p WHERE old_seq IS NOT NULL
+            ), u AS (SELECT *, CASE WHEN unplaced THEN 0 ELSE greatest(0, least(e, old_e) - greatest(s, old_s) + 1) END AS units FROM q)
+            SELECT seq AS new_seq, type = old_type AS same_type, type = old_type AND s IS NOT DISTINCT FROM old_s AS same_start, coalesce(s = old_s AND e = old_e, false) AS same_range, unplaced, units,
+              CASE WHEN units > 0 THEN round(units / 3.0, 6)::DOUBLE ELSE 0.0::DOUBLE END AS share FROM u""",
+        "settings_forms": """SELECT * FROM (VALUES (0, 'markdown', true, false, true, 0.8::DOUBLE, 15.0::DOUBLE, 'markdown,txt', false, true), (1, 'html', true, false, true, 0.8, 15.0, 'html,txt', false, true),
+              (2, 'markdown,txt,obsidian', false, false, false, 0.8, 15.0, 'markdown,txt,obsidian', false, true), (3, 'markdown', true, true, true, 0.5, 0.0, 'markdown,txt', false, true))
+            t(request, formats, remove_duplicates, only_new, metadata, similarity, session, with_txt, bookmarks, same_when_stored)""",
+        "local_days": """SELECT strftime(t, '%Y-%m-%dT%H:%M:%S') || '+00:00' AS instant, strftime(t - INTERVAL 3 HOUR, '%Y-%m-%d') AS day FROM (VALUES (TIMESTAMP '2024-03-05 00:59:00'), ('2024-03-05 02:59:00'),
+            ('2024-03-05 03:59:00'), ('2024-03-05 12:59:00'), ('2024-03-05 23:59:00'), ('2024-01-01 02:00:00')) v(t)""",
+        "export_totals": f"WITH {BOOKS} SELECT count(*) + 10 AS books, sum(turns)::BIGINT AS entries FROM listed WHERE default_selected",
+        "visible_counts": f"""WITH {BOOKS} SELECT s.status, (SELECT count(*) FROM listed)::INT AS books, count(l.book_key) AS visible, count(l.book_key) FILTER (WHERE default_selected) AS visible_selected,
+            CASE WHEN count(l.book_key) > 0 AND count(l.book_key) = count(l.book_key) FILTER (WHERE default_selected) THEN 'all' WHEN count(l.book_key) FILTER (WHERE default_selected) > 0 THEN 'some' ELSE 'none' END AS header
+            FROM (VALUES ('novo'), ('com_novidades'), ('nunca_exportado'), ('sem_novidades')) s(status) LEFT JOIN listed l ON l.status = s.status GROUP BY s.status""",
+        "zip_listing": f"WITH {BOOKS}, {BOTH}, {FILES} SELECT (row_number() OVER (ORDER BY path) - 1)::INT AS place, path, true AS deflated, sha1 FROM files",
+        "folder_files": f"WITH {BOOKS}, {BOTH}, {FILES} SELECT path, sha1, 0 AS failed FROM files",
+        "history_books": f"""WITH {BOOKS} SELECT book_key, title, content_hash, highlight_count, '2024-01-15T12:00:00+00:00' AS last_analysis_at, CASE WHEN turns >= 3 THEN '2024-01-12T00:40:00+00:00' END AS last_export_at,
+            CASE WHEN turns >= 3 THEN then_hash END AS last_export_signature, CASE WHEN turns >= 3 THEN 'markdown,txt' END AS formats, 2::BIGINT AS events,
+            CASE WHEN content_hash = then_hash THEN 'sem_mudancas' ELSE 'atualizado' END AS detected_status, true AS forced FROM books""",
+        "stored_uploads": f"""WITH {TALKS}, f AS (SELECT book_key, {CLIPPINGS} AS text FROM talks GROUP BY book_key)
+            SELECT book_key AS analysis_id, book_key || '.txt' AS path, octet_length(encode(text)) AS size, sha1(text) AS text_sha1, 'true' AS markdown FROM f""",
         "mark_exported_events": f"""WITH {BOOKS} SELECT book_key, sha1(book_key || '|2024-01-15T13:00:00+00:00|markdown,txt|' || then_hash) AS export_id, '2024-01-15T13:00:00+00:00' AS exported_at,
             'markdown,txt' AS formats, then_hash AS content_hash, '2024-01-10T09:00:00+00:00' AS processed_at, turns >= 3 AND sent_hash = then_hash AS reexport_without_changes FROM books WHERE turns >= 2""",
         "processing_events": f"""WITH {BOOKS} SELECT book_key, sha1('2024-01-15T12:00:00+00:00|7') AS process_id,

@@ -3,14 +3,30 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the one that the cluster names in spark.checkpoint.dir; in local mode without it, of our own."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith(("local[", "local ")) and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        shared = tempfile.mkdtemp(prefix="annolith-")
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def build_session(app: str = "annolith", master: str | None = None, **conf: str) -> SparkSession:
-    """A local session with the settings a cluster would have, but few shuffle partitions."""
+    """A local session with the settings a cluster would have, but few shuffle partitions. On a cluster (another master)
+    spark.checkpoint.dir must be given: a folder that all machines share."""
     cpus = os.environ.get("BENCH_CPUS", "8")
-    builder = SparkSession.builder.master(master or f"local[{cpus}]").appName(app)
+    master = master or f"local[{cpus}]"
+    builder = SparkSession.builder.master(master).appName(app)
+    if master.startswith("local["):
+        conf = {"spark.checkpoint.dir": tempfile.mkdtemp(prefix=f"{app}-")} | conf
     settings = {
         "spark.sql.shuffle.partitions": "8",
         "spark.sql.adaptive.enabled": "true",

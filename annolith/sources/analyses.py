@@ -39,7 +39,7 @@ class Analyses:
     def list(self) -> DataFrame:
         return retained(self._index.read(), self.most).drop("saved_no")
 
-    def _uploads(self) -> DataFrame:
+    def uploads(self) -> DataFrame:
         """The retained uploads whose bytes are there, as sources.clippings reads them, with saved_no and config."""
         batches = {number: f"{self._content.path}/{name}" for number, name in self._content.batches().items()}
         listed = retained(self._index.read(), self.most)
@@ -55,8 +55,8 @@ class Analyses:
 
     def get(self, analysis_id: str) -> DataFrame:
         """The upload of an analysis, or no rows."""
-        return self._uploads().filter(F.col("analysis_id") == analysis_id).drop("saved_no")
+        return self.uploads().filter(F.col("analysis_id") == analysis_id).drop("saved_no")
 
     def latest(self) -> DataFrame:
         """The newest upload whose bytes are there."""
-        return self._uploads().orderBy(F.desc("saved_no")).limit(1).drop("saved_no")
+        return self.uploads().orderBy(F.desc("saved_no")).limit(1).drop("saved_no")

@@ -47,4 +47,4 @@ def encoded(files: DataFrame) -> DataFrame:
     rows = unique_files(files).orderBy("path")
     kind = F.element_at(F.split("path", r"\."), -1)
     mime = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in MIME.items() for x in pair]), kind), F.lit("application/octet-stream"))
-    return rows.select(F.element_at(F.split("path", "/"), -1).alias("filename"), "format", mime.alias("mime_type"), F.base64(F.encode("content", "UTF-8")).alias("content_base64"))
+    return rows.select(F.element_at(F.split("path", "/"), -1).alias("filename"), "format", mime.alias("mime_type"), F.regexp_replace(F.base64(F.encode("content", "UTF-8")), "[\\r\\n]", "").alias("content_base64"))
