@@ -50,7 +50,16 @@ def in_session(entries: DataFrame, minutes: float) -> DataFrame:
     return pairs.filter(within_session(Side("new"), Side("old"), minutes))
 
 
-def within_books(entries: DataFrame, extra: dict[str, Column] | None = None) -> DataFrame:
-    """All pairs of a book and type; for books that a reader makes, not for unbounded groups."""
-    zero = F.lit(0)
-    return _joined(*_sides(entries, F.array(zero), zero, extra or {}))
+def within_books(entries: DataFrame, extra: dict[str, Column] | None = None, block: int = 1000) -> DataFrame:
+    """All pairs of a book and type. A book of more than `block` entries is cut into blocks, and each two blocks meet in a
+    cell of their own, so that no task gets a whole book."""
+    book = ["analysis_id", "book_key", "type"]
+    blocks = entries.groupBy(*book).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_blocks"))
+    rows = entries.join(blocks, book).withColumn("_own", F.pmod(F.xxhash64("seq"), F.col("_blocks")).cast("int"))
+    cell = lambda a, b: F.least(a, b) * F.col("_blocks") + F.greatest(a, b)
+    cells = F.transform(F.sequence(F.lit(0), F.col("_blocks") - 1), lambda other: cell(F.col("_own"), other))
+    old, new = _sides(rows, cells, F.col("_own"), (extra or {}) | {"blocks": F.col("_blocks")})
+    pairs = old.join(new, ["analysis_id", "book_key", "kind", "bin"]).filter("old_seq < new_seq")
+    # Two entries of one block meet in all its cells: only the one on the diagonal counts.
+    low, high = F.least("old_low_bin", "new_low_bin"), F.greatest("old_low_bin", "new_low_bin")
+    return pairs.filter(F.col("bin") == low * F.col("old_blocks") + high).drop("old_blocks", "new_blocks")

@@ -11,7 +11,9 @@ from annolith.settings import UNKNOWN_AUTHOR
 
 
 def with_hashes(entries: DataFrame) -> DataFrame:
-    """entries with entry_hash and highlight_hash; content crosses to Python once."""
+    """entries with entry_hash and highlight_hash, unless they are there; content crosses to Python once."""
+    if {"entry_hash", "highlight_hash"} <= set(entries.columns):
+        return entries
     rows = entries.withColumn("_key", key_text(F.col("content")))
     return rows.withColumns({"entry_hash": hash_text(entry_signature(F.col("_key"))), "highlight_hash": hash_text(highlight_signature(F.col("_key")))}).drop("_key")
 

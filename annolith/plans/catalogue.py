@@ -38,14 +38,21 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adapters.of_events(_table(spark, sf_dir, "events"))
 
 
+def _hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations' entries with their hashes, without content: written once where several snapshots are made of
+    them, so that texts cross to Python once."""
+    path = scratch_folder(spark, "hashed")
+    snapshots.with_hashes(_talks(spark, sf_dir)).drop("content").write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def _turn() -> F.Column:
     return F.col("start_pos") / 10
 
 
-def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _history(rows: DataFrame) -> DataFrame:
     """A history of the conversations: those of two turns or more were analysed after their second turn, those of three
     or more exported after their fourth."""
-    rows = _talks(spark, sf_dir)
     turns = rows.groupBy("book_key").agg(F.count(F.lit(1)).alias("turns"))
     known = rows.join(turns, "book_key")
     then = snapshots.snapshots(known.filter((F.col("turns") >= 2) & (_turn() < 2)))
@@ -55,7 +62,8 @@ def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return status.books_table(snapshots.snapshots(_talks(spark, sf_dir)), _history(spark, sf_dir))
+    rows = _hashed(spark, sf_dir)
+    return status.books_table(snapshots.snapshots(rows), _history(rows))
 
 
 def book_snapshot_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,13 +109,14 @@ def books_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def detected_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = status.detect(snapshots.snapshots(_talks(spark, sf_dir)), _history(spark, sf_dir))
+    hashed = _hashed(spark, sf_dir)
+    rows = status.detect(snapshots.snapshots(hashed), _history(hashed))
     return rows.select("book_key", "detected_status", "detected_new")
 
 
 def new_entries_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hashed = snapshots.with_hashes(_talks(spark, sf_dir))
-    return status.fresh_entries(hashed, _history(spark, sf_dir)).select("book_key", "seq", "entry_hash")
+    hashed = _hashed(spark, sf_dir)
+    return status.fresh_entries(hashed, _history(hashed)).select("book_key", "seq", "entry_hash")
 
 
 def known_keys_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -264,7 +273,7 @@ def note_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def export_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Markdown of what is new since the last export."""
     hashed = snapshots.with_hashes(_talks(spark, sf_dir))
-    fresh = status.fresh_entries(hashed, _history(spark, sf_dir))
+    fresh = status.fresh_entries(hashed, _history(_hashed(spark, sf_dir)))
     settings = SETTINGS.merged({"formats": {"html": {"enabled": False}}})
     made = render.unique_files(render.files(fresh, settings))
     return made.select("format", "path", "book_key", F.length("content").alias("n_chars"))
@@ -275,20 +284,20 @@ def encoded_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mark_exported_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    state = _history(spark, sf_dir)
-    events = history.export_events(snapshots.snapshots(_talks(spark, sf_dir)), state, ["txt", " markdown ", "txt"], "2024-01-15T13:00:00+00:00")
+    rows = _hashed(spark, sf_dir)
+    events = history.export_events(snapshots.snapshots(rows), _history(rows), ["txt", " markdown ", "txt"], "2024-01-15T13:00:00+00:00")
     return events.select("book_key", "export_id", "exported_at", F.array_join("formats", ",").alias("formats"), "content_hash", "processed_at", "reexport_without_changes")
 
 
 def processing_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    books = snapshots.snapshots(_talks(spark, sf_dir))
-    events = history.processing_events(books, _history(spark, sf_dir), "2024-01-15T12:00:00+00:00", False, 1, 7)
+    rows = _hashed(spark, sf_dir)
+    events = history.processing_events(snapshots.snapshots(rows), _history(rows), "2024-01-15T12:00:00+00:00", False, 1, 7)
     return events.select("book_key", "process_id", "detected_status", "new_highlights_count", "content_hash", "highlight_count")
 
 
 def history_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The history as the JSON document of older versions, read back."""
-    state = _history(spark, sf_dir)
+    state = _history(_hashed(spark, sf_dir))
     old = F.struct("title", F.lit(None).cast("string").alias("author"), F.col("entry_hashes").alias("entry_signatures"), F.col("highlight_hashes").alias("highlight_signature_hashes"), F.col("highlight_count").cast("string").alias("highlight_count"), F.col("last_analysis_at").alias("last_processed_at"), F.col("last_export_at").alias("last_exported_at"), F.struct(F.col("last_export_signature").alias("content_signature_hash")).alias("last_export"))
     documents = state.select(F.to_json(F.struct(F.create_map("book_key", old).alias("books"))).alias("value"))
     rows = history.sanitise(documents)
