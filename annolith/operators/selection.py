@@ -56,8 +56,8 @@ def batch(rows: DataFrame, selection: DataFrame, visible: DataFrame, action: str
 def toggle(selection: DataFrame, visible: DataFrame) -> DataFrame:
     """The header box: clears the visible rows if all of them are selected, else selects them."""
     shown = visible.select("book_key").join(selection, "book_key", "left")
-    on = ~shown.agg(F.bool_and(F.coalesce("selected", F.lit(False))).alias("all")).first()["all"]
-    touched = visible.select("book_key", F.lit(bool(on)).alias("_set"))
+    on = not shown.agg(F.bool_and(F.coalesce("selected", F.lit(False))).alias("all")).first()["all"]
+    touched = visible.select("book_key", F.lit(on).alias("_set"))
     return selection.join(touched, "book_key", "full_outer").select("book_key", F.coalesce("_set", "selected").alias("selected"))
 
 

@@ -3,19 +3,28 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
 
+#: Folders of sessions without spark.checkpoint.dir, by application.
+_OWN: dict[str, str] = {}
+
+
 def scratch_folder(spark: SparkSession, name: str) -> str:
-    """A new folder in the one that the cluster names in spark.checkpoint.dir; in local mode without it, of our own."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    """A new folder in the one that the cluster names in spark.checkpoint.dir. Where that is unset, in one of our own, in
+    local mode only: the executors of a cluster could not read it."""
+    context = spark.sparkContext
+    shared = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
-        if not spark.sparkContext.master.startswith(("local[", "local ")) and spark.sparkContext.master != "local":
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        shared = tempfile.mkdtemp(prefix="annolith-")
+        if context.applicationId not in _OWN:
+            _OWN[context.applicationId] = tempfile.mkdtemp(prefix="annolith-")
+        shared = _OWN[context.applicationId]
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
