@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from annolith.llm import exact_dedup, line_dedup, mixing, near_dedup, neighbours, oracles, packing, quality, secrets, toxicity, warc
-from annolith.llm.common import scratch_path
+from annolith.session import scratch_folder
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,7 +43,7 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = scratch_path(spark, "warc")
+    path = scratch_folder(spark, "warc")
     warc.write_archive(_table(spark, sf_dir, "pages"), path)
     return warc.summary(warc.record_bytes(warc.read_archive(spark, path)))
 

@@ -4,9 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -15,32 +12,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from annolith.session import scratch_folder
+
 #: The white space that every contract here names, and nothing else.
 BLANK = b" \t\n\x0b\x0c\r"
 
 
-#: Folders of sessions without spark.checkpoint.dir, by application.
-_OWN: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir. Where unset, one of our own, in local mode only: the
-    executors of a cluster could not read it."""
-    context = spark.sparkContext
-    found = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        if context.applicationId not in _OWN:
-            _OWN[context.applicationId] = tempfile.mkdtemp(prefix="annolith-")
-        found = _OWN[context.applicationId]
-    return found.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def _written(df: DataFrame, path: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -48,14 +25,14 @@ def _written(df: DataFrame, path: str) -> DataFrame:
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: later steps neither recompute it nor depend on one executor."""
-    return _written(df, scratch_path(df.sparkSession, name))
+    return _written(df, scratch_folder(df.sparkSession, name))
 
 
 class Scratch:
     """Tables of one computation in the shared folder, removed together once what they lead to is written."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.path, self.tables = spark, scratch_path(spark, name), 0
+        self.spark, self.path, self.tables = spark, scratch_folder(spark, name), 0
 
     def table(self, df: DataFrame) -> DataFrame:
         self.tables += 1
