@@ -315,6 +315,16 @@ def test_time_is_linear_in_runs_whatever_the_alphabet():
     assert other < 1.5 * plain + 0.2
 
 
+def test_a_long_random_text_is_one_span_and_equal_spans_are_told_once():
+    rng = random.Random(3)
+    long = "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=100_000))
+    base, more = secrets.scan(f"é {long} end")
+    covered = sum(b - a for a, _, b in more)
+    assert covered >= 0.99 * len(long) and all(2 <= a and b <= 2 + len(long) for a, _, b in more)
+    key = "0123fedcba98a7c5e3b1d2f4"[::-1]
+    assert len(secrets.scan(f"x {key.upper()} y")[1]) == 1  # hexadecimal, alphanumeric and base64 alike
+
+
 def test_mask(spark):
     got = secrets.find_secrets(docs(spark, [(1, "é token = abcdef12 x", "s"), (2, None, "s")]), masked=True).collect()
     assert {r.doc_id: r.masked for r in got} == {1: "é [SECRET] x", 2: None}
