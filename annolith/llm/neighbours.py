@@ -32,11 +32,13 @@ from pyspark.sql import functions as F
 from annolith.llm.common import materialize
 
 #: Nodes of a group; neighbours of a node in the graph; best nodes a query keeps; nodes it expands at once.
-GROUP, DEGREE, BEAM, EXPAND = 4096, 48, 160, 24
+GROUP, DEGREE, BEAM, EXPAND = 4096, 48, 160, 80
 #: Nodes of a starting block, and how many blockings.
 BLOCK, BLOCKINGS = 1000, 4
 #: Most hubs, and how many lists name one at least, in lists' lengths; entries that are turned around together.
 HUBS, NAMED, TURNED = 1024, 8, 2_000_000
+#: In a round a group offers a node the best of its lists, this part of a list at most.
+OFFERED = 3
 #: Rounds end when fewer entries than this share change, or after so many rounds.
 CHANGED, ROUNDS = 0.03, 12
 
@@ -247,18 +249,21 @@ def _local_join(meet: pd.DataFrame, answers: pd.DataFrame, groups: int, degree:
     places, starts = np.frombuffer(meet["places"].iloc[0], np.int32), np.frombuffer(meet["starts"].iloc[0], np.int32)
     kept = (members[:0], members[:0], least[:0])
     held: list[tuple] = []
-    size = 0
+    size, most = 0, max(1, degree // OFFERED)
     for a, b in zip(starts, [*starts[1:], len(places)], strict=True):
         m = places[a:b]
         sim = x[m] @ x[m].T
         np.fill_diagonal(sim, -np.inf)
-        i, j = np.nonzero(sim > least[m][:, None])
+        floor = least[m]
+        if len(m) > most:
+            floor = np.maximum(floor, np.nextafter(np.partition(sim, len(m) - most, axis=1)[:, len(m) - most], np.float32(-np.inf)))
+        i, j = np.nonzero(sim > floor[:, None])
         held.append((m[i], m[j], sim[i, j]))
         size += len(i)
         if size > 1_000_000:
-            kept = best(*(np.concatenate(c) for c in zip((kept), *held, strict=True)), degree)
+            kept = best(*(np.concatenate(c) for c in zip((kept), *held, strict=True)), most)
             held, size = [], 0
-    node, other, sim = best(*(np.concatenate(c) for c in zip(kept, *held, strict=True)), degree)
+    node, other, sim = best(*(np.concatenate(c) for c in zip(kept, *held, strict=True)), most)
     return _by_group(members[node], members[other], sim, groups)
 
 
