@@ -54,8 +54,10 @@ def fit_in_tasks(rows: DataFrame, fit: Callable[[pd.DataFrame, int], dict[str, n
         del frame
         release()
 
-    dealt = rows.withColumn("part", F.explode(F.array(*map(F.lit, range(parts)))))
-    dealt = dealt.repartitionByRange(parts, "part") if parts > 1 else dealt.repartition(1)
+    # Numbers whose hashes lie in different partitions stand for the parts, so that no task gets two.
+    spread = rows.sparkSession.range(200 * parts).groupBy(F.pmod(F.hash("id"), F.lit(parts)).alias("p")).agg(F.min("id").alias("id")).collect()
+    told = F.create_map(*(c for r in spread for c in (F.lit(int(r["p"])), F.lit(int(r["id"])).cast("long"))))
+    dealt = rows.withColumn("part", F.explode(F.array(*map(F.lit, range(parts))))).repartition(parts, told[F.col("part")])
     found: dict[int, dict[str, np.ndarray]] = {}
     for row in dealt.mapInPandas(run, "part int, model binary").collect():
         with np.load(io.BytesIO(bytes(row["model"]))) as stored:

@@ -107,9 +107,13 @@ def _window_means(values: np.ndarray) -> np.ndarray:
 class _Bags:
     """The n-grams of a list of words, and means of what n-grams have over the words' bags."""
 
+    chunk = 20_000  # words that are cut into n-grams at once
+
     def __init__(self, words: list[str]):
-        self.buckets, self.starts = subwords(words)
-        self.counts = np.diff(np.append(self.starts, len(self.buckets)))
+        parts = [(b.astype(np.int32), np.diff(np.append(s, len(b)))) for b, s in (subwords(words[at : at + self.chunk]) for at in range(0, len(words), self.chunk))]
+        self.buckets = np.concatenate([b for b, _ in parts]) if parts else np.zeros(0, np.int32)
+        self.counts = np.concatenate([n for _, n in parts]) if parts else np.zeros(0, np.int64)
+        self.starts = np.cumsum(self.counts) - self.counts
 
     def places(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(buckets of the words, where each word's begin)."""
