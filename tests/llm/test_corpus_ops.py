@@ -9,6 +9,7 @@ import zlib
 from fractions import Fraction
 
 import numpy as np
+import pyspark
 import pytest
 from pyspark.sql import functions as F
 
@@ -447,6 +448,13 @@ def test_sample_of_repeated_ids_is_bounded(spark):
     assert sorted((r.doc_id, r.y) for r in got) == [(7, 1), (8, 0)]
 
 
+def test_every_part_of_a_fit_has_a_task_of_its_own(spark):
+    rows = spark.createDataFrame([(i, str(i), i % 2) for i in range(40)], "doc_id long, text string, y int")
+    seen = labelled.fit_in_tasks(rows, lambda frame, part: {"ids": frame["doc_id"].to_numpy(), "task": np.array([pyspark.TaskContext.get().partitionId()])}, 5)
+    assert sorted(seen) == list(range(5)) and all(f["ids"].tolist() == list(range(40)) for f in seen.values())
+    assert len({int(f["task"][0]) for f in seen.values()}) == 5
+
+
 def test_dual_coordinate_descent_separates():
     rng = np.random.default_rng(0)
     rows = [np.array(sorted({int(x) for x in rng.integers(10, 90, 6)} | {5 if y else 6}), np.int32) for y in range(2) for _ in range(40)]
