@@ -191,7 +191,9 @@ def test_components_of_a_path_and_a_star(spark):
     assert got == {i: 20 for i in range(20, 41)} | {i: 100 for i in range(100, 130)}
 
 
-def test_line_dedup_equals_brute_force(spark):
+@pytest.mark.parametrize("most", [1_000_000, 0])
+def test_line_dedup_equals_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(line_dedup, "_bounded", lambda keys, own=line_dedup._bounded: own(keys, most))
     rng = random.Random(3)
     rows = [(i, "\n".join(rng.choice([" Menu", "Menu ", "Foot\t", f"own {i}", "", "rare"]) for _ in range(6)), f"site{i % 12}" if i % 13 else None) for i in range(80)] + ODD + [(0, "Menu\nx", "a"), (0, "Menu\nx", "a")]
     sites: dict = {}
