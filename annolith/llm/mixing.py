@@ -119,8 +119,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """
     spark = docs.sparkSession
     names = [] if row is None else ["row"]
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text"), *(row.alias(n) for n in names))
-    sized = materialize(map_batches(base, _sizes, f"doc_id long, source string, size long{', row long' if names else ''}"), "sizes")
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"), *(row.alias(n) for n in names))
+    sized = materialize(map_batches(base, _sizes, f"doc_id long, source string, size long, text_hash long{', row long' if names else ''}"), "sizes")
     sized = sized.withColumn("skey", F.coalesce(F.concat(F.lit("="), "source"), F.lit("null")))
     lengths = sized.groupBy("skey", "size").agg(F.count(F.lit(1)).alias("n"))
     found = sorted((r["skey"] == "null", r["skey"], int(r["words"])) for r in lengths.groupBy("skey").agg(F.sum(F.col("size") * F.col("n")).alias("words")).collect())
@@ -138,8 +138,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     quota = lengths.join(plan, "skey").groupBy("skey").applyInPandas(fit, "skey string, size long, base long, extra long")
     salts = salts_for(sized.count())
-    # Slices of the seeded hash order the documents of a length; a hot length is ranked slice by slice.
-    key = F.xxhash64(F.lit(seed), F.col("doc_id"))
+    # Slices of the seeded hash order the documents of a length; a hot length is ranked slice by slice, and texts spread
+    # those of a repeated or missing id.
+    key = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text_hash"))
     ranked = salted_rank(sized.withColumn("_h", key), ["skey", "size"], [F.col("_h"), F.col("doc_id").asc_nulls_last(), *names], F.floor((F.shiftrightunsigned("_h", 32) * salts) / F.lit(float(1 << 32))).cast("int"))
     out = ranked.join(quota, ["skey", "size"]).join(plan, "skey")
     copies = F.when(F.col("size") == 0, F.lit(0).cast("long")).otherwise(F.col("base") + (F.col("rank") < F.col("extra")).cast("long"))

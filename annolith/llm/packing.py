@@ -316,6 +316,6 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
             frame["offset"] = offset[row] + place_ % each[row] * length
             yield frame.drop(columns="rank")
 
-    ranked = salted_rank(pieces, ["length"], [F.col(c).asc_nulls_last() for c in ("doc_id", "piece", "ids_crc32")], F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts_for(pieces.count()))))
+    ranked = salted_rank(pieces, ["length"], [F.col(c).asc_nulls_last() for c in ("doc_id", "piece", "ids_crc32")], F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts_for(pieces.count()))))
     columns = "doc_id long, piece int, start long, length long, ids_crc32 long"
     return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInPandas(assign, f"{columns}, sequence_id long, offset long")
