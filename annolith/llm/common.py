@@ -38,6 +38,12 @@ class Scratch:
         self.tables += 1
         return _written(df, f"{self.path}/{self.tables}")
 
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.remove()
+
     def remove(self) -> None:
         where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
         where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
@@ -125,6 +131,30 @@ def repeat_rows(docs: DataFrame, told: DataFrame, broadcast_rows: int = 250_000)
     return out.select("doc.*")
 
 
+def in_order(df: DataFrame, order: list[Column], scratch: Scratch, sums: tuple[str, ...] = ()) -> DataFrame:
+    """df with place, the 0-based place of each row in the order of all rows, and for each column named in sums the sum
+    over the rows up to and with this one, as through_<column>.
+
+    Rows are dealt by ranges of the order, sorted there and written; each range starts where the counts of those before it
+    end. No key's rows need to meet in a task: where order ends in something unique, a key of any share is cut as well.
+    The driver gets a row for each range.
+    """
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    rows = scratch.table(dealt).withColumn("_range", F.shiftright("_at", 33))
+    totals = [F.sum(F.col(c).cast("long")).alias(c) for c in sums]
+    starts, before = [], [0] * (1 + len(sums))
+    for found in sorted(rows.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"), *totals).collect()):
+        starts.append((found["_range"], *before))
+        before = [x + (y or 0) for x, y in zip(before, found[1:], strict=True)]
+    names = ["_start", *(f"_start_{c}" for c in sums)]
+    told = df.sparkSession.createDataFrame(starts, ", ".join(f"{n} long" for n in ["_range", *names]))
+    rows = rows.join(F.broadcast(told), "_range")
+    within = Window.partitionBy("_range").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    through = {f"through_{c}": F.col(f"_start_{c}") + F.coalesce(F.sum(F.col(c).cast("long")).over(within), F.lit(0)) for c in sums}
+    rows = rows.withColumns({"place": F.col("_start") + F.col("_at").bitwiseAND((1 << 33) - 1)} | through)
+    return rows.drop("_at", "_range", *names)
+
+
 def salts_for(rows: int) -> int:
     """Salts that keep the share of one salt in a hot key, and the salts of one key, small at any size."""
     return max(64, rows // 250_000)
