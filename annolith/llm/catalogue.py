@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from annolith.llm import exact_dedup, line_dedup, mixing, near_dedup, neighbours, oracles, packing, prefix_trie, quality, resampling, secrets, toxicity, warc
+from annolith.llm import exact_dedup, line_dedup, mixing, near_dedup, neighbours, oracles, packing, prefix_trie, quality, resampling, secrets, sequence_lm, toxicity, warc
 from annolith.session import scratch_folder
 
 
@@ -60,14 +60,18 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(_table(spark, sf_dir, "conversations"))
 
 
+def op12_hidden_markov_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequence_lm.score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_nn_descent, op3_minhash_near_dedup, op4_quality_classifier, op5_toxicity, op6_line_dedup, op7_exact_dedup, op8_warc_archive, op9_secret_scan, op10_source_mixing, op11_prefix_trie, op13_importance_resampling)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_nn_descent, op3_minhash_near_dedup, op4_quality_classifier, op5_toxicity, op6_line_dedup, op7_exact_dedup, op8_warc_archive, op9_secret_scan, op10_source_mixing, op11_prefix_trie, op12_hidden_markov_lm, op13_importance_resampling)}
 
 
 def oracle_sql() -> dict[str, str]:
-    """The others are a search, trained models, a genetic algorithm or spans by entropy: tested by brute force instead."""
+    """The others are a search, trained models (op4, op5, op12), a genetic algorithm or spans by entropy: tested by brute force instead."""
     return oracles.all_sql()
