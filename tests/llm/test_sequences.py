@@ -181,7 +181,7 @@ def test_iterations_gain(spark):
 
 def test_language_model_over_documents(spark):
     rng = random.Random(4)
-    words = {"de": ["der", "Hund", "läuft", "und"], "en": ["the", "dog", "runs", "and"]}
+    words = {"de": [f"wort{i}" for i in range(80)], "en": [f"Word{i}" for i in range(80)]}
     rows = ODD + [(100 + i, " ".join(rng.choices(words[rng.choice(["de", "en"])], k=rng.randrange(1, 60)))) for i in range(120)]
     got = sequence_lm.score_documents(docs(spark, rows)).collect()
     tokens = {i: [*(t or "").encode().lower().split(), b""] for i, (_, t) in enumerate(rows)}
