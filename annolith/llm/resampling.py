@@ -131,7 +131,7 @@ def resample(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_co
 
         postings = counted.select("row", "buckets", "counts").mapInArrow(_inverted, "bucket int, first long, docs array<long>, counts array<int>")
         postings = postings.withColumn("slice", F.pmod(F.hash("first"), F.lit(slices))).drop("first")
-        sent = postings.join(gains, ["bucket", "slice"]).select("gain", F.explode(F.arrays_zip("docs", "counts")).alias("p"))
+        sent = postings.join(gains.hint("merge"), ["bucket", "slice"]).select("gain", F.explode(F.arrays_zip("docs", "counts")).alias("p"))
         sums = sent.groupBy(F.col("p.docs").alias("row")).agg(F.sum(F.col("p.counts") * F.col("gain")).alias("sum"))
 
         sized = counted.select("row", "doc_id", "n_words", "n_features").join(sums, "row", "left")
