@@ -454,6 +454,38 @@ def dedup_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.metrics(_decided(_crowded(spark, sf_dir))[1])
 
 
+def dedup_rungs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every rung of the ladder on every turn: books of two entries, a turn's text and what a reader's later clipping made
+    of it. Variants 6 to 9 have no place."""
+    turns = _table(spark, sf_dir, "conversations").filter(F.length("text").between(40, 180))
+    rows = turns.select("conv_id", "turn", F.col("text").alias("t"), (F.length("text") / 2).cast("int").alias("half"), F.explode(F.sequence(F.lit(0), F.lit(10))).alias("variant"))
+    t, half, start = F.col("t"), F.col("half"), F.col("turn") * 100
+    words = F.split("t", " ")
+    old = [start, start + 9, t]
+    none = F.lit(None).cast("bigint")
+    front, back = F.substring(t, 1, half), F.substring(t, half + 1, F.lit(200))
+    grown = F.concat(front, F.lit(" zzqy "), back)
+    new = [
+        (start + 9, start, F.concat(t, F.lit("!"))),  # read backwards
+        (start, start + 4, front),
+        (start, start + 9, back),
+        (start + 4, start + 13, t),
+        (start, start - 9, grown),  # away from the same start
+        (start + 4, start + 13, F.array_join(F.reverse(words), " ")),  # the same words in another order
+        (none, none, front),
+        (none, none, F.concat(front, F.lit("§"), F.substring(t, half + 2, F.lit(200)))),  # another character in the middle
+        (none, none, F.lit("...")),
+        (none, none, F.lit("§§")),
+        (start + 10, start + 19, t),
+    ]
+    place = lambda at: F.element_at(F.array(*(n[at] for n in new)), F.col("variant") + 1)
+    first = F.struct(F.lit(0).alias("k"), F.when(F.col("variant").isin(6, 7, 9), none).otherwise(old[0]).alias("s"), F.when(F.col("variant").isin(6, 7, 9), none).otherwise(old[1]).alias("e"), F.when(F.col("variant") == 8, "").otherwise(old[2]).alias("c"))
+    second = F.struct(F.lit(1).alias("k"), place(0).alias("s"), place(1).alias("e"), place(2).alias("c"))
+    made = rows.select("conv_id", "turn", "variant", F.inline(F.array(first, second)))
+    entries = adapters.pairs_of_versions(made)
+    return dedup.decide(entries, SETTINGS).select("book_key", "seq", "action", "reason", "priority", F.round("score", 9).alias("score"), "matched_slot")
+
+
 def dedup_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.report(*_decided(adapters.of_documents(_table(spark, sf_dir, "documents"))))
 
@@ -464,7 +496,7 @@ ALL: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     exact_duplicates, normal_forms, slugs, author_options, filter_rows, batch_selection, selection_summary, mark_rows_exported, entry_search,
     history_tail, latest_analyses, format_location, display_time, date_labels, parse_roundtrip, render_txt, render_markdown, render_html,
     vault_note, clip_page, note_blocks, export_files, encoded_files, mark_exported_events, processing_events, history_import,
-    dedup_survivors, dedup_events, dedup_crowded, dedup_crowded_survivors, dedup_crowded_report, dedup_metrics, dedup_report,
+    dedup_survivors, dedup_events, dedup_crowded, dedup_crowded_survivors, dedup_crowded_report, dedup_metrics, dedup_report, dedup_rungs,
     parse_pages, parse_errors, repaired_texts, position_predicates, settings_forms, local_days, export_totals, visible_counts, zip_listing, folder_files,
     history_books, stored_uploads,
 )

@@ -209,6 +209,45 @@ def fold(length: int, kind: str, moment: str) -> str:
 )"""
 
 
+_OLD, _NEW = comparison_form("c0"), comparison_form("c1")
+#: Books of two entries: the rungs by what the variants are made to be. A text of 40 to 180
+#: characters with a strange word in its middle keeps nearly all characters; one with another character there all but that one.
+RUNGS = f"""WITH v AS (
+  SELECT *, turn * 100 AS s, length(t) // 2 AS half, unnest(range(11)) AS variant FROM (SELECT conv_id, turn, text AS t FROM conversations WHERE length(text) BETWEEN 40 AND 180)
+), c AS (
+  SELECT *, (conv_id * 1000000 + turn) * 100 + variant * 2 AS seq, sha1('turn ' || conv_id || ' ' || turn || ' ' || variant || '||corpus') AS book_key,
+    CASE WHEN variant = 8 THEN '' ELSE t END AS c0,
+    CASE variant WHEN 0 THEN t || '!' WHEN 1 THEN left(t, half) WHEN 2 THEN substr(t, half + 1) WHEN 3 THEN t WHEN 4 THEN left(t, half) || ' zzqy ' || substr(t, half + 1)
+      WHEN 5 THEN array_to_string(list_reverse(string_split(t, ' ')), ' ') WHEN 6 THEN left(t, half) WHEN 7 THEN left(t, half) || '§' || substr(t, half + 2) WHEN 8 THEN '...' WHEN 9 THEN '§§' ELSE t END AS c1
+  FROM v
+), f AS (SELECT *, {_OLD} AS a, {_NEW} AS b, length(c1) AS n FROM c
+), r AS (
+  SELECT *, CASE WHEN length(a) <= length(b) THEN a <> '' AND contains(b, a) ELSE b <> '' AND contains(a, b) END AS holds,
+    least(length(a), length(b)) >= 40 OR least(length(a), length(b)) >= 0.45 * greatest(length(a), length(b)) AS near,
+    list_distinct(string_split(a, ' ')) AS wa, list_distinct(string_split(b, ' ')) AS wb
+  FROM f
+), d AS (
+  SELECT *, CASE
+    WHEN variant = 0 AND a = b THEN 'exact_duplicate'
+    WHEN variant IN (1, 4) AND holds THEN 'same_start_containment'
+    WHEN variant IN (0, 2) AND holds THEN 'same_range_containment'
+    WHEN variant IN (3, 5) AND a <> '' AND ((holds AND near) OR len(list_intersect(wa, wb)) / greatest(len(wa), len(wb)) >= 0.75) THEN 'position_overlap'
+    WHEN variant = 4 AND len(list_intersect(wa, wb)) / len(wa) >= 0.75 THEN 'same_start_expansion'
+    WHEN variant IN (6, 7, 9) AND holds AND near THEN 'text_containment_without_position'
+    WHEN variant = 7 AND 2.0 * (n - 1) / (2 * n) >= 0.8 THEN 'similarity_fallback'
+    WHEN variant = 8 THEN 'similarity_fallback_empty_content' END AS why
+  FROM r
+), e AS (
+  SELECT *, length(b) > length(a) OR (length(b) = length(a) AND variant IN (3, 5)) AS better FROM d
+)
+SELECT book_key, seq, 'append' AS action, NULL::VARCHAR AS reason, NULL::INT AS priority, NULL::DOUBLE AS score, seq AS matched_slot FROM e
+UNION ALL
+SELECT book_key, seq + 1, CASE WHEN why IS NULL THEN 'append' WHEN better THEN 'replace' ELSE 'drop' END,
+  why || CASE WHEN better THEN '_replaced_by_preferred_record' ELSE '_kept_existing_preferred_record' END,
+  CASE WHEN why LIKE 'exact%' THEN 100 WHEN why LIKE 'same_start_c%' THEN 90 WHEN why LIKE 'same_range%' THEN 85 WHEN why LIKE 'pos%' THEN 80 WHEN why LIKE 'same_start_e%' THEN 75 WHEN why LIKE 'text%' THEN 60 WHEN why IS NOT NULL THEN 50 END,
+  CASE WHEN why LIKE 'pos%' THEN 0.6 WHEN why = 'similarity_fallback' THEN round((n - 1)::DOUBLE / n, 9) WHEN why IS NOT NULL THEN 1.0 END::DOUBLE,
+  CASE WHEN why IS NULL THEN seq + 1 ELSE seq END
+FROM e"""
 FOLD = fold(4, "type", "ts")
 CROWDED = fold(301, "'highlight'", "CASE WHEN seq % 4 <> 0 THEN ts END")
 HELD = "SELECT book_key, type, matched_slot AS slot_seq, max(seq) AS seq FROM fold WHERE action <> 'drop' GROUP BY book_key, type, matched_slot"
@@ -219,6 +258,7 @@ CLIPPINGS = """string_agg(title || ' (corpus)' || chr(10) || '- Seu ' || CASE ty
 
 def all_sql() -> dict[str, str]:
     return {
+        "dedup_rungs": RUNGS,
         "book_snapshot_counts": f"WITH {BOOKS} SELECT book_key, title, author, highlight_count, note_count, bookmark_count FROM books",
         "book_keys": f"""WITH n AS (SELECT DISTINCT source AS title, lang AS author FROM documents UNION ALL SELECT DISTINCT p_name, p_brand FROM part)
             SELECT title, author, sha1({key_form("title")} || '||' || {key_form("author")}) AS book_key FROM n""",

@@ -37,6 +37,13 @@ def of_events(rows: DataFrame) -> DataFrame:
     return _entries(rows, seq=F.col("event_id"), book_key=book_key(title, author), type=F.col("event_type"), title=title, author=author, start_pos=F.col("event_id"), end_pos=F.col("event_id") + 3, content=F.col("props"), date_obj=day, date_formatted=date_label(day))
 
 
+def pairs_of_versions(rows: DataFrame) -> DataFrame:
+    """A book for each turn and variant, an entry for each version (k) of it with its range (s, e) and content (c)."""
+    title, author = F.concat_ws(" ", F.lit("Turn"), "conv_id", "turn", "variant"), F.lit("corpus")
+    seq = (F.col("conv_id") * 1_000_000 + F.col("turn")) * 100 + F.col("variant") * 2 + F.col("k")
+    return _entries(rows, seq=seq, book_key=book_key(title, author), type=F.lit("highlight"), title=title, author=author, start_pos=F.col("s").cast("bigint"), end_pos=F.col("e").cast("bigint"), content=F.col("c"))
+
+
 def clippings_text(entries: DataFrame) -> DataFrame:
     """(analysis_id, text): entries written as a clippings file for each book, in order; the inverse of parsing."""
     words = F.when(F.col("type") == "highlight", "destaque").when(F.col("type") == "note", "nota").when(F.col("type") == "bookmark", "marcador").otherwise("recorte")

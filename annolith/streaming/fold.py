@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from annolith.operators.dedup import Slot, entries_of, step
+from annolith.operators.dedup import entries_of, step
+from annolith.operators.slots import Slots
 from annolith.settings import Settings
 from annolith.sources.clippings import segments
 
@@ -32,13 +33,13 @@ def fold_stream(entries: DataFrame, settings: Settings) -> DataFrame:
     """A decision for each entry of the stream."""
 
     def take(key: tuple[str, str], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        slots: list[Slot] = pickle.loads(bytes(state.get[0])) if state.exists else []
+        slots = Slots(settings, pickle.loads(bytes(state.get[0])) if state.exists else ())
         frame = pd.concat(list(frames), ignore_index=True)
         rows = []
         for entry in entries_of(frame):
-            action, reason, _, _, slot = step(slots, entry, settings)
+            action, reason, _, _, slot = step(slots, entry)
             rows.append((*key, entry.seq, action, reason, slot))
-        state.update((pickle.dumps(slots),))
+        state.update((pickle.dumps(slots.slots),))
         yield pd.DataFrame(rows, columns=["book_key", "type", "seq", "action", "reason", "matched_slot"])
 
     return entries.groupBy("book_key", "type").applyInPandasWithState(take, OUT, "slots binary", "append", GroupStateTimeout.NoTimeout)
