@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from annolith.functions import dates, keys, similarity, text
-from annolith.operators import dedup, pairs, parsing, render, selection, snapshots, status
+from annolith.operators import dedup, pairs, parsing, render, selection, snapshots, status, text_joins
 from annolith.plans import oracles
 from annolith.session import scratch_folder
 from annolith.settings import STATUS_ORDER, Settings, today_local
@@ -157,6 +157,28 @@ def character_ratio_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _text_pairs(spark, sf_dir).select("old_seq", "new_seq", F.round(similarity.character_ratio("new_content", "old_content"), 6).alias("ratio"))
 
 
+def _document_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Comparison texts of documents, a book for each source and language; crossed to Python once."""
+    path = scratch_folder(spark, "texts")
+    rows = adapters.of_documents(_table(spark, sf_dir, "documents"))
+    rows.select("analysis_id", "book_key", "type", "seq", text.comparison_text(F.col("content")).alias("text")).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def word_set_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of a source and language that share three quarters of their words both ways."""
+    return text_joins.alike_word_sets(_document_texts(spark, sf_dir), SETTINGS.token_overlap_threshold).pairs.drop("analysis_id", "type").withColumn("both_ways", F.round("both_ways", 9))
+
+
+def word_set_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_joins.alike_word_sets(_document_texts(spark, sf_dir), SETTINGS.token_overlap_threshold).members.select("book_key", "seq", "class_seq")
+
+
+def contained_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose text another of the source and language holds."""
+    return text_joins.containing_texts(_document_texts(spark, sf_dir)).pairs.drop("analysis_id", "type")
+
+
 def exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of a source and language that read alike."""
     rows = adapters.of_documents(_table(spark, sf_dir, "documents")).withColumn("text", text.comparison_text(F.col("content")))
@@ -493,7 +515,7 @@ def dedup_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 ALL: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     book_snapshot_counts, book_keys, entry_signatures, snapshot_hashes, entry_sort, status_sort, status_classify, books_table, detected_status,
     new_entries_anti, known_keys_semi, range_overlap_pairs, same_session_pairs, token_overlap_pairs, containment_pairs, character_ratio_pairs,
-    exact_duplicates, normal_forms, slugs, author_options, filter_rows, batch_selection, selection_summary, mark_rows_exported, entry_search,
+    word_set_pairs, word_set_classes, contained_documents, exact_duplicates, normal_forms, slugs, author_options, filter_rows, batch_selection, selection_summary, mark_rows_exported, entry_search,
     history_tail, latest_analyses, format_location, display_time, date_labels, parse_roundtrip, render_txt, render_markdown, render_html,
     vault_note, clip_page, note_blocks, export_files, encoded_files, mark_exported_events, processing_events, history_import,
     dedup_survivors, dedup_events, dedup_crowded, dedup_crowded_survivors, dedup_crowded_report, dedup_metrics, dedup_report, dedup_rungs,

@@ -248,6 +248,14 @@ SELECT book_key, seq + 1, CASE WHEN why IS NULL THEN 'append' WHEN better THEN '
   CASE WHEN why LIKE 'pos%' THEN 0.6 WHEN why = 'similarity_fallback' THEN round((n - 1)::DOUBLE / n, 9) WHEN why IS NOT NULL THEN 1.0 END::DOUBLE,
   CASE WHEN why IS NULL THEN seq + 1 ELSE seq END
 FROM e"""
+WORD_SETS = f"""WITH t AS (
+  SELECT doc_id, sha1({key_form("source")} || '||' || {key_form("lang")}) AS book_key, {comparison_form("coalesce(text, '')")} AS t FROM documents
+), w AS (SELECT *, list_sort(list_distinct(list_filter(string_split(t, ' '), lambda x: x <> ''))) AS w FROM t
+), classed AS (SELECT *, min(doc_id) OVER (PARTITION BY book_key, w) AS class_seq FROM w
+), reps AS (SELECT book_key, class_seq, any_value(w) AS w, count(*) AS copies FROM classed GROUP BY book_key, class_seq)"""
+HELD_TEXTS = f"""WITH t AS (
+  SELECT doc_id, sha1({key_form("source")} || '||' || {key_form("lang")}) AS book_key, {comparison_form("coalesce(text, '')")} AS t FROM documents
+), reps AS (SELECT book_key, t, min(doc_id) AS class_seq, count(*) AS copies FROM t WHERE t <> '' GROUP BY book_key, t)"""
 FOLD = fold(4, "type", "ts")
 CROWDED = fold(301, "'highlight'", "CASE WHEN seq % 4 <> 0 THEN ts END")
 HELD = "SELECT book_key, type, matched_slot AS slot_seq, max(seq) AS seq FROM fold WHERE action <> 'drop' GROUP BY book_key, type, matched_slot"
@@ -259,6 +267,14 @@ CLIPPINGS = """string_agg(title || ' (corpus)' || chr(10) || '- Seu ' || CASE ty
 def all_sql() -> dict[str, str]:
     return {
         "dedup_rungs": RUNGS,
+        "word_set_pairs": f"""{WORD_SETS}, p AS (
+              SELECT a.book_key, a.class_seq AS old_seq, b.class_seq AS new_seq, len(list_intersect(a.w, b.w)) AS shared, greatest(len(a.w), len(b.w)) AS n, a.copies AS old_copies, b.copies AS new_copies
+              FROM reps a JOIN reps b ON a.book_key = b.book_key AND a.class_seq < b.class_seq AND len(a.w) > 0 AND len(b.w) > 0)
+            SELECT book_key, old_seq, new_seq, shared, round(shared::DOUBLE / n, 9) AS both_ways, old_copies, new_copies FROM p WHERE shared::DOUBLE / n >= 0.75""",
+        "word_set_classes": f"{WORD_SETS} SELECT book_key, doc_id AS seq, class_seq FROM classed",
+        "contained_documents": f"""{HELD_TEXTS} SELECT a.book_key, a.class_seq AS short_seq, b.class_seq AS long_seq,
+            length(a.t) >= 40 OR length(a.t) / length(b.t) >= 0.45 AS nearby, a.copies AS short_copies, b.copies AS long_copies
+            FROM reps a JOIN reps b ON a.book_key = b.book_key AND a.class_seq <> b.class_seq AND length(a.t) < length(b.t) AND contains(b.t, a.t)""",
         "book_snapshot_counts": f"WITH {BOOKS} SELECT book_key, title, author, highlight_count, note_count, bookmark_count FROM books",
         "book_keys": f"""WITH n AS (SELECT DISTINCT source AS title, lang AS author FROM documents UNION ALL SELECT DISTINCT p_name, p_brand FROM part)
             SELECT title, author, sha1({key_form("title")} || '||' || {key_form("author")}) AS book_key FROM n""",
