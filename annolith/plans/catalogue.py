@@ -19,7 +19,7 @@ from annolith.operators import dedup, pairs, parsing, render, selection, snapsho
 from annolith.plans import oracles
 from annolith.session import scratch_folder
 from annolith.settings import STATUS_ORDER, Settings, today_local
-from annolith.sources import adapters, analyses, clippings, history, sinks
+from annolith.sources import adapters, analyses, clippings, history, scan, sinks
 
 #: The clock of rendered queries.
 SETTINGS = Settings(today=date(2024, 1, 15))
@@ -267,6 +267,18 @@ def parse_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed.select("book_key", "seq", "type", "title", "author", "page", "start_pos", "end_pos", "content")
 
 
+def split_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations by hundreds as clippings files, each read by as many tasks as it has ranges; with the files' SHA-1."""
+    path = scratch_folder(spark, "hundreds")
+    rows = _talks(spark, sf_dir).withColumn("hundred", F.floor(F.col("seq") / 100_000_000))
+    files = adapters.clippings_text(rows.withColumn("book_key", F.col("hundred")))
+    body = F.regexp_replace("text", "\\n\\z", "")  # the writer ends lines
+    files.select(F.col("analysis_id").alias("hundred"), body.alias("text")).repartition("hundred").write.partitionBy("hundred").text(path)
+    hundred = F.regexp_extract("path", r"hundred=(\d+)", 1).cast("bigint").alias("hundred")
+    found = scan.Scan(spark, path).segments().select("path", hundred, "seq", F.sha1("raw").alias("raw_sha1"))
+    return found.join(scan.digests(spark, path), "path").drop("path")
+
+
 def render_txt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render.plain_text(_talks(spark, sf_dir), SETTINGS, True).select("book_key", "content")
 
@@ -519,7 +531,7 @@ ALL: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     history_tail, latest_analyses, format_location, display_time, date_labels, parse_roundtrip, render_txt, render_markdown, render_html,
     vault_note, clip_page, note_blocks, export_files, encoded_files, mark_exported_events, processing_events, history_import,
     dedup_survivors, dedup_events, dedup_crowded, dedup_crowded_survivors, dedup_crowded_report, dedup_metrics, dedup_report, dedup_rungs,
-    parse_pages, parse_errors, repaired_texts, position_predicates, settings_forms, local_days, export_totals, visible_counts, zip_listing, folder_files,
+    split_scan, parse_pages, parse_errors, repaired_texts, position_predicates, settings_forms, local_days, export_totals, visible_counts, zip_listing, folder_files,
     history_books, stored_uploads,
 )
 

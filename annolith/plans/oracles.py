@@ -267,6 +267,11 @@ CLIPPINGS = """string_agg(title || ' (corpus)' || chr(10) || '- Seu ' || CASE ty
 def all_sql() -> dict[str, str]:
     return {
         "dedup_rungs": RUNGS,
+        "split_scan": f"""WITH {TALKS}, one AS (
+              SELECT conv_id // 100 AS hundred, row_number() OVER (PARTITION BY conv_id // 100 ORDER BY seq) - 1 AS seq, title || ' (corpus)' || chr(10) || '- Seu '
+                || CASE type WHEN 'highlight' THEN 'destaque' WHEN 'note' THEN 'nota' WHEN 'bookmark' THEN 'marcador' ELSE 'recorte' END || ' posição ' || start_pos || '-' || end_pos || ' | ' || chr(10) || chr(10) || content AS raw FROM talks
+            ), whole AS (SELECT hundred, string_agg(raw || chr(10) || '==========' || chr(10), '' ORDER BY seq) AS w FROM one GROUP BY hundred)
+            SELECT hundred, seq, sha1(trim(raw)) AS raw_sha1, octet_length(encode(w)) AS size, sha1(w) AS analysis_id FROM one JOIN whole USING (hundred)""",
         "word_set_pairs": f"""{WORD_SETS}, p AS (
               SELECT a.book_key, a.class_seq AS old_seq, b.class_seq AS new_seq, len(list_intersect(a.w, b.w)) AS shared, greatest(len(a.w), len(b.w)) AS n, a.copies AS old_copies, b.copies AS new_copies
               FROM reps a JOIN reps b ON a.book_key = b.book_key AND a.class_seq < b.class_seq AND len(a.w) > 0 AND len(b.w) > 0)
