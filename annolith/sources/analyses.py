@@ -32,19 +32,22 @@ class Analyses:
             self._content.append(uploads.select("analysis_id", "content"), number)
             rows = uploads.select("analysis_id", F.element_at(F.split("path", "/"), -1).alias("filename"), F.lit(uploaded_at).alias("uploaded_at"), F.col("size").cast("bigint").alias("size"), F.lit(config).alias("config"), F.lit(number).cast("bigint").alias("saved_no"))
             self._index.append(rows, number)
-            counted = {r["saved_no"] for r in retained(self._index.read(), self.most).select("saved_no").collect()}
-            self._index.keep(counted)
-            self._content.keep(counted)
+            listed = {log: log.names() for log in (self._index, self._content)}
+            counted = {r["saved_no"] for r in retained(self._index.read(listed[self._index]), self.most).select("saved_no").collect()}
+            for log, names in listed.items():
+                # The bytes of an upload come before its entry, so later numbers are not judged by this list of entries.
+                newest = max(map(log.number, listed[self._index]))
+                log.retire(n for n in names if log.number(n) not in counted and log.number(n) <= newest)
 
     def list(self) -> DataFrame:
         return retained(self._index.read(), self.most).drop("saved_no")
 
     def uploads(self) -> DataFrame:
         """The retained uploads whose bytes are there, as sources.clippings reads them, with saved_no and config."""
-        batches = {number: f"{self._content.path}/{name}" for number, name in self._content.batches().items()}
+        batches = [(self._content.number(name), f"{self._content.path}/{name}") for name in self._content.names()]
         listed = retained(self._index.read(), self.most)
         found = None
-        for number, path in sorted(batches.items()):  # as many as are retained
+        for number, path in batches:  # as many as are retained
             bytes_ = self.spark.read.schema(CONTENT).parquet(path).withColumn("saved_no", F.lit(number).cast("bigint"))
             found = bytes_ if found is None else found.unionByName(bytes_)
         if found is None:

@@ -82,9 +82,8 @@ class History:
         self._exports = BatchLog(spark, f"{self.path}/export_events", EXPORT)
 
     def _kept(self, events: DataFrame) -> DataFrame:
-        # A batch that is being merged is there twice for a moment.
         last = Window.partitionBy("book_key").orderBy(F.desc("event_no"))
-        return events.withColumn("_r", F.dense_rank().over(last)).filter(F.col("_r") <= self.most).drop("_r").dropDuplicates(["book_key", "event_no"])
+        return events.withColumn("_r", F.dense_rank().over(last)).filter(F.col("_r") <= self.most).drop("_r")
 
     def processing(self) -> DataFrame:
         return self._kept(self._processing.read())
@@ -97,8 +96,8 @@ class History:
 
     def _add(self, log: BatchLog, events: DataFrame, number: int) -> None:
         log.append(events, number)
-        if len(batches := log.batches()) > MERGED:
-            log.compact(self._kept(log.read()).coalesce(8), max(batches))
+        if len(log.names()) > MERGED:
+            log.compact(lambda rows: self._kept(rows).coalesce(8))
 
     def record_analysis(self, snapshots: DataFrame, processed_at: str, forced: bool = False) -> None:
         """Append what an analysis found; snapshots: one analysis, with count of its books taken here."""

@@ -226,7 +226,7 @@ def test_history_is_trimmed_and_merged(spark, tmp_path, monkeypatch):
         book = spark.createDataFrame([("a", "k", "T", "A", [f"{i:040x}"], [], f"c{i}", "h", i, 0, 0, 0)], SNAPSHOT).coalesce(1)
         store.record_analysis(book, f"2024-01-0{i + 1}T12:00:00+00:00")
     assert sorted(e.highlight_count for e in store.processing().collect()) == [4, 5, 6]
-    assert len(store._processing.batches()) <= 4 and store._processing.read().count() < 7
+    assert len(store._processing.names()) <= 5 and store._processing.read().count() < 7
     assert store.books().first().content_hash == "c6"
 
 
@@ -241,7 +241,7 @@ def test_stored_analyses_are_capped_and_keep_their_settings(spark, tmp_path):
         ids.append(desk.analyse(str(path), mine, dt.datetime(2024, 2, 1 + i, tzinfo=dt.UTC))[0].analysis_id)
     assert list(desk.opened.held) == ids[-2:]
     assert [r.filename for r in desk.analyses.list().collect()] == [f"up{i}.txt" for i in (5, 4, 3, 2, 1)]
-    assert len(desk.analyses._content.batches()) == 5 == len(desk.analyses._index.batches())
+    assert len(desk.analyses._content.names()) == 5 == len(desk.analyses._index.names())
     with pytest.raises(service.UnknownAnalysis):
         desk.reopen(ids[0])
     held = desk.reopen()
