@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 from annolith.session import scratch_folder
 
@@ -97,9 +98,15 @@ def map_batches(df: DataFrame, make: Callable[[dict[str, list]], dict[str, list]
 def row_key(docs: DataFrame) -> Column:
     """A hash of all columns of a row: rows of one id that differ in anything have different keys, equal rows have one.
 
-    Rows are told apart by doc_id and key together, so only rows of one id could clash (chance 2 ** -64 a pair).
+    Rows are told apart by doc_id and key together, so only rows of one id could clash (chance 2 ** -64 a pair). Values that
+    Spark does not hash (maps and variants, also within others) count by their JSON.
     """
-    return F.xxhash64(*(x for name in docs.columns for x in (F.col(f"`{name}`"), F.col(f"`{name}`").isNull())))
+
+    def hashed(field: StructField) -> Column:
+        value = F.col(f"`{field.name}`")
+        return F.to_json(F.struct(value.alias("v"))) if re.search(r"\bmap<|\bvariant\b", field.dataType.simpleString()) else value
+
+    return F.xxhash64(*(x for field in docs.schema for x in (hashed(field), F.col(f"`{field.name}`").isNull())))
 
 
 def repeat_rows(docs: DataFrame, told: DataFrame, broadcast_rows: int = 250_000) -> DataFrame:

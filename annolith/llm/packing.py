@@ -230,23 +230,27 @@ def mutate(packing: Packing, capacity: int, rng: random.Random) -> Packing:
     return place([x for i, x in enumerate(ranked) if i not in out], free, capacity, rng)
 
 
-def evolve(stock: dict[int, int], capacity: int, seed: int, population: int, generations: int, settlers: list[Packing]) -> list[Packing]:
-    """One island's epoch: its best two packings, the best first."""
+def evolve(stock: dict[int, int], capacity: int, seed: int, population: int, patience: int, settlers: list[Packing], fitted: bool = False) -> list[Packing]:
+    """One island's epoch, until `patience` generations in a row bring nothing: its best two packings, the best first.
+    fitted: one founder packs by best fit, with some choices at random; all others are scattered."""
     rng = random.Random(seed)
     bound = lower_bound(stock, capacity)
-    people = list(settlers)
+    people = list(settlers) or [best_fit(stock, capacity, rng)] * fitted
     while len(people) < population:
         people.append(scatter(stock, capacity, rng))
     key = lambda p: fitness(p, capacity)
     people.sort(key=key)
-    for generation in range(generations):
-        if generation and bins(people[0]) <= bound:
-            break
+    idle = 0
+    while idle < patience:
+        least = key(people[0])
         one, two = (min(rng.sample(people, min(2, len(people))), key=key) for _ in range(2))
         child = crossover(one, two, stock, capacity, rng)
         if rng.random() < 0.5:
             child = mutate(child, capacity, rng)
         people = sorted([*people, child], key=key)[:population]
+        if bins(people[0]) <= bound:
+            break
+        idle = 0 if key(people[0]) < least else idle + 1
     return people[:2]
 
 
@@ -256,8 +260,8 @@ def lower_bound(stock: dict[int, int], capacity: int) -> int:
     return max(-(-total // capacity), sum(c for n, c in stock.items() if 2 * n > capacity))
 
 
-def pack_counts(spark: SparkSession, stock: dict[int, int], capacity: int = CAPACITY, islands: int = 6, epochs: int = 3, population: int = 6, generations: int = 12, seed: int = 5) -> Packing:
-    """The best packing that the islands find. stock has at most `capacity` lengths; that bounds all that is sent."""
+def pack_counts(spark: SparkSession, stock: dict[int, int], capacity: int = CAPACITY, islands: int = 6, epochs: int = 3, population: int = 6, patience: int = 12, seed: int = 5) -> Packing:
+    """The best packing that the islands find, or plain best fit where none is as good. stock has at most `capacity` lengths; that bounds all that is sent."""
     if not stock:
         return []
     best: Packing | None = None
@@ -267,7 +271,7 @@ def pack_counts(spark: SparkSession, stock: dict[int, int], capacity: int = CAPA
         def run(frames: Iterator[pd.DataFrame], epoch: int = epoch, settlers: list = settlers) -> Iterator[pd.DataFrame]:
             for frame in frames:
                 for k in frame["id"]:
-                    elite = evolve(stock, capacity, seed * 1000 + epoch * 100 + int(k), population, generations, settlers[k])
+                    elite = evolve(stock, capacity, seed * 1000 + epoch * 100 + int(k), population, patience, settlers[k], k % 2 == 1)
                     yield pd.DataFrame({"island": [k], "elite": [json.dumps(elite)]})
 
         rows = spark.range(0, islands, 1, islands).mapInPandas(run, "island long, elite string").collect()
@@ -276,7 +280,7 @@ def pack_counts(spark: SparkSession, stock: dict[int, int], capacity: int = CAPA
         if bins(best) <= lower_bound(stock, capacity):
             break
         settlers = [[found[k][0], *found[(k - 1) % islands][:1]] for k in range(islands)]
-    return tidy(best)
+    return tidy(min(best, best_fit(stock, capacity), key=bins))
 
 
 # -- documents into sequences ------------------------------------------------------------------------------------

@@ -52,6 +52,24 @@ def test_packing_is_a_gapless_round_trip(spark):
     assert packing.pack(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_packing_is_never_above_best_fit(spark, seed):
+    rng = random.Random(seed)
+    draw = [lambda: rng.randint(1, 2048), lambda: min(2048, int(rng.lognormvariate(5.6, 1.1)) + 1), lambda: rng.choice([681, 682, 683, 684, 700, 1364]), lambda: rng.randint(500, 900)][seed]
+    stock: dict[int, int] = {}
+    for _ in range(3000):
+        n = draw()
+        stock[n] = stock.get(n, 0) + 1
+    got = packing.pack_counts(spark, stock)
+    found: dict[int, int] = {}
+    for pattern, times in got:
+        assert packing.used(pattern) <= 2048
+        for n, c in pattern:
+            found[n] = found.get(n, 0) + c * times
+    assert found == stock
+    assert packing.lower_bound(stock, 2048) <= packing.bins(got) <= packing.bins(packing.best_fit(stock, 2048))
+
+
 @pytest.mark.parametrize("n", [1, 2047, 2048, 2049, 5000, 4096])
 def test_cut(n):
     got = packing.cut(n)

@@ -9,7 +9,9 @@ import pytest
 
 pytest.importorskip("annolith.llm")
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
-from annolith.llm import labelled, packing, quality, shingles  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
+
+from annolith.llm import exact_dedup, labelled, mixing, near_dedup, packing, quality, shingles  # noqa: E402
 
 
 def fixture_rows():
@@ -177,6 +179,21 @@ def test_stages_keep_columns_of_any_name_and_join_where_decisions_are_too_many(s
     assert mixed == {k: n for k, n in told.items() if n}
 
 
+def test_stages_keep_maps_and_variants(spark):
+    """Columns that Spark does not hash, with rows of one id that differ in them alone."""
+    texts = {1: "one two three four five six seven", 2: "other words that are here alone", 3: "and a third text of some words"}
+    rows = [(i, t, "en", "s", 9, m) for i, t in texts.items() for m in ("a", "b")]
+    made = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, m string")
+    made = made.withColumns({"meta": F.create_map("m", F.lit(1)), "nested": F.struct(F.array(F.create_map("m", "m")).alias("x")), "free": F.try_parse_json(F.concat(F.lit('{"k": "'), "m", F.lit('"}')))})
+    shown = lambda df: sorted((r.doc_id, r.m, r.k, r.f) for r in df.select("doc_id", "m", F.map_keys("meta")[0].alias("k"), F.to_json("free").alias("f")).collect())
+    for stage in (exact_dedup.keep_rows, near_dedup.keep_rows):
+        kept = stage(made)
+        assert kept.schema.simpleString() == made.schema.simpleString()
+        assert {r[0] for r in shown(kept)} == {1, 2, 3} and all(r[1] == r[2] and r[1] in r[3] for r in shown(kept))
+    mixed = mixing.mixed_rows(made)
+    assert mixed.count() >= 6 and all(r[1] == r[2] and r[1] in r[3] for r in shown(mixed))
+
+
 def test_scores_are_calibrated():
     import numpy as np
 
