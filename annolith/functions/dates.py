@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from annolith.settings import APP_TIMEZONE, MONTHS
 
 
-
 def month_name(month: Column) -> Column:
     return F.element_at(F.array(*[F.lit(m) for m in MONTHS]), month)
 
@@ -47,6 +46,11 @@ def display(text: Column, pattern: str = "yyyy-MM-dd HH:mm") -> Column:
     return F.coalesce(F.date_format(F.from_utc_timestamp(parse_iso(text), APP_TIMEZONE), pattern), F.lit("-"))
 
 
+def local_day(moment: Column) -> Column:
+    """The application's day at a moment."""
+    return F.to_date(F.from_utc_timestamp(moment, APP_TIMEZONE))
+
+
 def or_earliest(moment: Column) -> Column:
     """The date, or a sentinel before all dates."""
     return F.coalesce(moment, F.lit("0001-01-01 00:00:00").cast("timestamp_ntz"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from annolith.functions.text import strip
+from annolith.settings import STATUS_ORDER
 
 
 def default_selection(rows: DataFrame) -> DataFrame:
@@ -79,9 +80,20 @@ def export_totals(entries: DataFrame, wanted: DataFrame) -> DataFrame:
 def visible_counts(rows: DataFrame, visible: DataFrame, selection: DataFrame) -> DataFrame:
     """(books, visible, visible_selected, header): header is all, some or none of the visible rows."""
     shown = _selected(visible, selection).agg(F.count(F.lit(1)).alias("visible"), F.count_if("_on").alias("visible_selected"))
-    header = F.when((F.col("visible") > 0) & (F.col("visible") == F.col("visible_selected")), "all").when(F.col("visible_selected") > 0, "some").otherwise("none")
     # Two rows of one count each: a scalar beside a scalar.
-    return shown.withColumn("books", F.lit(rows.count())).withColumn("header", header)
+    return shown.withColumn("books", F.lit(rows.count())).withColumn("header", _header(F.col("visible"), F.col("visible_selected")))
+
+
+def counts_by_status(rows: DataFrame, selection: DataFrame) -> DataFrame:
+    """visible_counts for each status, as if its rows alone were visible."""
+    shown = _selected(rows, selection).groupBy("status").agg(F.count(F.lit(1)).alias("visible"), F.count_if("_on").alias("visible_selected"))
+    names = rows.sparkSession.createDataFrame([(s,) for s in STATUS_ORDER], "status string")
+    shown = names.join(shown, "status", "left").fillna(0)
+    return shown.withColumns({"books": F.lit(rows.count()), "header": _header(F.col("visible"), F.col("visible_selected"))})
+
+
+def _header(visible: Column, selected: Column) -> Column:
+    return F.when((visible > 0) & (visible == selected), "all").when(selected > 0, "some").otherwise("none")
 
 
 def mark_rows(rows: DataFrame, exported: DataFrame, formats: list[str], display: str) -> DataFrame:

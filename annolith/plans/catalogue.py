@@ -8,17 +8,18 @@ import json
 import tempfile
 import zipfile
 from collections.abc import Callable
-from datetime import UTC, date, datetime
+from datetime import date
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from annolith.functions import dates, keys, similarity, text
-from annolith.operators import dedup, pairs, parsing, render, selection, snapshots, status, text_joins
+from annolith.operators import dedup, pairs, parsing, render, search, selection, snapshots, status, text_joins
 from annolith.plans import oracles
 from annolith.session import scratch_folder
-from annolith.settings import STATUS_ORDER, Settings, today_local
+from annolith.settings import Settings
 from annolith.sources import adapters, analyses, clippings, history, scan, sinks
 
 #: The clock of rendered queries.
@@ -230,6 +231,13 @@ def entry_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.search_entries(_talks(spark, sf_dir), "note", "tion").select("book_key", "seq")
 
 
+def indexed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a text, by an index of all of them."""
+    index = search.SearchIndex(spark, scratch_folder(spark, "search"))
+    index.build(adapters.of_documents(_table(spark, sf_dir, "documents")).select("book_key", "type", "seq", "content"))
+    return index.search("License", "highlight").select("book_key", "seq")
+
+
 def history_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last 200 events of each user."""
     rows = _table(spark, sf_dir, "events")
@@ -349,9 +357,7 @@ def parse_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A clipping on the 31st of each event's month for each event of a user: errors where the month has no such day."""
     line = F.concat(F.lit("- Sua nota | posição "), F.col("event_id").cast("string"), F.lit(" | Adicionado: 31 de "), dates.month_name(F.month("ts")), F.lit(" de "), F.year("ts").cast("string"))
     rows = _table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("analysis_id"), F.col("event_id").alias("seq"), F.concat(F.lit("T (A)\n"), line, F.lit("\n\nx")).alias("raw"))
-    parsed = parsing.parse(rows)
-    kept = parsing.entries(parsed).groupBy("analysis_id").agg(F.count(F.lit(1)).alias("entries"))
-    return parsing.errors(parsed).join(kept, "analysis_id", "full_outer").select("analysis_id", F.coalesce("errors", F.lit(0)).cast("bigint").alias("errors"), F.coalesce("entries", F.lit(0)).cast("bigint").alias("entries"))
+    return parsing.parse(rows).groupBy("analysis_id").agg(F.count_if("is_error").alias("errors"), F.count_if(~F.col("is_error")).alias("entries"))
 
 
 def repaired_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -373,25 +379,28 @@ def position_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("new_seq", similarity.same_type(a, b).alias("same_type"), similarity.same_start(a, b).alias("same_start"), similarity.same_range(a, b).alias("same_range"), similarity.missing_position(a, b).alias("unplaced"), similarity.overlap_units(a, b).alias("units"), F.round(similarity.overlap_ratio(a, b), 6).alias("share"))
 
 
-#: Requests as clients send them.
-REQUESTS = ({}, {"exportHtml": True, "exportMarkdown": False}, {"exportTxt": True, "exportObsidian": True, "removeDuplicates": False, "includeMetadata": False}, {"similarityThreshold": 0.5, "dedupSessionWindowMinutes": 0, "exportOnlyNew": True, "unknown": 1})
+def settings_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What customers' requests become: enabled formats, flags, thresholds; also after a nested override and a round trip."""
+    key = F.col("c_custkey")
+    asked = {"exportMarkdown": key % 3 != 0, "exportHtml": key % 2 == 0, "exportTxt": F.col("c_nationkey") % 2 == 1, "exportObsidian": F.when(key % 7 == 0, True), "removeDuplicates": key % 5 != 0, "includeMetadata": F.when(key % 4 == 0, False), "similarityThreshold": F.when(key % 2 == 1, 0.5 + (key % 4) / 8), "dedupSessionWindowMinutes": F.when(key % 3 == 1, key % 30), "unknown": key}
+    rows = _table(spark, sf_dir, "customer").select(key.alias("request"), F.to_json(F.struct(*(c.alias(n) for n, c in asked.items()))).alias("payload"))
 
+    @F.pandas_udf("formats string, remove_duplicates boolean, metadata boolean, similarity double, session double, with_txt string, bookmarks boolean, same_when_stored boolean")
+    def forms(payloads: pd.Series) -> pd.DataFrame:
+        out = []
+        for payload in payloads:
+            made = Settings.of_request(json.loads(payload), SETTINGS.today)
+            override = made.merged({"include_bookmarks": False, "formats": {"txt": {"enabled": True}}})
+            stored = Settings.of_stored(json.dumps(made.as_request())).with_changes(today=SETTINGS.today)
+            out.append((",".join(made.format_labels()), made.remove_duplicates, made.formats[0].include_metadata, made.similarity_threshold, float(made.session_window_minutes), ",".join(override.format_labels()), override.include_bookmarks, stored == made))
+        return pd.DataFrame(out)
 
-def settings_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What requests become: enabled formats, flags, thresholds; also after a nested override and a round trip."""
-    rows = []
-    for i, payload in enumerate(REQUESTS):
-        made = Settings.of_request(payload, SETTINGS.today)
-        override = made.merged({"include_bookmarks": False, "formats": {"txt": {"enabled": True}}})
-        stored = Settings.of_stored(json.dumps(made.as_request())).with_changes(today=SETTINGS.today)
-        rows.append((i, ",".join(made.format_labels()), made.remove_duplicates, made.export_only_new, made.formats[0].include_metadata, made.similarity_threshold, float(made.session_window_minutes), ",".join(override.format_labels()), override.include_bookmarks, stored == made))
-    return spark.createDataFrame(rows, "request int, formats string, remove_duplicates boolean, only_new boolean, metadata boolean, similarity double, session double, with_txt string, bookmarks boolean, same_when_stored boolean")
+    return rows.select("request", forms("payload").alias("f")).select("request", "f.*")
 
 
 def local_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The application's day at instants around its midnight."""
-    instants = [datetime(2024, 3, 5, hour, 59, tzinfo=UTC) for hour in (0, 2, 3, 12, 23)] + [datetime(2024, 1, 1, 2, 0, tzinfo=UTC)]
-    return spark.createDataFrame([(t.isoformat(), today_local(t).isoformat()) for t in instants], "instant string, day string")
+    """The application's day of each event."""
+    return _table(spark, sf_dir, "events").select("event_id", dates.local_day(F.col("ts")).cast("string").alias("day"))
 
 
 def export_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -404,12 +413,7 @@ def export_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def visible_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The metrics strip for each status, as if its books alone were visible."""
     rows = _rows(spark, sf_dir)
-    chosen = selection.default_selection(rows)
-    found = None
-    for name in STATUS_ORDER:
-        one = selection.visible_counts(rows, rows.filter(F.col("status") == name), chosen).withColumn("status", F.lit(name))
-        found = one if found is None else found.unionByName(one)
-    return found
+    return selection.counts_by_status(rows, selection.default_selection(rows))
 
 
 def zip_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -527,7 +531,7 @@ def dedup_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 ALL: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     book_snapshot_counts, book_keys, entry_signatures, snapshot_hashes, entry_sort, status_sort, status_classify, books_table, detected_status,
     new_entries_anti, known_keys_semi, range_overlap_pairs, same_session_pairs, token_overlap_pairs, containment_pairs, character_ratio_pairs,
-    word_set_pairs, word_set_classes, contained_documents, exact_duplicates, normal_forms, slugs, author_options, filter_rows, batch_selection, selection_summary, mark_rows_exported, entry_search,
+    word_set_pairs, word_set_classes, contained_documents, exact_duplicates, normal_forms, slugs, author_options, filter_rows, batch_selection, selection_summary, mark_rows_exported, entry_search, indexed_search,
     history_tail, latest_analyses, format_location, display_time, date_labels, parse_roundtrip, render_txt, render_markdown, render_html,
     vault_note, clip_page, note_blocks, export_files, encoded_files, mark_exported_events, processing_events, history_import,
     dedup_survivors, dedup_events, dedup_crowded, dedup_crowded_survivors, dedup_crowded_report, dedup_metrics, dedup_report, dedup_rungs,

@@ -329,6 +329,7 @@ def all_sql() -> dict[str, str]:
             CASE WHEN default_selected THEN '2024-01-15 10:00' ELSE last_export_display END AS last_export_display,
             CASE WHEN default_selected THEN 'markdown' ELSE 'markdown,txt' END AS formats FROM listed""",
         "entry_search": f"WITH {TALKS} SELECT book_key, seq FROM talks WHERE type = 'note' AND contains(lower(content), 'tion')",
+        "indexed_search": f"""SELECT sha1({key_form("source")} || '||' || {key_form("lang")}) AS book_key, doc_id AS seq FROM documents WHERE contains(lower(text), 'license')""",
         "history_tail": "SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r <= 200",
         "latest_analyses": "SELECT o_custkey::VARCHAR AS analysis_id, max(o_orderkey) AS saved_no, arg_max(o_orderstatus, o_orderkey) AS filename FROM orders GROUP BY o_custkey ORDER BY saved_no DESC LIMIT 5",
         "format_location": f"""WITH {TALKS}, {EVENTS} SELECT seq, type, 'Posição: ' || start_pos || '-' || end_pos AS location FROM talks
@@ -372,11 +373,11 @@ def all_sql() -> dict[str, str]:
             ), u AS (SELECT *, CASE WHEN unplaced THEN 0 ELSE greatest(0, least(e, old_e) - greatest(s, old_s) + 1) END AS units FROM q)
             SELECT seq AS new_seq, type = old_type AS same_type, type = old_type AND s IS NOT DISTINCT FROM old_s AS same_start, coalesce(s = old_s AND e = old_e, false) AS same_range, unplaced, units,
               CASE WHEN units > 0 THEN round(units / 3.0, 6)::DOUBLE ELSE 0.0::DOUBLE END AS share FROM u""",
-        "settings_forms": """SELECT * FROM (VALUES (0, 'markdown', true, false, true, 0.8::DOUBLE, 15.0::DOUBLE, 'markdown,txt', false, true), (1, 'html', true, false, true, 0.8, 15.0, 'html,txt', false, true),
-              (2, 'markdown,txt,obsidian', false, false, false, 0.8, 15.0, 'markdown,txt,obsidian', false, true), (3, 'markdown', true, true, true, 0.5, 0.0, 'markdown,txt', false, true))
-            t(request, formats, remove_duplicates, only_new, metadata, similarity, session, with_txt, bookmarks, same_when_stored)""",
-        "local_days": """SELECT strftime(t, '%Y-%m-%dT%H:%M:%S') || '+00:00' AS instant, strftime(t - INTERVAL 3 HOUR, '%Y-%m-%d') AS day FROM (VALUES (TIMESTAMP '2024-03-05 00:59:00'), ('2024-03-05 02:59:00'),
-            ('2024-03-05 03:59:00'), ('2024-03-05 12:59:00'), ('2024-03-05 23:59:00'), ('2024-01-01 02:00:00')) v(t)""",
+        "settings_forms": """WITH f AS (SELECT c_custkey AS k, c_custkey % 3 <> 0 AS md, c_custkey % 2 = 0 AS html, c_nationkey % 2 = 1 AS txt, c_custkey % 7 = 0 AS obsidian FROM customer)
+            SELECT k AS request, concat_ws(',', CASE WHEN md THEN 'markdown' END, CASE WHEN html THEN 'html' END, CASE WHEN txt THEN 'txt' END, CASE WHEN obsidian THEN 'obsidian' END) AS formats,
+              k % 5 <> 0 AS remove_duplicates, k % 4 <> 0 AS metadata, CASE WHEN k % 2 = 1 THEN 0.5 + (k % 4) / 8 ELSE 0.8 END::DOUBLE AS similarity, CASE WHEN k % 3 = 1 THEN k % 30 ELSE 15 END::DOUBLE AS session,
+              concat_ws(',', CASE WHEN md THEN 'markdown' END, CASE WHEN html THEN 'html' END, 'txt', CASE WHEN obsidian THEN 'obsidian' END) AS with_txt, false AS bookmarks, true AS same_when_stored FROM f""",
+        "local_days": "SELECT event_id, strftime(ts - INTERVAL 3 HOUR, '%Y-%m-%d') AS day FROM events",
         "export_totals": f"WITH {BOOKS} SELECT count(*) + 10 AS books, sum(turns)::BIGINT AS entries FROM listed WHERE default_selected",
         "visible_counts": f"""WITH {BOOKS} SELECT s.status, (SELECT count(*) FROM listed)::INT AS books, count(l.book_key) AS visible, count(l.book_key) FILTER (WHERE default_selected) AS visible_selected,
             CASE WHEN count(l.book_key) > 0 AND count(l.book_key) = count(l.book_key) FILTER (WHERE default_selected) THEN 'all' WHEN count(l.book_key) FILTER (WHERE default_selected) > 0 THEN 'some' ELSE 'none' END AS header

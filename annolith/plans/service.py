@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from annolith.operators import dedup, parsing, render, selection, snapshots, status
+from annolith.session import scratch_folder
 from annolith.settings import ANALYSES_KEPT, Settings
 from annolith.sources import clippings, sinks
 from annolith.sources.analyses import Analyses
@@ -62,7 +63,7 @@ class Opened:
 
 @dataclass
 class Analysis:
-    """An analysis as lazy tables."""
+    """An analysis as tables in a folder of its own: they survive a lost executor, and an upload that is gone or changed."""
 
     settings: Settings
     parsed: DataFrame
@@ -71,6 +72,7 @@ class Analysis:
     snapshots: DataFrame
     analysis_id: str = ""
     uploaded_name: str = ""
+    folder: str = ""
 
     def stats(self) -> DataFrame:
         """Counters by analysis, with the errors of parsing."""
@@ -80,8 +82,9 @@ class Analysis:
         return dedup.report(parsing.entries(self.parsed), self.decisions)
 
     def release(self) -> None:
-        for table in (self.parsed, self.decisions, self.entries):
-            table.unpersist()
+        context = self.parsed.sparkSession.sparkContext
+        where = context._jvm.org.apache.hadoop.fs.Path(self.folder)
+        where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
 
     def export_totals(self, keys: list[str]) -> tuple[int, int]:
         """(books asked for, entries of those that there are)."""
@@ -100,15 +103,21 @@ class Analysis:
 
 
 def analyse_uploads(uploads: DataFrame, settings: Settings) -> Analysis:
-    parsed = parsing.parse(clippings.segments(uploads)).persist()
-    return analyse_entries(parsed, settings)
+    return analyse_entries(parsing.parse(clippings.segments(uploads)), settings)
 
 
 def analyse_entries(parsed: DataFrame, settings: Settings) -> Analysis:
+    folder = scratch_folder(parsed.sparkSession, "analysis")
+
+    def held(table: DataFrame, name: str) -> DataFrame:
+        table.write.parquet(f"{folder}/{name}")
+        return table.sparkSession.read.schema(table.schema).parquet(f"{folder}/{name}")
+
+    parsed = held(parsed, "parsed")
     found = parsing.entries(parsed)
-    decisions = dedup.decide(found, settings).persist()
-    kept = dedup.survivors(found, decisions).persist()
-    return Analysis(settings, parsed, decisions, kept, snapshots.snapshots(kept))
+    decisions = held(dedup.decide(found, settings), "decisions")
+    kept = held(dedup.survivors(found, decisions), "entries")
+    return Analysis(settings, parsed, decisions, kept, snapshots.snapshots(kept), folder=folder)
 
 
 class Service:
