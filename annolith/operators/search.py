@@ -54,12 +54,12 @@ class SearchIndex:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def build(self, entries: DataFrame) -> SearchIndex:
-        """Index entries (content and any other columns); null content counts as empty."""
+    def build(self, entries: DataFrame, group: int = 1 << 18) -> SearchIndex:
+        """Index entries (content and any other columns); null content counts as empty. group: bytes of a row group."""
         entries.withColumn("_row", F.monotonically_increasing_id()).write.parquet(f"{self.path}/entries")
         texts = self._entries().select(F.col("_row").alias("row"), F.lower(F.coalesce("content", F.lit(""))).alias("text"))
         found = texts.mapInArrow(_inverted, "run string, rows array<long>")
-        found.repartitionByRange("run").sortWithinPartitions("run").write.option("parquet.block.size", 1 << 18).option("parquet.page.size", 1 << 16).parquet(f"{self.path}/runs")
+        found.repartitionByRange("run").sortWithinPartitions("run").write.option("parquet.block.size", group).option("parquet.page.size", group // 4).parquet(f"{self.path}/runs")
         return self
 
     def _entries(self) -> DataFrame:

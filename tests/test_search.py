@@ -48,7 +48,7 @@ def test_runs_of_batches_and_their_bound():
 def test_a_rare_search_reads_few_row_groups(spark, tmp_path):
     rng = random.Random(5)
     rows = [(i, "note", "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=400)) + (" Zürich" if i == 77 else ""), 0, "", 0) for i in range(2500)]
-    index = search.SearchIndex(spark, str(tmp_path / "index")).build(spark.createDataFrame(rows, SCHEMA))
+    index = search.SearchIndex(spark, str(tmp_path / "index")).build(spark.createDataFrame(rows, SCHEMA), 1 << 12)
     assert [r.seq for r in index.search("zürich").collect()] == [77]
     wanted, read, there = search.asked("zürich"), 0, 0
     for file in Path(tmp_path / "index/runs").glob("*.parquet"):
