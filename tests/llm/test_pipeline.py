@@ -213,5 +213,5 @@ def test_scores_are_calibrated():
 def test_every_operator_is_registered():
     from annolith.llm import catalogue
 
-    assert [q.split("_")[0] for q in catalogue.queries()] == [f"op{n}" for n in range(1, 11)]
+    assert [q.split("_")[0] for q in catalogue.queries()] == [f"op{n}" for n in range(1, 14)]
     assert Fraction(3, 2) == Fraction("1.5")
