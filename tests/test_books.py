@@ -412,3 +412,27 @@ def test_the_rest_imports_without_the_corpus_part():
         shutil.copy(root / "__spark_entry__.py", copy)
         code = "import __spark_entry__ as e; assert len(e.queries()) > 40 and set(e.oracle_sql()) <= set(e.queries()) and 'pipeline' not in e.queries()"
         subprocess.run([sys.executable, "-c", code], check=True, cwd=copy)
+
+
+def test_an_archive_is_made_of_pieces_without_the_driver(spark, monkeypatch):
+    files = spark.range(60).selectExpr("'a' AS analysis_id", "'txt' AS format", "concat('txt/', lpad(id * 7 % 60, 3, '0'), 'é.txt') AS path", "id AS first_seq", "'b' AS book_key", "repeat(concat('x', id), 50) AS content")
+    pieces = sinks.zip_pieces(files).orderBy("place").collect()
+    assert [p.place for p in pieces] == list(range(60)) and [p.path for p in pieces] == sorted(p.path for p in pieces)
+    data = b"".join(p.member for p in pieces)
+    assert all(data[p.start : p.start + len(p.member)] == p.member for p in pieces)
+    for most in (sinks.MOST_BYTES, 1000):  # beyond 1000 bytes places are ZIP64
+        entries = [sinks._placed(bytes(p.entry), p.start) for p in pieces] if most > 1000 else [_as_zip64(p) for p in pieces]
+        directory = b"".join(entries)
+        with zipfile.ZipFile(io.BytesIO(data + directory + sinks._end(60, len(directory), len(data)))) as archive:
+            assert archive.namelist() == [p.path for p in pieces] and archive.testzip() is None
+    monkeypatch.setattr(type(files), "toLocalIterator", None)
+    listed = sinks.zip_listing(sinks.zip_pieces(files)).orderBy("place")
+    assert [(r.path, r.deflated) for r in listed.select("path", "deflated").collect()] == [(p.path, True) for p in pieces]
+    assert sinks.zip_pieces(files.limit(0)).count() == 0
+
+
+def _as_zip64(piece):
+    """The piece's entry as it would be with a place beyond 4 GB, put back to its own place."""
+    far = 1 << 33
+    entry = sinks._placed(bytes(piece.entry), far + piece.start)
+    return entry[:-8] + (int.from_bytes(entry[-8:], "little") - far).to_bytes(8, "little")
