@@ -29,6 +29,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -322,6 +323,24 @@ def baum_welch(texts: DataFrame, model: Model, shares: np.ndarray) -> Model:
     return next_model(whole[0], whole[1 : 1 + k], whole[1 + k :], shares)
 
 
+def _looked_up(logs: dict[bytes, float], batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each word of the batch's texts: row in the batch, logarithm of its count or nan where it is not among logs, times."""
+    words, times = batch.column("words"), batch.column("times").flatten().to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(batch.num_rows), words.value_lengths().to_numpy(zero_copy_only=False))
+    nan = float("nan")
+    return row, np.array([logs.get(w, nan) for w in words.flatten().to_pylist()], np.float64), times
+
+
+def _seldom(logs: dict[bytes, float], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words that are not among logs, one row each."""
+    for batch in batches:
+        row, found, times = _looked_up(logs, batch)
+        at = np.flatnonzero(np.isnan(found))
+        word = batch.column("words").flatten().take(pa.array(at))
+        yield pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(row[at])), word, pa.array(times[at].astype(np.int32))], names=["row", "word", "times"])
+    release()
+
+
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 5, held: int = 1, states: int = STATES, warm_docs: int = 3000, warm: int = 8, passes: int = 1, seed: int = 11) -> DataFrame:
     """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -358,12 +377,11 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             model = baum_welch(training, model, shares)
 
         frequent = counts.filter(F.col("c") * FREQUENT >= all_)
-        words = encoded.select("row", each).select("row", word, times)
+        known_logs = {bytes(r["word"]): float(np.log10(r["c"] + 0.5)) for r in frequent.collect()}  # FREQUENT short keys at most
+        words = encoded.select("row", "words", "times").mapInArrow(partial(_seldom, known_logs), "row long, word binary, times int")
         value = F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)
-        part = lambda df: df.groupBy("row").agg(F.sum(value).alias("logs"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("known"))
-        often = part(words.join(F.broadcast(frequent), "word"))
-        seldom = words.join(F.broadcast(frequent.select("word")), "word", "left_anti").join(counts.filter(F.col("c") * FREQUENT < all_), "word", "left")
-        sums = often.unionByName(part(seldom)).groupBy("row").agg(F.sum("logs").alias("logs"), F.sum("known").alias("known"))
+        seldom = words.join(counts.filter(F.col("c") * FREQUENT < all_), "word", "left")
+        sums = seldom.groupBy("row").agg(F.sum(value).alias("logs"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("known"))
 
         log_weight = np.log10(weight)
 
@@ -371,17 +389,21 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             for batch in _small(batches):
                 texts = _texts(batch, model)
                 found = log_likelihoods(model, texts) / np.log(10) - np.array([log_weight[t].sum() for t in texts])
-                yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(found, pa.float64())], names=["row", "latent"])
+                row, logs, times = _looked_up(known_logs, batch)
+                often = ~np.isnan(logs)
+                sums = [np.bincount(row[often], w, batch.num_rows) for w in (logs[often] * times[often], times[often])]
+                columns = [batch.column("row"), pa.array(found, pa.float64()), pa.array(sums[0], pa.float64()), pa.array(sums[1].astype(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, names=["row", "latent", "often_logs", "often_known"])
             release()
 
-        latent = encoded.select("row", "ids").mapInArrow(run, "row long, latent double")
+        latent = encoded.select("row", "ids", "words", "times").mapInArrow(run, "row long, latent double, often_logs double, often_known long")
         zero = F.lit(0)
         ends = float(np.log10(n_docs + 0.5))
         out = encoded.select("row", "doc_id", "held_out", "n_tokens").join(latent, "row").join(sums, "row", "left")
-        logs = F.coalesce("logs", F.lit(0.0)) + F.lit(ends)
+        logs = F.col("often_logs") + F.coalesce("logs", F.lit(0.0)) + F.lit(ends)
         return materialize(
             out.select(
-                "doc_id", "held_out", "n_tokens", (F.coalesce("known", zero) + F.lit(min(1, n_docs))).cast("long").alias("n_known"), F.lit(all_).cast("long").alias("train_tokens"),
+                "doc_id", "held_out", "n_tokens", (F.col("often_known") + F.coalesce("known", zero) + F.lit(min(1, n_docs))).cast("long").alias("n_known"), F.lit(all_).cast("long").alias("train_tokens"),
                 (logs - F.col("n_tokens") * F.lit(float(np.log10(whole)))).alias("base_score"), (logs + F.col("latent")).alias("score"),
             ),
             "scored",
