@@ -8,8 +8,8 @@ D(bucket) = C + 0.5 * (V + 1) over the bucket's C tokens and V distinct words. E
 word. The scaled forward recursion gives the exact likelihood of a text's buckets; the rest is a sum over its words.
 
 Baum-Welch: tasks go forward and backward through their documents and give expected counts by bucket and state, Spark adds
-them up, the driver gets the sums (one row a bucket) and makes the next model. Starting values come from iterations on a
-bounded sample (`warm_docs` documents, expected); then come `passes` iterations over all training documents.
+them up, the driver gets the sums (one row a bucket) and makes the next model. Starting values are
+the words' own distribution, disturbed by a seed; all `passes` iterations go over all training documents.
 
 Counts of words are joined, not collected. Words that hold at least one in FREQUENT training tokens, so at most FREQUENT
 words, of bounded length, are broadcast; no other word is frequent, so no key of the join is hot. A word of over 40 bytes
@@ -341,7 +341,7 @@ def _seldom(logs: dict[bytes, float], batches: Iterator[pa.RecordBatch]) -> Iter
     release()
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 5, held: int = 1, states: int = STATES, warm_docs: int = 3000, warm: int = 8, passes: int = 1, seed: int = 11) -> DataFrame:
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 5, held: int = 1, states: int = STATES, passes: int = 6, seed: int = 11) -> DataFrame:
     """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Documents whose crc32(id as text) leaves the remainder held by modulus are held out; all others train. Logarithms are
@@ -369,10 +369,6 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         shares = weight / weight.sum()
 
         model = first_model(shares, states, seed)
-        chosen = F.pmod(F.xxhash64(F.lit(seed), "row"), F.lit(max(1, n_docs))) < warm_docs
-        sample = scratch.table(training.filter(chosen).select("ids").repartition(8))
-        for _ in range(warm):
-            model = baum_welch(sample, model, shares)
         for _ in range(passes):
             model = baum_welch(training, model, shares)
 

@@ -249,3 +249,13 @@ def test_resampling_of_equal_rows_and_nothing(spark):
     rows = [(None, "a " * 25)] * 40 + [(3, "a " * 25)] * 10
     got = resampling.resample(docs(spark, rows), empty).collect()
     assert sorted(r.rank for r in got if r.rank) == [1, 2, 3, 4, 5] and len({(r.doc_id, r.weight, r.score) for r in got}) == 2
+
+
+def test_every_iteration_of_the_model_goes_over_all_training_documents(spark, monkeypatch):
+    from annolith.llm import sequence_lm
+
+    seen, whole = [], sequence_lm.baum_welch
+    monkeypatch.setattr(sequence_lm, "baum_welch", lambda texts, *rest: (seen.append(texts.count()), whole(texts, *rest))[1])
+    docs = spark.createDataFrame([(i, f"a{i % 7} b c{i % 3}") for i in range(4000)], "doc_id long, text string")
+    rows = sequence_lm.score_documents(docs, passes=2).collect()
+    assert seen == [sum(not r.held_out for r in rows)] * 2 and seen[0] > 3000
