@@ -24,7 +24,6 @@ empty result. Columns that are not named are ignored.
 from __future__ import annotations
 
 import hashlib
-import itertools
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -33,6 +32,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +43,8 @@ STATES, BUCKETS, KINDS = 8, 65_535, 4
 FREQUENT = 250_000
 #: Words of a text that goes through the recursion at once, of a segment of a longer one, and tokens of a block.
 LONG, SEGMENT, BLOCK = 2048, 128, 1 << 18
+#: Steps of a segment's transfer matrix between two scalings.
+TURN = 8
 #: Tokens of each bucket that count as spread over the states like all tokens, and evenness of the transitions.
 SPREAD, EVEN = 4.0, 1.0
 PLAIN = 40
@@ -124,23 +126,27 @@ def _padded(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return out, (lengths[None, :] > np.arange(lengths[0])[:, None]).sum(1)
 
 
-def _forward(model: Model, rows: list[np.ndarray], prior: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _forward(model: Model, rows: list[np.ndarray], prior: np.ndarray, kept: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Scaled forward recursion. prior: (rows, K), states before the first token is seen.
 
     (tokens, alive, seen, alphas, scales): by place and row, with states between where there are any, so that a step goes
-    through memory in order.
+    through memory in order. seen holds each token's emissions, divided by its scale. Only with kept are seen and alphas
+    filled. Numbers are of the model's precision.
     """
     tokens, alive = _padded(rows)
-    seen = np.ascontiguousarray(model.emit[tokens].transpose(0, 2, 1))
-    alphas, scales = np.zeros_like(seen), np.ones(tokens.shape)
-    now, onward = np.ascontiguousarray(prior.T), np.ascontiguousarray(model.move.T)
+    kind, shape = model.emit.dtype, (len(tokens), model.states, tokens.shape[1]) if kept else (0, model.states, tokens.shape[1])
+    seen, alphas, scales = np.zeros(shape, kind), np.zeros(shape, kind), np.ones(tokens.shape, kind)
+    now, onward = np.ascontiguousarray(prior.T, kind), np.ascontiguousarray(model.move.T)
     for t, n in enumerate(alive):
         if t:
             now = onward @ now[:, :n]
-        now = now * seen[t, :, :n]
-        scale = now.sum(0)
-        now /= scale
-        scales[t, :n], alphas[t, :, :n] = scale, now
+        own = np.ascontiguousarray(model.emit.take(tokens[t, :n], 0).T)
+        now = np.multiply(now, own, out=alphas[t, :, :n] if kept else None)
+        scale = now.sum(0, out=scales[t, :n])
+        turn = 1 / scale
+        now *= turn
+        if kept:
+            np.multiply(own, turn, out=seen[t, :, :n])
     return tokens, alive, seen, alphas, scales
 
 
@@ -160,34 +166,53 @@ class Segments:
         self.order = sorted(range(len(parts)), key=lambda i: -len(parts[i]))
         self.parts = [parts[i] for i in self.order]
 
-    def own(self) -> Iterator[slice]:
-        """Each text's segments, in order."""
-        return (slice(a, b) for a, b in itertools.pairwise(self.starts))
-
     def transfers(self) -> tuple[np.ndarray, np.ndarray]:
         """Of each segment (segments, K, K) the probability of its tokens and its last state given its first state, divided
         by exp of (segments)."""
         k, n = self.model.states, len(self.parts)
         found, logs = np.zeros((n, k, k)), np.zeros(n)
+        # Emissions with 1 for the likeliest state, in double precision: TURN steps together cannot underflow.
+        tops = self.model.emit.max(1)
+        emit, tops = (self.model.emit / tops[:, None]).astype(np.float64), np.log(tops, dtype=np.float64)
+        onward = np.ascontiguousarray(self.model.move.T, np.float64)
         step = max(1, BLOCK // (SEGMENT * k))
         for i in range(0, n, step):
-            rows, at = [p for p in self.parts[i : i + step] for _ in range(k)], self.order[i : i + step]
-            *_, alphas, scales = _forward(self.model, rows, np.tile(np.eye(k), (len(at), 1)))
-            log = np.log(scales).sum(0).reshape(-1, k)
-            logs[at] = log.max(1)
-            found[at] = _last(alphas, rows).reshape(-1, k, k) * np.exp(log - logs[at, None])[:, :, None]
+            parts, at = self.parts[i : i + step], self.order[i : i + step]
+            tokens, alive = _padded(parts)
+            # Last state by first state and segment.
+            now, log = np.repeat(np.eye(k)[:, :, None], len(parts), 2), np.zeros(len(parts))
+            for t, m in enumerate(alive):
+                own = now[:, :, :m]
+                if t:
+                    own = (onward @ own.reshape(k, -1)).reshape(k, k, m)
+                own *= np.ascontiguousarray(emit.take(tokens[t, :m], 0).T)[:, None]
+                if t % TURN == TURN - 1:
+                    most = own.max((0, 1))
+                    own /= most
+                    log[:m] += np.log(most)
+                if m == len(parts):
+                    now = own
+                else:
+                    now[:, :, :m] = own
+            whole = now.max((0, 1))
+            found[at] = (now / whole).transpose(2, 1, 0)
+            logs[at] = log + np.log(whole) + [tops[p].sum() for p in parts]
         return found, logs
 
     def chained(self, transfers: np.ndarray, logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(log likelihood of each text, states before the first token of each segment)."""
         priors, totals = np.zeros((len(transfers), self.model.states)), np.zeros(len(self.texts))
-        for i, own in enumerate(self.own()):
-            prior = self.model.start
-            for j in range(own.start, own.stop):
-                priors[j] = prior
-                end = prior @ transfers[j]
-                totals[i] += np.log(end.sum()) + logs[j]
-                prior = end / end.sum() @ self.model.move
+        sizes = np.diff(self.starts)
+        order = np.argsort(-sizes, kind="stable")  # the j-th segments of all texts that have one go together
+        prior = np.tile(self.model.start.astype(np.float64), (len(order), 1))
+        for j in range(sizes.max(initial=0)):
+            own = order[: np.count_nonzero(sizes > j)]
+            at = self.starts[own] + j
+            priors[at] = prior[: len(own)]
+            end = (priors[at, None] @ transfers[at])[:, 0]
+            whole = end.sum(1)
+            totals[own] += np.log(whole) + logs[at]
+            prior = (end / whole[:, None]) @ self.model.move
         return totals, priors
 
 
@@ -205,7 +230,7 @@ def log_likelihoods(model: Model, texts: list[np.ndarray]) -> np.ndarray:
     out = np.zeros(len(texts))
     for own in _blocks(texts):
         rows = [texts[i] for i in own]
-        out[own] = np.log(_forward(model, rows, np.tile(model.start, (len(rows), 1)))[-1]).sum(0)
+        out[own] = np.log(_forward(model, rows, np.tile(model.start, (len(rows), 1)), kept=False)[-1]).sum(0)
     cut = Segments(model, texts)
     if cut.texts:
         out[cut.texts] = cut.chained(*cut.transfers())[0]
@@ -224,28 +249,25 @@ class Counts:
         the states at each row's first and last token, the last without what follows."""
         model = self.model
         tokens, alive, seen, alphas, _ = _forward(model, rows, prior)
-        beta, after = np.zeros_like(seen[0]), after.T
-        n = 0
+        last = _last(alphas, rows)
+        # All in the scales of the forward recursion: states given the whole text then sum to 1 without another division.
+        after = (after / (last * after).sum(1, keepdims=True)).T.astype(seen.dtype)
+        beta, moves, n = np.zeros_like(seen[0]), np.zeros_like(self.moves), 0
         for t in range(len(alive) - 1, -1, -1):
             m, n = n, alive[t]
             if m:
                 ahead = seen[t + 1, :, :m] * beta[:, :m]
-                back = model.move @ ahead
-                ahead /= (alphas[t, :, :m] * back).sum(0)
-                self.moves += (alphas[t, :, :m] @ ahead.T) * model.move
-                beta[:, :m] = back / back.sum(0)
+                moves += alphas[t, :, :m] @ ahead.T
+                # The place's forward states are not needed from here on: they become the states given the whole text.
+                alphas[t + 1, :, :m] *= beta[:, :m]
+                beta[:, :m] = model.move @ ahead
             beta[:, m:n] = after[:, m:n]
-            # From here on the place's emissions are not needed: they become the states given the whole text.
-            if t + 1 < len(alive):
-                seen[t + 1] = posts
-            posts = np.zeros_like(beta)
-            post = alphas[t, :, :n] * beta[:, :n]
-            posts[:, :n] = post / post.sum(0)
-        seen[0] = posts
+        alphas[0] *= beta
+        self.moves += moves * model.move
         flat = tokens.ravel()
         for k in range(model.states):
-            self.emitted[:, k] += np.bincount(flat, seen[:, k].ravel(), len(self.emitted))
-        return seen[0].T, _last(alphas, rows)
+            self.emitted[:, k] += np.bincount(flat, alphas[:, k].ravel(), len(self.emitted))
+        return alphas[0].T, last
 
     def add(self, texts: list[np.ndarray]) -> None:
         k = self.model.states
@@ -261,12 +283,13 @@ class Counts:
         move, (transfers, logs) = self.model.move, cut.transfers()
         _, priors = cut.chained(transfers, logs)
         after, ahead, ends = np.ones_like(priors), np.ones_like(priors), np.zeros_like(priors)
-        for own in cut.own():
-            for j in range(own.stop - 1, own.start - 1, -1):
-                ahead[j] = transfers[j] @ after[j]
-                ahead[j] /= ahead[j].sum()
-                if j > own.start:
-                    after[j - 1] = move @ ahead[j]
+        sizes = np.diff(cut.starts)
+        for j in range(1, sizes.max() + 1):  # the j-th segments from the end
+            at = cut.starts[1:][sizes >= j] - j
+            ahead[at] = (transfers[at] @ after[at, :, None])[:, :, 0]
+            ahead[at] /= ahead[at].sum(1, keepdims=True)
+            at = cut.starts[1:][sizes > j] - j
+            after[at - 1] = ahead[at] @ move.T
         firsts, step = np.zeros_like(priors), max(1, BLOCK // SEGMENT)
         for i in range(0, len(cut.parts), step):
             at = cut.order[i : i + step]
@@ -289,7 +312,9 @@ def folded(ids: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def _texts(batch: pa.RecordBatch, model: Model) -> list[np.ndarray]:
-    return [folded(np.frombuffer(x, "<u2").astype(np.int64), len(model.emit) - 1) for x in batch.column("ids").to_pylist()]
+    texts = batch.column("ids")
+    flat = folded(np.frombuffer(b"".join(texts.to_pylist()), "<u2").astype(np.int64), len(model.emit) - 1)
+    return np.split(flat, np.cumsum(pc.binary_length(texts).to_numpy() // 2)[:-1]) if len(texts) else []
 
 
 def _small(batches: Iterator[pa.RecordBatch], tokens: int = 1 << 20) -> Iterator[pa.RecordBatch]:
@@ -304,11 +329,12 @@ def baum_welch(texts: DataFrame, model: Model, shares: np.ndarray) -> Model:
     the starts and moves."""
     k = model.states
     names = [f"k{i}" for i in range(k)]
+    single = Model(*(x.astype(np.float32) for x in (model.start, model.move, model.emit)))  # sums below are of doubles
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = Counts(model)
+        counts = Counts(single)
         for batch in _small(batches):
-            counts.add(_texts(batch, model))
+            counts.add(_texts(batch, single))
         rows = np.concatenate([counts.starts[None], counts.moves, counts.emitted])
         used = np.flatnonzero(rows.any(1))
         columns = [pa.array((used - 1 - k).astype(np.int32)), *(pa.array(rows[used, i].astype(np.float32)) for i in range(k))]
@@ -323,21 +349,20 @@ def baum_welch(texts: DataFrame, model: Model, shares: np.ndarray) -> Model:
     return next_model(whole[0], whole[1 : 1 + k], whole[1 + k :], shares)
 
 
-def _looked_up(logs: dict[bytes, float], batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each word of the batch's texts: row in the batch, logarithm of its count or nan where it is not among logs, times."""
+def _looked_up(known: pa.Array, batch: pa.RecordBatch) -> tuple[np.ndarray, pa.Array, pa.Array, np.ndarray]:
+    """Of each word of the batch's texts: row in the batch, the word, its place among the known ones or null, times."""
     words, times = batch.column("words"), batch.column("times").flatten().to_numpy(zero_copy_only=False)
-    row = np.repeat(np.arange(batch.num_rows), words.value_lengths().to_numpy(zero_copy_only=False))
-    nan = float("nan")
-    return row, np.array([logs.get(w, nan) for w in words.flatten().to_pylist()], np.float64), times
+    row, flat = np.repeat(np.arange(batch.num_rows), words.value_lengths().to_numpy(zero_copy_only=False)), words.flatten()
+    return row, flat, pc.index_in(flat, value_set=known), times
 
 
-def _seldom(logs: dict[bytes, float], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The words that are not among logs, one row each."""
+def _seldom(known: list[bytes], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words that are not among those known, one row each."""
+    values = pa.array(known, pa.binary())
     for batch in batches:
-        row, found, times = _looked_up(logs, batch)
-        at = np.flatnonzero(np.isnan(found))
-        word = batch.column("words").flatten().take(pa.array(at))
-        yield pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(row[at])), word, pa.array(times[at].astype(np.int32))], names=["row", "word", "times"])
+        row, word, place, times = _looked_up(values, batch)
+        at = np.flatnonzero(place.is_null().to_numpy(zero_copy_only=False))
+        yield pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(row[at])), word.take(pa.array(at)), pa.array(times[at].astype(np.int32))], names=["row", "word", "times"])
     release()
 
 
@@ -373,8 +398,9 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             model = baum_welch(training, model, shares)
 
         frequent = counts.filter(F.col("c") * FREQUENT >= all_)
-        known_logs = {bytes(r["word"]): float(np.log10(r["c"] + 0.5)) for r in frequent.collect()}  # FREQUENT short keys at most
-        words = encoded.select("row", "words", "times").mapInArrow(partial(_seldom, known_logs), "row long, word binary, times int")
+        often = frequent.collect()  # FREQUENT short keys at most
+        known, known_logs = [bytes(r["word"]) for r in often], np.log10(np.array([r["c"] for r in often], np.float64) + 0.5)
+        words = encoded.select("row", "words", "times").mapInArrow(partial(_seldom, known), "row long, word binary, times int")
         value = F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)
         seldom = words.join(counts.filter(F.col("c") * FREQUENT < all_), "word", "left")
         sums = seldom.groupBy("row").agg(F.sum(value).alias("logs"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("known"))
@@ -382,12 +408,14 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         log_weight = np.log10(weight)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            values = pa.array(known, pa.binary())
             for batch in _small(batches):
                 texts = _texts(batch, model)
                 found = log_likelihoods(model, texts) / np.log(10) - np.array([log_weight[t].sum() for t in texts])
-                row, logs, times = _looked_up(known_logs, batch)
-                often = ~np.isnan(logs)
-                sums = [np.bincount(row[often], w, batch.num_rows) for w in (logs[often] * times[often], times[often])]
+                row, _, place, times = _looked_up(values, batch)
+                at = np.flatnonzero(place.is_valid().to_numpy(zero_copy_only=False))
+                logs, row, times = known_logs[place.drop_null().to_numpy()], row[at], times[at]
+                sums = [np.bincount(row, w, batch.num_rows) for w in (logs * times, times)]
                 columns = [batch.column("row"), pa.array(found, pa.float64()), pa.array(sums[0], pa.float64()), pa.array(sums[1].astype(np.int64))]
                 yield pa.RecordBatch.from_arrays(columns, names=["row", "latent", "often_logs", "often_known"])
             release()

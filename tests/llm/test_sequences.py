@@ -259,3 +259,22 @@ def test_every_iteration_of_the_model_goes_over_all_training_documents(spark, mo
     docs = spark.createDataFrame([(i, f"a{i % 7} b c{i % 3}") for i in range(4000)], "doc_id long, text string")
     rows = sequence_lm.score_documents(docs, passes=2).collect()
     assert seen == [sum(not r.held_out for r in rows)] * 2 and seen[0] > 3000
+
+
+def test_segments_of_long_texts_are_not_gone_through_once_for_each_state(monkeypatch):
+    model, text = toy(3, 4, 50), np.random.default_rng(2).integers(0, 50, 6000)
+    rows, whole = [], sequence_lm._forward
+    monkeypatch.setattr(sequence_lm, "_forward", lambda model, own, *rest, **kept: (rows.append(sum(map(len, own))), whole(model, own, *rest, **kept))[1])
+    counts = sequence_lm.Counts(model)
+    counts.add([text])
+    assert sum(rows) == len(text) and np.isclose(counts.emitted.sum(), len(text)) and np.isclose(counts.moves.sum(), len(text) - 1)
+
+
+def test_single_precision_counts_like_double():
+    model, rng = toy(6, 8, 300), np.random.default_rng(3)
+    texts = [rng.integers(0, 300, n) for n in (1, 40, 700, 5000)]
+    single = sequence_lm.Model(*(x.astype(np.float32) for x in (model.start, model.move, model.emit)))
+    one, two = sequence_lm.Counts(model), sequence_lm.Counts(single)
+    one.add(texts)
+    two.add(texts)
+    assert np.allclose(one.emitted, two.emitted, rtol=1e-4) and np.allclose(one.moves, two.moves, rtol=1e-4)
