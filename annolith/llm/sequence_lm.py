@@ -25,10 +25,9 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import partial
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annolith.llm.common import CACHES, Scratch, map_batches, materialize, release
+from annolith.llm.common import Scratch, materialize, release, slices
 from annolith.llm.labelled import remainder
 
 STATES, BUCKETS, KINDS = 8, 65_535, 4
@@ -55,35 +54,58 @@ def key_of(word: bytes) -> bytes:
     return word if len(word) <= PLAIN else b" " + hashlib.sha256(word).digest()
 
 
-class _Buckets(dict):
-    most = 200_000
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        self[word] = value = 1 + zlib.crc32(key_of(word)) % BUCKETS
-        return value
-
-
-_BUCKETS = _Buckets()
-CACHES.append(_BUCKETS)
+def _keys(words: pa.Array) -> list[bytes]:
+    """The key of each word, cut from the array's own bytes."""
+    _, ends, data = words.buffers()
+    if not len(words):
+        return []
+    ends, data = np.frombuffer(ends, np.int32)[words.offset : words.offset + len(words) + 1].tolist(), data.to_pybytes()
+    return [data[a:b] if b - a <= PLAIN else key_of(data[a:b]) for a, b in pairwise(ends)]
+
+
+def _listed(owner: np.ndarray, values: pa.Array, rows: int) -> pa.Array:
+    """A list for each row, of the values that it owns; owners ascend."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(rows + 1)).astype(np.int32)), values)
+
+
+def encode(texts: pa.Array) -> dict[str, pa.Array]:
+    """n_tokens, ids (the tokens' buckets, the end too, as unsigned 16-bit numbers), words and their times of each text."""
+    n = len(texts)
+    # Both take ASCII alone for letters and for white space.
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    row, flat = np.repeat(np.arange(n), split.value_lengths().to_numpy(zero_copy_only=False)), split.flatten()
+    full = pc.greater(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)  # blanks at either end leave an empty word
+    row, coded = row[full], flat.filter(pa.array(full)).dictionary_encode()
+    known = coded.dictionary.cast(pa.binary())
+    keys = _keys(known)
+    if (pc.max(pc.binary_length(known)).as_py() or 0) > PLAIN:
+        known = pa.array(keys, pa.binary())
+    code, kinds = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), max(1, len(keys))
+    n_tokens = np.bincount(row, minlength=n) + 1
+    ends = np.cumsum(n_tokens)
+    ids = np.zeros(n_tokens.sum(), "<u2")
+    ids[np.arange(len(code)) + row] = np.array([1 + zlib.crc32(k) % BUCKETS for k in keys], "<u2")[code]
+    sizes = pa.array(np.concatenate([[0], 2 * ends]).astype(np.int32)).buffers()[1]
+    pairs = np.sort(row * kinds + code)
+    first = np.flatnonzero(np.diff(pairs, prepend=-1))
+    owner, code = np.divmod(pairs[first], kinds)
+    words = known.take(pa.array(code))
+    times = pa.array(np.diff(first, append=len(pairs)).astype(np.int32))
+    return {"n_tokens": pa.array(n_tokens), "ids": pa.Array.from_buffers(pa.binary(), n, [None, sizes, pa.py_buffer(ids)]), "words": _listed(owner, words, n), "times": _listed(owner, times, n)}
 
 
 def _encoded(docs: DataFrame) -> DataFrame:
-    """docs with n_tokens, ids (the tokens' buckets, the end too, as unsigned 16-bit numbers), words and their times."""
+    """doc_id and held_out of docs, and what encode gives."""
 
-    def make(cols: dict[str, list]) -> dict[str, list]:
-        out = {**cols, "n_tokens": [], "ids": [], "words": [], "times": []}
-        for text in cols["text"]:
-            words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-            counts = Counter(words)
-            out["n_tokens"].append(len(words) + 1)
-            out["ids"].append(np.array([*map(_BUCKETS.__getitem__, words), 0], "<u2").tobytes())
-            out["words"].append(list(counts) if max(map(len, words), default=0) <= PLAIN else [key_of(w) for w in counts])
-            out["times"].append(list(counts.values()))
-        return out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                made = encode(part.column("text").cast(pa.string()))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), *made.values()], names=["doc_id", "held_out", *made])
+                del made
+        release()
 
-    return map_batches(docs, make, "doc_id long, held_out boolean, n_tokens long, ids binary, words array<binary>, times array<int>")
+    return docs.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, ids binary, words array<binary>, times array<int>")
 
 
 # -- the model and its recursions --------------------------------------------------------------------------------------
@@ -356,16 +378,6 @@ def _looked_up(known: pa.Array, batch: pa.RecordBatch) -> tuple[np.ndarray, pa.A
     return row, flat, pc.index_in(flat, value_set=known), times
 
 
-def _seldom(known: list[bytes], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The words that are not among those known, one row each."""
-    values = pa.array(known, pa.binary())
-    for batch in batches:
-        row, word, place, times = _looked_up(values, batch)
-        at = np.flatnonzero(place.is_null().to_numpy(zero_copy_only=False))
-        yield pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(row[at])), word.take(pa.array(at)), pa.array(times[at].astype(np.int32))], names=["row", "word", "times"])
-    release()
-
-
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 5, held: int = 1, states: int = STATES, passes: int = 6, seed: int = 11) -> DataFrame:
     """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -400,11 +412,6 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         frequent = counts.filter(F.col("c") * FREQUENT >= all_)
         often = frequent.collect()  # FREQUENT short keys at most
         known, known_logs = [bytes(r["word"]) for r in often], np.log10(np.array([r["c"] for r in often], np.float64) + 0.5)
-        words = encoded.select("row", "words", "times").mapInArrow(partial(_seldom, known), "row long, word binary, times int")
-        value = F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)
-        seldom = words.join(counts.filter(F.col("c") * FREQUENT < all_), "word", "left")
-        sums = seldom.groupBy("row").agg(F.sum(value).alias("logs"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("known"))
-
         log_weight = np.log10(weight)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -412,22 +419,30 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             for batch in _small(batches):
                 texts = _texts(batch, model)
                 found = log_likelihoods(model, texts) / np.log(10) - np.array([log_weight[t].sum() for t in texts])
-                row, _, place, times = _looked_up(values, batch)
-                at = np.flatnonzero(place.is_valid().to_numpy(zero_copy_only=False))
-                logs, row, times = known_logs[place.drop_null().to_numpy()], row[at], times[at]
-                sums = [np.bincount(row, w, batch.num_rows) for w in (logs * times, times)]
-                columns = [batch.column("row"), pa.array(found, pa.float64()), pa.array(sums[0], pa.float64()), pa.array(sums[1].astype(np.int64))]
-                yield pa.RecordBatch.from_arrays(columns, names=["row", "latent", "often_logs", "often_known"])
+                row, word, place, times = _looked_up(values, batch)
+                often = place.is_valid().to_numpy(zero_copy_only=False)
+                mine, logs = row[often], known_logs[place.drop_null().to_numpy()]
+                sums = [np.bincount(mine, w, batch.num_rows) for w in (logs * times[often], times[often])]
+                # A row for each text, under a key that no word has, and one for each other word.
+                marks = pa.array([b" " + r.to_bytes(8, "little") for r in batch.column("row").to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column("row"), marks, pa.array(sums[1].astype(np.int32)), pa.array(sums[0].astype(np.float64)), pa.array(found, pa.float64())], names=names)
+                at = np.flatnonzero(~often)
+                none = pa.nulls(len(at), pa.float64())
+                yield pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(row[at])), word.take(pa.array(at)), pa.array(times[at].astype(np.int32)), none, none], names=names)
             release()
 
-        latent = encoded.select("row", "ids", "words", "times").mapInArrow(run, "row long, latent double, often_logs double, often_known long")
-        zero = F.lit(0)
+        names = ["row", "word", "times", "often", "latent"]
+        words = encoded.select("row", "ids", "words", "times").mapInArrow(run, "row long, word binary, times int, often double, latent double")
+        each = words.join(counts.filter(F.col("c") * FREQUENT < all_), "word", "left")
+        value = F.coalesce("often", F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + 0.5))
+        found = F.when(F.col("often").isNotNull() | (F.col("c") > 0), F.col("times")).otherwise(0)
+        sums = each.groupBy("row").agg(F.sum(value).alias("logs"), F.sum(found).alias("known"), F.sum("latent").alias("latent"))
         ends = float(np.log10(n_docs + 0.5))
-        out = encoded.select("row", "doc_id", "held_out", "n_tokens").join(latent, "row").join(sums, "row", "left")
-        logs = F.col("often_logs") + F.coalesce("logs", F.lit(0.0)) + F.lit(ends)
+        out = encoded.select("row", "doc_id", "held_out", "n_tokens").join(sums, "row")
+        logs = F.col("logs") + F.lit(ends)
         return materialize(
             out.select(
-                "doc_id", "held_out", "n_tokens", (F.col("often_known") + F.coalesce("known", zero) + F.lit(min(1, n_docs))).cast("long").alias("n_known"), F.lit(all_).cast("long").alias("train_tokens"),
+                "doc_id", "held_out", "n_tokens", (F.col("known") + F.lit(min(1, n_docs))).cast("long").alias("n_known"), F.lit(all_).cast("long").alias("train_tokens"),
                 (logs - F.col("n_tokens") * F.lit(float(np.log10(whole)))).alias("base_score"), (logs + F.col("latent")).alias("score"),
             ),
             "scored",

@@ -278,3 +278,21 @@ def test_single_precision_counts_like_double():
     one.add(texts)
     two.add(texts)
     assert np.allclose(one.emitted, two.emitted, rtol=1e-4) and np.allclose(one.moves, two.moves, rtol=1e-4)
+
+
+def test_texts_are_encoded_whole_and_read_once_for_scores(spark, monkeypatch):
+    """Words, times and buckets as Python finds them one by one; scoring sends texts to Python once, not once for each sum."""
+    import pyarrow as pa
+
+    texts = [t for _, t in ODD] + ["\x0b\x0cA\x1cb\x85  c d a\r\na ", "é" * 30 + " " + "É" * 3]
+    got = {k: v.to_pylist() for k, v in sequence_lm.encode(pa.array(texts, pa.string())).items()}
+    for i, text in enumerate(texts):
+        words = [sequence_lm.key_of(w) for w in (text or "").encode().lower().split()]
+        assert dict(zip(got["words"][i], got["times"][i])) == Counter(words) and len(got["words"][i]) == len(set(words))
+        assert got["n_tokens"][i] == len(words) + 1
+        assert np.frombuffer(got["ids"][i], "<u2").tolist() == [*(1 + zlib.crc32(w) % sequence_lm.BUCKETS for w in words), 0]
+    assert sequence_lm.encode(pa.array([], pa.string()))["ids"].to_pylist() == []
+    plans = []
+    monkeypatch.setattr(sequence_lm, "materialize", lambda df, name: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), df)[1])
+    sequence_lm.score_documents(docs(spark, ODD), passes=1)
+    assert plans[0].count("MapInArrow") == 1
