@@ -11,8 +11,9 @@ Baum-Welch: tasks go forward and backward through their documents and give expec
 them up, the driver gets the sums (one row a bucket) and makes the next model. Starting values are
 the words' own distribution, disturbed by a seed; all `passes` iterations go over all training documents.
 
-Counts of words are joined, not collected. Words that hold at least one in FREQUENT training tokens, so at most FREQUENT
-words, of bounded length, are broadcast; no other word is frequent, so no key of the join is hot. A word of over 40 bytes
+Counts of words are joined, not collected. The FREQUENT most frequent words of the training documents, of bounded length,
+are broadcast, less those that tie for the last places; every word that holds one in FREQUENT tokens is among them, so no key of the
+join is hot. A word of over 40 bytes
 is represented by its SHA-256. Texts of over `LONG` words are cut into segments for the recursions, and joined again
 exactly by the segments' transfer matrices.
 
@@ -27,6 +28,7 @@ import hashlib
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 from itertools import pairwise
 
 import numpy as np
@@ -40,10 +42,14 @@ from annolith.llm.labelled import remainder
 
 STATES, BUCKETS, KINDS = 8, 65_535, 4
 FREQUENT = 250_000
-#: Words of a text that goes through the recursion at once, of a segment of a longer one, and tokens of a block.
-LONG, SEGMENT, BLOCK = 2048, 128, 1 << 18
-#: Steps of a segment's transfer matrix between two scalings.
-TURN = 8
+#: Words of a text that goes through the recursion at once, of a segment of a longer one, tokens of a block, and rows of it, if
+#: that makes it larger.
+LONG, SEGMENT, BLOCK, WIDE = 2048, 128, 1 << 18, 256
+#: Steps between two scalings in double precision and in single. With emissions of 1 in the likeliest state a step keeps of
+#: what there is at least the least transition, in next_model about EVEN in a state's tokens: single precision holds two such.
+TURN, TURN_SINGLE = 8, 2
+#: Tokens whose numbers stay in a cache.
+NEAR = 1 << 13
 #: Tokens of each bucket that count as spread over the states like all tokens, and evenness of the transitions.
 SPREAD, EVEN = 4.0, 1.0
 PLAIN = 40
@@ -94,18 +100,65 @@ def encode(texts: pa.Array) -> dict[str, pa.Array]:
     return {"n_tokens": pa.array(n_tokens), "ids": pa.Array.from_buffers(pa.binary(), n, [None, sizes, pa.py_buffer(ids)]), "words": _listed(owner, words, n), "times": _listed(owner, times, n)}
 
 
+def _binary(ends: np.ndarray, data: pa.Buffer | np.ndarray) -> pa.Array:
+    """Values that lie in data one after another; ends start with 0."""
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
+
+
+def packed(words: pa.Array, times: pa.Array) -> dict[str, pa.Array]:
+    """Lists of words and times as one value a row each: the words' bytes, their lengths and times as numbers of 8 and 32 bits."""
+    rows, flat = words.offsets.to_numpy(), words.flatten()
+    ends = np.concatenate([[0], np.cumsum(pc.binary_length(flat).to_numpy())])
+    lengths, data = np.diff(ends).astype("u1"), flat.buffers()[2] or pa.py_buffer(b"")
+    return {"words": _binary(ends[rows], data), "lengths": _binary(rows, lengths), "times": _binary(4 * rows.astype(np.int64), times.flatten().to_numpy().astype("<i4"))}
+
+
+def unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Of each word of the batch's texts: row in the batch, the word, times."""
+    data, lengths, times = (b"".join(batch.column(n).to_pylist()) for n in ("words", "lengths", "times"))
+    row = np.repeat(np.arange(batch.num_rows), pc.binary_length(batch.column("lengths")).to_numpy())
+    ends = np.concatenate([[0], np.cumsum(np.frombuffer(lengths, "u1"), dtype=np.int64)])
+    return row, _binary(ends, data), np.frombuffer(times, "<i4")
+
+
 def _encoded(docs: DataFrame) -> DataFrame:
-    """doc_id and held_out of docs, and what encode gives."""
+    """doc_id and held_out of docs, and what encode gives, words and times packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 made = encode(part.column("text").cast(pa.string()))
+                made |= packed(made.pop("words"), made.pop("times"))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), *made.values()], names=["doc_id", "held_out", *made])
                 del made
         release()
 
-    return docs.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, ids binary, words array<binary>, times array<int>")
+    return docs.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, ids binary, words binary, lengths binary, times binary")
+
+
+def _counted(encoded: DataFrame) -> DataFrame:
+    """word and c, its times in all texts; each batch is counted in its task first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _small(batches, "times", 1 << 24):
+            _, words, times = unpacked(batch)
+            coded = words.dictionary_encode()
+            sums = np.bincount(coded.indices.to_numpy(), times, len(coded.dictionary))  # exact: far below 2 ** 53
+            yield pa.RecordBatch.from_arrays([coded.dictionary, pa.array(sums.astype(np.int64))], names=["word", "c"])
+            del words, coded
+        release()
+
+    return encoded.select("words", "lengths", "times").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+
+
+def least_count(words: list[tuple[int, int]], room: int) -> int | None:
+    """The least count that at most room words reach, of (count, words that have it)."""
+    least = None
+    for count, n in sorted(words, reverse=True):
+        if n > room:
+            break
+        least, room = count, room - n
+    return least
 
 
 # -- the model and its recursions --------------------------------------------------------------------------------------
@@ -121,6 +174,20 @@ class Model:
     def states(self) -> int:
         return len(self.start)
 
+    @property
+    def turn(self) -> int:
+        return TURN_SINGLE if self.emit.dtype == np.float32 else TURN
+
+    @cached_property
+    def tops(self) -> np.ndarray:
+        """Emission of each bucket's likeliest state."""
+        return self.emit.max(1)
+
+    @cached_property
+    def likely(self) -> np.ndarray:
+        """Emissions with 1 for the likeliest state, and a last bucket that no state emits."""
+        return np.concatenate([self.emit / self.tops[:, None], np.zeros_like(self.emit[:1])])
+
 
 def first_model(shares: np.ndarray, states: int, seed: int) -> Model:
     """The words' own distribution in every state, disturbed; states tend to stay."""
@@ -139,43 +206,64 @@ def next_model(starts: np.ndarray, moves: np.ndarray, emitted: np.ndarray, share
     return Model(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0))
 
 
-def _padded(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(tokens by place and row, rows that have a token at each place); rows come longest first."""
+def _padded(rows: list[np.ndarray], blank: int) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens by place and row, blank after a row's end; rows that have a token at each place); rows come longest first."""
     lengths = np.array([len(r) for r in rows])
-    out = np.zeros((lengths[0], len(rows)), np.int64)
+    out = np.full((lengths[0], len(rows)), blank, np.int64)
     for i, r in enumerate(rows):
         out[: len(r), i] = r
     return out, (lengths[None, :] > np.arange(lengths[0])[:, None]).sum(1)
 
 
-def _forward(model: Model, rows: list[np.ndarray], prior: np.ndarray, kept: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Scaled forward recursion. prior: (rows, K), states before the first token is seen.
+def _forward(model: Model, rows: list[np.ndarray], prior: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Forward recursion, scaled at every model.turn places. prior: (rows, K), states before the first token is seen.
 
-    (tokens, alive, seen, alphas, scales): by place and row, with states between where there are any, so that a step goes
-    through memory in order. seen holds each token's emissions, divided by its scale. Only with kept are seen and alphas
-    filled. Numbers are of the model's precision.
+    (tokens, alive, seen, alphas): by place and row, with states between where there are any, so that a step goes through
+    memory in order. seen holds each token's emissions, divided by its scale. Numbers are of the model's precision.
     """
-    tokens, alive = _padded(rows)
-    kind, shape = model.emit.dtype, (len(tokens), model.states, tokens.shape[1]) if kept else (0, model.states, tokens.shape[1])
-    seen, alphas, scales = np.zeros(shape, kind), np.zeros(shape, kind), np.ones(tokens.shape, kind)
-    now, onward = np.ascontiguousarray(prior.T, kind), np.ascontiguousarray(model.move.T)
-    for t, n in enumerate(alive):
+    tokens, alive = _padded(rows, len(model.emit))
+    places, wide = tokens.shape
+    seen, step = np.empty((places, model.states, wide), model.emit.dtype), max(1, NEAR // wide)
+    for i in range(0, places, step):
+        seen[i : i + step] = model.likely.take(tokens[i : i + step], 0).transpose(0, 2, 1)
+    alphas, onward = np.zeros_like(seen), np.ascontiguousarray(model.move.T)
+    for t, n in enumerate(alive.tolist()):
+        now, own = alphas[t, :, :n], seen[t, :, :n]
         if t:
-            now = onward @ now[:, :n]
-        own = np.ascontiguousarray(model.emit.take(tokens[t, :n], 0).T)
-        now = np.multiply(now, own, out=alphas[t, :, :n] if kept else None)
-        scale = now.sum(0, out=scales[t, :n])
-        turn = 1 / scale
-        now *= turn
-        if kept:
-            np.multiply(own, turn, out=seen[t, :, :n])
-    return tokens, alive, seen, alphas, scales
+            np.matmul(onward, before[:, :n], out=now)
+        else:
+            now[:] = prior.T
+        if t and t % model.turn == 0:
+            own *= 1 / before[:, :n].sum(0)
+        now *= own
+        before = now
+    return tokens, alive, seen, alphas
 
 
 def _last(alphas: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
     return alphas[[len(r) - 1 for r in rows], :, np.arange(len(rows))]
 
 
+def _logs(model: Model, rows: list[np.ndarray]) -> np.ndarray:
+    """Natural logarithm of each row's probability, by the forward recursion alone."""
+    tokens, alive = _padded(rows, len(model.emit))
+    now, onward, logs = np.repeat(model.start[:, None], len(rows), 1), np.ascontiguousarray(model.move.T), np.zeros(len(rows))
+    for t, n in enumerate(alive):
+        if n < now.shape[1]:
+            logs[n : now.shape[1]] += np.log(now[:, n:].sum(0))
+            now = now[:, :n]
+        if t:
+            now = onward @ now
+        now *= model.likely.take(tokens[t, :n], 0).T
+        if t % model.turn == model.turn - 1:
+            scale = now.sum(0)
+            now /= scale
+            logs[:n] += np.log(scale)
+    logs[: now.shape[1]] += np.log(now.sum(0))
+    tops = np.log(model.tops, dtype=np.float64)
+    return logs + [tops[r].sum() for r in rows]
+
+
 class Segments:
     """The long ones of some texts, cut; all segments go through the recursion together, longest first."""
 
@@ -191,27 +279,27 @@ class Segments:
     def transfers(self) -> tuple[np.ndarray, np.ndarray]:
         """Of each segment (segments, K, K) the probability of its tokens and its last state given its first state, divided
         by exp of (segments)."""
-        k, n = self.model.states, len(self.parts)
+        k, n, turn, kind = self.model.states, len(self.parts), self.model.turn, self.model.emit.dtype
         found, logs = np.zeros((n, k, k)), np.zeros(n)
-        # Emissions with 1 for the likeliest state, in double precision: TURN steps together cannot underflow.
-        tops = self.model.emit.max(1)
-        emit, tops = (self.model.emit / tops[:, None]).astype(np.float64), np.log(tops, dtype=np.float64)
-        onward = np.ascontiguousarray(self.model.move.T, np.float64)
-        step = max(1, BLOCK // (SEGMENT * k))
+        emit, tops = self.model.likely, np.log(self.model.tops, dtype=np.float64)
+        onward = np.ascontiguousarray(self.model.move.T)
+        step = max(1, 16 * NEAR // (k * k * kind.itemsize))
         for i in range(0, n, step):
             parts, at = self.parts[i : i + step], self.order[i : i + step]
-            tokens, alive = _padded(parts)
+            tokens, alive = _padded(parts, len(self.model.emit))
             # Last state by first state and segment.
-            now, log = np.repeat(np.eye(k)[:, :, None], len(parts), 2), np.zeros(len(parts))
+            now, log = np.repeat(np.eye(k, dtype=kind)[:, :, None], len(parts), 2), np.zeros(len(parts))
             for t, m in enumerate(alive):
                 own = now[:, :, :m]
                 if t:
                     own = (onward @ own.reshape(k, -1)).reshape(k, k, m)
-                own *= np.ascontiguousarray(emit.take(tokens[t, :m], 0).T)[:, None]
-                if t % TURN == TURN - 1:
+                seen = np.ascontiguousarray(emit.take(tokens[t, :m], 0).T)
+                if t and t % turn == 0:
+                    seen /= most[:m]
+                    log[:m] += np.log(most[:m])
+                own *= seen[:, None]
+                if t % turn == turn - 1:
                     most = own.max((0, 1))
-                    own /= most
-                    log[:m] += np.log(most)
                 if m == len(parts):
                     now = own
                 else:
@@ -239,10 +327,10 @@ class Segments:
 
 
 def _blocks(texts: list[np.ndarray]) -> Iterator[list[int]]:
-    """Numbers of texts, longest first, that together fill at most a block when padded."""
+    """Numbers of texts, longest first, that together fill at most a block, or one of WIDE rows, when padded."""
     order = sorted((i for i, t in enumerate(texts) if len(t) <= LONG), key=lambda i: -len(texts[i]))
     while order:
-        n = max(1, BLOCK // len(texts[order[0]]))
+        n = max(WIDE, BLOCK // len(texts[order[0]]))
         yield order[:n]
         order = order[n:]
 
@@ -251,8 +339,7 @@ def log_likelihoods(model: Model, texts: list[np.ndarray]) -> np.ndarray:
     """Natural logarithm of each text's probability; a text is the buckets of its tokens, the end included."""
     out = np.zeros(len(texts))
     for own in _blocks(texts):
-        rows = [texts[i] for i in own]
-        out[own] = np.log(_forward(model, rows, np.tile(model.start, (len(rows), 1)), kept=False)[-1]).sum(0)
+        out[own] = _logs(model, [texts[i] for i in own])
     cut = Segments(model, texts)
     if cut.texts:
         out[cut.texts] = cut.chained(*cut.transfers())[0]
@@ -260,35 +347,38 @@ def log_likelihoods(model: Model, texts: list[np.ndarray]) -> np.ndarray:
 
 
 class Counts:
-    """Expected counts of starts, moves and emissions, and the log likelihood, of the texts that were added."""
+    """Expected counts of starts, moves and emissions of the texts that were added."""
 
     def __init__(self, model: Model):
         self.model, k = model, model.states
-        self.starts, self.moves, self.emitted, self.log = np.zeros(k), np.zeros((k, k)), np.zeros(model.emit.shape), 0.0
+        self.starts, self.moves, self.emitted = np.zeros(k), np.zeros((k, k)), np.zeros(model.emit.shape[::-1]).T
 
     def _rows(self, rows: list[np.ndarray], prior: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Forward and back; after: (rows, K), how likely what follows a row is given its last state, in any scale. Returns
         the states at each row's first and last token, the last without what follows."""
         model = self.model
-        tokens, alive, seen, alphas, _ = _forward(model, rows, prior)
+        tokens, alive, seen, alphas = _forward(model, rows, prior)
         last = _last(alphas, rows)
         # All in the scales of the forward recursion: states given the whole text then sum to 1 without another division.
         after = (after / (last * after).sum(1, keepdims=True)).T.astype(seen.dtype)
-        beta, moves, n = np.zeros_like(seen[0]), np.zeros_like(self.moves), 0
-        for t in range(len(alive) - 1, -1, -1):
-            m, n = n, alive[t]
-            if m:
-                ahead = seen[t + 1, :, :m] * beta[:, :m]
-                moves += alphas[t, :, :m] @ ahead.T
-                # The place's forward states are not needed from here on: they become the states given the whole text.
-                alphas[t + 1, :, :m] *= beta[:, :m]
-                beta[:, :m] = model.move @ ahead
-            beta[:, m:n] = after[:, m:n]
-        alphas[0] *= beta
+        betas, n = np.zeros_like(seen), 0
+        for t, m in zip(range(len(alive) - 1, -1, -1), alive[::-1].tolist(), strict=True):
+            if n:
+                ahead = seen[t + 1, :, :n]  # from here on emissions and all that follows
+                ahead *= betas[t + 1, :, :n]
+                np.matmul(model.move, ahead, out=betas[t, :, :n])
+            if m > n:
+                betas[t, :, n:m] = after[:, n:m]
+            n = m
+        moves, step = np.zeros_like(self.moves), max(1, NEAR // tokens.shape[1])
+        for i in range(0, len(alive), step):
+            own, ahead = alphas[i : i + step], seen[i + 1 : i + 1 + step]
+            moves += np.matmul(own[: len(ahead)], ahead.transpose(0, 2, 1)).sum(0)
+            own *= betas[i : i + step]
         self.moves += moves * model.move
         flat = tokens.ravel()
         for k in range(model.states):
-            self.emitted[:, k] += np.bincount(flat, alphas[:, k].ravel(), len(self.emitted))
+            self.emitted[:, k] += np.bincount(flat, alphas[:, k].ravel(), len(self.emitted) + 1)[:-1]
         return alphas[0].T, last
 
     def add(self, texts: list[np.ndarray]) -> None:
@@ -330,19 +420,20 @@ class Counts:
 
 def folded(ids: np.ndarray, buckets: int) -> np.ndarray:
     """The hashes 1 to BUCKETS as buckets 1 to buckets; 0, the end, stays."""
-    return np.where(ids == 0, 0, 1 + (ids - 1) % buckets)
+    every = np.arange(BUCKETS + 1)
+    return np.where(every == 0, 0, 1 + (every - 1) % buckets)[ids]
 
 
 def _texts(batch: pa.RecordBatch, model: Model) -> list[np.ndarray]:
     texts = batch.column("ids")
-    flat = folded(np.frombuffer(b"".join(texts.to_pylist()), "<u2").astype(np.int64), len(model.emit) - 1)
+    flat = folded(np.frombuffer(b"".join(texts.to_pylist()), "<u2"), len(model.emit) - 1)
     return np.split(flat, np.cumsum(pc.binary_length(texts).to_numpy() // 2)[:-1]) if len(texts) else []
 
 
-def _small(batches: Iterator[pa.RecordBatch], tokens: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """Batches of so many tokens, or one row."""
+def _small(batches: Iterator[pa.RecordBatch], column: str = "ids", most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """Batches of so many bytes of the column, or one row."""
     for batch in batches:
-        step = max(1, int(batch.num_rows * 2 * tokens // max(1, batch.column("ids").nbytes)))
+        step = max(1, int(batch.num_rows * most // max(1, batch.column(column).nbytes)))
         yield from (batch.slice(i, step) for i in range(0, batch.num_rows, step))
 
 
@@ -371,13 +462,6 @@ def baum_welch(texts: DataFrame, model: Model, shares: np.ndarray) -> Model:
     return next_model(whole[0], whole[1 : 1 + k], whole[1 + k :], shares)
 
 
-def _looked_up(known: pa.Array, batch: pa.RecordBatch) -> tuple[np.ndarray, pa.Array, pa.Array, np.ndarray]:
-    """Of each word of the batch's texts: row in the batch, the word, its place among the known ones or null, times."""
-    words, times = batch.column("words"), batch.column("times").flatten().to_numpy(zero_copy_only=False)
-    row, flat = np.repeat(np.arange(batch.num_rows), words.value_lengths().to_numpy(zero_copy_only=False)), words.flatten()
-    return row, flat, pc.index_in(flat, value_set=known), times
-
-
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 5, held: int = 1, states: int = STATES, passes: int = 6, seed: int = 11) -> DataFrame:
     """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -388,9 +472,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         base = docs.select(F.col(id_col).cast("long").alias("doc_id"), (remainder(F.col(id_col), modulus) == held).alias("held_out"), F.col(text_col).cast("string").alias("text"))
         encoded = scratch.table(_encoded(base).withColumn("row", F.monotonically_increasing_id()))
         training = encoded.filter("not held_out")
-        each = F.explode(F.arrays_zip("words", "times")).alias("w")
-        word, times = F.col("w.words").alias("word"), F.col("w.times").alias("times")
-        counts = scratch.table(training.select(each).select(word, times).groupBy("word").agg(F.sum("times").alias("c")))
+        counts = scratch.table(_counted(training))
         n_docs = training.count()
 
         buckets = int(min(BUCKETS, 1 + counts.count() // KINDS))
@@ -409,17 +491,18 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for _ in range(passes):
             model = baum_welch(training, model, shares)
 
-        frequent = counts.filter(F.col("c") * FREQUENT >= all_)
-        often = frequent.collect()  # FREQUENT short keys at most
-        known, known_logs = [bytes(r["word"]) for r in often], np.log10(np.array([r["c"] for r in often], np.float64) + 0.5)
+        # The driver gets a row for each count there is, at most the root of twice the tokens, and FREQUENT short keys at most.
+        least = least_count([tuple(r) for r in counts.groupBy("c").agg(F.count(F.lit(1))).collect()], FREQUENT) or all_ + 1
+        often = counts.filter(F.col("c") >= least).toArrow()
+        known, known_logs = often.column("word").combine_chunks(), np.log10(often.column("c").to_numpy() + 0.5)
         log_weight = np.log10(weight)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            values = pa.array(known, pa.binary())
             for batch in _small(batches):
                 texts = _texts(batch, model)
                 found = log_likelihoods(model, texts) / np.log(10) - np.array([log_weight[t].sum() for t in texts])
-                row, word, place, times = _looked_up(values, batch)
+                row, word, times = unpacked(batch)
+                place = pc.index_in(word, value_set=known)
                 often = place.is_valid().to_numpy(zero_copy_only=False)
                 mine, logs = row[often], known_logs[place.drop_null().to_numpy()]
                 sums = [np.bincount(mine, w, batch.num_rows) for w in (logs * times[often], times[often])]
@@ -432,8 +515,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             release()
 
         names = ["row", "word", "times", "often", "latent"]
-        words = encoded.select("row", "ids", "words", "times").mapInArrow(run, "row long, word binary, times int, often double, latent double")
-        each = words.join(counts.filter(F.col("c") * FREQUENT < all_), "word", "left")
+        words = encoded.select("row", "ids", "words", "lengths", "times").mapInArrow(run, "row long, word binary, times int, often double, latent double")
+        each = words.join(counts.filter(F.col("c") < least), "word", "left")
         value = F.coalesce("often", F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + 0.5))
         found = F.when(F.col("often").isNotNull() | (F.col("c") > 0), F.col("times")).otherwise(0)
         sums = each.groupBy("row").agg(F.sum(value).alias("logs"), F.sum(found).alias("known"), F.sum("latent").alias("latent"))

@@ -296,3 +296,52 @@ def test_texts_are_encoded_whole_and_read_once_for_scores(spark, monkeypatch):
     monkeypatch.setattr(sequence_lm, "materialize", lambda df, name: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), df)[1])
     sequence_lm.score_documents(docs(spark, ODD), passes=1)
     assert plans[0].count("MapInArrow") == 1
+
+
+def test_words_travel_packed_and_are_counted_in_their_tasks(spark, monkeypatch):
+    """One value a row in place of lists, no row for each word of each text in front of the sums, and counts as before."""
+    import pyarrow as pa
+
+    texts = ["a B a", "", None, "é" * 30 + " x", "\x00 " * 300, " \n", "b" * 40 + " b"]
+    made = sequence_lm.encode(pa.array(texts, pa.string()))
+    batch = pa.RecordBatch.from_pydict(sequence_lm.packed(made["words"], made["times"]))
+    for own in (batch, batch.slice(2, 3), batch.slice(1, 1), batch.slice(7)):
+        at = texts.index("") if own.num_rows == 1 else 2 if own.num_rows == 3 else 0
+        row, words, times = sequence_lm.unpacked(own)
+        want = [(i, w, n) for i in range(own.num_rows) for w, n in zip(made["words"][at + i].as_py(), made["times"][at + i].as_py())]
+        assert list(zip(row.tolist(), words.to_pylist(), times.tolist())) == want
+    table = sequence_lm._encoded(docs(spark, list(enumerate(texts * 3))).selectExpr("doc_id", "true as held_out", "text"))
+    assert not any(f.dataType.typeName() == "array" for f in table.schema)
+    counts = sequence_lm._counted(table)
+    assert "Generate" not in counts._jdf.queryExecution().optimizedPlan().toString()
+    want = Counter(sequence_lm.key_of(w) for t in texts for w in (t or "").encode().lower().split())
+    assert {bytes(r.word): r.c for r in counts.collect()} == {w: 3 * n for w, n in want.items()}
+
+
+def test_the_most_frequent_words_are_looked_up_and_the_others_joined(spark, monkeypatch):
+    """As many words as there is room for, those of equal counts together; any room gives the same counts."""
+    assert [sequence_lm.least_count([(1, 5), (100, 1), (10, 30)], n) for n in (0, 1, 30, 31, 35, 36)] == [None, 100, 100, 10, 10, 1]
+    assert sequence_lm.least_count([], 9) is None
+    rows = [(i, " ".join(f"w{j}" for j in range(30) if (i + j) % 3 or j < 4)) for i in range(60)]
+    found, seen, whole = [], [], sequence_lm.least_count
+    monkeypatch.setattr(sequence_lm, "least_count", lambda *args: (seen.append(whole(*args)), seen[-1])[1])
+    for room in (0, 4, 40):
+        monkeypatch.setattr(sequence_lm, "FREQUENT", room)
+        got = sequence_lm.score_documents(docs(spark, rows), passes=1).collect()
+        found.append(sorted((r.doc_id, r.n_known, r.train_tokens, round(r.base_score, 9), round(r.score, 6)) for r in got))
+    counts = Counter(w for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1 for w in t.split())
+    assert found[0] == found[1] == found[2] and seen == [None, max(counts.values()), min(counts.values())]
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 300, 5000])
+def test_single_precision_holds_what_is_left_between_two_scalings(n):
+    """Transitions and emissions as unlikely as a very large corpus makes them, at every step of a text."""
+    least = 1e-11
+    model = sequence_lm.Model(np.array([1 - least, least]), np.array([[1 - least, least], [least, 1 - least]]), np.array([[1.0, least], [least, 1.0], [least, least]]))
+    texts = [np.arange(n) % 2, (np.arange(n) + 1) % 2, np.full(n, 2)]
+    single = sequence_lm.Model(*(x.astype(np.float32) for x in (model.start, model.move, model.emit)))
+    one, two = sequence_lm.Counts(model), sequence_lm.Counts(single)
+    one.add(texts)
+    two.add(texts)
+    assert np.isclose(two.emitted.sum(), 3 * n, rtol=1e-4) and np.allclose(one.emitted, two.emitted, rtol=1e-3, atol=1e-3) and np.allclose(one.moves, two.moves, rtol=1e-3, atol=1e-3)
+    assert np.isfinite(sequence_lm.log_likelihoods(model, texts)).all()
